@@ -1,0 +1,33 @@
+"""Does a response parse as Python? The one step that needs a Python worker."""
+
+import ast
+import warnings
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def syntax_check():
+    """A vectorized check: one Arrow batch of responses in, one flag per response out.
+
+    Text the parser cannot hold counts as not valid. The code is local to this function so
+    that it travels with the task: executors need no copy of this package.
+    """
+
+    def is_valid(text: str | None) -> bool:
+        if text is None:
+            return False
+        try:
+            ast.parse(text)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return False
+        return True
+
+    @F.pandas_udf(T.BooleanType())
+    def parses(texts: pd.Series) -> pd.Series:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            return texts.map(is_valid).astype(bool)
+
+    return parses
