@@ -35,9 +35,10 @@ class View:
         return self.select(spark.read.parquet(f"{folder}/{self.table}.parquet"))
 
     def stream(self, spark: SparkSession, folder: str) -> DataFrame:
-        path = f"{folder}/{self.table}.parquet"
-        schema = spark.read.parquet(path).schema
-        return self.select(spark.readStream.schema(schema).parquet(path))
+        """The table's files as they arrive; a pattern may also match a single file."""
+        schema = spark.read.parquet(f"{folder}/{self.table}.parquet").schema
+        files = f"{folder}/{{{self.table}.parquet}}"
+        return self.select(spark.readStream.schema(schema).parquet(files))
 
     @property
     def sql(self) -> str:

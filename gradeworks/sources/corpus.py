@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from gradeworks.fixed_values import MATH, TWO_PART
 from gradeworks.operators.tasks import flatten_parts
 from gradeworks.schemas import CHALLENGE, FLAT_CHALLENGE, FLAT_PROBLEM, PROBLEM
-from gradeworks.sources.results import CSV_OPTIONS
+from gradeworks.sources.results import EXPORT_OPTIONS
 
 CORRUPT = "_corrupt_record"
 
@@ -113,4 +113,4 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
 def read_export(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A corpus exported by ``write_export``, with its declared types."""
     schema = {TWO_PART: FLAT_CHALLENGE, MATH: FLAT_PROBLEM}[kind]
-    return spark.read.options(**CSV_OPTIONS, sep="\t").schema(schema).csv(path)
+    return spark.read.options(**EXPORT_OPTIONS).schema(schema).csv(path)

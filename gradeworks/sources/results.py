@@ -25,6 +25,9 @@ CSV_OPTIONS = {
     "ignoreTrailingWhiteSpace": False,
 }
 
+# An exported corpus tells an absent field from an empty one, as the empty last answers.
+EXPORT_OPTIONS = {**CSV_OPTIONS, "sep": "\t", "nullValue": "\\N"}
+
 # Fixed pattern of a results file name: model-subset-pass@k.csv, three fields, no more.
 RESULT_NAME = r"(?:^|/)([^/-]+)-([^/-]+)-[^/@-]*@([^/@-]*)\.csv$"
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeworks.sources.results import CSV_OPTIONS
+from gradeworks.sources.results import CSV_OPTIONS, EXPORT_OPTIONS
 
 
 def write_results(results: DataFrame, path: str) -> None:
@@ -37,8 +37,8 @@ def write_snapshot(results: DataFrame, path: str) -> None:
 
 def write_export(corpus: DataFrame, path: str) -> None:
     """A flat corpus as tab-separated text without an index column."""
-    options = {k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}
-    corpus.write.mode("overwrite").options(**options, sep="\t").csv(path)
+    options = {k: v for k, v in EXPORT_OPTIONS.items() if k != "multiLine"}
+    corpus.write.mode("overwrite").options(**options).csv(path)
 
 
 def write_challenges(nested: DataFrame, path: str) -> None:
