@@ -72,7 +72,8 @@ def _read_results(s, d):
 
 
 def _named_results(s, d):
-    return S.parse_result_name(V.RESULT_FILES.frame(s, d)).where("subset IS NOT NULL")
+    rows = V.RESULT_FILES.frame(s, d)
+    return S.parse_result_name(rows.where(S.is_result_file(F.col("path"))))
 
 
 def _write_results(s, d):

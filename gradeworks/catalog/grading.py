@@ -121,7 +121,7 @@ QUERIES = [
         "last_integer",
         lambda s, d: V.ANSWERS.frame(s, d).select(
             "row_no",
-            F.coalesce(last_integer(F.col("answer")), F.lit("")).alias("last_integer"),
+            last_integer(F.col("answer")).alias("last_integer"),
             GF.direct_answer(F.col("answer"), F.col("solution")).alias("picked"),
         ),
         f"""SELECT row_no, coalesce(list_last(regexp_extract_all(answer, '[0-9]+')), '')

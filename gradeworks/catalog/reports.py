@@ -10,6 +10,7 @@ from gradeworks.functions.text import line_count
 from gradeworks.operators import reports as R
 from gradeworks.operators.findings import findings_summary
 from gradeworks.operators.tasks import failures_only
+from gradeworks.plans.leaderboard import error_report
 from gradeworks.sources.results import model_alias, parse_result_name, report_files
 
 LAST_COPY = f"""WITH a AS ({V.ATTEMPTS.sql}), l AS (SELECT * FROM (SELECT *, row_number() OVER (
@@ -237,6 +238,33 @@ QUERIES = [
             CASE WHEN contains(model, 'gpt') THEN 'gpt3.5' ELSE replace(model, '-', '_') END,
             '-', subset, '-pass@3.csv') GROUP BY model, subset, label""",
     ),
+    Query(
+        "error_report",
+        lambda s, d: error_report(V.RESULT_FILES.frame(s, d)),
+        f"""WITH f AS ({V.RESULT_FILES.sql}),
+            l AS (SELECT *, row_number() OVER (PARTITION BY path, year, day, part, id
+                ORDER BY row_no) AS rn FROM f),
+            e AS (SELECT path, count(*) AS total_errors,
+                count(*) FILTER (status = 'syntax_error') AS s,
+                count(*) FILTER (status = 'runtime_error') AS r,
+                count(*) FILTER (status = 'timeout_error') AS t,
+                count(*) FILTER (status = 'wrong_output') AS w
+                FROM l WHERE rn = 1 AND status NOT IN ('no_error', 'part1_failed')
+                GROUP BY path),
+            m(subset, label) AS (VALUES ('aoc', 'AoC'), ('aoc_converted', 'AoC-Leet'),
+                ('euler', 'Euler'), ('euler_stories', 'Euler-Stories')),
+            x AS (SELECT split_part(path, '/', -2) AS model, subset, label, total_errors,
+                s::DOUBLE / total_errors AS syntax_errors,
+                r::DOUBLE / total_errors AS runtime_errors,
+                t::DOUBLE / total_errors AS timeout_errors,
+                w::DOUBLE / total_errors AS wrong_outputs
+                FROM e JOIN m ON split_part(path, '/', -1) = concat(
+                    CASE WHEN contains(split_part(path, '/', -2), 'gpt') THEN 'gpt3.5'
+                    ELSE replace(split_part(path, '/', -2), '-', '_') END,
+                    '-', subset, '-pass@3.csv')),
+            q AS (SELECT model, subset, label, {_PCT}, total_errors FROM x)
+        SELECT *, {_BUCKETS} FROM q""",
+    ),
     Query(
         "distinct_status",
         lambda s, d: R.distinct_statuses(_attempts(s, d)),

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from gradeworks import fixed_values as X
 from gradeworks.catalog import views as V
 from gradeworks.catalog.base import Query
-from gradeworks.functions import documents as D
 from gradeworks.functions.prompts import render_messages
 from gradeworks.functions.text import rstrip_newlines
 from gradeworks.operators import corpus as C
@@ -115,16 +114,12 @@ QUERIES = [
     ),
     Query(
         "clean_section_keep",
-        lambda s, d: _raw(s, d).select(
-            "doc_id", D.clean_part1(F.col("text")).alias("description")
-        ),
+        lambda s, d: C.clean_part1(_raw(s, d)).select("doc_id", "description"),
         CLEAN1,
     ),
     Query(
         "clean_section_drop",
-        lambda s, d: _raw(s, d).select(
-            "doc_id", D.clean_part2(F.col("text")).alias("description")
-        ),
+        lambda s, d: C.clean_part2(_raw(s, d)).select("doc_id", "description"),
         CLEAN2,
     ),
     Query(
@@ -147,7 +142,7 @@ QUERIES = [
     ),
     Query(
         "extract_answer",
-        lambda s, d: _raw(s, d).select("doc_id", D.extract_answer(F.col("text")).alias("answer")),
+        lambda s, d: C.with_answer(_raw(s, d)).select("doc_id", "answer"),
         f"SELECT doc_id, {_ANSWER} AS answer FROM ({_RAW})",
     ),
     Query(

@@ -1,104 +1,69 @@
-"""Cleaning of raw puzzle documents, as string expressions over the whole text.
+"""Lines of raw puzzle documents, as array expressions.
 
-No text is exploded into rows, and each step uses its input once: the work stays in
-generated code of linear size and needs no shuffle however long a document is.
+A document is taken apart once; later steps only pick among its lines. A line keeps its
+newline, so joining the lines gives the text back.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gradeworks.fixed_values import (
-    ANSWER_PHRASE,
-    LINK_WORD,
-    PART1_HEADER,
-    PART2_HEADER,
-    PART2_MARKER,
-    STOP_PHRASE,
-)
 from gradeworks.functions.text import literal_pattern, rstrip_newlines
 
-# Pattern pieces: where a line begins, where a line other than the first begins, and the
-# rest of a line with its newline. Only a newline ends a line.
-LINE_START = r"(?:\A|(?<=\n))"
-LATER_LINE_START = r"(?<=\n)"
-LINE_REST = r"[^\n]*(?:\n|\z)"
-
+NEWLINE = "\n"
 
-def _line_with(word: str) -> str:
-    """Pattern from a line's start up to and including ``word`` in it."""
-    return r"[^\n]*?" + literal_pattern(word)
 
+def lines_of(text: Column) -> Column:
+    """Lines of a text, each with its newline; the last one may lack it."""
+    return F.regexp_extract_all(text, F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0))
 
-def _drop_lines(text: Column, word: str, start: str = LINE_START) -> Column:
-    """Text without the lines that contain ``word``."""
-    return F.regexp_replace(text, start + _line_with(word) + LINE_REST, "")
 
+def closed_lines_of(text: Column) -> Column:
+    """Lines of a text, the last one closed by a newline too."""
+    return lines_of(F.regexp_replace(text, r"([^\n])\z", "$1\n"))
 
-def _cut_at_line(text: Column, phrase: str, start: str = LINE_START) -> Column:
-    """Whole lines in front of the first line that contains ``phrase``, else all."""
-    return F.regexp_replace(text, "(?s)" + start + _line_with(phrase) + ".*", "")
 
+def first_index(lines: Column, test: Callable[[Column], Column]) -> Column:
+    """1-based place of the first line that passes the test, 0 if none does."""
+    return F.array_position(F.transform(lines, test), True)
 
-def _close_last_line(text: Column) -> Column:
-    """Text whose last line ends with a newline; empty text stays empty."""
-    return F.regexp_replace(text, r"([^\n])\z", "$1\n")
 
+def lines_from(lines: Column, index: Column) -> Column:
+    """The lines from a 1-based place on."""
+    return F.slice(lines, index, F.size(lines))
 
-def clean_section(
-    text: Column,
-    header: str,
-    keep_header: bool,
-    link_word: str = LINK_WORD,
-    stop_phrase: str = STOP_PHRASE,
-) -> Column:
-    """Body of a section: from its header line to the answer line, without link lines.
 
-    A kept header line is spared from both tests. One blank line at each end is dropped.
-    Without a header, or with nothing left, the result is ``''``.
-    """
-    mark = r"(?s)(?:\A|\n)"
-    if keep_header:
-        section = F.regexp_extract(text, mark + "(" + literal_pattern(header) + ".*)", 1)
-        start = LATER_LINE_START
-    else:
-        section = F.regexp_extract(
-            text, mark + literal_pattern(header) + r"[^\n]*\n(.*)", 1
-        )
-        start = LINE_START
-    body = _cut_at_line(_drop_lines(section, link_word, start), stop_phrase, start)
-    opened = F.regexp_replace(body, r"\A\n", "")
-    return F.regexp_replace(opened, LINE_START + r"\n\z", "")
+def lines_before(lines: Column, index: Column) -> Column:
+    """The lines in front of a 1-based place; all of them for place 0."""
+    return F.when(index > 0, F.slice(lines, 1, index - 1)).otherwise(lines)
 
 
-def clean_part1(text: Column, **words: str) -> Column:
-    """Part 1: the header line is kept."""
-    return clean_section(text, words.pop("header", PART1_HEADER), True, **words)
+def without_word(lines: Column, word: str) -> Column:
+    """The lines that do not contain ``word``."""
+    return F.filter(lines, lambda line: ~line.contains(word))
 
 
-def clean_part2(text: Column, **words: str) -> Column:
-    """Part 2: the text starts after the rule line."""
-    return clean_section(text, words.pop("header", PART2_HEADER), False, **words)
+def without_first_blank(lines: Column) -> Column:
+    """The lines without one blank line at their beginning."""
+    blank = F.get(lines, 0) == NEWLINE
+    return F.when(blank, lines_from(lines, F.lit(2))).otherwise(lines)
 
 
-def text_before_marker(text: Column, marker: str = PART2_MARKER) -> Column:
-    """Lines in front of the first marker line: the raw part 1, ``''`` if there are none."""
-    return _close_last_line(_cut_at_line(text, marker))
+def without_last_blank(lines: Column) -> Column:
+    """The lines without one blank line at their end."""
+    last = F.size(lines) - 1
+    return F.when(F.get(lines, last) == NEWLINE, F.slice(lines, 1, last)).otherwise(lines)
 
 
-def text_after_marker(text: Column, marker: str = PART2_MARKER) -> Column:
-    """Lines behind the first marker line, less further marker lines; ``''`` if none."""
-    marker_line = r"(?s)(?:\A|\n)" + _line_with(marker) + r"[^\n]*\n"
-    tail = F.regexp_extract(text, marker_line + "(.*)", 1)
-    return _close_last_line(_drop_lines(tail, marker))
+def join_lines(lines: Column) -> Column:
+    """The text of the lines."""
+    return F.array_join(lines, "")
 
 
-def extract_answer(text: Column, phrase: str = ANSWER_PHRASE) -> Column:
-    """Answers named in a document: lines with the phrase, less phrase, ticks and dots."""
-    found = F.regexp_extract_all(
-        text, F.lit(LINE_START + _line_with(phrase) + r"[^\n]*"), F.lit(0)
-    )
-    lines = F.array_join(found, "\n")
-    without_phrase = F.regexp_replace(
-        lines, LINE_START + r"([^\n]*?)" + literal_pattern(phrase), "$1"
-    )
+def answers_in(lines: Column, phrase: str) -> Column:
+    """Answers named in the lines: lines with the phrase, less phrase, ticks and dots."""
+    named = join_lines(F.filter(lines, lambda line: line.contains(phrase)))
+    pattern = r"(?:\A|(?<=\n))([^\n]*?)" + literal_pattern(phrase)
+    without_phrase = F.regexp_replace(named, pattern, "$1")
     return rstrip_newlines(F.translate(without_phrase, "`.", ""))

@@ -87,16 +87,20 @@ def direct_answer(answer: Column, solution: Column, zero_is_integer: bool = Fals
     """
     text = python_strip(F.coalesce(answer, F.lit("")))
     wanted = is_integer_text(solution) if zero_is_integer else is_nonzero_integer(solution)
-    return F.when(wanted, F.coalesce(last_integer(text), text)).otherwise(text)
+    return F.when(wanted & text.rlike(r"(?U)\d"), last_integer(text)).otherwise(text)
+
+
+def answer_needs_second_look(picked: Column, solution: Column) -> Column:
+    """The picked answer is no match and not settled by being an integer."""
+    return ~picked.eqNullSafe(solution) & ~is_integer_text(picked)
 
 
 def grade_answer(
-    answer: Column, solution: Column, second_text: Column, zero_is_integer: bool = False
+    answer: Column, picked: Column, solution: Column, second_text: Column
 ) -> Grade:
-    """Grade an answer given as text, without any program run."""
-    picked = direct_answer(answer, solution, zero_is_integer)
+    """Grade an answer given as text, of which ``picked`` is compared; no program ran."""
     second = python_strip(F.coalesce(second_text, picked))
-    first_ok = picked.eqNullSafe(solution)
-    second_ok = ~first_ok & ~is_integer_text(picked) & second.eqNullSafe(solution)
-    status = F.when(first_ok | second_ok, NO_ERROR).otherwise(WRONG_OUTPUT)
+    second_ok = answer_needs_second_look(picked, solution) & second.eqNullSafe(solution)
+    solved = picked.eqNullSafe(solution) | second_ok
+    status = F.when(solved, NO_ERROR).otherwise(WRONG_OUTPUT)
     return Grade(status, F.when(second_ok, second).otherwise(answer))

@@ -14,12 +14,13 @@ from gradeworks.fixed_values import (
     TIMEOUT_MARK,
 )
 from gradeworks.functions.grading import (
+    answer_needs_second_look,
     direct_answer,
     grade_answer,
     grade_run,
     needs_second_look,
 )
-from gradeworks.functions.text import extract_code, is_integer_text, python_strip
+from gradeworks.functions.text import extract_code, python_strip
 from gradeworks.operators.hotkeys import join_group_values
 
 
@@ -93,13 +94,13 @@ def grade_direct(
     zero_is_integer: bool = False,
 ) -> DataFrame:
     """Grades of answers given as text (column ``answer``), without a program run."""
-    answer, solution = F.col("answer"), F.col("solution")
-    picked = direct_answer(answer, solution, zero_is_integer)
-    needed = ~picked.eqNullSafe(solution) & ~is_integer_text(picked)
-    looked = _with_second_text(answers, needed, reextractions, keys)
-    grade = grade_answer(answer, solution, F.col("second_text"), zero_is_integer)
+    answer, picked, solution = F.col("answer"), F.col("picked"), F.col("solution")
+    staged = answers.withColumn("picked", direct_answer(answer, solution, zero_is_integer))
+    needed = answer_needs_second_look(picked, solution)
+    looked = _with_second_text(staged, needed, reextractions, keys)
+    grade = grade_answer(answer, picked, solution, F.col("second_text"))
     return looked.withColumns({"status": grade.status, "output": grade.output}).drop(
-        "second_text"
+        "second_text", "picked"
     )
 
 

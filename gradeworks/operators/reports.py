@@ -27,7 +27,7 @@ from gradeworks.operators.dedup import dedup_codes
 from gradeworks.operators.hotkeys import join_group_values
 from gradeworks.operators.tasks import drop_final_part2
 from gradeworks.schemas import PART_KEYS
-from gradeworks.sources.results import parse_result_name
+from gradeworks.sources.results import is_result_file, parse_result_name
 
 ERROR_SHARES = {
     "syntax_errors": SYNTAX_ERROR,
@@ -166,7 +166,7 @@ def accuracy_cube(results: DataFrame, path_column: str = "path") -> DataFrame:
     signed = F.when(two_part, F.col("row_no")).otherwise(-F.col("row_no")).alias("order")
     keys = [path_column, *PART_KEYS, "id"]
     kept = (
-        drop_final_part2(results)
+        drop_final_part2(results.where(is_result_file(F.col(path_column))))
         .select(*keys, status_code(F.col("status")).alias("code"), signed)
         .groupBy(*keys)
         .agg(F.max_by("code", "order").alias("code"))
@@ -175,9 +175,8 @@ def accuracy_cube(results: DataFrame, path_column: str = "path") -> DataFrame:
         F.count("*").alias("total"), F.count_if(F.col("code") == OK_CODE).alias("solved")
     )
     cell = ["model", "subset", "variant", "k"]
-    named = parse_result_name(files, path_column).where("subset IS NOT NULL AND k IS NOT NULL")
     last_file = F.max(F.struct(path_column, "total", "solved")).alias("last_file")
-    cells = named.groupBy(*cell).agg(last_file)
+    cells = parse_result_name(files, path_column).groupBy(*cell).agg(last_file)
     counted = cells.select(*cell, "last_file.total", "last_file.solved")
     return counted.withColumn("accuracy", percent(F.col("solved"), F.col("total")))
 
@@ -252,10 +251,11 @@ def ranked(rows: DataFrame, score: str) -> DataFrame:
 def error_shares(results: DataFrame, by: list[str]) -> DataFrame:
     """Failed tasks and the share of each error class, after keeping the first copy.
 
-    A list without failures has null shares.
+    Rows may be of either kind, or of both with nulls in the other kind's keys. A list
+    without failures has null shares.
     """
-    keys = [*by, *(PART_KEYS if is_two_part(results.columns) else ["id"])]
-    kept = dedup_codes(results, keys, "first")
+    task = [c for c in [*PART_KEYS, "id"] if c in results.columns]
+    kept = dedup_codes(results, [*by, *task], "first")
     # A null code is a failure too: only solved and blocked rows are taken out.
     out = F.coalesce(is_code(NO_ERROR) | is_code(PART1_FAILED), F.lit(False))
     counted = kept.groupBy(*by).agg(

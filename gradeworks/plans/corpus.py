@@ -23,10 +23,4 @@ def refreshed_corpus(challenges: DataFrame, raw: DataFrame) -> DataFrame:
 
 def flat_corpus(raw: DataFrame) -> DataFrame:
     """The flat challenge table straight from raw documents."""
-    nested = build_challenges(raw)
-    for part in ("part1", "part2"):
-        nested = nested.withColumn(
-            part,
-            F.col(part).withField("converted_description", F.lit(None).cast("string")),
-        )
-    return flatten_parts(nested)
+    return flatten_parts(build_challenges(raw))

@@ -11,6 +11,7 @@ from gradeworks.operators.reports import (
     overall_score,
     with_subset_label,
 )
+from gradeworks.sources.results import report_files
 
 
 def leaderboards(results: DataFrame, path_column: str = "path") -> dict[str, DataFrame]:
@@ -19,7 +20,12 @@ def leaderboards(results: DataFrame, path_column: str = "path") -> dict[str, Dat
     return {"cube": cube, "models": leaderboard(cube), "ranking": overall_score(cube)}
 
 
-def error_report(results: DataFrame, by: list[str]) -> DataFrame:
-    """Error shares per results list in percent, with shade indices and subset labels."""
-    percentages = error_percentages(error_shares(results, by), by)
+def error_report(results: DataFrame, path_column: str = "path") -> DataFrame:
+    """Error shares per model and subset in percent, with shade indices and labels.
+
+    All files are summed up in one pass; which of them belong in the report is told from
+    their paths, one row per file.
+    """
+    shares = report_files(error_shares(results, [path_column]), path_column)
+    percentages = error_percentages(shares, ["model", "subset"])
     return with_subset_label(error_buckets(percentages))

@@ -1,5 +1,6 @@
 """Readers of the challenge corpus and of raw puzzle documents."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,17 +47,35 @@ def read_nested_challenges(
     rather than a glob, which would start one listing task per file.
     """
     schema = T.StructType([*CHALLENGE.fields, T.StructField(CORRUPT, T.StringType())])
-    reader = (
-        spark.read.schema(CHALLENGE if strict else schema)
-        .option("recursiveFileLookup", True)
-        .option("mode", "FAILFAST" if strict else "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("multiLine", one_file_per_day)
-    )
+    options = {
+        "mode": "FAILFAST" if strict else "PERMISSIVE",
+        "columnNameOfCorruptRecord": CORRUPT,
+    }
+    reader = spark.read.option("recursiveFileLookup", True)
+    if one_file_per_day:
+        reader = reader.option("pathGlobFilter", "day_*.json")
+    texts = reader.text(root, wholetext=one_file_per_day)
     if not one_file_per_day:
-        return reader.json(root)
-    records = reader.option("pathGlobFilter", "day_*.json").json(root)
-    return records.withColumns(challenge_keys(F.col("_metadata.file_path")))
+        texts = texts.where("trim(value) <> ''")
+    records = texts.select(
+        "value",
+        F.col("_metadata.file_path").alias("path"),
+        F.from_json("value", schema, options).alias("record"),
+    )
+    keys = {"year": F.col("record.year"), "day": F.col("record.day")}
+    if one_file_per_day:
+        keys = challenge_keys(F.col("path"))
+    # Text without any JSON value yields no record; the text itself is then the bad record.
+    corrupt = F.when(F.col("record").isNull(), F.col("value")).otherwise(
+        F.col(f"record.{CORRUPT}")
+    )
+    return records.select(
+        *[key.alias(name) for name, key in keys.items()],
+        "record.part1",
+        "record.part2",
+        "record.input",
+        corrupt.alias(CORRUPT),
+    )
 
 
 def read_challenges(
@@ -64,7 +83,7 @@ def read_challenges(
 ) -> DataFrame:
     """The flat challenge table; records that do not parse are left to ``quarantined``."""
     records = read_nested_challenges(spark, root, strict, one_file_per_day)
-    return flatten_parts(records if strict else records.where(F.col(CORRUPT).isNull()))
+    return flatten_parts(records.where(F.col(CORRUPT).isNull()))
 
 
 def quarantined(records: DataFrame) -> DataFrame:
@@ -86,17 +105,16 @@ def read_problems(spark: SparkSession, root: str, one_array_per_file: bool = Tru
 
 def read_subset(spark: SparkSession, name: str, root: str, lite_root: str | None = None):
     """The corpus of a subset. ``lite_root`` is used where the two-part root is absent."""
-    if name == TWO_PART:
-        return read_challenges(spark, _first_existing(spark, root, lite_root))
     if name == MATH:
         return read_problems(spark, root)
-    raise ValueError(f"unknown subset {name}")
-
-
-def _first_existing(spark: SparkSession, root: str, fallback: str | None) -> str:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    return root if found or fallback is None else fallback
+    if name != TWO_PART:
+        raise ValueError(f"unknown subset {name}")
+    try:
+        return read_challenges(spark, root)
+    except AnalysisException as error:
+        if lite_root is None or error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return read_challenges(spark, lite_root)
 
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:

@@ -28,8 +28,11 @@ CSV_OPTIONS = {
 # An exported corpus tells an absent field from an empty one, as the empty last answers.
 EXPORT_OPTIONS = {**CSV_OPTIONS, "sep": "\t", "nullValue": "\\N"}
 
-# Fixed pattern of a results file name: model-subset-pass@k.csv, three fields, no more.
-RESULT_NAME = r"(?:^|/)([^/-]+)-([^/-]+)-[^/@-]*@([^/@-]*)\.csv$"
+# Fixed pattern of a results file name, model-subset[_variant]-pass@k.csv: three fields, no
+# more, and a known subset.
+RESULT_NAME = (
+    rf"(?:^|/)([^/-]+)-({TWO_PART}|{MATH})(?:_([^/_-]*))?-[^/@-]*@([0-9]{{1,9}})\.csv$"
+)
 
 
 def read_results(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -52,30 +55,23 @@ def read_results(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return rows.withColumn("kpass", F.col("kpass").cast("int")) if kind == TWO_PART else rows
 
 
+def is_result_file(path: Column) -> Column:
+    """The path names a results file of a known subset."""
+    return path.rlike(RESULT_NAME)
+
+
 def parse_result_name(rows: DataFrame, path_column: str = "path") -> DataFrame:
     """Adds model, subset, variant and k from the file name.
 
-    The model comes from the name, not from the folder. A name with more or fewer fields,
-    another ending or an unknown subset gets nulls.
+    The model comes from the name, not from the folder. Any other name gets nulls.
     """
     path = F.col(path_column)
-    subset_field = F.regexp_extract(path, RESULT_NAME, 2)
-    pieces = F.split(subset_field, "_")
-    subset = F.when(F.size(pieces) <= 2, F.element_at(pieces, 1))
-    known = subset.isin(*VARIANT_NAMES)
-    variant = F.when(F.size(pieces) == 1, PLAIN_VARIANT)
+    field = lambda i: F.nullif(F.regexp_extract(path, RESULT_NAME, i), F.lit(""))
+    variant = F.when(field(3).isNull(), F.when(field(2).isNotNull(), PLAIN_VARIANT))
     for name, label in VARIANT_NAMES.items():
-        # An empty suffix leaves the plain variant, as a missing one does.
-        plain = F.element_at(pieces, -1) == ""
-        variant = variant.when(plain, PLAIN_VARIANT).when(subset == name, label)
-    k = F.regexp_extract(path, RESULT_NAME, 3).try_cast("int")
+        variant = variant.when(field(2) == name, label)
     return rows.withColumns(
-        {
-            "model": F.when(known, F.regexp_extract(path, RESULT_NAME, 1)),
-            "subset": F.when(known, subset),
-            "variant": F.when(known, variant),
-            "k": F.when(known, k),
-        }
+        {"model": field(1), "subset": field(2), "variant": variant, "k": field(4).cast("int")}
     )
 
 
@@ -103,5 +99,5 @@ def report_files(rows: DataFrame, path_column: str = "path", k: int = 3) -> Data
 
 def scan_results(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """All result rows of one subset below a folder, with the run taken from the names."""
-    named = parse_result_name(read_results(spark, root, kind))
-    return named.where((F.col("subset") == kind) & F.col("k").isNotNull())
+    files = read_results(spark, root, kind).where(is_result_file(F.col("path")))
+    return parse_result_name(files).where(F.col("subset") == kind)
