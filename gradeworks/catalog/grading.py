@@ -106,11 +106,7 @@ QUERIES = [
     Query(
         "second_look_join",
         lambda s, d: G.second_look(
-            _runs(s, d).where(
-                GF.needs_second_look(F.col("stdout"), F.col("stderr"), F.col("solution"), False)
-            ),
-            _texts(s, d),
-            KEY,
+            G.with_printed(_runs(s, d)).where(G.open_cases(False)), _texts(s, d), KEY
         ).select("row_no", "final_output"),
         f"""WITH r AS ({V.RUNS.sql}), t AS ({V.REEXTRACTIONS.sql})
         SELECT r.row_no, {STRIP.format("coalesce(t.text, stdout)")} AS final_output

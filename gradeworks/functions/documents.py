@@ -14,14 +14,19 @@ from gradeworks.functions.text import literal_pattern, rstrip_newlines
 NEWLINE = "\n"
 
 
-def lines_of(text: Column) -> Column:
-    """Lines of a text, each with its newline; the last one may lack it."""
-    return F.regexp_extract_all(text, F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0))
-
-
-def closed_lines_of(text: Column) -> Column:
-    """Lines of a text, the last one closed by a newline too."""
-    return lines_of(F.regexp_replace(text, r"([^\n])\z", "$1\n"))
+def pieces_of(text: Column) -> Column:
+    """The text between newlines; the last piece is what follows the last newline."""
+    return F.split(text, NEWLINE)
+
+
+def lines_from_pieces(pieces: Column, close_last: bool = False) -> Column:
+    """Lines, each with its newline; the last one may lack it unless it is closed too."""
+    ended = F.slice(pieces, 1, F.size(pieces) - 1)
+    last = F.filter(F.slice(pieces, -1, 1), lambda piece: piece != "")
+    add_newline = lambda piece: F.concat(piece, F.lit(NEWLINE))
+    if close_last:
+        last = F.transform(last, add_newline)
+    return F.concat(F.transform(ended, add_newline), last)
 
 
 def first_index(lines: Column, test: Callable[[Column], Column]) -> Column:

@@ -34,9 +34,14 @@ def classify_error(stderr: Column) -> Column:
     )
 
 
+def printed_text(stdout: Column) -> Column:
+    """The output as it is compared: stripped, never null."""
+    return python_strip(F.coalesce(stdout, F.lit("")))
+
+
 def matches(output: Column, solution: Column) -> Column:
     """Stripped output equals the solution; the solution is compared as it stands."""
-    return python_strip(output).eqNullSafe(solution)
+    return printed_text(output).eqNullSafe(solution)
 
 
 def is_nonzero_integer(solution: Column) -> Column:
@@ -44,39 +49,43 @@ def is_nonzero_integer(solution: Column) -> Column:
     return is_integer_text(solution) & solution.rlike("[1-9]")
 
 
+def clean_run(stderr: Column) -> Column:
+    """The run left no error text. Never null."""
+    return F.coalesce(stderr, F.lit("")) == ""
+
+
 def needs_second_look(
-    stdout: Column, stderr: Column, solution: Column, integer_guard: bool
+    printed: Column, stderr: Column, solution: Column, integer_guard: bool
 ) -> Column:
-    """The run was clean, the output is no match, and no guard settles it. Never null."""
-    out = F.coalesce(stdout, F.lit(""))
-    clean = F.coalesce(stderr, F.lit("")) == ""
-    open_case = clean & ~matches(out, solution)
-    return open_case & ~is_integer_text(out) if integer_guard else open_case
+    """The run was clean, the output is no match, and no guard settles it. Never null.
+
+    ``printed`` is the stripped output. With ``integer_guard`` an output that is already
+    an integer gets no second look.
+    """
+    open_case = clean_run(stderr) & ~printed.eqNullSafe(solution)
+    return open_case & ~is_integer_text(printed) if integer_guard else open_case
 
 
 def grade_run(
     stdout: Column,
+    printed: Column,
     stderr: Column,
     solution: Column,
     second_text: Column,
     integer_guard: bool,
 ) -> Grade:
-    """Grade one run; ``second_text`` is the re-extracted answer or null.
-
-    With ``integer_guard`` an output that is already an integer gets no second look.
-    """
-    out = F.coalesce(stdout, F.lit(""))
-    err = F.coalesce(stderr, F.lit(""))
-    second = python_strip(F.coalesce(second_text, out))
-    second_ok = needs_second_look(out, err, solution, integer_guard) & (
+    """Grade one run; ``second_text`` is the re-extracted answer or null."""
+    second = F.coalesce(python_strip(second_text), printed)
+    second_ok = needs_second_look(printed, stderr, solution, integer_guard) & (
         second.eqNullSafe(solution)
     )
     status = (
-        F.when(err != "", classify_error(err))
-        .when(matches(out, solution) | second_ok, NO_ERROR)
+        F.when(~clean_run(stderr), classify_error(stderr))
+        .when(printed.eqNullSafe(solution) | second_ok, NO_ERROR)
         .otherwise(WRONG_OUTPUT)
     )
-    return Grade(status, F.when(second_ok, second).otherwise(out))
+    output = F.when(second_ok, second).otherwise(F.coalesce(stdout, F.lit("")))
+    return Grade(status, output)
 
 
 def direct_answer(answer: Column, solution: Column, zero_is_integer: bool = False) -> Column:
@@ -99,7 +108,7 @@ def grade_answer(
     answer: Column, picked: Column, solution: Column, second_text: Column
 ) -> Grade:
     """Grade an answer given as text, of which ``picked`` is compared; no program ran."""
-    second = python_strip(F.coalesce(second_text, picked))
+    second = F.coalesce(python_strip(second_text), picked)
     second_ok = answer_needs_second_look(picked, solution) & second.eqNullSafe(solution)
     solved = picked.eqNullSafe(solution) | second_ok
     status = F.when(solved, NO_ERROR).otherwise(WRONG_OUTPUT)

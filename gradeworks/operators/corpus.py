@@ -17,12 +17,12 @@ from gradeworks.fixed_values import (
 )
 from gradeworks.functions.documents import (
     answers_in,
-    closed_lines_of,
     first_index,
     join_lines,
     lines_before,
     lines_from,
-    lines_of,
+    lines_from_pieces,
+    pieces_of,
     without_first_blank,
     without_last_blank,
     without_word,
@@ -30,6 +30,13 @@ from gradeworks.functions.documents import (
 from gradeworks.functions.text import rstrip_newlines
 
 
+def _with_lines(documents: DataFrame, text: Column, close_last: bool = False) -> DataFrame:
+    """Adds ``lines``, the lines of the text."""
+    staged = documents.withColumn("pieces", pieces_of(text))
+    lines = lines_from_pieces(F.col("pieces"), close_last)
+    return staged.withColumn("lines", lines).drop("pieces")
+
+
 def _clean_lines(
     documents: DataFrame,
     lines: str,
@@ -74,7 +81,7 @@ def clean_section(
     stop_phrase: str = STOP_PHRASE,
 ) -> DataFrame:
     """Adds ``description``, the cleaned section of ``text`` under one header rule."""
-    staged = documents.withColumn("lines", lines_of(F.col("text")))
+    staged = _with_lines(documents, F.col("text"))
     rule = [F.lit(header), F.lit(keep_header), link_word, stop_phrase]
     return _clean_lines(staged, "lines", "description", *rule).drop("lines")
 
@@ -95,7 +102,7 @@ def clean_parts(
     """Adds ``description``, cleaned by the rule of the row's part; null for other parts."""
     part = F.col("part")
     header = F.when(part == 1, PART1_HEADER).when(part == 2, PART2_HEADER)
-    staged = documents.withColumn("lines", F.when(part.isin(1, 2), lines_of(F.col("text"))))
+    staged = _with_lines(documents, F.when(part.isin(1, 2), F.col("text")))
     cleaned = _clean_lines(
         staged, "lines", "description", header, part == 1, link_word, stop_phrase
     )
@@ -121,7 +128,7 @@ def _with_part_lines(documents: DataFrame, marker: str) -> DataFrame:
     place = first_index(F.col("lines"), lambda line: line.contains(marker))
     behind = without_word(lines_from(F.col("lines"), F.col("place") + 1), marker)
     return (
-        documents.withColumn("lines", closed_lines_of(F.col("text")))
+        _with_lines(documents, F.col("text"), close_last=True)
         .withColumn("place", place)
         .withColumn("lines1", lines_before(F.col("lines"), F.col("place")))
         .withColumn("lines2", F.when(F.col("place") > 0, behind).otherwise(F.array()))
@@ -142,7 +149,8 @@ def split_documents(documents: DataFrame, marker: str = PART2_MARKER) -> DataFra
 
 def with_answer(documents: DataFrame, phrase: str = ANSWER_PHRASE) -> DataFrame:
     """Adds ``answer``: the answers named in the text, one per line."""
-    return documents.withColumn("answer", answers_in(lines_of(F.col("text")), phrase))
+    staged = _with_lines(documents, F.col("text"))
+    return staged.withColumn("answer", answers_in(F.col("lines"), phrase)).drop("lines")
 
 
 def build_challenges(raw: DataFrame, marker: str = PART2_MARKER) -> DataFrame:

@@ -19,6 +19,7 @@ from gradeworks.functions.grading import (
     grade_answer,
     grade_run,
     needs_second_look,
+    printed_text,
 )
 from gradeworks.functions.text import extract_code, python_strip
 from gradeworks.operators.hotkeys import join_group_values
@@ -67,14 +68,29 @@ def _with_second_text(rows: DataFrame, needed: Column, reextractions: DataFrame,
     return settled.unionByName(rows.where(needed).join(texts, keys, "left"))
 
 
+def with_printed(executions: DataFrame) -> DataFrame:
+    """Adds ``printed``, the stripped output, which every later test reads."""
+    return executions.withColumn("printed", printed_text(F.col("stdout")))
+
+
+def with_grade(runs: DataFrame, integer_guard: bool) -> DataFrame:
+    """Adds status and output to runs that carry ``printed`` and ``second_text``."""
+    names = ["stdout", "printed", "stderr", "solution", "second_text"]
+    grade = grade_run(*[F.col(n) for n in names], integer_guard)
+    graded = runs.withColumns({"status": grade.status, "output": grade.output})
+    return graded.drop("printed", "second_text")
+
+
+def open_cases(integer_guard: bool) -> Column:
+    """Runs with ``printed`` whose verdict waits for the re-extracted answer."""
+    names = ["printed", "stderr", "solution"]
+    return needs_second_look(*[F.col(n) for n in names], integer_guard)
+
+
 def _grade_runs(executions, reextractions, keys, integer_guard) -> DataFrame:
-    run = [F.col("stdout"), F.col("stderr"), F.col("solution")]
-    needed = needs_second_look(*run, integer_guard)
-    looked = _with_second_text(executions, needed, reextractions, keys)
-    grade = grade_run(*run, F.col("second_text"), integer_guard)
-    return looked.withColumns({"status": grade.status, "output": grade.output}).drop(
-        "second_text"
-    )
+    runs = with_printed(executions)
+    looked = _with_second_text(runs, open_cases(integer_guard), reextractions, keys)
+    return with_grade(looked, integer_guard)
 
 
 def grade_two_part(executions: DataFrame, reextractions: DataFrame, keys: list[str]) -> DataFrame:

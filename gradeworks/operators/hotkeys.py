@@ -10,24 +10,29 @@ SPLITS = 64
 def join_group_values(
     rows: DataFrame, groups: DataFrame, keys: list[str], row_id: Column, size: str = "group_rows"
 ) -> DataFrame:
-    """Inner join of ``rows`` to ``groups`` (one row per key) that splits hot groups.
+    """Inner join of ``rows`` to ``groups`` (one row per key) that splits the largest groups.
 
-    A group is hot if it holds more than 1/HOT_GROUPS of all rows, so there are fewer than
-    HOT_GROUPS of them and their keys may be broadcast whatever the table's size. Rows of
-    a hot group spread over SPLITS partitions by a hash of ``row_id``, and the group's one
-    row is repeated for each. ``groups`` carries the row count of each group in ``size``.
+    ``groups`` carries the row count of each group in ``size``. The HOT_GROUPS largest
+    groups, a fixed number whatever the table's size, are broadcast as keys. Their rows
+    spread over SPLITS partitions by a hash of ``row_id`` and their one group row is
+    repeated for each; any other group holds less than 1/HOT_GROUPS of the rows.
     """
-    total = groups.agg(F.sum(size)).scalar()
-    is_hot = F.col(size) * HOT_GROUPS > total
-    hot = groups.where(is_hot).select(*keys, F.lit(True).alias("hot_group"))
+    # Both uses of the groups read all their columns, so that the aggregate runs once.
+    values = [c for c in groups.columns if c not in keys and c != size]
+    worth_splitting = F.col(size) > SPLITS
+    largest = groups.where(worth_splitting).orderBy(F.desc(size), *values).limit(HOT_GROUPS)
+    hot = F.broadcast(largest.select(*keys, F.lit(True).alias("hot_group")))
     spread = F.when(F.col("hot_group"), F.pmod(F.xxhash64(row_id), F.lit(SPLITS)).cast("int"))
     salted_rows = (
-        rows.join(F.broadcast(hot), keys, "left")
+        rows.join(hot, keys, "left")
         .withColumn("salt", F.coalesce(spread, F.lit(0)))
         .drop("hot_group")
     )
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SPLITS - 1))).otherwise(
-        F.array(F.lit(0))
+    every_salt = F.sequence(F.lit(0), F.lit(SPLITS - 1))
+    salts = F.when(F.col("hot_group") & worth_splitting, every_salt)
+    salted_groups = (
+        groups.join(hot, keys, "left")
+        .withColumn("salt", F.explode(F.coalesce(salts, F.array(F.lit(0)))))
+        .drop("hot_group", size)
     )
-    salted_groups = groups.withColumn("salt", F.explode(salts)).drop(size)
     return salted_rows.join(salted_groups, [*keys, "salt"]).drop("salt")

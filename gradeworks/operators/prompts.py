@@ -90,12 +90,11 @@ def conversation_text(
 
     A row holds the turns of one segment, so no group outgrows a task however long a
     conversation is; up to ``segment_turns`` turns a conversation is a single row. A turn
-    is one message: exact copies of it are one.
+    is one message: exact copies of it are one, already before the shuffle.
     """
     segment = F.floor(F.col("turn") / segment_turns).alias("segment")
-    distinct = messages.select(key, "turn", "role", "text").distinct()
-    grouped = distinct.groupBy(key, segment).agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
+    grouped = messages.groupBy(key, segment).agg(
+        F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns")
     )
     lines = F.transform("turns", lambda m: F.concat(m["role"], F.lit(": "), m["text"]))
     return grouped.select(

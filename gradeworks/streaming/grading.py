@@ -1,19 +1,14 @@
 """Incremental grading: each new attempt file is graded once, a restart continues."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gradeworks.functions.grading import grade_run
+from gradeworks.operators.grading import with_grade, with_printed
 
 
 def graded(runs: DataFrame, integer_guard: bool = False) -> DataFrame:
     """Adds status and output to runs (batch or stream) that carry ``second_text``."""
-    columns = [F.col(c) for c in ("stdout", "stderr", "solution", "second_text")]
-    grade = grade_run(*columns, integer_guard)
-    return runs.withColumns({"status": grade.status, "output": grade.output}).drop(
-        "second_text"
-    )
+    return with_grade(with_printed(runs), integer_guard)
 
 
 def start_grading(
