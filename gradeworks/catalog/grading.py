@@ -27,11 +27,11 @@ _ERROR_CLASS = """CASE WHEN contains(stderr, 'SyntaxError:') THEN 'syntax_error'
     WHEN contains(stderr, 'TIMEOUT') THEN 'timeout_error' ELSE 'runtime_error' END"""
 
 
-def runs_sql(integer_guard: bool) -> str:
+def runs_sql(integer_guard: bool, runs: str = V.RUNS.sql) -> str:
     """Grades of the runs, joined to the re-extracted answers."""
     look = f"({_OUT} <> solution"
     look += f" AND NOT regexp_matches({_OUT}, '^[+-]?[0-9]+(_[0-9]+)*$'))" if integer_guard else ")"
-    return f"""WITH r AS ({V.RUNS.sql}), t AS ({V.REEXTRACTIONS.sql}),
+    return f"""WITH r AS ({runs}), t AS ({V.REEXTRACTIONS.sql}),
     j AS (SELECT r.*, coalesce(t.text, {_OUT}) AS second FROM r
           LEFT JOIN t ON r.row_no = t.row_no),
     g AS (SELECT *, stderr = '' AND {look} AND {STRIP.format("second")} = solution AS ok2 FROM j)

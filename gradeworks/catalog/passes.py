@@ -4,21 +4,27 @@ from pyspark.sql import functions as F
 
 from gradeworks.catalog import views as V
 from gradeworks.catalog.base import Query
+from gradeworks.catalog.grading import runs_sql
 from gradeworks.operators.dedup import dedup_rows
 from gradeworks.operators.passes import best_of_k, early_stop, first_pass, first_pass_gated
 from gradeworks.operators.passes import part_gating as gate_parts
 from gradeworks.operators.tasks import ordered_tasks
-from gradeworks.plans.evaluation import best_of_k_accuracy
-from gradeworks.schemas import PART_KEYS
+from gradeworks.plans.evaluation import (
+    best_of_k_accuracy,
+    graded_attempts,
+    problem_results,
+    two_part_results,
+)
+from gradeworks.schemas import PART_KEYS, PROBLEM_KEYS
 
 K = 3
 TASK = "model, year, day, part"
 
 
-def passes_sql(k: int = K) -> str:
+def passes_sql(k: int = K, attempts: str = V.ATTEMPTS.sql) -> str:
     """Common tables: attempts ``a``, one row per pass ``p``, best of k ``b``."""
     return f"""
-    WITH a AS ({V.ATTEMPTS.sql}),
+    WITH a AS ({attempts}),
     p AS (SELECT {TASK}, kpass, arg_min(status, row_no) AS status, min(row_no) AS row_no
           FROM a WHERE kpass < {k} GROUP BY {TASK}, kpass),
     o AS (SELECT *, row_number() OVER (PARTITION BY {TASK} ORDER BY
@@ -26,9 +32,9 @@ def passes_sql(k: int = K) -> str:
     b AS (SELECT {TASK}, kpass, status, row_no FROM o WHERE rn = 1)"""
 
 
-def gated_sql(k: int = K) -> str:
+def gated_sql(k: int = K, attempts: str = V.ATTEMPTS.sql) -> str:
     """``passes_sql`` and the gated results ``g``."""
-    return passes_sql(k) + """,
+    return passes_sql(k, attempts) + """,
     g AS (SELECT * FROM b WHERE part = 1
       UNION ALL
       SELECT x.model, x.year, x.day, 2 AS part,
@@ -46,7 +52,7 @@ _SHOWN = (
 )
 
 
-def _shown(results):
+def _shown(results, *further):
     """Results with -1 for the absent pass and row number of a blocked part."""
     return results.select(
         "model",
@@ -56,6 +62,7 @@ def _shown(results):
         "status",
         F.coalesce("kpass", F.lit(-1)).alias("kpass"),
         F.coalesce("row_no", F.lit(-1)).cast("long").alias("row_no"),
+        *further,
     )
 
 
@@ -75,7 +82,67 @@ def _attempts(spark, folder):
     return V.ATTEMPTS.frame(spark, folder)
 
 
+def _first_passes_sql(gate: str) -> str:
+    """First passes ``f``; part 2 only for the days that ``gate`` lets through."""
+    return f""",
+    ok AS (SELECT DISTINCT model, year, day FROM {gate}),
+    f AS (SELECT * FROM p WHERE kpass = 0 AND (part = 1 OR (day <> 25
+          AND (model, year, day) IN (SELECT (model, year, day) FROM ok))))"""
+
+
+GATE_K = "b WHERE part = 1 AND status = 'no_error'"
+GATE_1 = "p WHERE part = 1 AND status = 'no_error' AND kpass = 0"
+
+PROBLEM_PASSES = f"""
+    WITH a AS ({V.CALLS.sql}),
+    p AS (SELECT model, id, kpass, arg_min(CASE WHEN provider_error IS NULL THEN status
+            ELSE 'failed' END, row_no) AS status, min(row_no) AS row_no
+          FROM a WHERE kpass < {K} GROUP BY model, id, kpass),
+    e AS (SELECT *, coalesce(min(kpass) FILTER (status IN ('failed', 'no_error'))
+            OVER (PARTITION BY model, id), max(kpass) OVER (PARTITION BY model, id)) AS chosen
+          FROM p)"""
+
+
+def _evaluated(s, d):
+    executions = V.TASK_RUNS.frame(s, d)
+    attempts = graded_attempts(executions, V.REEXTRACTIONS.frame(s, d))
+    return _shown(two_part_results(attempts, K), "subset", "k")
+
+
+def _evaluated_sql() -> str:
+    late = "(duration_s > 60)"
+    runs = f"""SELECT * EXCLUDE (stdout, stderr), CASE WHEN {late} THEN '' ELSE stdout END
+        AS stdout, CASE WHEN {late} THEN 'TIMEOUT' ELSE stderr END AS stderr
+        FROM ({V.TASK_RUNS.sql})"""
+    graded = f"""SELECT t.row_no, t.model, t.year, t.day, t.part, t.kpass, g.status
+        FROM ({V.TASK_RUNS.sql}) t JOIN ({runs_sql(False, runs)}) g ON t.row_no = g.row_no"""
+    lists = gated_sql(K, graded) + _first_passes_sql(GATE_K)
+    return lists + f""" SELECT {_SHOWN}, 'aoc' AS subset, {K} AS k FROM g
+        UNION ALL SELECT {_SHOWN}, 'aoc' AS subset, 1 AS k FROM f"""
+
+
 QUERIES = [
+    Query("evaluate_run", _evaluated, _evaluated_sql()),
+    Query(
+        "best_of_k_m",
+        lambda s, d: best_of_k(V.CALLS.frame(s, d), K, PROBLEM_KEYS),
+        PROBLEM_PASSES + """ SELECT model, id, kpass, status, row_no FROM e
+        WHERE kpass = chosen AND status <> 'failed'""",
+    ),
+    Query(
+        "evaluate_run_m",
+        lambda s, d: problem_results(V.CALLS.frame(s, d), K),
+        PROBLEM_PASSES + f""" SELECT model, id, kpass, status, row_no, {K} AS k,
+            'euler' AS subset FROM e WHERE kpass = chosen AND status <> 'failed'
+        UNION ALL SELECT model, id, kpass, status, row_no, 1 AS k, 'euler' AS subset FROM p
+            WHERE kpass = 0 AND status <> 'failed'""",
+    ),
+    Query(
+        "first_pass_m",
+        lambda s, d: first_pass(V.CALLS.frame(s, d), PROBLEM_KEYS),
+        PROBLEM_PASSES + """ SELECT model, id, kpass, status, row_no FROM p
+        WHERE kpass = 0 AND status <> 'failed'""",
+    ),
     Query(
         "first_pass",
         lambda s, d: _shown(first_pass(_attempts(s, d))),
@@ -124,18 +191,12 @@ QUERIES = [
     Query(
         "first_pass_gated",
         lambda s, d: _shown(first_pass_gated(_attempts(s, d), K)),
-        passes_sql() + f""", ok AS (SELECT model, year, day FROM b
-            WHERE part = 1 AND status = 'no_error')
-        SELECT {_SHOWN} FROM p WHERE kpass = 0 AND (part = 1 OR (day <> 25
-            AND (model, year, day) IN (SELECT (model, year, day) FROM ok)))""",
+        passes_sql() + _first_passes_sql(GATE_K) + f" SELECT {_SHOWN} FROM f",
     ),
     Query(
         "first_pass_gated_by_first",
         lambda s, d: _shown(first_pass_gated(_attempts(s, d), K, gate="1")),
-        passes_sql() + f""", ok AS (SELECT model, year, day FROM p
-            WHERE part = 1 AND status = 'no_error' AND kpass = 0)
-        SELECT {_SHOWN} FROM p WHERE kpass = 0 AND (part = 1 OR (day <> 25
-            AND (model, year, day) IN (SELECT (model, year, day) FROM ok)))""",
+        passes_sql() + _first_passes_sql(GATE_1) + f" SELECT {_SHOWN} FROM f",
     ),
     Query(
         "best_of_k_accuracy",

@@ -100,6 +100,15 @@ RUNS = View(
     },
 )
 
+# Program runs under the keys of the attempts.
+TASK_RUNS = View(
+    "events",
+    {
+        **{n: ATTEMPTS.columns[n] for n in ("model", "year", "day", "part", "kpass")},
+        **RUNS.columns,
+    },
+)
+
 # The same runs with the re-extracted answer in the row, as a stream delivers them.
 RUNS_WITH_TEXT = View(
     "events",
@@ -123,6 +132,7 @@ CALLS = View(
         "kpass": "cast(floor(event_id / 500) % 4 AS int)",
         "response": "concat('print(', cast(user_id AS string), ')')",
         "provider_error": "CASE WHEN value > 120 THEN concat('limit ', props) END",
+        "status": _STATUS,
     },
 )
 

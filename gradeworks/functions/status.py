@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from gradeworks.fixed_values import NO_ERROR, STATUSES
 
 OK_CODE = STATUSES.index(NO_ERROR) + 1
+# A pass whose model call failed has no status; the run of its task ends there.
+FAILED_CALL_CODE = -1
 
 
 def status_code(status: Column) -> Column:

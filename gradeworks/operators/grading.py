@@ -58,6 +58,17 @@ def mark_timeouts(executions: DataFrame, limit: float = TIME_LIMIT_SECONDS) -> D
     )
 
 
+def ignore_warnings(executions: DataFrame) -> DataFrame:
+    """Runs that ended with exit code 0 lose their error text, so warnings do not count.
+
+    An option: by default any error text is a failure.
+    """
+    ended_well = F.coalesce(F.col("exit_code") == 0, F.lit(False))
+    return executions.withColumn(
+        "stderr", F.when(ended_well, "").otherwise(F.col("stderr"))
+    )
+
+
 def _with_second_text(rows: DataFrame, needed: Column, reextractions: DataFrame, keys):
     """Adds ``second_text``; only rows with an open verdict take part in the join.
 

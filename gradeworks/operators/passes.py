@@ -2,7 +2,7 @@
 
 Attempts have columns model, year, day, part (or other task keys), ``kpass`` from 0,
 ``status`` and ``row_no``, a unique row order. Of several rows for one pass the first one
-counts. Every selection is one hash aggregation over integers: no sort, no window, and a
+counts. A ``provider_error``, if the column is there, ends the passes of its task. Every selection is one hash aggregation over integers: no sort, no window, and a
 task that holds a third of the table is combined on the map side before the shuffle.
 """
 
@@ -10,7 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeworks.fixed_values import LAST_DAY, NO_ERROR, PART1_FAILED
-from gradeworks.functions.status import OK_CODE, status_code, status_name
+from gradeworks.functions.status import (
+    FAILED_CALL_CODE,
+    OK_CODE,
+    status_code,
+    status_name,
+)
 from gradeworks.operators.hotkeys import join_group_values
 from gradeworks.schemas import TASK_KEYS
 
@@ -19,7 +24,15 @@ SPINE_KEYS = ["model", "year", "day"]
 
 
 def _coded(attempts: DataFrame, keys: list[str]) -> DataFrame:
-    return attempts.select(*keys, "kpass", status_code(F.col("status")).alias("code"), "row_no")
+    code = status_code(F.col("status"))
+    if "provider_error" in attempts.columns:
+        code = F.when(F.col("provider_error").isNotNull(), FAILED_CALL_CODE).otherwise(code)
+    return attempts.select(*keys, "kpass", code.alias("code"), "row_no")
+
+
+def _ends_run(code: Column) -> Column:
+    """No pass follows this one: it succeeded, or its model call failed."""
+    return code.isin(OK_CODE, FAILED_CALL_CODE)
 
 
 def _slot_columns(k: int, prefix: str = "", extra: Column | None = None) -> list[Column]:
@@ -36,11 +49,11 @@ def _slot_columns(k: int, prefix: str = "", extra: Column | None = None) -> list
 
 
 def _best_pass(k: int, prefix: str = "") -> Column:
-    """First successful pass, otherwise the last one made; null without attempts."""
+    """First pass that ends the run, otherwise the last one made; null without attempts."""
     codes = [F.col(f"{prefix}code{j}") for j in range(k)]
-    first_ok = [F.when(code == OK_CODE, j) for j, code in enumerate(codes)]
+    ended = [F.when(_ends_run(code), j) for j, code in enumerate(codes)]
     last = [F.when(codes[j].isNotNull(), j) for j in reversed(range(k))]
-    return F.coalesce(*first_ok, *last)
+    return F.coalesce(*ended, *last)
 
 
 def _pick(k: int, name: str, passno: Column, prefix: str = "") -> Column:
@@ -50,19 +63,28 @@ def _pick(k: int, name: str, passno: Column, prefix: str = "") -> Column:
 def best_of_k(attempts: DataFrame, k: int, keys: list[str] = TASK_KEYS) -> DataFrame:
     """Per task the first success among passes below k, otherwise the last pass.
 
-    Returns the keys, ``kpass``, ``status`` and the ``row_no`` of the chosen attempt; long
-    texts are joined by row number where an export needs them (``attach_texts``).
+    A task whose model call failed before any success has no row. Returns the keys,
+    ``kpass``, ``status`` and the ``row_no`` of the chosen attempt; long texts are joined
+    by row number where an export needs them (``attach_texts``).
     """
     coded = _coded(attempts.where(F.col("kpass") < k), keys)
     if k > MAX_SLOTS:
-        return _best_of_many(coded, keys)
-    slots = coded.groupBy(*keys).agg(*_slot_columns(k)).withColumn("best", _best_pass(k))
-    return slots.select(
-        *keys,
-        F.col("best").alias("kpass"),
-        status_name(_pick(k, "code", F.col("best"))).alias("status"),
-        _pick(k, "row", F.col("best")).alias("row_no"),
-    )
+        chosen = _best_of_many(coded, keys)
+    else:
+        slots = coded.groupBy(*keys).agg(*_slot_columns(k))
+        chosen = slots.withColumn("best", _best_pass(k)).select(
+            *keys,
+            F.col("best").alias("kpass"),
+            _pick(k, "code", F.col("best")).alias("code"),
+            _pick(k, "row", F.col("best")).alias("row_no"),
+        )
+    return _named(chosen, keys)
+
+
+def _named(chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """Chosen passes with the status in place of its code, less those of failed calls."""
+    graded = chosen.where(F.col("code") != FAILED_CALL_CODE)
+    return graded.select(*keys, "kpass", status_name(F.col("code")).alias("status"), "row_no")
 
 
 def _best_of_many(coded: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,20 +92,21 @@ def _best_of_many(coded: DataFrame, keys: list[str]) -> DataFrame:
     passes = coded.groupBy(*keys, "kpass").agg(
         F.min_by("code", "row_no").alias("code"), F.min("row_no").alias("row_no")
     )
-    ok_pass = F.when(F.col("code") == OK_CODE, F.col("kpass"))
+    end = F.when(_ends_run(F.col("code")), F.col("kpass"))
     tasks = passes.groupBy(*keys).agg(
-        F.min(ok_pass).alias("ok_pass"),
-        F.min_by("row_no", ok_pass).alias("ok_row"),
+        F.min(end).alias("end_pass"),
+        F.min_by("code", end).alias("end_code"),
+        F.min_by("row_no", end).alias("end_row"),
         F.max("kpass").alias("last_pass"),
         F.max_by("code", "kpass").alias("last_code"),
         F.max_by("row_no", "kpass").alias("last_row"),
     )
-    solved = F.col("ok_pass").isNotNull()
+    ended = F.col("end_pass").isNotNull()
     return tasks.select(
         *keys,
-        F.coalesce("ok_pass", "last_pass").alias("kpass"),
-        status_name(F.when(solved, OK_CODE).otherwise(F.col("last_code"))).alias("status"),
-        F.when(solved, F.col("ok_row")).otherwise(F.col("last_row")).alias("row_no"),
+        F.coalesce("end_pass", "last_pass").alias("kpass"),
+        F.when(ended, F.col("end_code")).otherwise(F.col("last_code")).alias("code"),
+        F.when(ended, F.col("end_row")).otherwise(F.col("last_row")).alias("row_no"),
     )
 
 
@@ -105,7 +128,7 @@ def first_pass(
         F.min_by("code", "kpass").alias("code"),
         F.min_by("row_no", "kpass").alias("row_no"),
     )
-    return tasks.select(*keys, "kpass", status_name(F.col("code")).alias("status"), "row_no")
+    return _named(tasks, keys)
 
 
 def early_stop(attempts: DataFrame, keys: list[str] = TASK_KEYS) -> DataFrame:
@@ -132,8 +155,10 @@ def pass_slots(attempts: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _result_row(part: int, passno: Column, code: Column, row_no: Column) -> Column:
+def _result_row(k: int, passno: Column, code: Column, row_no: Column, part: int = 0) -> Column:
+    """One row of the list for k."""
     return F.struct(
+        F.lit(k).alias("k"),
         F.lit(part).alias("part"),
         passno.cast("int").alias("kpass"),
         code.cast("int").alias("code"),
@@ -141,37 +166,51 @@ def _result_row(part: int, passno: Column, code: Column, row_no: Column) -> Colu
     )
 
 
-def _as_results(days: DataFrame, part1: Column, part2: Column) -> DataFrame:
-    rows = days.select(*SPINE_KEYS, F.explode(F.filter(F.array(part1, part2), _is_row)))
-    return rows.select(
-        *SPINE_KEYS,
-        "col.part",
-        "col.kpass",
-        status_name(F.col("col.code")).alias("status"),
-        "col.row_no",
+def _as_rows(groups: DataFrame, keys: list[str], *rows: Column) -> DataFrame:
+    """The rows that exist, one below the other, with their status."""
+    exists = lambda row: row.isNotNull() & row["code"].isNotNull()
+    made = groups.select(*keys, F.explode(F.filter(F.array(*rows), exists)).alias("row"))
+    status = status_name(F.col("row.code")).alias("status")
+    return made.select(*keys, "row.part", "row.kpass", status, "row.row_no", "row.k")
+
+
+def _with_best(days: DataFrame, k: int) -> DataFrame:
+    return days.withColumns({"best1": _best_pass(k, "p1_"), "best2": _best_pass(k, "p2_")})
+
+
+def _gated_rows(k: int) -> list[Column]:
+    """Best-of-k rows of a day with ``best1`` and ``best2``, part 2 gated by part 1."""
+    picked = {
+        part: [
+            _pick(k, name, F.col(f"best{part}"), f"p{part}_") for name in ("code", "row")
+        ]
+        for part in (1, 2)
+    }
+    part1 = _result_row(k, F.col("best1"), *picked[1], part=1)
+    made2 = _result_row(k, F.col("best2"), *picked[2], part=2)
+    nothing = F.lit(None)
+    blocked = _result_row(k, nothing, status_code(F.lit(PART1_FAILED)), nothing, part=2)
+    code1 = picked[1][0]
+    part2 = F.when(code1 != OK_CODE, blocked).when(
+        code1.isNotNull() & (F.col("day") != LAST_DAY), made2
     )
+    return [part1, part2]
 
 
-def _is_row(row: Column) -> Column:
-    return row.isNotNull() & row["code"].isNotNull()
+def _first_rows(k: int, gate: str) -> list[Column]:
+    """First-pass rows of a day; part 2 has one if the gate is open."""
+    if gate not in ("k", "1"):
+        raise ValueError(f"unknown gate {gate}")
+    solved = [F.col(f"p1_code{j}") == OK_CODE for j in range(k if gate == "k" else 1)]
+    is_open = F.coalesce(*[F.when(s, F.lit(True)) for s in solved], F.lit(False))
+    part1 = _result_row(1, F.lit(0), F.col("p1_code0"), F.col("p1_row0"), part=1)
+    part2 = _result_row(1, F.lit(0), F.col("p2_code0"), F.col("p2_row0"), part=2)
+    return [part1, F.when(is_open & (F.col("day") != LAST_DAY), part2)]
 
 
 def gated_from_slots(slots: DataFrame, k: int) -> DataFrame:
     """Best-of-k results with part gating from pass slots of both parts."""
-    nothing = F.lit(None)
-    days = slots.withColumns({"best1": _best_pass(k, "p1_"), "best2": _best_pass(k, "p2_")})
-    days = days.where("best1 IS NOT NULL")
-    code1 = _pick(k, "code", F.col("best1"), "p1_")
-    part1 = _result_row(1, F.col("best1"), code1, _pick(k, "row", F.col("best1"), "p1_"))
-    made2 = _result_row(
-        2,
-        F.col("best2"),
-        _pick(k, "code", F.col("best2"), "p2_"),
-        _pick(k, "row", F.col("best2"), "p2_"),
-    )
-    blocked = _result_row(2, nothing, status_code(F.lit(PART1_FAILED)), nothing)
-    part2 = F.when(code1 != OK_CODE, blocked).when(F.col("day") != LAST_DAY, made2)
-    return _as_results(days, part1, part2)
+    return _as_rows(_with_best(slots, k), SPINE_KEYS, *_gated_rows(k)).drop("k")
 
 
 def part_gating(attempts: DataFrame, k: int) -> DataFrame:
@@ -188,14 +227,30 @@ def first_pass_gated(attempts: DataFrame, k: int, gate: str = "k") -> DataFrame:
 
     With ``gate='1'`` part 1 must have been solved by its own first pass.
     """
-    if gate not in ("k", "1"):
-        raise ValueError(f"unknown gate {gate}")
-    days = pass_slots(attempts, k)
-    solved = [F.col(f"p1_code{j}") == OK_CODE for j in range(k if gate == "k" else 1)]
-    open_gate = F.coalesce(*[F.when(s, F.lit(True)) for s in solved], F.lit(False))
-    part1 = _result_row(1, F.lit(0), F.col("p1_code0"), F.col("p1_row0"))
-    part2 = _result_row(2, F.lit(0), F.col("p2_code0"), F.col("p2_row0"))
-    return _as_results(days, part1, F.when(open_gate & (F.col("day") != LAST_DAY), part2))
+    return _as_rows(pass_slots(attempts, k), SPINE_KEYS, *_first_rows(k, gate)).drop("k")
+
+
+def both_lists(attempts: DataFrame, k: int, gate: str = "k") -> DataFrame:
+    """The best-of-k list and the first-pass list of a run, told apart by column ``k``.
+
+    The attempts, however costly to grade, are read once for both. With k = 1 there is
+    one list.
+    """
+    days = _with_best(pass_slots(attempts, k), k)
+    rows = _gated_rows(k) + (_first_rows(k, gate) if k > 1 else [])
+    return _as_rows(days, SPINE_KEYS, *rows)
+
+
+def both_flat_lists(attempts: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """The same for tasks without parts."""
+    coded = _coded(attempts.where(F.col("kpass") < k), keys)
+    slots = coded.groupBy(*keys).agg(*_slot_columns(k)).withColumn("best", _best_pass(k))
+    best = [_pick(k, name, F.col("best")) for name in ("code", "row")]
+    rows = [_result_row(k, F.col("best"), *best)]
+    if k > 1:
+        rows.append(_result_row(1, F.lit(0), F.col("code0"), F.col("row0")))
+    made = [F.when(row["code"] != FAILED_CALL_CODE, row) for row in rows]
+    return _as_rows(slots, keys, *made).drop("part")
 
 
 def combine_results(*tables: DataFrame) -> DataFrame:

@@ -223,8 +223,9 @@ def ranked(rows: DataFrame, score: str) -> DataFrame:
 
     Scores are first reduced to distinct values and placed in SCORE_BANDS bands. Only the
     band totals, whose number is fixed, are summed in one place; within a band the distinct
-    scores are ordered in parallel. Rows of a frequent score are spread for the join back.
-    Rows without a score have a null rank.
+    scores are ordered in parallel. How many distinct scores there are depends on the number
+    of tasks in the benchmark, not of rows. Rows of a frequent score are spread for the join
+    back. Rows without a score have a null rank.
     """
     scores = rows.where(F.col(score).isNotNull()).groupBy(score).agg(
         F.count("*").alias("group_rows")

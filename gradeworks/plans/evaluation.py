@@ -3,27 +3,42 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeworks.fixed_values import MATH, TWO_PART
 from gradeworks.functions.status import status_code
-from gradeworks.operators.grading import grade_two_part, mark_timeouts
+from gradeworks.operators.grading import grade_math, grade_two_part, mark_timeouts
 from gradeworks.operators.passes import (
     attach_texts,
-    first_pass_gated,
+    both_flat_lists,
+    both_lists,
     gated_from_slots,
-    part_gating,
     pass_slots,
 )
 from gradeworks.operators.reports import accuracy_from_codes
 from gradeworks.operators.tasks import drop_final_part2
+from gradeworks.schemas import PROBLEM_KEYS
 
 
 def graded_attempts(executions: DataFrame, reextractions: DataFrame) -> DataFrame:
-    """Every attempt with status and output; runs are matched by their row number."""
+    """Two-part attempts with status and output; runs are matched by their row number."""
     return grade_two_part(mark_timeouts(executions), reextractions, ["row_no"])
 
 
-def result_lists(attempts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """The best-of-k list and the first-pass list of a run, without the long texts."""
-    return part_gating(attempts, k), first_pass_gated(attempts, k)
+def graded_problems(executions: DataFrame, reextractions: DataFrame) -> DataFrame:
+    """The same for math attempts, whose integer outputs get no second look."""
+    return grade_math(mark_timeouts(executions), reextractions, ["row_no"])
+
+
+def two_part_results(attempts: DataFrame, k: int) -> DataFrame:
+    """Best-of-k list and first-pass list of a run, as ``write_results`` takes them.
+
+    Column ``k`` tells the lists apart; long texts are added by ``with_texts``.
+    """
+    return both_lists(attempts, k).withColumn("subset", F.lit(TWO_PART))
+
+
+def problem_results(attempts: DataFrame, k: int) -> DataFrame:
+    """The same for the math subset, whose attempts may carry ``provider_error``."""
+    return both_flat_lists(attempts, k, PROBLEM_KEYS).withColumn("subset", F.lit(MATH))
 
 
 def with_texts(results: DataFrame, attempts: DataFrame, challenges_by_part: DataFrame):

@@ -83,3 +83,4 @@ RESULT_MATH = T.StructType(
 DOC_KEYS = ["year", "day"]
 PART_KEYS = ["year", "day", "part"]
 TASK_KEYS = ["model", "year", "day", "part"]
+PROBLEM_KEYS = ["model", "id"]

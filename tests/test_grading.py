@@ -119,6 +119,13 @@ def test_timeouts(frame):
     assert found == {1: ("o", "e"), 2: ("", "TIMEOUT"), 3: ("o", "")}
 
 
+def test_warnings_can_be_ignored(frame):
+    rows = frame([(1, "warn", 0), (2, "bad", 1), (3, "bad", None)],
+                 "row_no int, stderr string, exit_code int")
+    found = {r.row_no: r.stderr for r in G.ignore_warnings(rows).collect()}
+    assert found == {1: "", 2: "bad", 3: "bad"}
+
+
 def test_provider_failures(frame):
     schema = "row_no int, model string, id int, kpass int, response string, provider_error string"
     rows = frame(

@@ -7,7 +7,12 @@ import pytest
 from gradeworks.operators import hotkeys
 from gradeworks.operators import passes as P
 from gradeworks.operators.dedup import dedup_codes, dedup_rows
-from gradeworks.plans.evaluation import best_of_k_accuracy, result_lists, with_texts
+from gradeworks.plans.evaluation import (
+    best_of_k_accuracy,
+    problem_results,
+    two_part_results,
+    with_texts,
+)
 
 SCHEMA = "row_no long, model string, year int, day int, part int, kpass int, status string"
 KINDS = ["no_error", "wrong_output", "runtime_error", "syntax_error", "timeout_error"]
@@ -154,7 +159,8 @@ def test_exported_rows_of_blocked_parts(frame):
     )
     challenges = frame([(2015, 1, 1, "01"), (2015, 1, 2, "02")],
                        "year int, day int, part int, solution string")
-    best, first = result_lists(attempts, 3)
+    results = two_part_results(attempts, 3)
+    best, first = results.where("k = 3"), results.where("k = 1")
     rows = {r.part: r for r in with_texts(best, attempts, challenges).collect()}
     assert rows[1].output == " out " and rows[1].kpass == 0
     assert (rows[2].status, rows[2].output, rows[2].expected_output, rows[2].code) == (
@@ -163,6 +169,43 @@ def test_exported_rows_of_blocked_parts(frame):
     assert [r.part for r in first.collect()] == [1]
 
 
+PROBLEMS = "row_no long, model string, id int, kpass int, status string, provider_error string"
+
+
+def test_a_failed_call_ends_the_passes_of_a_problem(frame, monkeypatch):
+    rows = frame(
+        [
+            (1, "m", 1, 0, "wrong_output", None),
+            (2, "m", 1, 1, None, "down"),
+            (3, "m", 1, 2, "no_error", None),
+            (4, "m", 2, 0, "no_error", None),
+            (5, "m", 2, 1, None, "down"),
+            (6, "m", 3, 0, None, "down"),
+            (7, "m", 4, 0, "wrong_output", None),
+            (8, "m", 4, 1, "runtime_error", None),
+        ],
+        PROBLEMS,
+    )
+    columns = ("id", "kpass", "status", "row_no")
+    best = {(2, 0, "no_error", 4), (4, 1, "runtime_error", 8)}
+    first = {(1, 0, "wrong_output", 1), (2, 0, "no_error", 4), (4, 0, "wrong_output", 7)}
+    results = problem_results(rows, 3)
+    assert as_set(results.where("k = 3"), columns) == best
+    assert as_set(results.where("k = 1"), columns) == first
+    assert as_set(P.first_pass(rows, ["model", "id"]), columns) == first
+    assert as_set(P.best_of_k(rows, 3, ["model", "id"]), columns) == best
+    monkeypatch.setattr(P, "MAX_SLOTS", 2)
+    assert as_set(P.best_of_k(rows, 3, ["model", "id"]), columns) == best
+
+
+def test_a_run_has_both_lists_with_their_k(frame):
+    rows = frame(random_attempts(13), SCHEMA)
+    found = two_part_results(rows, 3)
+    assert as_set(found.where("k = 3")) == as_set(P.part_gating(rows, 3))
+    assert as_set(found.where("k = 1")) == as_set(P.first_pass_gated(rows, 3))
+    assert as_set(two_part_results(rows, 1)) == as_set(P.part_gating(rows, 1))
+
+
 def test_combined_lists_fill_missing_columns(frame):
     both = P.combine_results(frame([(1, 0)], "part int, kpass int"), frame([(2,)], "part int"))
     assert sorted((r.part, r.kpass) for r in both.collect() if r.part == 2) == [(2, None)]
