@@ -7,6 +7,15 @@ HOT_GROUPS = 1000
 SPLITS = 64
 
 
+def _same(keys: list[str], suffix: str) -> list[Column]:
+    """Equality on the keys that also matches null with null, so that no row is lost."""
+    return [F.col(k).eqNullSafe(F.col(k + suffix)) for k in keys]
+
+
+def _renamed(table: DataFrame, keys: list[str], suffix: str) -> DataFrame:
+    return table.withColumnsRenamed({k: k + suffix for k in keys})
+
+
 def join_group_values(
     rows: DataFrame, groups: DataFrame, keys: list[str], row_id: Column, size: str = "group_rows"
 ) -> DataFrame:
@@ -21,18 +30,19 @@ def join_group_values(
     values = [c for c in groups.columns if c not in keys and c != size]
     worth_splitting = F.col(size) > SPLITS
     largest = groups.where(worth_splitting).orderBy(F.desc(size), *values).limit(HOT_GROUPS)
-    hot = F.broadcast(largest.select(*keys, F.lit(True).alias("hot_group")))
-    spread = F.when(F.col("hot_group"), F.pmod(F.xxhash64(row_id), F.lit(SPLITS)).cast("int"))
-    salted_rows = (
-        rows.join(hot, keys, "left")
-        .withColumn("salt", F.coalesce(spread, F.lit(0)))
-        .drop("hot_group")
+    hot_keys = _renamed(largest.select(*keys, F.lit(True).alias("hot")), keys, "_hot")
+    hot = F.broadcast(hot_keys)
+    is_hot = _same(keys, "_hot")
+    spread = F.when(F.col("hot"), F.pmod(F.xxhash64(row_id), F.lit(SPLITS)).cast("int"))
+    salted_rows = rows.join(hot, is_hot, "left").select(
+        *rows.columns, F.coalesce(spread, F.lit(0)).alias("salt")
     )
     every_salt = F.sequence(F.lit(0), F.lit(SPLITS - 1))
-    salts = F.when(F.col("hot_group") & worth_splitting, every_salt)
-    salted_groups = (
-        groups.join(hot, keys, "left")
-        .withColumn("salt", F.explode(F.coalesce(salts, F.array(F.lit(0)))))
-        .drop("hot_group", size)
+    salts = F.when(F.col("hot") & worth_splitting, every_salt)
+    salted_groups = groups.join(hot, is_hot, "left").select(
+        *keys, *values, F.explode(F.coalesce(salts, F.array(F.lit(0)))).alias("salt")
     )
-    return salted_rows.join(salted_groups, [*keys, "salt"]).drop("salt")
+    same_group = [*_same(keys, "_group"), F.col("salt") == F.col("salt_group")]
+    joined = salted_rows.join(_renamed(salted_groups, [*keys, "salt"], "_group"), same_group)
+    others = [c for c in rows.columns if c not in keys]
+    return joined.select(*keys, *others, *values)

@@ -152,8 +152,10 @@ def missing_keys(
         (F.lit(wanted.year_begin) + F.floor(F.col("id") / days)).cast("int").alias("year"),
         (F.lit(wanted.day_begin) + F.col("id") % days).cast("int").alias("day"),
     )
-    # The test on the count keeps the aggregate the same in all three uses: it runs once.
-    present = challenges.groupBy(*DOC_KEYS).agg(F.count("*").alias("rows")).where("rows > 0")
+    # Without these two filters the three uses below would differ in what they read, and
+    # each would run the aggregate anew.
+    keyed = challenges.where("year IS NOT NULL AND day IS NOT NULL")
+    present = keyed.groupBy(*DOC_KEYS).agg(F.count("*").alias("rows")).where("rows > 0")
     return (
         calendar.join(present.select("year"), "year", "left_semi")
         .join(present.select("day"), "day", "left_semi")

@@ -226,6 +226,23 @@ def test_hot_groups_are_split_and_whole(frame, spark, monkeypatch):
     assert all(expected[r.key] == r.top for r in joined.collect())
 
 
+def test_rows_without_a_key_are_kept(frame):
+    rows = frame([(1, None, 2015, 1, 1, 0, "no_error"), (2, None, 2015, 1, 1, 1, "no_error")],
+                 SCHEMA)
+    assert [r.row_no for r in P.early_stop(rows).collect()] == [1]
+
+
+def test_group_aggregate_runs_once(frame, tmp_path):
+    frame(random_attempts(1), SCHEMA).write.parquet(str(tmp_path / "a"))
+    kept = P.early_stop(frame([], SCHEMA).sparkSession.read.parquet(str(tmp_path / "a")))
+    kept.collect()
+    plan = kept._jdf.queryExecution().executedPlan()
+    kept.write.format("noop").mode("overwrite").save()
+    text = plan.toString()
+    final = text[: text.index("== Initial Plan ==")]
+    assert final.count("partial_min") <= 1 or "Reused" in final
+
+
 def test_dedup_keeps_first_or_last(frame):
     rows = frame([(3, 1, "no_error", "c"), (1, 1, "wrong_output", "a"), (2, 2, "no_error", "b"),
                   (2, 2, "no_error", "b")],
