@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from gradeworks.fixed_values import MATH, TWO_PART
 from gradeworks.operators.tasks import flatten_parts
-from gradeworks.schemas import CHALLENGE, FLAT_CHALLENGE, FLAT_PROBLEM, PROBLEM
+from gradeworks.schemas import CHALLENGE, DOC_KEYS, FLAT_CHALLENGE, FLAT_PROBLEM, PROBLEM
 from gradeworks.sources.results import EXPORT_OPTIONS
 
 CORRUPT = "_corrupt_record"
@@ -46,7 +46,12 @@ def read_nested_challenges(
     across tasks. ``strict`` stops at the first bad record. The listing is recursive
     rather than a glob, which would start one listing task per file.
     """
-    schema = T.StructType([*CHALLENGE.fields, T.StructField(CORRUPT, T.StringType())])
+    # Some writers put year and day in quotes; as text both spellings are read.
+    fields = [
+        T.StructField(f.name, T.StringType()) if f.name in DOC_KEYS else f
+        for f in CHALLENGE.fields
+    ]
+    schema = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
     options = {
         "mode": "FAILFAST" if strict else "PERMISSIVE",
         "columnNameOfCorruptRecord": CORRUPT,
@@ -62,7 +67,7 @@ def read_nested_challenges(
         F.col("_metadata.file_path").alias("path"),
         F.from_json("value", schema, options).alias("record"),
     )
-    keys = {"year": F.col("record.year"), "day": F.col("record.day")}
+    keys = {name: F.col(f"record.{name}").try_cast("int") for name in DOC_KEYS}
     if one_file_per_day:
         keys = challenge_keys(F.col("path"))
     # Text without any JSON value yields no record; the text itself is then the bad record.

@@ -101,3 +101,9 @@ def scan_results(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """All result rows of one subset below a folder, with the run taken from the names."""
     files = read_results(spark, root, kind).where(is_result_file(F.col("path")))
     return parse_result_name(files).where(F.col("subset") == kind)
+
+
+def scan_all_results(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of both subsets below a folder; keys of the other kind are null."""
+    two_part, math = [scan_results(spark, root, kind) for kind in (TWO_PART, MATH)]
+    return two_part.unionByName(math, allowMissingColumns=True)

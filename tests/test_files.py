@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeworks import session
+from gradeworks.plans.leaderboard import leaderboards
 from gradeworks.sources import corpus as C
 from gradeworks.sources import results as S
 from gradeworks.sources import writers as W
@@ -30,7 +31,7 @@ def tree(tmp_path):
                              "part2": part("b", "x,y"), "input": "1\n2"}, indent=2))
     put(2015, 25, json.dumps({"year": 2015, "day": 25, "part1": part("a", "##\n#."),
                               "part2": part("b", "", "c2")}))
-    put(2016, 3, json.dumps({"part1": part("a", "11266889531"), "part2": part("b", "é")}))
+    put(2016, 3, json.dumps({"year": "2016", "day": "3", "part1": part("a", "11266889531"), "part2": part("b", "é")}))
     put(2016, 4, '{"year": 2016, "day": 4, "part1": ')
     (tmp_path / "corpus" / "2015" / "notes.json").write_text("{}")
     return str(tmp_path / "corpus")
@@ -136,6 +137,21 @@ def test_scan_takes_the_run_from_file_names(spark, results_tree):
     assert rows.count() == 3
 
 
+def test_leaderboard_from_a_results_folder(spark, results_tree):
+    put_csv(pathlib.Path(results_tree) / "other" / "m_1-euler_story-pass@3.csv",
+            ["", "id", "status", "output", "expected_output", "error", "code", "difficulty"],
+            [[0, 7, "no_error", "1", "1", "", CODE, "15"],
+             [1, 7, "wrong_output", "1", "1", "", CODE, "15"],
+             [2, 8, "runtime_error", "", "1", "x\ny", CODE, "20"]])
+    rows = S.scan_all_results(spark, results_tree)
+    assert rows.count() == 6
+    board = leaderboards(rows)["models"].collect()
+    assert [(r.model, r.aoc_original_k3, r.aoc_leet_k1, r.euler_story_k3) for r in board] == [
+        ("m-1", 50.0, 100.0, 50.0)]
+    plan = S.scan_results(spark, results_tree, "euler")._jdf.queryExecution()
+    assert "file_path" in plan.executedPlan().toString()
+
+
 def test_result_names(frame):
     names = ["m-aoc-pass@3.csv", "/x/m-euler_stories-pass@1.csv", "m-aoc_a_b-pass@1.csv",
              "a-b-aoc-pass@1.csv", "m-aoc-pass3.csv", "m-aoc-pass@x.csv", "m-aoc-pass@1.txt",
