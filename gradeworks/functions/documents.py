@@ -1,4 +1,4 @@
-"""Lines of raw puzzle documents, as array expressions.
+"""Cleaning of raw puzzle documents, as expressions over their lines.
 
 A document is taken apart once; later steps only pick among its lines. A line keeps its
 newline, so joining the lines gives the text back.
@@ -9,54 +9,56 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gradeworks.fixed_values import (
+    ANSWER_PHRASE,
+    LINK_WORD,
+    PART1_HEADER,
+    PART2_HEADER,
+    PART2_MARKER,
+    STOP_PHRASE,
+)
 from gradeworks.functions.text import literal_pattern, rstrip_newlines
 
 NEWLINE = "\n"
 
 
-def pieces_of(text: Column) -> Column:
-    """The text between newlines; the last piece is what follows the last newline."""
-    return F.split(text, NEWLINE)
+def in_steps(value: Column, *steps: Callable[[Column], Column]) -> Column:
+    """The value after all steps, each applied to the result of the one before.
 
+    A one-element array carries the value. A step may so read its input several times
+    while the expression, and the work on a long text, stays linear, wherever the optimizer
+    moves it.
+    """
+    carried = F.array(value)
+    for step in steps:
+        carried = F.transform(carried, step)
+    return F.element_at(carried, 1)
 
-def lines_from_pieces(pieces: Column, close_last: bool = False) -> Column:
-    """Lines, each with its newline; the last one may lack it unless it is closed too."""
-    ended = F.slice(pieces, 1, F.size(pieces) - 1)
-    last = F.filter(F.slice(pieces, -1, 1), lambda piece: piece != "")
-    add_newline = lambda piece: F.concat(piece, F.lit(NEWLINE))
-    if close_last:
-        last = F.transform(last, add_newline)
-    return F.concat(F.transform(ended, add_newline), last)
 
-
-def first_index(lines: Column, test: Callable[[Column], Column]) -> Column:
+def _first_index(lines: Column, test: Callable[[Column], Column]) -> Column:
     """1-based place of the first line that passes the test, 0 if none does."""
     return F.array_position(F.transform(lines, test), True)
 
 
-def lines_from(lines: Column, index: Column) -> Column:
-    """The lines from a 1-based place on."""
+def _lines_from(lines: Column, index: Column) -> Column:
     return F.slice(lines, index, F.size(lines))
 
 
-def lines_before(lines: Column, index: Column) -> Column:
+def _lines_before(lines: Column, index: Column) -> Column:
     """The lines in front of a 1-based place; all of them for place 0."""
     return F.when(index > 0, F.slice(lines, 1, index - 1)).otherwise(lines)
 
 
-def without_word(lines: Column, word: str) -> Column:
-    """The lines that do not contain ``word``."""
+def _without_word(lines: Column, word: str) -> Column:
     return F.filter(lines, lambda line: ~line.contains(word))
 
 
-def without_first_blank(lines: Column) -> Column:
-    """The lines without one blank line at their beginning."""
+def _without_first_blank(lines: Column) -> Column:
     blank = F.get(lines, 0) == NEWLINE
-    return F.when(blank, lines_from(lines, F.lit(2))).otherwise(lines)
+    return F.when(blank, _lines_from(lines, F.lit(2))).otherwise(lines)
 
 
-def without_last_blank(lines: Column) -> Column:
-    """The lines without one blank line at their end."""
+def _without_last_blank(lines: Column) -> Column:
     last = F.size(lines) - 1
     return F.when(F.get(lines, last) == NEWLINE, F.slice(lines, 1, last)).otherwise(lines)
 
@@ -66,9 +68,100 @@ def join_lines(lines: Column) -> Column:
     return F.array_join(lines, "")
 
 
-def answers_in(lines: Column, phrase: str) -> Column:
+def lines_of(text: Column, close_last: bool = False) -> Column:
+    """Lines of a text, each with its newline; the last one may lack it unless closed."""
+
+    def close(piece: Column) -> Column:
+        return F.concat(piece, F.lit(NEWLINE))
+
+    def lines(pieces: Column) -> Column:
+        ended = F.slice(pieces, 1, F.size(pieces) - 1)
+        last = F.filter(F.slice(pieces, -1, 1), lambda piece: piece != "")
+        return F.concat(
+            F.transform(ended, close), F.transform(last, close) if close_last else last
+        )
+
+    return in_steps(F.split(text, NEWLINE), lines)
+
+
+def clean_lines(
+    lines: Column,
+    header: str,
+    keep_header: bool,
+    link_word: str = LINK_WORD,
+    stop_phrase: str = STOP_PHRASE,
+) -> Column:
+    """Text of a section: from its header line to the answer line, without link lines.
+
+    A kept header line is spared from both tests. One blank line at each end is dropped.
+    Without a header, or with nothing left, the text is ``''``.
+    """
+
+    def find_header(found: Column) -> Column:
+        start = _first_index(found, lambda line: line.startswith(header))
+        return F.struct(found.alias("lines"), start.alias("start"))
+
+    def take_section(found: Column) -> Column:
+        after = _lines_from(found["lines"], found["start"] + 1)
+        head = F.slice(found["lines"], F.greatest(found["start"], F.lit(1)), 1)
+        nothing = F.slice(found["lines"], 1, 0)
+        exists = found["start"] > 0
+        return F.struct(
+            F.when(exists & F.lit(keep_header), head).otherwise(nothing).alias("head"),
+            F.when(exists, _without_word(after, link_word)).otherwise(nothing).alias("body"),
+        )
+
+    def find_stop(section: Column) -> Column:
+        stop = _first_index(section["body"], lambda line: line.contains(stop_phrase))
+        return F.struct(section["head"].alias("head"), section["body"].alias("body"),
+                        stop.alias("stop"))
+
+    def cut(section: Column) -> Column:
+        return F.concat(section["head"], _lines_before(section["body"], section["stop"]))
+
+    steps = [find_header, take_section, find_stop, cut]
+    return join_lines(in_steps(lines, *steps, _without_first_blank, _without_last_blank))
+
+
+def clean_part1(text: Column, header: str = PART1_HEADER, **words: str) -> Column:
+    """Part 1 of a raw text: it starts with its header line."""
+    return clean_lines(lines_of(text), header, True, **words)
+
+
+def clean_part2(text: Column, header: str = PART2_HEADER, **words: str) -> Column:
+    """Part 2 of a raw text: it starts after the rule line."""
+    return clean_lines(lines_of(text), header, False, **words)
+
+
+def part_lines(text: Column, marker: str = PART2_MARKER) -> Column:
+    """Lines in front of and behind the marker line, as a struct (part1, part2).
+
+    Further marker lines are left out. A part without lines is empty.
+    """
+
+    def find_marker(lines: Column) -> Column:
+        place = _first_index(lines, lambda line: line.contains(marker))
+        return F.struct(lines.alias("lines"), place.alias("place"))
+
+    def share_out(found: Column) -> Column:
+        behind = _without_word(_lines_from(found["lines"], found["place"] + 1), marker)
+        nothing = F.slice(found["lines"], 1, 0)
+        return F.struct(
+            _lines_before(found["lines"], found["place"]).alias("part1"),
+            F.when(found["place"] > 0, behind).otherwise(nothing).alias("part2"),
+        )
+
+    return in_steps(lines_of(text, close_last=True), find_marker, share_out)
+
+
+def answers_in(lines: Column, phrase: str = ANSWER_PHRASE) -> Column:
     """Answers named in the lines: lines with the phrase, less phrase, ticks and dots."""
     named = join_lines(F.filter(lines, lambda line: line.contains(phrase)))
     pattern = r"(?:\A|(?<=\n))([^\n]*?)" + literal_pattern(phrase)
     without_phrase = F.regexp_replace(named, pattern, "$1")
     return rstrip_newlines(F.translate(without_phrase, "`.", ""))
+
+
+def extract_answer(text: Column, phrase: str = ANSWER_PHRASE) -> Column:
+    """Answers named in a text, one per line."""
+    return answers_in(lines_of(text), phrase)

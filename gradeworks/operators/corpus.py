@@ -1,113 +1,27 @@
-"""From raw puzzle documents to challenge records, without a shuffle.
-
-Each function adds its intermediate results as columns, so that no expression over a whole
-document is evaluated twice, and drops them at the end.
-"""
+"""From raw puzzle documents to challenge records, without a shuffle."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeworks.fixed_values import (
-    ANSWER_PHRASE,
-    LINK_WORD,
-    PART1_HEADER,
-    PART2_HEADER,
-    PART2_MARKER,
-    STOP_PHRASE,
-)
+from gradeworks.fixed_values import PART1_HEADER, PART2_HEADER, PART2_MARKER
 from gradeworks.functions.documents import (
     answers_in,
-    first_index,
+    clean_lines,
+    clean_part1,
+    clean_part2,
     join_lines,
-    lines_before,
-    lines_from,
-    lines_from_pieces,
-    pieces_of,
-    without_first_blank,
-    without_last_blank,
-    without_word,
+    part_lines,
 )
 from gradeworks.functions.text import rstrip_newlines
 
 
-def _with_lines(documents: DataFrame, text: Column, close_last: bool = False) -> DataFrame:
-    """Adds ``lines``, the lines of the text."""
-    staged = documents.withColumn("pieces", pieces_of(text))
-    lines = lines_from_pieces(F.col("pieces"), close_last)
-    return staged.withColumn("lines", lines).drop("pieces")
-
-
-def _clean_lines(
-    documents: DataFrame,
-    lines: str,
-    into: str,
-    header: Column,
-    keep_header: Column,
-    link_word: str,
-    stop_phrase: str,
-) -> DataFrame:
-    """Adds ``into``: the section of ``lines`` from its header line to the answer line.
-
-    Lines with a link are left out, and one blank line at each end. A kept header line is
-    spared from both tests. Without a header, or with nothing left, the text is ``''``.
-    """
-    start = f"{into}_start"
-    body, kept, whole = f"{into}_body", f"{into}_kept", f"{into}_whole"
-    after_header = without_word(lines_from(F.col(lines), F.col(start) + 1), link_word)
-    stop = first_index(F.col(body), lambda line: line.contains(stop_phrase))
-    head = F.slice(F.col(lines), F.greatest(F.col(start), F.lit(1)), 1)
-    staged = (
-        documents.withColumn(start, first_index(F.col(lines), lambda x: x.startswith(header)))
-        .withColumn(body, F.when(F.col(start) > 0, after_header).otherwise(F.array()))
-        .withColumn(f"{into}_stop", stop)
-        .withColumn(kept, lines_before(F.col(body), F.col(f"{into}_stop")))
-        .withColumn(
-            whole,
-            F.when(keep_header & (F.col(start) > 0), F.concat(head, F.col(kept))).otherwise(
-                F.col(kept)
-            ),
-        )
-        .withColumn(f"{into}_open", without_first_blank(F.col(whole)))
-        .withColumn(into, join_lines(without_last_blank(F.col(f"{into}_open"))))
-    )
-    return staged.drop(start, body, f"{into}_stop", kept, whole, f"{into}_open")
-
-
-def clean_section(
-    documents: DataFrame,
-    header: str,
-    keep_header: bool,
-    link_word: str = LINK_WORD,
-    stop_phrase: str = STOP_PHRASE,
-) -> DataFrame:
-    """Adds ``description``, the cleaned section of ``text`` under one header rule."""
-    staged = _with_lines(documents, F.col("text"))
-    rule = [F.lit(header), F.lit(keep_header), link_word, stop_phrase]
-    return _clean_lines(staged, "lines", "description", *rule).drop("lines")
-
-
-def clean_part1(documents: DataFrame, header: str = PART1_HEADER, **words: str) -> DataFrame:
-    """Part 1: the text starts with its header line."""
-    return clean_section(documents, header, True, **words)
-
-
-def clean_part2(documents: DataFrame, header: str = PART2_HEADER, **words: str) -> DataFrame:
-    """Part 2: the text starts after the rule line."""
-    return clean_section(documents, header, False, **words)
-
-
-def clean_parts(
-    documents: DataFrame, link_word: str = LINK_WORD, stop_phrase: str = STOP_PHRASE
-) -> DataFrame:
+def clean_parts(documents: DataFrame, **words: str) -> DataFrame:
     """Adds ``description``, cleaned by the rule of the row's part; null for other parts."""
-    part = F.col("part")
-    header = F.when(part == 1, PART1_HEADER).when(part == 2, PART2_HEADER)
-    staged = _with_lines(documents, F.when(part.isin(1, 2), F.col("text")))
-    cleaned = _clean_lines(
-        staged, "lines", "description", header, part == 1, link_word, stop_phrase
+    part, text = F.col("part"), F.col("text")
+    cleaned = F.when(part == 1, clean_part1(text, **words)).when(
+        part == 2, clean_part2(text, **words)
     )
-    known = F.when(part.isin(1, 2), F.col("description"))
-    return cleaned.withColumn("description", known).drop("lines")
+    return documents.withColumn("description", cleaned)
 
 
 def unknown_parts(documents: DataFrame) -> DataFrame:
@@ -120,37 +34,15 @@ def empty_descriptions(documents: DataFrame) -> DataFrame:
     return documents.where(F.coalesce(F.col("description"), F.lit("")) == "")
 
 
-def _with_part_lines(documents: DataFrame, marker: str) -> DataFrame:
-    """Adds lines1 and lines2: the lines in front of and behind the marker line.
-
-    Further marker lines are left out. A part without lines is empty.
-    """
-    place = first_index(F.col("lines"), lambda line: line.contains(marker))
-    behind = without_word(lines_from(F.col("lines"), F.col("place") + 1), marker)
-    return (
-        _with_lines(documents, F.col("text"), close_last=True)
-        .withColumn("place", place)
-        .withColumn("lines1", lines_before(F.col("lines"), F.col("place")))
-        .withColumn("lines2", F.when(F.col("place") > 0, behind).otherwise(F.array()))
-        .drop("lines", "place")
-    )
-
-
 def split_documents(documents: DataFrame, marker: str = PART2_MARKER) -> DataFrame:
     """One row per raw part of a document: adds part, replaces text."""
     others = [c for c in documents.columns if c != "text"]
+    split = documents.withColumn("parts", part_lines(F.col("text"), marker))
     parts = [
-        F.struct(F.lit(n).alias("part"), join_lines(F.col(f"lines{n}")).alias("text"))
+        F.struct(F.lit(n).alias("part"), join_lines(F.col(f"parts.part{n}")).alias("text"))
         for n in (1, 2)
     ]
-    rows = _with_part_lines(documents, marker).select(*others, F.inline(F.array(*parts)))
-    return rows.where("text <> ''")
-
-
-def with_answer(documents: DataFrame, phrase: str = ANSWER_PHRASE) -> DataFrame:
-    """Adds ``answer``: the answers named in the text, one per line."""
-    staged = _with_lines(documents, F.col("text"))
-    return staged.withColumn("answer", answers_in(F.col("lines"), phrase)).drop("lines")
+    return split.select(*others, F.inline(F.array(*parts))).where("text <> ''")
 
 
 def build_challenges(raw: DataFrame, marker: str = PART2_MARKER) -> DataFrame:
@@ -158,20 +50,20 @@ def build_challenges(raw: DataFrame, marker: str = PART2_MARKER) -> DataFrame:
 
     Both parts come from the same document, so the record is built in its own row.
     """
-    words = [LINK_WORD, STOP_PHRASE]
-    split = _with_part_lines(raw, marker)
-    first = _clean_lines(split, "lines1", "text1", F.lit(PART1_HEADER), F.lit(True), *words)
-    both = _clean_lines(first, "lines2", "text2", F.lit(PART2_HEADER), F.lit(False), *words)
 
-    def record(n: int) -> Column:
-        lines = F.col(f"lines{n}")
+    def record(name: str, header: str, keep_header: bool) -> Column:
+        lines = F.col(f"parts.{name}")
         part = F.struct(
-            F.col(f"text{n}").alias("description"),
-            answers_in(lines, ANSWER_PHRASE).alias("answer"),
+            clean_lines(lines, header, keep_header).alias("description"),
+            answers_in(lines).alias("answer"),
             F.lit(None).cast("string").alias("converted_description"),
         )
-        return F.when(F.size(lines) > 0, part).alias(f"part{n}")
-
-    return both.select(
-        "year", "day", record(1), record(2), rstrip_newlines(F.col("input")).alias("input")
+        return F.when(F.size(lines) > 0, part).alias(name)
+
+    return raw.withColumn("parts", part_lines(F.col("text"), marker)).select(
+        "year",
+        "day",
+        record("part1", PART1_HEADER, True),
+        record("part2", PART2_HEADER, False),
+        rstrip_newlines(F.col("input")).alias("input"),
     )

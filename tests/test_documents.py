@@ -2,15 +2,13 @@
 
 import random
 
+from gradeworks.functions.documents import clean_part1, clean_part2, extract_answer
 from gradeworks.operators.corpus import (
     build_challenges,
-    clean_part1,
-    clean_part2,
     clean_parts,
     empty_descriptions,
     split_documents,
     unknown_parts,
-    with_answer,
 )
 
 LINES = [
@@ -78,31 +76,22 @@ def answers(text):
     return "\n".join(found).replace("`", "").replace(".", "").rstrip("\n")
 
 
-def applied(spark, function, texts, column):
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    found = {r.i: r[column] for r in function(rows).collect()}
-    return [found[i] for i in range(len(texts))]
-
-
-def test_clean_sections(spark):
+def test_clean_sections(evaluate):
     texts = sample_texts()
-    ones = applied(spark, clean_part1, texts, "description")
-    assert ones == [cleaned(t, "\\---", True) for t in texts]
-    twos = applied(spark, clean_part2, texts, "description")
-    assert twos == [cleaned(t, "----------", False) for t in texts]
+    assert evaluate(clean_part1, texts) == [cleaned(t, "\\---", True) for t in texts]
+    assert evaluate(clean_part2, texts) == [cleaned(t, "----------", False) for t in texts]
 
 
-def test_marker_words_are_parameters(spark):
+def test_marker_words_are_parameters(evaluate):
     text = "## head\nkeep\nlink://x\nSTOP here\nrest"
     words = {"header": "## ", "link_word": "link://", "stop_phrase": "STOP"}
-    one = applied(spark, lambda d: clean_part1(d, **words), [text], "description")
-    two = applied(spark, lambda d: clean_part2(d, **words), [text], "description")
-    assert (one, two) == (["## head\nkeep\n"], ["keep\n"])
+    assert evaluate(lambda t: clean_part1(t, **words), [text]) == ["## head\nkeep\n"]
+    assert evaluate(lambda t: clean_part2(t, **words), [text]) == ["keep\n"]
 
 
-def test_answers(spark):
+def test_answers(evaluate):
     texts = sample_texts()
-    assert applied(spark, with_answer, texts, "answer") == [answers(t) for t in texts]
+    assert evaluate(extract_answer, texts) == [answers(t) for t in texts]
 
 
 def test_split(spark):
@@ -113,10 +102,17 @@ def test_split(spark):
     assert found == {(i, n): p for i, n, p in parts if p}
 
 
-def test_long_document_is_cleaned_whole(spark):
+def test_long_document_is_cleaned_whole(evaluate):
     body = "word " * 40000 + "\n" + "line\n" * 40000
     text = "\\--- A ---\n" + body + "Your puzzle answer was `1`.\n" + body
-    assert applied(spark, clean_part1, [text], "description") == ["\\--- A ---\n" + body]
+    assert evaluate(clean_part1, [text]) == ["\\--- A ---\n" + body]
+
+
+def test_a_filter_on_the_result_does_not_grow_the_plan(frame):
+    rows = clean_parts(frame([(1, "a", 0)], "part int, text string, i int"))
+    plain = rows._jdf.queryExecution().optimizedPlan().toString()
+    filtered = empty_descriptions(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(filtered) < 3 * len(plain)
 
 
 def test_split_documents_rows(frame):
