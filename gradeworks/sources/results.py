@@ -78,7 +78,7 @@ def parse_result_name(rows: DataFrame, path_column: str = "path") -> DataFrame:
 def model_alias(folder: Column) -> Column:
     """Model name used in file names, from the name of the model's folder."""
     return F.when(folder.contains(ALIAS_WORD), ALIAS_NAME).otherwise(
-        F.translate(folder, "-", "_")
+        F.replace(folder, F.lit("-"), F.lit("_"))
     )
 
 
@@ -87,14 +87,17 @@ def report_files(rows: DataFrame, path_column: str = "path", k: int = 3) -> Data
 
     Adds the folder as ``model`` and the report's ``subset``. Any other file is left out.
     """
+    ending = f"-pass@{k}.csv"
     path = F.col(path_column)
-    folder = F.element_at(F.split(path, "/"), -2)
-    name = F.element_at(F.split(path, "/"), -1)
-    subset = F.lit(None).cast("string")
-    for wanted in REPORT_SUBSETS:
-        expected = F.concat(model_alias(folder), F.lit(f"-{wanted}-pass@{k}.csv"))
-        subset = F.when(name == expected, wanted).otherwise(subset)
-    return rows.withColumns({"model": folder, "subset": subset}).where("subset IS NOT NULL")
+    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    name = F.substring_index(path, "/", -1)
+    start = F.concat(model_alias(folder), F.lit("-"))
+    endings = [f"{subset}{ending}" for subset in REPORT_SUBSETS]
+    rest = F.substr(name, F.length(start) + 1)
+    is_wanted = path.endswith(ending) & name.startswith(start) & rest.isin(endings)
+    return rows.where(is_wanted).withColumns(
+        {"model": folder, "subset": F.left(rest, F.length(rest) - len(ending))}
+    )
 
 
 def scan_results(spark: SparkSession, root: str, kind: str) -> DataFrame:
