@@ -14,7 +14,7 @@ from gradeworks.fixed_values import (
     TIMEOUT_MARK,
     WRONG_OUTPUT,
 )
-from gradeworks.functions.text import is_integer_text, last_integer, python_strip
+from gradeworks.functions.text import is_integer_text, only_last_integer, python_strip
 
 
 @dataclass(frozen=True)
@@ -94,9 +94,8 @@ def direct_answer(answer: Column, solution: Column, zero_is_integer: bool = Fals
     For an integer solution it is the last run of digits. A solution of 0 is only
     treated so with ``zero_is_integer``.
     """
-    text = python_strip(F.coalesce(answer, F.lit("")))
     wanted = is_integer_text(solution) if zero_is_integer else is_nonzero_integer(solution)
-    return F.when(wanted & text.rlike(r"(?U)\d"), last_integer(text)).otherwise(text)
+    return printed_text(F.when(wanted, only_last_integer(answer)).otherwise(answer))
 
 
 def answer_needs_second_look(picked: Column, solution: Column) -> Column:

@@ -41,12 +41,18 @@ def is_integer_text(text: Column) -> Column:
     return python_strip(text).rlike(r"(?U)\A[+-]?\d+(_\d+)*\z")
 
 
+# The search runs back from the end of the text to where its last run of digits begins.
+LAST_INTEGER = r"(?s)\A.*(?<!\p{Nd})(\p{Nd}+)"
+
+
 def last_integer(text: Column) -> Column:
-    """Last run of digits in the text, ``''`` if there is none.
+    """Last run of digits in the text, ``''`` if there is none."""
+    return F.regexp_extract(text, LAST_INTEGER, 1)
+
 
-    It is the first run of the reversed text, so the search ends where it begins.
-    """
-    return F.reverse(F.regexp_extract(F.reverse(text), r"(?U)\d+", 0))
+def only_last_integer(text: Column) -> Column:
+    """Last run of digits in the text, the text itself if there is none."""
+    return F.regexp_replace(text, LAST_INTEGER + r".*\z", "$1")
 
 
 def line_count(text: Column) -> Column:
