@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gradeworks.llm.line_dedup import dedup_lines
 from gradeworks.session import new_table_path
@@ -16,7 +17,7 @@ LINES_IN_DOCUMENTS = 10
 
 def _like_documents(kept: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of the struct ``doc``, with the text that is left and its length."""
-    left = {"text": kept["text"], "n_chars": kept["text"]}
+    left = {"text": kept["text"], "n_chars": F.length(kept["text"]).cast("long")}
     return kept.select(*[left.get(c, kept["doc"].getField(c)).alias(c) for c in columns])
 
 
