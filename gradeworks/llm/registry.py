@@ -1,8 +1,14 @@
 """The queries of this subpackage by name, with their SQL where SQL can express them."""
 
 from gradeworks.catalog.base import Query
-from gradeworks.llm import line_dedup
+from gradeworks.llm import bpe, decontamination, language_id, line_dedup, simhash, token_counts, token_files
 
 QUERIES = [
     Query("op1_line_dedup", line_dedup.op1_line_dedup, line_dedup.OP1_SQL),
+    Query("op2_decontamination", decontamination.op2_decontamination),
+    Query("op3_token_files", token_files.op3_token_files),
+    Query("op4_token_counts", token_counts.op4_token_counts),
+    Query("op5_language_id", language_id.op5_language_id),
+    Query("op6_bpe", bpe.op6_bpe),
+    Query("op9_simhash", simhash.op9_simhash),
 ]
