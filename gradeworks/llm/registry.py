@@ -1,7 +1,18 @@
 """The queries of this subpackage by name, with their SQL where SQL can express them."""
 
 from gradeworks.catalog.base import Query
-from gradeworks.llm import bpe, decontamination, language_id, line_dedup, simhash, token_counts, token_files
+from gradeworks.llm import (
+    bpe,
+    context_mixing,
+    decontamination,
+    language_id,
+    line_dedup,
+    nearest,
+    simhash,
+    substring_dedup,
+    token_counts,
+    token_files,
+)
 
 QUERIES = [
     Query("op1_line_dedup", line_dedup.op1_line_dedup, line_dedup.OP1_SQL),
@@ -10,5 +21,8 @@ QUERIES = [
     Query("op4_token_counts", token_counts.op4_token_counts),
     Query("op5_language_id", language_id.op5_language_id),
     Query("op6_bpe", bpe.op6_bpe),
+    Query("op7_substring_dedup", substring_dedup.op7_substring_dedup),
+    Query("op8_nearest", nearest.op8_nearest),
     Query("op9_simhash", simhash.op9_simhash),
+    Query("op10_context_mixing", context_mixing.op10_context_mixing),
 ]
