@@ -1,4 +1,9 @@
-"""From raw documents to token ids, in stages; each stage's rows are written and read again."""
+"""From raw documents to token ids, in stages; each stage's rows are written and read again.
+
+Documents whose language is not made out go; lines that many documents share are taken out;
+one document of each group of near duplicates stays; documents that hold a benchmark item go;
+what is left is encoded. Every stage but the last returns the columns of its documents.
+"""
 
 from __future__ import annotations
 
@@ -7,30 +12,56 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeworks.llm.bpe import round_trip
+from gradeworks.llm.decontamination import without_leaks
+from gradeworks.llm.language_id import accepted, fit
 from gradeworks.llm.line_dedup import dedup_lines
+from gradeworks.llm.simhash import one_of_each
 from gradeworks.session import new_table_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 LINES_IN_DOCUMENTS = 10
+SHINGLE_WORDS = 4
+RADIUS = 4
 
 
-def _like_documents(kept: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of the struct ``doc``, with the text that is left and its length."""
-    left = {"text": kept["text"], "n_chars": F.length(kept["text"]).cast("long")}
-    return kept.select(*[left.get(c, kept["doc"].getField(c)).alias(c) for c in columns])
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language classifier rejects go: no letters, or unlike all it has learned."""
+    return accepted(docs, fit(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in many documents are taken out of the texts; every document stays."""
-    return _like_documents(dedup_lines(docs, LINES_IN_DOCUMENTS), docs.columns)
+    kept = dedup_lines(docs, LINES_IN_DOCUMENTS)
+    left = {"text": kept["text"], "n_chars": F.length(kept["text"]).cast("long")}
+    return kept.select(*[left.get(c, kept["doc"].getField(c)).alias(c) for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that of the smallest id."""
+    return one_of_each(docs, SHINGLE_WORDS, RADIUS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark, exactly or with few edits, go."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the documents and the texts decoded from them, as digests."""
+    return round_trip(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("encoding", encoding),
 ]
 
-# The language classifier, the fingerprints and the merges have no counterpart in SQL.
+# The classifier, the fingerprints and the merges have no counterpart in SQL.
 ORACLE_SQL = None
 
 

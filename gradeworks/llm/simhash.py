@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeworks.llm.common import read_table, slices
@@ -91,16 +91,17 @@ def majority(hashes: list[int]) -> int:
 
 
 def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a signed number."""
+    """(doc_id, text_key, fp) of every row; fp holds the 64 bits as a signed number."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             found = [majority(h) if (h := _shingle_hashes(t, words_each)) else 0 for t in texts]
             fp = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp], ["doc_id", "text_key", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(made, "doc_id long, fp long")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(made, "doc_id long, text_key long, fp long")
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:
@@ -189,21 +190,45 @@ def _links_of(frame: pd.DataFrame, keys: list[str], radius: int) -> pd.DataFrame
 
 
 def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the smallest id reachable.
+    """(doc_id, text_key, fp, component_id, component_key) of every row.
 
+    component_id is the smallest id reachable (null if there are null ids only), and
+    component_key the text_key of the row that has it.
     The fingerprints are written to the shared folder, as they are read more than once.
     """
     spark = docs.sparkSession
     path = new_table_path(spark, "fingerprints")
     fingerprints(docs, words_each).write.parquet(path)
     prints = spark.read.parquet(path)
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("smallest"))
-    roots = component_of(fingerprint_links(classes.select("fp"), radius))
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("smallest")
+    classes = prints.groupBy("fp").agg(smallest)
+    roots = component_of(fingerprint_links(prints.select("fp").distinct(), radius))
     rooted = classes.join(roots, classes.fp == roots.node, "left")
     rooted = rooted.select("fp", "smallest", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    of_class = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return prints.join(of_class, "fp")
+    found = rooted.groupBy("root").agg(F.min("smallest").alias("smallest"))
+    of_class = rooted.select("fp", "root").join(found, "root")
+    first = F.col("smallest.doc_id").alias("component_id"), F.col("smallest.text_key").alias("component_key")
+    return prints.join(of_class.select("fp", *first), "fp")
+
+
+def one_of_each(docs: DataFrame, words_each: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """``docs``, with all its columns, with one row of each component: that of the smallest id.
+
+    Of rows that repeat one id and text one stays.
+    """
+    found = near_duplicates(docs, words_each, radius)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("component_key"))
+    keys = ["none", "id", "key"]
+
+    def keyed(doc_id: Column, text_key: Column) -> list[Column]:
+        return [doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("id"), text_key.alias("key")]
+
+    kept = found.where(first).select(*keyed(F.col("doc_id"), F.col("text_key"))).distinct()
+    text_key = F.xxhash64(F.col("text").cast("string"))
+    rows = docs.select(F.struct("*").alias("doc"), *keyed(F.col("doc_id").cast("long"), text_key))
+    copy = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    rows = rows.join(kept, keys, "left_semi").withColumn("copy", copy).where("copy = 1")
+    return rows.select("doc.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
