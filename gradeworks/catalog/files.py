@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gradeworks.catalog import views as V
 from gradeworks.catalog.base import Query
-from gradeworks.catalog.grading import runs_sql
+from gradeworks.catalog.grading import in_time_sql, runs_sql
 from gradeworks.catalog.passes import ACCURACY_COLUMNS, ACCURACY_SHARES, gated_sql, passes_sql
 from gradeworks.catalog.tasks import FLAT, nested
 from gradeworks.fixed_values import TWO_PART
@@ -14,7 +14,7 @@ from gradeworks.sources import corpus as C
 from gradeworks.sources import results as S
 from gradeworks.sources import writers as W
 from gradeworks.streaming.grading import start_grading
-from gradeworks.streaming.leaderboard import start_leaderboard
+from gradeworks.streaming.leaderboard import read_leaderboard, start_leaderboard
 
 RESULT_COLUMNS = ["row_no", "year", "day", "part", "status", "output", "expected_output"]
 
@@ -103,7 +103,7 @@ def _stream_leaderboard(s, d):
     path = new_table_path(s, "leaderboard")
     checkpoint = new_table_path(s, "leaderboard-checkpoint")
     start_leaderboard(V.ATTEMPTS.stream(s, d), 3, path, checkpoint).awaitTermination()
-    return s.read.parquet(path)
+    return read_leaderboard(s, path)
 
 
 QUERIES = [
@@ -146,7 +146,7 @@ QUERIES = [
     Query(
         "stream_grade",
         _stream_grade,
-        runs_sql(False),
+        runs_sql(False, in_time_sql(V.RUNS.sql)),
     ),
     Query(
         "stream_leaderboard",

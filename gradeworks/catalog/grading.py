@@ -40,6 +40,13 @@ def runs_sql(integer_guard: bool, runs: str = V.RUNS.sql) -> str:
         CASE WHEN ok2 THEN {STRIP.format("second")} ELSE stdout END AS output FROM g"""
 
 
+def in_time_sql(runs: str) -> str:
+    """The runs, those over the time limit as timeouts without output."""
+    late = "(duration_s > 60)"
+    return f"""SELECT * EXCLUDE (stdout, stderr), CASE WHEN {late} THEN '' ELSE stdout END
+        AS stdout, CASE WHEN {late} THEN 'TIMEOUT' ELSE stderr END AS stderr FROM ({runs})"""
+
+
 def _runs(s, d):
     return V.RUNS.frame(s, d)
 

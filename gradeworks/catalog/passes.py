@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gradeworks.catalog import views as V
 from gradeworks.catalog.base import Query
-from gradeworks.catalog.grading import runs_sql
+from gradeworks.catalog.grading import in_time_sql, runs_sql
 from gradeworks.operators.dedup import dedup_rows
 from gradeworks.operators.passes import best_of_k, early_stop, first_pass, first_pass_gated
 from gradeworks.operators.passes import part_gating as gate_parts
@@ -25,7 +25,7 @@ def passes_sql(k: int = K, attempts: str = V.ATTEMPTS.sql) -> str:
     """Common tables: attempts ``a``, one row per pass ``p``, best of k ``b``."""
     return f"""
     WITH a AS ({attempts}),
-    p AS (SELECT {TASK}, kpass, arg_min(status, row_no) AS status, min(row_no) AS row_no
+    p AS (SELECT {TASK}, kpass, first(status ORDER BY row_no) AS status, min(row_no) AS row_no
           FROM a WHERE kpass < {k} GROUP BY {TASK}, kpass),
     o AS (SELECT *, row_number() OVER (PARTITION BY {TASK} ORDER BY
             CASE WHEN status = 'no_error' THEN kpass ELSE 1000 - kpass END) AS rn FROM p),
@@ -43,7 +43,7 @@ def gated_sql(k: int = K, attempts: str = V.ATTEMPTS.sql) -> str:
         CASE WHEN x.status = 'no_error' THEN y.row_no END AS row_no
       FROM (SELECT * FROM b WHERE part = 1) x LEFT JOIN (SELECT * FROM b WHERE part = 2) y
         ON x.model = y.model AND x.year = y.year AND x.day = y.day
-      WHERE x.status <> 'no_error' OR (y.status IS NOT NULL AND x.day <> 25))"""
+      WHERE x.status IS DISTINCT FROM 'no_error' OR (y.row_no IS NOT NULL AND x.day <> 25))"""
 
 
 _SHOWN = (
@@ -110,10 +110,7 @@ def _evaluated(s, d):
 
 
 def _evaluated_sql() -> str:
-    late = "(duration_s > 60)"
-    runs = f"""SELECT * EXCLUDE (stdout, stderr), CASE WHEN {late} THEN '' ELSE stdout END
-        AS stdout, CASE WHEN {late} THEN 'TIMEOUT' ELSE stderr END AS stderr
-        FROM ({V.TASK_RUNS.sql})"""
+    runs = in_time_sql(V.TASK_RUNS.sql)
     graded = f"""SELECT t.row_no, t.model, t.year, t.day, t.part, t.kpass, g.status
         FROM ({V.TASK_RUNS.sql}) t JOIN ({runs_sql(False, runs)}) g ON t.row_no = g.row_no"""
     lists = gated_sql(K, graded) + _first_passes_sql(GATE_K)
@@ -125,7 +122,7 @@ QUERIES = [
     Query("evaluate_run", _evaluated, _evaluated_sql()),
     Query(
         "best_of_k_m",
-        lambda s, d: best_of_k(V.CALLS.frame(s, d), K, PROBLEM_KEYS),
+        lambda s, d: best_of_k(V.CALLS.frame(s, d), K, PROBLEM_KEYS, failed_calls=True),
         PROBLEM_PASSES + """ SELECT model, id, kpass, status, row_no FROM e
         WHERE kpass = chosen AND status <> 'failed'""",
     ),
@@ -139,7 +136,7 @@ QUERIES = [
     ),
     Query(
         "first_pass_m",
-        lambda s, d: first_pass(V.CALLS.frame(s, d), PROBLEM_KEYS),
+        lambda s, d: first_pass(V.CALLS.frame(s, d), PROBLEM_KEYS, failed_calls=True),
         PROBLEM_PASSES + """ SELECT model, id, kpass, status, row_no FROM p
         WHERE kpass = 0 AND status <> 'failed'""",
     ),
@@ -165,6 +162,21 @@ QUERIES = [
         lambda s, d: _shown(best_of_k(_attempts(s, d), 1000)),
         passes_sql(1000) + f" SELECT {_SHOWN} FROM b",
     ),
+    Query(
+        "best_of_40",
+        lambda s, d: _shown(best_of_k(V.OPEN_ATTEMPTS.frame(s, d), 40)),
+        passes_sql(40, V.OPEN_ATTEMPTS.sql) + f" SELECT {_SHOWN} FROM b",
+    ),
+    Query(
+        "part_gating_40",
+        lambda s, d: _shown(gate_parts(V.OPEN_ATTEMPTS.frame(s, d), 40)),
+        gated_sql(40, V.OPEN_ATTEMPTS.sql) + f" SELECT {_SHOWN} FROM g",
+    ),
+    Query(
+        "first_pass_gated_40",
+        lambda s, d: _shown(first_pass_gated(V.OPEN_ATTEMPTS.frame(s, d), 40)),
+        passes_sql(40, V.OPEN_ATTEMPTS.sql) + _first_passes_sql(GATE_K) + f" SELECT {_SHOWN} FROM f",
+    ),
     Query(
         "early_stop",
         lambda s, d: early_stop(_attempts(s, d)).select(

@@ -206,8 +206,9 @@ QUERIES = [
     ),
     Query(
         "failures_only",
-        lambda s, d: failures_only(_attempts(s, d)),
-        f"SELECT * FROM ({V.ATTEMPTS.sql}) WHERE status NOT IN ('no_error', 'part1_failed')",
+        lambda s, d: failures_only(V.OPEN_ATTEMPTS.frame(s, d)),
+        f"""SELECT * FROM ({V.OPEN_ATTEMPTS.sql})
+        WHERE status IS NULL OR status NOT IN ('no_error', 'part1_failed')""",
     ),
     Query(
         "error_shares",

@@ -84,7 +84,7 @@ QUERIES = [
     ),
     Query(
         "range_filter",
-        lambda s, d: T.in_range(V.ATTEMPTS.frame(s, d), T.TaskRange(2016, 2020, 3, 24)),
+        lambda s, d: T.in_range(V.ATTEMPTS.frame(s, d), T.TaskSpan((2016, 2020), (3, 24))),
         f"""SELECT * FROM ({V.ATTEMPTS.sql})
         WHERE year BETWEEN 2016 AND 2020 AND day BETWEEN 3 AND 24""",
     ),
@@ -142,11 +142,18 @@ QUERIES = [
     Query(
         "look_up",
         lambda s, d: T.look_up(
-            V.USER_DAYS.frame(s, d).select("row_no", "year", "day"),
-            _challenges(s, d).select("year", "day", "part1_solution"),
+            V.ASKED_DAYS.frame(s, d), _challenges(s, d).select("year", "day", "part1_solution")
         ),
-        f"""SELECT t.row_no, t.year, t.day, c.part1_solution FROM ({V.USER_DAYS.sql}) t
-        JOIN ({V.CHALLENGES.sql}) c ON t.year = c.year AND t.day = c.day""",
+        f"""SELECT t.row_no, t.year, t.day, c.part1_solution FROM ({V.ASKED_DAYS.sql}) t
+        LEFT JOIN ({V.CHALLENGES.sql}) c ON t.year = c.year AND t.day = c.day""",
+    ),
+    Query(
+        "look_up_faults",
+        lambda s, d: T.look_up_faults(V.ASKED_DAYS.frame(s, d), _challenges(s, d)),
+        f"""SELECT year, day, count(DISTINCT row_no) AS tasks, count(solution) AS challenges
+        FROM (SELECT t.*, c.part1_solution AS solution FROM ({V.ASKED_DAYS.sql}) t
+            LEFT JOIN ({V.CHALLENGES.sql}) c ON t.year = c.year AND t.day = c.day)
+        GROUP BY year, day HAVING count(solution) <> count(DISTINCT row_no)""",
     ),
     Query(
         "missing_keys",

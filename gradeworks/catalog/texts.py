@@ -14,6 +14,7 @@ from gradeworks.operators.passes import best_of_k
 from gradeworks.plans.corpus import flat_corpus
 from gradeworks.sources.corpus import document_keys
 
+_UNIFIED = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
 _LINES = "regexp_extract_all({t}, '[^\\n]*\\n|[^\\n]+')"
 
 
@@ -25,7 +26,7 @@ def clean_sql(source: str, keys: str, header: str, keep_header: bool) -> str:
     """Section cleaning on line lists, over a query with columns ``keys`` and text."""
     head = "CASE WHEN p IS NULL THEN [] ELSE x[p:p] END" if keep_header else "[]"
     return f"""WITH src AS ({source}),
-    l AS (SELECT {keys}, {_LINES.format(t="text")} AS x FROM src),
+    l AS (SELECT {keys}, {_LINES.format(t=_UNIFIED)} AS x FROM src),
     h AS (SELECT *, list_position(list_transform(x, lambda s: starts_with(s, '{header}')), true)
           AS p FROM l),
     y AS (SELECT {keys}, {head} AS head, CASE WHEN p IS NULL THEN [] ELSE
@@ -70,7 +71,7 @@ def _year_day(s, d):
     return s.read.parquet(f"{d}/documents.parquet").selectExpr(
         f"{keys['year']} AS year",
         f"{keys['day']} AS day",
-        f"{V.RAW_TEXT} AS text",
+        f"{V.RAW_DOCUMENTS.columns['text']} AS text",
         f"{keys['input']} AS input",
     )
 
@@ -81,7 +82,7 @@ def _messages_text(messages):
 
 def _part2_prompts(s, d):
     attempts = V.TEXT_ATTEMPTS.frame(s, d)
-    chosen = best_of_k(attempts, 3).select("model", "year", "day", "part", "row_no")
+    chosen = best_of_k(attempts, 3).drop("kpass")
     return P.part2_prompts(chosen, attempts).select(
         "row_no", "model", "year", "day", _messages_text(F.col("messages"))
     )
@@ -153,11 +154,11 @@ QUERIES = [
     Query(
         "empty_description",
         lambda s, d: C.empty_descriptions(
-            C.clean_parts(_raw(s, d).where(F.col("part").isin(1, 2)))
+            C.clean_parts(_raw(s, d).withColumn("part", F.expr("cast(1 + doc_id % 2 AS int)")))
         ).select("doc_id", "part"),
-        f"""SELECT r.doc_id, r.part FROM ({_RAW}) r JOIN ({CLEAN1}) c1 ON r.doc_id = c1.doc_id
-        JOIN ({CLEAN2}) c2 ON r.doc_id = c2.doc_id
-        WHERE r.part = 1 AND c1.description = '' OR r.part = 2 AND c2.description = ''""",
+        f"""SELECT c1.doc_id, CAST(1 + c1.doc_id % 2 AS INTEGER) AS part FROM ({CLEAN1}) c1
+        JOIN ({CLEAN2}) c2 ON c1.doc_id = c2.doc_id
+        WHERE CASE c1.doc_id % 2 WHEN 0 THEN c1.description ELSE c2.description END = ''""",
     ),
     Query(
         "rstrip_newlines",
@@ -212,7 +213,8 @@ QUERIES = [
             WHERE copy = 1)
         SELECT row_no, model, year, day, concat('system: ', {_SYSTEM}, chr(10),
             'human: ', description, chr(10), 'ai: ', response, chr(10),
-            'human: ', {_PART2}) AS prompt FROM o WHERE rn = 1""",
+            'human: ', {_PART2}) AS prompt FROM o
+        WHERE rn = 1 AND status = 'no_error' AND day <> 25""",
     ),
     Query(
         "conversion_prompt",
@@ -230,9 +232,15 @@ QUERIES = [
     Query(
         "conversation_prompt",
         lambda s, d: P.conversation_text(V.MESSAGES.frame(s, d)),
-        f"""SELECT conv_id, CAST(floor(turn / 64) AS BIGINT) AS segment,
-            CAST(count(*) AS INTEGER) AS turns,
+        f"""SELECT conv_id, CAST(count(*) AS INTEGER) AS turns,
             string_agg(concat(role, ': ', text), chr(10) ORDER BY turn, role, text) AS prompt
-        FROM (SELECT DISTINCT * FROM ({V.MESSAGES.sql})) GROUP BY conv_id, floor(turn / 64)""",
+        FROM ({V.MESSAGES.sql}) GROUP BY conv_id""",
+    ),
+    Query(
+        "conversation_prompt_long",
+        lambda s, d: P.conversation_text(V.JOINED_MESSAGES.frame(s, d)),
+        f"""SELECT conv_id, CAST(count(*) AS INTEGER) AS turns,
+            string_agg(concat(role, ': ', text), chr(10) ORDER BY turn, role, text) AS prompt
+        FROM ({V.JOINED_MESSAGES.sql}) GROUP BY conv_id""",
     ),
 ]

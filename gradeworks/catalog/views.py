@@ -26,6 +26,20 @@ ATTEMPTS = View(
     },
 )
 
+# The same with up to fifty passes, one of them numbered below 0, and rows without a status;
+# a failed call is text of the two-part subset and no end of its passes.
+OPEN_ATTEMPTS = View(
+    "events",
+    ATTEMPTS.columns
+    | {
+        "day": "cast(1 + floor(event_id / 8) % 5 * 6 AS int)",
+        "part": "cast(1 + floor(event_id / 40) % 2 AS int)",
+        "kpass": "cast(floor(event_id / 80) % 51 - 1 AS int)",
+        "status": f"CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 7 > 1 THEN 'wrong_output' ELSE {_STATUS} END",
+        "provider_error": "CASE WHEN event_id % 11 = 0 THEN 'no answer' END",
+    },
+)
+
 # Result rows of one flat list per model: math problems with repeated ids.
 RESULTS_MATH = View(
     "events",
@@ -50,6 +64,16 @@ USER_DAYS = View(
     },
 )
 
+# Tasks that users ask for; some have no challenge.
+ASKED_DAYS = View(
+    "events",
+    {
+        "row_no": "event_id",
+        "year": "cast(2015 + user_id % 8 AS int)",
+        "day": "cast(1 + user_id % 28 AS int)",
+    },
+)
+
 _FOLDER = (
     "concat(CASE WHEN floor(user_id / 30) % 3 = 1 THEN 'gpt-4-' ELSE 'mix-7b-' END, "
     "cast(cast(floor(user_id / 30) AS bigint) AS string))"
@@ -208,6 +232,7 @@ PART_RECORDS = [
             "year": CHALLENGES.columns["year"],
             "day": CHALLENGES.columns["day"],
             "part": f"{n}",
+            "row_no": "doc_id",
             "description": CHALLENGES.columns[f"part{n}"],
             "answer": CHALLENGES.columns[f"part{n}_solution"],
         },
@@ -269,7 +294,8 @@ RAW_DOCUMENTS = View(
     {
         "doc_id": "doc_id",
         "part": "cast(1 + doc_id % 3 AS int)",
-        "text": RAW_TEXT,
+        "text": f"CASE WHEN doc_id % 4 = 1 THEN replace({RAW_TEXT}, chr(10), concat(chr(13), chr(10))) "
+        f"WHEN doc_id % 4 = 2 THEN replace({RAW_TEXT}, ' ', chr(13)) ELSE {RAW_TEXT} END",
     },
 )
 
@@ -337,3 +363,9 @@ FINDINGS = View(
 MESSAGES = View(
     "conversations", {"conv_id": "conv_id", "turn": "turn", "role": "role", "text": "text"}
 )
+
+# Conversations run into one another, some past a hundred turns, with repeated turns.
+JOINED_MESSAGES = View(
+    "conversations",
+    MESSAGES.columns | {"conv_id": "cast(floor(conv_id / 40) AS bigint)"},
+)

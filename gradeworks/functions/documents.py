@@ -68,6 +68,18 @@ def join_lines(lines: Column) -> Column:
     return F.array_join(lines, "")
 
 
+def with_plain_line_ends(text: Column) -> Column:
+    """The text with ``\\r\\n`` and a lone ``\\r`` as newlines, as text files are read."""
+    newline = F.lit(NEWLINE)
+    return F.replace(F.replace(text, F.lit("\r\n"), newline), F.lit("\r"), newline)
+
+
+def _plain_lines(lines: Column) -> Column:
+    """Lines taken apart anew where a carriage return ends or parts them."""
+    returns = F.exists(lines, lambda line: line.contains("\r"))
+    return F.when(returns, lines_of(with_plain_line_ends(join_lines(lines)))).otherwise(lines)
+
+
 def lines_of(text: Column, close_last: bool = False) -> Column:
     """Lines of a text, each with its newline; the last one may lack it unless closed."""
 
@@ -119,7 +131,7 @@ def clean_lines(
     def cut(section: Column) -> Column:
         return F.concat(section["head"], _lines_before(section["body"], section["stop"]))
 
-    steps = [find_header, take_section, find_stop, cut]
+    steps = [_plain_lines, find_header, take_section, find_stop, cut]
     return join_lines(in_steps(lines, *steps, _without_first_blank, _without_last_blank))
 
 

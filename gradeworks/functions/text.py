@@ -37,8 +37,14 @@ def extract_code(text: Column) -> Column:
 
 
 def is_integer_text(text: Column) -> Column:
-    """True where Python's ``int(text)`` would succeed."""
-    return python_strip(text).rlike(r"(?U)\A[+-]?\d+(_\d+)*\z")
+    """True where Python's ``int(text)`` would succeed.
+
+    One run of digits and underscores is matched without a repeated group, which would
+    recurse on a long text; where underscores may stand is tested apart.
+    """
+    digits = F.regexp_replace(python_strip(text), r"\A[+-]", "")
+    misplaced = digits.startswith("_") | digits.endswith("_") | digits.contains("__")
+    return digits.rlike(r"(?U)\A[\d_]+\z") & ~misplaced
 
 
 # The search runs back from the end of the text to where its last run of digits begins.

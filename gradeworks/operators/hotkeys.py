@@ -3,8 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_GROUPS = 1000
-SPLITS = 64
+PIECE_ROWS = 1_000_000
+SENT_KEYS = 10_000
 
 
 def _same(keys: list[str], suffix: str) -> list[Column]:
@@ -19,30 +19,28 @@ def _renamed(table: DataFrame, keys: list[str], suffix: str) -> DataFrame:
 def join_group_values(
     rows: DataFrame, groups: DataFrame, keys: list[str], row_id: Column, size: str = "group_rows"
 ) -> DataFrame:
-    """Inner join of ``rows`` to ``groups`` (one row per key) that splits the largest groups.
+    """Inner join of ``rows`` to ``groups`` (one row per key) that splits large groups.
 
-    ``groups`` carries the row count of each group in ``size``. The HOT_GROUPS largest
-    groups, a fixed number whatever the table's size, are broadcast as keys. Their rows
-    spread over SPLITS partitions by a hash of ``row_id`` and their one group row is
-    repeated for each; any other group holds less than 1/HOT_GROUPS of the rows.
+    ``groups`` carries the row count of each group in ``size``. Groups of more than
+    PIECE_ROWS rows are cut into as many pieces as that takes: their rows are dealt out by a
+    hash of ``row_id``, and their one group row is repeated for each piece. The keys of these
+    groups are counted first. Without any this is a plain join; up to SENT_KEYS they are
+    broadcast, and beyond that joined like any other table.
     """
-    # Both uses of the groups read all their columns, so that the aggregate runs once.
     values = [c for c in groups.columns if c not in keys and c != size]
-    worth_splitting = F.col(size) > SPLITS
-    largest = groups.where(worth_splitting).orderBy(F.desc(size), *values).limit(HOT_GROUPS)
-    hot_keys = _renamed(largest.select(*keys, F.lit(True).alias("hot")), keys, "_hot")
-    hot = F.broadcast(hot_keys)
-    is_hot = _same(keys, "_hot")
-    spread = F.when(F.col("hot"), F.pmod(F.xxhash64(row_id), F.lit(SPLITS)).cast("int"))
-    salted_rows = rows.join(hot, is_hot, "left").select(
-        *rows.columns, F.coalesce(spread, F.lit(0)).alias("salt")
-    )
-    every_salt = F.sequence(F.lit(0), F.lit(SPLITS - 1))
-    salts = F.when(F.col("hot") & worth_splitting, every_salt)
-    salted_groups = groups.join(hot, is_hot, "left").select(
-        *keys, *values, F.explode(F.coalesce(salts, F.array(F.lit(0)))).alias("salt")
-    )
-    same_group = [*_same(keys, "_group"), F.col("salt") == F.col("salt_group")]
-    joined = salted_rows.join(_renamed(salted_groups, [*keys, "salt"], "_group"), same_group)
+    pieces = F.ceil(F.col(size) / PIECE_ROWS).cast("int")
+    large = groups.where(F.col(size) > PIECE_ROWS).select(*keys, pieces.alias("pieces"))
+    found = large.limit(SENT_KEYS + 1).count()
     others = [c for c in rows.columns if c not in keys]
-    return joined.select(*keys, *others, *values)
+    if not found:
+        matched = _renamed(groups.select(*keys, *values), keys, "_group")
+        return rows.join(matched, _same(keys, "_group")).select(*keys, *others, *values)
+    cut = _renamed(large, keys, "_cut")
+    if found <= SENT_KEYS:
+        cut = F.broadcast(cut)
+    piece = F.coalesce(F.pmod(F.xxhash64(row_id), F.col("pieces")).cast("int"), F.lit(0))
+    dealt = rows.join(cut, _same(keys, "_cut"), "left").select(*rows.columns, piece.alias("piece"))
+    every = F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1)).alias("piece")
+    repeated = _renamed(groups.select(*keys, *values, every), [*keys, "piece"], "_group")
+    same_group = [*_same(keys, "_group"), F.col("piece") == F.col("piece_group")]
+    return dealt.join(repeated, same_group).select(*keys, *others, *values)

@@ -1,9 +1,10 @@
 """Passes of a task: first pass, best of k, early stop, part gating.
 
-Attempts have columns model, year, day, part (or other task keys), ``kpass`` from 0,
-``status`` and ``row_no``, a unique row order. Of several rows for one pass the first one
-counts. A ``provider_error``, if the column is there, ends the passes of its task. Every selection is one hash aggregation over integers: no sort, no window, and a
-task that holds a third of the table is combined on the map side before the shuffle.
+Attempts have columns model, year, day, part (or other task keys), ``kpass``, ``status`` and
+``row_no``, a unique row order. Of several rows for one pass the first one counts; a pass
+without a status was made and did not succeed. Every selection combines rows per task and
+pass, then per task, in hash aggregates over integers: no sort, no window, the same for
+every k, and a task that holds a third of the table is combined before each shuffle.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -19,15 +20,21 @@ from gradeworks.functions.status import (
 from gradeworks.operators.hotkeys import join_group_values
 from gradeworks.schemas import TASK_KEYS
 
-MAX_SLOTS = 16
 SPINE_KEYS = ["model", "year", "day"]
 
 
-def _coded(attempts: DataFrame, keys: list[str]) -> DataFrame:
-    code = status_code(F.col("status"))
-    if "provider_error" in attempts.columns:
+def pass_table(attempts: DataFrame, keys: list[str] = TASK_KEYS, failed_calls: bool = False) -> DataFrame:
+    """One row per task and pass: code and row number of its first row.
+
+    With ``failed_calls`` a row with a ``provider_error`` is a failed call and has no status.
+    """
+    code = F.coalesce(status_code(F.col("status")), F.lit(0))
+    if failed_calls:
         code = F.when(F.col("provider_error").isNotNull(), FAILED_CALL_CODE).otherwise(code)
-    return attempts.select(*keys, "kpass", code.alias("code"), "row_no")
+    coded = attempts.select(*keys, "kpass", code.alias("code"), "row_no")
+    return coded.groupBy(*keys, "kpass").agg(
+        F.min_by("code", "row_no").alias("code"), F.min("row_no").alias("row_no")
+    )
 
 
 def _ends_run(code: Column) -> Column:
@@ -35,50 +42,43 @@ def _ends_run(code: Column) -> Column:
     return code.isin(OK_CODE, FAILED_CALL_CODE)
 
 
-def _slot_columns(k: int, prefix: str = "", extra: Column | None = None) -> list[Column]:
-    """Per pass j < k: the code and the row number of its first row."""
-    columns = []
-    for j in range(k):
-        here = F.col("kpass") == j if extra is None else (F.col("kpass") == j) & extra
-        order = F.when(here, F.col("row_no"))
-        columns += [
-            F.min_by("code", order).alias(f"{prefix}code{j}"),
-            F.min(order).alias(f"{prefix}row{j}"),
-        ]
-    return columns
+def _task_columns(here: Column | None = None, name: str = "") -> list[Column]:
+    """Of a task's passes that are ``here``: the first that ends the run, the last, and pass 0."""
 
+    def among(condition: Column) -> Column:
+        return F.when(condition if here is None else condition & here, F.col("kpass"))
 
-def _best_pass(k: int, prefix: str = "") -> Column:
-    """First pass that ends the run, otherwise the last one made; null without attempts."""
-    codes = [F.col(f"{prefix}code{j}") for j in range(k)]
-    ended = [F.when(_ends_run(code), j) for j, code in enumerate(codes)]
-    last = [F.when(codes[j].isNotNull(), j) for j in reversed(range(k))]
-    return F.coalesce(*ended, *last)
+    end, any_pass = among(_ends_run(F.col("code"))), among(F.lit(True))
+    start = among(F.col("kpass") == 0)
+    columns = {"end_pass": F.min(end), "last_pass": F.max(any_pass)}
+    for field in ("code", "row_no"):
+        columns[f"end_{field}"] = F.min_by(field, end)
+        columns[f"last_{field}"] = F.max_by(field, any_pass)
+        columns[f"start_{field}"] = F.min_by(field, start)
+    return [column.alias(name + key) for key, column in columns.items()]
 
 
-def _pick(k: int, name: str, passno: Column, prefix: str = "") -> Column:
-    return F.get(F.array(*[F.col(f"{prefix}{name}{j}") for j in range(k)]), passno)
+def _best(field: str, name: str = "") -> Column:
+    """Field of the first pass that ends the run, otherwise of the last one made."""
+    if field == "kpass":
+        return F.coalesce(f"{name}end_pass", f"{name}last_pass")
+    ended = F.col(f"{name}end_pass").isNotNull()
+    return F.when(ended, F.col(f"{name}end_{field}")).otherwise(F.col(f"{name}last_{field}"))
 
 
-def best_of_k(attempts: DataFrame, k: int, keys: list[str] = TASK_KEYS) -> DataFrame:
+def best_of_k(
+    attempts: DataFrame, k: int, keys: list[str] = TASK_KEYS, failed_calls: bool = False
+) -> DataFrame:
     """Per task the first success among passes below k, otherwise the last pass.
 
-    A task whose model call failed before any success has no row. Returns the keys,
-    ``kpass``, ``status`` and the ``row_no`` of the chosen attempt; long texts are joined
-    by row number where an export needs them (``attach_texts``).
+    With ``failed_calls``, a task whose model call failed before any success has no row.
+    Returns the keys, ``kpass``, ``status`` and the ``row_no`` of the chosen attempt; long
+    texts are joined by row number where an export needs them (``attach_texts``).
     """
-    coded = _coded(attempts.where(F.col("kpass") < k), keys)
-    if k > MAX_SLOTS:
-        chosen = _best_of_many(coded, keys)
-    else:
-        slots = coded.groupBy(*keys).agg(*_slot_columns(k))
-        chosen = slots.withColumn("best", _best_pass(k)).select(
-            *keys,
-            F.col("best").alias("kpass"),
-            _pick(k, "code", F.col("best")).alias("code"),
-            _pick(k, "row", F.col("best")).alias("row_no"),
-        )
-    return _named(chosen, keys)
+    passes = pass_table(attempts.where(F.col("kpass") < k), keys, failed_calls)
+    tasks = passes.groupBy(*keys).agg(*_task_columns())
+    fields = [_best(field).alias(field) for field in ("kpass", "code", "row_no")]
+    return _named(tasks.select(*keys, *fields), keys)
 
 
 def _named(chosen: DataFrame, keys: list[str]) -> DataFrame:
@@ -87,43 +87,17 @@ def _named(chosen: DataFrame, keys: list[str]) -> DataFrame:
     return graded.select(*keys, "kpass", status_name(F.col("code")).alias("status"), "row_no")
 
 
-def _best_of_many(coded: DataFrame, keys: list[str]) -> DataFrame:
-    """The same for a k too large for one column per pass: first per pass, then per task."""
-    passes = coded.groupBy(*keys, "kpass").agg(
-        F.min_by("code", "row_no").alias("code"), F.min("row_no").alias("row_no")
-    )
-    end = F.when(_ends_run(F.col("code")), F.col("kpass"))
-    tasks = passes.groupBy(*keys).agg(
-        F.min(end).alias("end_pass"),
-        F.min_by("code", end).alias("end_code"),
-        F.min_by("row_no", end).alias("end_row"),
-        F.max("kpass").alias("last_pass"),
-        F.max_by("code", "kpass").alias("last_code"),
-        F.max_by("row_no", "kpass").alias("last_row"),
-    )
-    ended = F.col("end_pass").isNotNull()
-    return tasks.select(
-        *keys,
-        F.coalesce("end_pass", "last_pass").alias("kpass"),
-        F.when(ended, F.col("end_code")).otherwise(F.col("last_code")).alias("code"),
-        F.when(ended, F.col("end_row")).otherwise(F.col("last_row")).alias("row_no"),
-    )
-
-
 def first_pass(
-    attempts: DataFrame, keys: list[str] = TASK_KEYS, numbering: str = "exact"
+    attempts: DataFrame,
+    keys: list[str] = TASK_KEYS,
+    numbering: str = "exact",
+    failed_calls: bool = False,
 ) -> DataFrame:
     """The first pass of each task: pass 0, or with ``numbering='gaps'`` the lowest one."""
-    if numbering == "exact":
-        return best_of_k(attempts, 1, keys)
-    if numbering != "gaps":
+    if numbering not in ("exact", "gaps"):
         raise ValueError(f"unknown numbering {numbering}")
-    passes = (
-        _coded(attempts, keys)
-        .groupBy(*keys, "kpass")
-        .agg(F.min_by("code", "row_no").alias("code"), F.min("row_no").alias("row_no"))
-    )
-    tasks = passes.groupBy(*keys).agg(
+    made = attempts.where(F.col("kpass") == 0) if numbering == "exact" else attempts
+    tasks = pass_table(made, keys, failed_calls).groupBy(*keys).agg(
         F.min("kpass").alias("kpass"),
         F.min_by("code", "kpass").alias("code"),
         F.min_by("row_no", "kpass").alias("row_no"),
@@ -144,15 +118,10 @@ def early_stop(attempts: DataFrame, keys: list[str] = TASK_KEYS) -> DataFrame:
     return joined.where(F.col("stop_pass").isNull() | (F.col("kpass") <= F.col("stop_pass")))
 
 
-def pass_slots(attempts: DataFrame, k: int) -> DataFrame:
-    """One row per (model, year, day) with code and row of each pass of both parts."""
-    if k > MAX_SLOTS:
-        raise ValueError(f"k above {MAX_SLOTS} is not supported here")
-    coded = _coded(attempts.where(F.col("kpass") < k), TASK_KEYS)
-    return coded.groupBy(*SPINE_KEYS).agg(
-        *_slot_columns(k, "p1_", F.col("part") == 1),
-        *_slot_columns(k, "p2_", F.col("part") == 2),
-    )
+def day_table(passes: DataFrame) -> DataFrame:
+    """One row per (model, year, day) with what counts of the passes of both parts."""
+    parts = [_task_columns(F.col("part") == part, f"p{part}_") for part in (1, 2)]
+    return passes.groupBy(*SPINE_KEYS).agg(*parts[0], *parts[1])
 
 
 def _result_row(k: int, passno: Column, code: Column, row_no: Column, part: int = 0) -> Column:
@@ -174,43 +143,41 @@ def _as_rows(groups: DataFrame, keys: list[str], *rows: Column) -> DataFrame:
     return made.select(*keys, "row.part", "row.kpass", status, "row.row_no", "row.k")
 
 
-def _with_best(days: DataFrame, k: int) -> DataFrame:
-    return days.withColumns({"best1": _best_pass(k, "p1_"), "best2": _best_pass(k, "p2_")})
-
-
 def _gated_rows(k: int) -> list[Column]:
-    """Best-of-k rows of a day with ``best1`` and ``best2``, part 2 gated by part 1."""
-    picked = {
-        part: [
-            _pick(k, name, F.col(f"best{part}"), f"p{part}_") for name in ("code", "row")
-        ]
+    """Best-of-k rows of a day, part 2 gated by part 1."""
+    code1 = _best("code", "p1_")
+    part1, made2 = (
+        _result_row(k, *[_best(f, f"p{part}_") for f in ("kpass", "code", "row_no")], part=part)
         for part in (1, 2)
-    }
-    part1 = _result_row(k, F.col("best1"), *picked[1], part=1)
-    made2 = _result_row(k, F.col("best2"), *picked[2], part=2)
+    )
     nothing = F.lit(None)
     blocked = _result_row(k, nothing, status_code(F.lit(PART1_FAILED)), nothing, part=2)
-    code1 = picked[1][0]
     part2 = F.when(code1 != OK_CODE, blocked).when(
         code1.isNotNull() & (F.col("day") != LAST_DAY), made2
     )
     return [part1, part2]
 
 
-def _first_rows(k: int, gate: str) -> list[Column]:
+def _first_rows(gate: str) -> list[Column]:
     """First-pass rows of a day; part 2 has one if the gate is open."""
     if gate not in ("k", "1"):
         raise ValueError(f"unknown gate {gate}")
-    solved = [F.col(f"p1_code{j}") == OK_CODE for j in range(k if gate == "k" else 1)]
-    is_open = F.coalesce(*[F.when(s, F.lit(True)) for s in solved], F.lit(False))
-    part1 = _result_row(1, F.lit(0), F.col("p1_code0"), F.col("p1_row0"), part=1)
-    part2 = _result_row(1, F.lit(0), F.col("p2_code0"), F.col("p2_row0"), part=2)
-    return [part1, F.when(is_open & (F.col("day") != LAST_DAY), part2)]
+    solved = (_best("code", "p1_") if gate == "k" else F.col("p1_start_code")) == OK_CODE
+    part1, part2 = (
+        _result_row(1, F.lit(0), F.col(f"p{part}_start_code"), F.col(f"p{part}_start_row_no"), part)
+        for part in (1, 2)
+    )
+    is_open = F.coalesce(solved, F.lit(False)) & (F.col("day") != LAST_DAY)
+    return [part1, F.when(is_open, part2)]
+
 
+def gated_from_passes(passes: DataFrame, k: int) -> DataFrame:
+    """Best-of-k results with part gating from the passes below k (``pass_table``)."""
+    return _as_rows(day_table(passes), SPINE_KEYS, *_gated_rows(k)).drop("k")
 
-def gated_from_slots(slots: DataFrame, k: int) -> DataFrame:
-    """Best-of-k results with part gating from pass slots of both parts."""
-    return _as_rows(_with_best(slots, k), SPINE_KEYS, *_gated_rows(k)).drop("k")
+
+def _passes_below(attempts: DataFrame, k: int) -> DataFrame:
+    return pass_table(attempts.where(F.col("kpass") < k))
 
 
 def part_gating(attempts: DataFrame, k: int) -> DataFrame:
@@ -219,7 +186,7 @@ def part_gating(attempts: DataFrame, k: int) -> DataFrame:
     Otherwise part 2 is one ``part1_failed`` row without pass and row number, whether or
     not part 2 was attempted. The last day has no attempted part 2.
     """
-    return gated_from_slots(pass_slots(attempts, k), k)
+    return gated_from_passes(_passes_below(attempts, k), k)
 
 
 def first_pass_gated(attempts: DataFrame, k: int, gate: str = "k") -> DataFrame:
@@ -227,7 +194,8 @@ def first_pass_gated(attempts: DataFrame, k: int, gate: str = "k") -> DataFrame:
 
     With ``gate='1'`` part 1 must have been solved by its own first pass.
     """
-    return _as_rows(pass_slots(attempts, k), SPINE_KEYS, *_first_rows(k, gate)).drop("k")
+    days = day_table(_passes_below(attempts, k))
+    return _as_rows(days, SPINE_KEYS, *_first_rows(gate)).drop("k")
 
 
 def both_lists(attempts: DataFrame, k: int, gate: str = "k") -> DataFrame:
@@ -236,21 +204,22 @@ def both_lists(attempts: DataFrame, k: int, gate: str = "k") -> DataFrame:
     The attempts, however costly to grade, are read once for both. With k = 1 there is
     one list.
     """
-    days = _with_best(pass_slots(attempts, k), k)
-    rows = _gated_rows(k) + (_first_rows(k, gate) if k > 1 else [])
+    days = day_table(_passes_below(attempts, k))
+    rows = _gated_rows(k) + (_first_rows(gate) if k > 1 else [])
     return _as_rows(days, SPINE_KEYS, *rows)
 
 
-def both_flat_lists(attempts: DataFrame, k: int, keys: list[str]) -> DataFrame:
-    """The same for tasks without parts."""
-    coded = _coded(attempts.where(F.col("kpass") < k), keys)
-    slots = coded.groupBy(*keys).agg(*_slot_columns(k)).withColumn("best", _best_pass(k))
-    best = [_pick(k, name, F.col("best")) for name in ("code", "row")]
-    rows = [_result_row(k, F.col("best"), *best)]
+def both_flat_lists(
+    attempts: DataFrame, k: int, keys: list[str], failed_calls: bool = True
+) -> DataFrame:
+    """The same for tasks without parts, whose attempts may be failed calls."""
+    passes = pass_table(attempts.where(F.col("kpass") < k), keys, failed_calls)
+    tasks = passes.groupBy(*keys).agg(*_task_columns())
+    rows = [_result_row(k, *[_best(field) for field in ("kpass", "code", "row_no")])]
     if k > 1:
-        rows.append(_result_row(1, F.lit(0), F.col("code0"), F.col("row0")))
+        rows.append(_result_row(1, F.lit(0), F.col("start_code"), F.col("start_row_no")))
     made = [F.when(row["code"] != FAILED_CALL_CODE, row) for row in rows]
-    return _as_rows(slots, keys, *made).drop("part")
+    return _as_rows(tasks, keys, *made).drop("part")
 
 
 def combine_results(*tables: DataFrame) -> DataFrame:

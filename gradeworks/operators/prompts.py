@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from gradeworks.fixed_values import (
     CONVERSION,
+    LAST_DAY,
     MATH_INSTRUCTION,
+    NO_ERROR,
     PART1_INSTRUCTION,
     PART2_INSTRUCTION,
     RESULT_EXTRACTION,
@@ -14,8 +16,6 @@ from gradeworks.fixed_values import (
 )
 from gradeworks.functions.prompts import message, render_template
 
-SEGMENT_TURNS = 64
-
 
 def math_prompt(title: Column, description: Column) -> Column:
     """Instruction prompt of a math problem."""
@@ -73,30 +73,27 @@ def pass_history(description: Column, response: Column) -> Column:
 def part2_prompts(part1_results: DataFrame, generations: DataFrame) -> DataFrame:
     """Part-2 messages of each task, continuing the last executed pass of part 1.
 
-    ``part1_results`` names that pass by ``row_no`` (``best_of_k``); ``generations`` has
-    row_no, description and response. The match is on a unique number, and a history is
-    two columns of one row, so nothing is gathered per task.
+    Part 2 is attempted where part 1 was solved, on every day but the last.
+    ``part1_results`` has day and status and names that pass by ``row_no`` (``best_of_k``);
+    ``generations`` has row_no, description and response. The match is on a unique number,
+    and a history is two columns of one row, so nothing is gathered per task.
     """
+    due = part1_results.where((F.col("status") == NO_ERROR) & (F.col("day") != LAST_DAY))
     executed = generations.select("row_no", "description", "response")
-    joined = part1_results.join(executed, "row_no")
+    joined = due.join(executed, "row_no")
     history = pass_history(F.col("description"), F.col("response"))
     return joined.withColumn("messages", chat_part2(history)).drop("description", "response")
 
 
-def conversation_text(
-    messages: DataFrame, key: str = "conv_id", segment_turns: int = SEGMENT_TURNS
-) -> DataFrame:
-    """Conversations as text: messages in turn order, ``role: text`` per line.
+def conversation_text(messages: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Conversations as text: all messages in turn order, ``role: text`` per line.
 
-    A row holds the turns of one segment, so no group outgrows a task however long a
-    conversation is; up to ``segment_turns`` turns a conversation is a single row. A turn
-    is one message: exact copies of it are one, already before the shuffle.
+    A conversation is one prompt, so its messages meet in one row; a message that is there
+    twice is in the prompt twice. Messages without a turn come first.
     """
-    segment = F.floor(F.col("turn") / segment_turns).alias("segment")
-    grouped = messages.groupBy(key, segment).agg(
-        F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns")
-    )
+    turn = F.struct("turn", "role", "text")
+    grouped = messages.groupBy(key).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     lines = F.transform("turns", lambda m: F.concat(m["role"], F.lit(": "), m["text"]))
     return grouped.select(
-        key, "segment", F.size("turns").alias("turns"), F.array_join(lines, "\n").alias("prompt")
+        key, F.size("turns").alias("turns"), F.array_join(lines, "\n").alias("prompt")
     )

@@ -17,22 +17,12 @@ from gradeworks.schemas import DOC_KEYS
 
 
 @dataclass(frozen=True)
-class TaskRange:
-    """Years and days of a run, both ends included, and whether part 2 takes part."""
+class TaskSpan:
+    """What a run covers: first and last year, first and last day, and the parts."""
 
-    year_begin: int = FIRST_YEAR
-    year_end: int = LAST_YEAR
-    day_begin: int = FIRST_DAY
-    day_end: int = LAST_DAY
-    only_part_one: bool = False
-
-    @classmethod
-    def one_year(cls, year: int, only_part_one: bool = False) -> "TaskRange":
-        return cls(year, year, only_part_one=only_part_one)
-
-    @classmethod
-    def one_day(cls, year: int, day: int, only_part_one: bool = False) -> "TaskRange":
-        return cls(year, year, day, day, only_part_one)
+    years: tuple[int, int] = (FIRST_YEAR, LAST_YEAR)
+    days: tuple[int, int] = (FIRST_DAY, LAST_DAY)
+    parts: tuple[int, ...] = (1, 2)
 
 
 def flatten_parts(nested: DataFrame) -> DataFrame:
@@ -73,13 +63,10 @@ def parts_as_rows(challenges: DataFrame) -> DataFrame:
     return challenges.select(*DOC_KEYS, F.inline(F.array(part(1), part(2))))
 
 
-def in_range(tasks: DataFrame, wanted: TaskRange) -> DataFrame:
+def in_range(tasks: DataFrame, wanted: TaskSpan) -> DataFrame:
     """Tasks of the wanted years, days and parts."""
-    kept = tasks.where(
-        F.col("year").between(wanted.year_begin, wanted.year_end)
-        & F.col("day").between(wanted.day_begin, wanted.day_end)
-    )
-    return only_part_one(kept) if wanted.only_part_one else kept
+    kept = tasks.where(F.col("year").between(*wanted.years) & F.col("day").between(*wanted.days))
+    return kept if 2 in wanted.parts else only_part_one(kept)
 
 
 def only_part_one(tasks: DataFrame) -> DataFrame:
@@ -134,23 +121,35 @@ def key_violations(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def look_up(tasks: DataFrame, challenges: DataFrame) -> DataFrame:
-    """Each task row with the challenge of its (year, day)."""
-    return tasks.join(challenges, DOC_KEYS, "inner")
+    """Each task row with the challenge of its (year, day), nulls where there is none.
+
+    The challenges are the small side; adaptive execution sends them to the tasks where they
+    stay below its threshold, and splits the tasks of a hot (year, day) otherwise.
+    """
+    return tasks.join(challenges, DOC_KEYS, "left")
+
+
+def look_up_faults(tasks: DataFrame, challenges: DataFrame) -> DataFrame:
+    """(year, day) of tasks that do not have exactly one challenge: their tasks and challenges."""
+    asked = tasks.groupBy(*DOC_KEYS).agg(F.count("*").alias("tasks"))
+    known = challenges.groupBy(*DOC_KEYS).agg(F.count("*").alias("challenges"))
+    counted = asked.join(known, DOC_KEYS, "left").fillna(0, ["challenges"])
+    return counted.where("challenges <> 1")
 
 
 def missing_keys(
-    spark: SparkSession, challenges: DataFrame, wanted: TaskRange = TaskRange()
+    spark: SparkSession, challenges: DataFrame, wanted: TaskSpan = TaskSpan()
 ) -> DataFrame:
     """(year, day) pairs a run would ask for and the corpus lacks.
 
     A run asks for each year of the corpus with each day of the corpus, within the range.
     The calendar comes from the range alone, so its size is known before the data is read.
     """
-    years = wanted.year_end - wanted.year_begin + 1
-    days = wanted.day_end - wanted.day_begin + 1
+    (first_year, last_year), (first_day, last_day) = wanted.years, wanted.days
+    years, days = last_year - first_year + 1, last_day - first_day + 1
     calendar = spark.range(years * days).select(
-        (F.lit(wanted.year_begin) + F.floor(F.col("id") / days)).cast("int").alias("year"),
-        (F.lit(wanted.day_begin) + F.col("id") % days).cast("int").alias("day"),
+        (F.lit(first_year) + F.floor(F.col("id") / days)).cast("int").alias("year"),
+        (F.lit(first_day) + F.col("id") % days).cast("int").alias("day"),
     )
     # Without these two filters the three uses below would differ in what they read, and
     # each would run the aggregate anew.
@@ -188,8 +187,9 @@ def backfill_descriptions(challenges: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def failures_only(results: DataFrame) -> DataFrame:
-    """Rows of failed attempts: neither solved nor blocked by part 1."""
-    return results.where(~F.col("status").isin(NO_ERROR, PART1_FAILED))
+    """Rows of failed attempts: neither solved nor blocked by part 1. No status is a failure."""
+    settled = F.coalesce(F.col("status").isin(NO_ERROR, PART1_FAILED), F.lit(False))
+    return results.where(~settled)
 
 
 def ordered_tasks(tasks: DataFrame, *keys: str) -> DataFrame:
@@ -197,15 +197,18 @@ def ordered_tasks(tasks: DataFrame, *keys: str) -> DataFrame:
     return tasks.orderBy(*(keys or DOC_KEYS))
 
 
-def assemble_challenges(parts: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
+def assemble_challenges(
+    parts: DataFrame, inputs: DataFrame | None = None, order: str = "row_no"
+) -> DataFrame:
     """Nested challenge records from rows (year, day, part, description, answer).
 
-    Copies of a part are combined before the shuffle. ``inputs`` adds (year, day, input).
+    Of several copies of a part the last one by ``order`` counts; they are combined before
+    the shuffle. ``inputs`` adds (year, day, input).
     """
 
     def part(n: int) -> Column:
         record = F.struct("description", "answer")
-        return F.max(F.when(F.col("part") == n, record)).alias(f"part{n}")
+        return F.max_by(record, F.when(F.col("part") == n, F.col(order))).alias(f"part{n}")
 
     nested = parts.groupBy(*DOC_KEYS).agg(part(1), part(2))
     return nested if inputs is None else nested.join(inputs, DOC_KEYS, "left")

@@ -10,8 +10,8 @@ from gradeworks.operators.passes import (
     attach_texts,
     both_flat_lists,
     both_lists,
-    gated_from_slots,
-    pass_slots,
+    gated_from_passes,
+    pass_table,
 )
 from gradeworks.operators.reports import accuracy_from_codes
 from gradeworks.operators.tasks import drop_final_part2
@@ -66,13 +66,13 @@ def with_texts(results: DataFrame, attempts: DataFrame, challenges_by_part: Data
     )
 
 
-def accuracy_from_slots(slots: DataFrame, k: int) -> DataFrame:
-    """Two-part accuracy per model from the pass slots of its tasks (``pass_slots``)."""
-    results = drop_final_part2(gated_from_slots(slots, k))
+def accuracy_from_passes(passes: DataFrame, k: int) -> DataFrame:
+    """Two-part accuracy per model from the passes below k of its tasks (``pass_table``)."""
+    results = drop_final_part2(gated_from_passes(passes, k))
     codes = results.withColumn("code", status_code(F.col("status")))
     return accuracy_from_codes(codes, ["model"])
 
 
 def best_of_k_accuracy(attempts: DataFrame, k: int) -> DataFrame:
     """Accuracy per model, overall and by part, best of k with part gating."""
-    return accuracy_from_slots(pass_slots(attempts, k), k)
+    return accuracy_from_passes(pass_table(attempts.where(F.col("kpass") < k)), k)

@@ -1,7 +1,5 @@
 """Where written tables and checkpoints go: the shared folder the session names."""
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -9,22 +7,19 @@ from pyspark.sql import SparkSession
 FOLDER_SETTING = "spark.checkpoint.dir"
 
 
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="gradeworks-")
-
-
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting; it then gets a temporary folder.
+    Only a local session may go without the setting; its warehouse folder then serves.
     """
     folder = spark.conf.get(FOLDER_SETTING, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {FOLDER_SETTING} to a folder all executors share")
-    return _local_folder()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {FOLDER_SETTING} to a folder all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+    if folder.startswith("file:/") and not folder.startswith("file://"):
+        folder = folder.replace("file:/", "file:///", 1)
+    return folder.rstrip("/")
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:

@@ -3,12 +3,15 @@
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from gradeworks.operators.grading import with_grade, with_printed
+from gradeworks.operators.grading import mark_timeouts, with_grade, with_printed
 
 
 def graded(runs: DataFrame, integer_guard: bool = False) -> DataFrame:
-    """Adds status and output to runs (batch or stream) that carry ``second_text``."""
-    return with_grade(with_printed(runs), integer_guard)
+    """Adds status and output to runs (batch or stream) that carry ``second_text``.
+
+    Runs over the time limit count as timeouts, as in the batch plan.
+    """
+    return with_grade(with_printed(mark_timeouts(runs)), integer_guard)
 
 
 def start_grading(

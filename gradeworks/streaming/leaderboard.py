@@ -1,10 +1,11 @@
 """Running leaderboard over a stream of graded attempts."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gradeworks.operators.passes import pass_slots
-from gradeworks.plans.evaluation import accuracy_from_slots
+from gradeworks.operators.passes import pass_table
+from gradeworks.plans.evaluation import accuracy_from_passes
 
 
 def start_leaderboard(
@@ -12,20 +13,29 @@ def start_leaderboard(
 ) -> StreamingQuery:
     """Keeps the best-of-k accuracy per model up to date as attempts arrive.
 
-    The state is the streaming aggregate itself: one row of integers per (model, year,
-    day), so a late earlier pass changes the verdict as it would in batch, and a repeated
-    attempt changes nothing. Each trigger replaces the report as a whole, so a batch that
-    runs again after a failure leaves the same table.
+    The state is the streaming aggregate itself: one row of integers per task and pass, so a
+    late earlier pass changes the verdict as it would in batch, and a repeated attempt
+    changes nothing. Each trigger writes a new version, ``version=<batch>``, below
+    ``output``, so a reader of the version before is not disturbed; a batch that runs again
+    after a failure writes the same version again.
     """
 
-    def publish(slots: DataFrame, _batch_id: int) -> None:
-        accuracy_from_slots(slots, k).write.mode("overwrite").parquet(output)
+    def publish(passes: DataFrame, batch_id: int) -> None:
+        version = f"{output}/version={batch_id:010d}"
+        accuracy_from_passes(passes, k).write.mode("overwrite").parquet(version)
 
     return (
-        pass_slots(attempts, k)
+        pass_table(attempts.where(F.col("kpass") < k))
         .writeStream.outputMode("complete")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(publish)
         .start()
     )
+
+
+def read_leaderboard(spark: SparkSession, output: str) -> DataFrame:
+    """The newest version of the report that was written to its end."""
+    versions = spark.read.parquet(output)
+    newest = versions.agg(F.max("version").alias("newest"))
+    return versions.join(F.broadcast(newest), F.col("version") == F.col("newest")).drop("version", "newest")

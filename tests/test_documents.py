@@ -23,6 +23,8 @@ LINES = [
     "twice Your puzzle answer was Your puzzle answer was `a`",
     "x \\--- not a header",
     "cr\rinside\u2028line",
+    "ends in cr\r",
+    "\r",
 ]
 
 
@@ -41,7 +43,7 @@ def lines_of(text):
 
 
 def cleaned(text, header, keep_header):
-    lines = lines_of(text)
+    lines = lines_of(text.replace("\r\n", "\n").replace("\r", "\n"))
     starts = [i for i, line in enumerate(lines) if line.startswith(header)]
     if not starts:
         return ""

@@ -28,12 +28,12 @@ def test_reports_do_not_read_texts(spark):
 
 
 def test_range_filters_reach_the_scan(spark, tmp_path):
-    from gradeworks.operators.tasks import TaskRange, in_range
+    from gradeworks.operators.tasks import TaskSpan, in_range
 
     rows = spark.createDataFrame([(2015, 1, 1, "x"), (2016, 2, 1, "y")],
                                  "year int, day int, part int, text string")
     rows.write.partitionBy("year").parquet(str(tmp_path / "t"))
-    found = in_range(spark.read.parquet(str(tmp_path / "t")), TaskRange.one_day(2016, 2))
+    found = in_range(spark.read.parquet(str(tmp_path / "t")), TaskSpan((2016, 2016), (2, 2)))
     plan = found.select("part")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan
     assert "GreaterThanOrEqual(day,2)" in plan or "EqualTo(day,2)" in plan

@@ -49,20 +49,19 @@ def test_chat_messages(spark):
 def test_part2_continues_the_last_executed_pass(frame):
     generations = frame([(1, "D", "first"), (2, "D", "second")],
                         "row_no long, description string, response string")
-    chosen = frame([("m", 2)], "model string, row_no long")
-    row = P.part2_prompts(chosen, generations).first()
-    assert [m.text for m in row.messages][1:3] == ["D", "second"]
-
-
-def test_conversations_are_whole_in_segments(frame):
-    rows = [(1, t, "user", f"x{t}") for t in range(7)] * 2 + [(2, 0, "ai", "y")]
-    found = P.conversation_text(
-        frame(rows, "conv_id int, turn int, role string, text string"), segment_turns=3
-    )
-    texts = {(r.conv_id, r.segment): r.prompt for r in found.collect()}
+    rows = [("m", 3, "no_error", 2), ("m", 25, "no_error", 1), ("m", 4, "wrong_output", 1), ("m", 5, None, 1)]
+    chosen = frame(rows, "model string, day int, status string, row_no long")
+    found = P.part2_prompts(chosen, generations).collect()
+    assert [[m.text for m in row.messages][1:3] for row in found] == [["D", "second"]]
+
+
+def test_conversations_are_whole(frame):
+    rows = [(1, t, "user", f"x{t}") for t in range(200)] + [(1, 5, "user", "x5"), (1, None, "system", "s")]
+    rows.append((2, 0, "ai", "y"))
+    found = P.conversation_text(frame(rows, "conv_id int, turn int, role string, text string"))
+    texts = {r.conv_id: (r.turns, r.prompt) for r in found.collect()}
+    turns = sorted([*range(200), 5])
     assert texts == {
-        (1, 0): "user: x0\nuser: x1\nuser: x2",
-        (1, 1): "user: x3\nuser: x4\nuser: x5",
-        (1, 2): "user: x6",
-        (2, 0): "ai: y",
+        1: (202, "\n".join(["system: s", *(f"user: x{t}" for t in turns)])),
+        2: (1, "ai: y"),
     }

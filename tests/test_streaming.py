@@ -4,16 +4,16 @@ import random
 
 from gradeworks.plans.evaluation import best_of_k_accuracy
 from gradeworks.streaming.grading import graded, start_grading
-from gradeworks.streaming.leaderboard import start_leaderboard
+from gradeworks.streaming.leaderboard import read_leaderboard, start_leaderboard
 from test_passes import SCHEMA, random_attempts
 
-RUNS = "row_no long, stdout string, stderr string, solution string, second_text string"
+RUNS = "row_no long, stdout string, stderr string, solution string, second_text string, duration_s double"
 
 
 def some_runs(first, last):
     rng = random.Random(first)
     return [(i, rng.choice(["5", "6", "x"]), rng.choice(["", "SyntaxError: y"]), "5",
-             rng.choice([None, "5"])) for i in range(first, last)]
+             rng.choice([None, "5"]), rng.choice([1.0, 61.0])) for i in range(first, last)]
 
 
 def test_each_file_is_graded_once(spark, frame, tmp_path):
@@ -50,5 +50,5 @@ def test_leaderboard_equals_batch_with_late_and_repeated_attempts(spark, frame,
         start_leaderboard(stream, 3, out, state).awaitTermination()
         so_far = [r for b in batches[: number + 1] for r in b]
         expected = best_of_k_accuracy(frame(so_far, SCHEMA), 3)
-        found = spark.read.parquet(out).select(*expected.columns)
+        found = read_leaderboard(spark, out).select(*expected.columns)
         assert sorted(found.collect()) == sorted(expected.collect())

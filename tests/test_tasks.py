@@ -25,10 +25,10 @@ def days(table):
 
 def test_ranges(frame):
     rows = frame([(2015, 1, 1), (2015, 1, 2), (2022, 25, 1), (2023, 1, 1)], DAYS)
-    assert days(T.in_range(rows, T.TaskRange())) == [(2015, 1), (2015, 1), (2022, 25)]
-    assert days(T.in_range(rows, T.TaskRange.one_year(2022))) == [(2022, 25)]
-    assert days(T.in_range(rows, T.TaskRange.one_day(2015, 1, only_part_one=True))) == [(2015, 1)]
-    assert T.TaskRange.one_year(2016).day_end == 25
+    assert days(T.in_range(rows, T.TaskSpan())) == [(2015, 1), (2015, 1), (2022, 25)]
+    assert days(T.in_range(rows, T.TaskSpan(years=(2022, 2022)))) == [(2022, 25)]
+    assert days(T.in_range(rows, T.TaskSpan((2015, 2015), (1, 1), parts=(1,)))) == [(2015, 1)]
+    assert T.TaskSpan(years=(2016, 2016)).days == (1, 25)
 
 
 def test_final_part2_is_dropped_null_safely(frame):
@@ -72,7 +72,7 @@ def test_keys(frame, spark):
     assert T.key_violations(corpus, ["year", "day"]).count() == 0
     assert T.key_violations(corpus, ["year"]).first().rows == 2
     assert days(T.missing_keys(spark, corpus)) == [(2015, 25), (2017, 1), (2017, 2)]
-    assert days(T.missing_keys(spark, corpus, T.TaskRange(2015, 2015, 1, 24))) == []
+    assert days(T.missing_keys(spark, corpus, T.TaskSpan((2015, 2015), (1, 24)))) == []
     found = T.look_up(frame([(2015, 2, 1)], DAYS), corpus).collect()
     assert [r.part1_solution for r in found] == ["3"]
 
@@ -95,9 +95,9 @@ def test_refreshed_corpus(frame):
 
 
 def test_assembled_records(frame):
-    parts = frame([(2015, 1, 1, "a", "01"), (2015, 1, 2, "b", "2"), (2015, 2, 1, "c", "3"),
-                   (2015, 2, 1, "c", "3")],
-                  "year int, day int, part int, description string, answer string")
+    parts = frame([(2015, 1, 1, 9, "a", "01"), (2015, 1, 1, 5, "z", "99"), (2015, 1, 2, 1, "b", "2"),
+                   (2015, 2, 1, 2, "c", "3"), (2015, 2, 1, 2, "c", "3")],
+                  "year int, day int, part int, row_no int, description string, answer string")
     inputs = frame([(2015, 1, "in")], "year int, day int, input string")
     found = {r.day: json.loads(r.j) for r in T.assemble_challenges(parts, inputs).select(
         "day", F.to_json(F.struct("year", "day", "part1", "part2", "input")).alias("j")).collect()}
@@ -110,8 +110,17 @@ def test_assembled_records(frame):
 
 
 def test_failures_only(frame):
-    rows = frame([("no_error",), ("part1_failed",), ("no_output",)], "status string")
-    assert [r.status for r in T.failures_only(rows).collect()] == ["no_output"]
+    rows = frame([("no_error",), ("part1_failed",), ("no_output",), (None,)], "status string")
+    assert [r.status for r in T.failures_only(rows).collect()] == ["no_output", None]
+
+
+def test_tasks_without_one_challenge(frame):
+    tasks = frame([(2015, 1), (2015, 1), (2015, 2), (2015, 3)], "year int, day int")
+    challenges = frame([(2015, 1, "a"), (2015, 2, "b"), (2015, 2, "c")], "year int, day int, text string")
+    looked = [(r.day, r.text) for r in T.look_up(tasks, challenges).collect()]
+    assert sorted(looked, key=str) == [(1, "a"), (1, "a"), (2, "b"), (2, "c"), (3, None)]
+    faults = {(r.day, r.tasks, r.challenges) for r in T.look_up_faults(tasks, challenges).collect()}
+    assert faults == {(2, 1, 2), (3, 1, 0)}
 
 
 def test_run_order(frame):

@@ -19,27 +19,44 @@ from gradeworks.functions.text import (
 
 
 
-def python_code(text):
-    found = re.findall(r"```python(.*?)```", text, re.DOTALL)
-    return "\n".join(found or re.findall(r"```(.*?)```", text, re.DOTALL))
+def fenced(text, opening):
+    """What stands between an opening and the next fence, from left to right."""
+    bodies = []
+    while (start := text.find(opening)) >= 0:
+        rest = text[start + len(opening) :]
+        end = rest.find("```")
+        if end < 0:
+            break
+        bodies.append(rest[:end])
+        text = rest[end + 3 :]
+    return bodies
 
 
 def test_extract_code(evaluate):
-    texts = [
-        "a ```python\nx=1\n``` b ```python\ny=2``` c",
-        "```js\nx```",
-        "no fence",
-        "```python unclosed",
-        "```plain``` then ```python\nz```",
-        "``````python a``` ```",
-        "",
-        "```python3\nq```",
-    ]
+    cases = {
+        "a ```python\nx=1\n``` b ```python\ny=2``` c": "\nx=1\n\n\ny=2",
+        "```js\nx```": "js\nx",
+        "no fence": "",
+        "```python unclosed": "",
+        "```plain``` then ```python\nz```": "\nz",
+        "": "",
+        "```python3\nq```": "3\nq",
+    }
+    assert evaluate(extract_code, list(cases)) == list(cases.values())
+    assert evaluate(extract_code, [None]) == [None]
+
+
+def test_extract_code_of_random_fences(evaluate):
     pieces = ["```", "```python", "\n", "x = 1", " ", "``", "`"]
     rng = random.Random(1)
-    texts += ["".join(rng.choices(pieces, k=12)) for _ in range(300)]
-    assert evaluate(extract_code, texts) == [python_code(t) for t in texts]
-    assert evaluate(extract_code, [None]) == [None]
+    texts = ["".join(rng.choices(pieces, k=12)) for _ in range(300)]
+    wanted = ["\n".join(fenced(t, "```python") or fenced(t, "```")) for t in texts]
+    assert evaluate(extract_code, texts) == wanted
+
+
+def test_a_long_integer_text_does_not_recurse(evaluate):
+    texts = ["1" + "_1" * 20_000, "9" * 50_000, "1" + "_1" * 20_000 + "_", "_1", "1__1", "+1_0", "+-1", "+", "_", ""]
+    assert evaluate(is_integer_text, texts) == [True, True, False, False, False, True, False, False, False, False]
 
 
 def test_strip_removes_all_python_whitespace(evaluate):
