@@ -1,0 +1,72 @@
+import pytest
+
+from gradeworks.llm import language_id as li
+from llm.support import fold, order, read_rows
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def has_letters(text):
+    return any(c.isalpha() for c in text or "")
+
+
+def test_held_out_accuracy(spark, tables):
+    folder = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.lang for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    found = li.op5_language_id(spark, folder)
+    assert found.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"]
+    rows = found.collect()
+    assert len(rows) == len(labels)
+    tested = [r for r in rows if r.held_out]
+    assert all(r.held_out == (fold(r.doc_id, 5) == 0) and 0 <= r.score <= 1 for r in rows)
+    assert sum(r.lang_pred == labels[r.doc_id] for r in tested) >= 0.98 * len(tested)
+    assert not any(r.rejected for r in rows)
+
+
+def test_labels_of_the_held_out_fold_are_not_read(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    wrong = docs.withColumn("lang", li.F.when(li.held_out(docs.doc_id), "zz").otherwise(docs.lang))
+    wrong.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(li.op5_language_id(spark, str(tmp_path)).collect()) == sorted(li.op5_language_id(spark, SMALL).collect())
+
+
+def test_edge_rows(spark, edge_folder):
+    found = li.op5_language_id(spark, edge_folder).collect()
+    rows = read_rows(edge_folder)
+    assert sorted(order((r.doc_id,)) for r in found) == sorted(order((i,)) for i, _ in rows)
+    bare = {i for i, t in rows if not has_letters(t)} - {None}
+    for r in found:
+        if r.doc_id is not None:
+            assert (r.lang_pred == "und") == (r.doc_id in bare)
+        if r.lang_pred == "und":
+            assert r.rejected and r.score == 0
+
+
+def test_accepted_rows_keep_their_columns(spark, edge_folder):
+    docs = spark.read.parquet(f"{edge_folder}/documents.parquet")
+    kept = li.accepted(docs, li.fit(docs))
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} >= {4, 12, 13, 16}
+
+
+def test_nothing_to_learn_from(spark, empty_folder, documents):
+    assert li.op5_language_id(spark, empty_folder).collect() == []
+    held = [i for i in range(40) if fold(i, 5) == 0]
+    rows = li.op5_language_id(spark, documents([(i, "words here") for i in held])).collect()
+    assert {(r.lang_pred, r.score, r.rejected) for r in rows} == {("und", 0.0, True)}
+
+
+def test_unlike_texts_are_rejected(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    found = li.fit(docs).predict(["日本語のテキスト", "qqqq zzzz xxxx kkkk jjjj", "the and of to in that was", None, "123"])
+    assert found["rejected"].tolist() == [True, True, False, True, True]
+
+
+@pytest.mark.parametrize("step", [7, 1 << 20])
+def test_counts_do_not_depend_on_the_step(monkeypatch, step):
+    text = "Größe, naïve words 12 and more of them " * 20
+    whole = li._counts(text)
+    monkeypatch.setattr(li, "_STEP", step)
+    assert (li._counts(text) == whole).all()
+    letters = len(li._plain(text))
+    assert whole.sum() == 3 * letters - 3
