@@ -3,17 +3,20 @@
 from pyspark.sql import functions as F
 
 from gradeworks.catalog import views as V
-from gradeworks.catalog.base import Query
+from gradeworks.catalog.base import Query, View
 from gradeworks.catalog.grading import in_time_sql, runs_sql
 from gradeworks.operators.dedup import dedup_rows
 from gradeworks.operators.passes import best_of_k, early_stop, first_pass, first_pass_gated
 from gradeworks.operators.passes import part_gating as gate_parts
-from gradeworks.operators.tasks import ordered_tasks
+from gradeworks.operators.tasks import ordered_tasks, parts_as_rows
 from gradeworks.plans.evaluation import (
     best_of_k_accuracy,
     graded_attempts,
+    graded_problems,
     problem_results,
     two_part_results,
+    with_problem_texts,
+    with_texts,
 )
 from gradeworks.schemas import PART_KEYS, PROBLEM_KEYS
 
@@ -93,8 +96,9 @@ def _first_passes_sql(gate: str) -> str:
 GATE_K = "b WHERE part = 1 AND status = 'no_error'"
 GATE_1 = "p WHERE part = 1 AND status = 'no_error' AND kpass = 0"
 
-PROBLEM_PASSES = f"""
-    WITH a AS ({V.CALLS.sql}),
+def _problem_passes(attempts: str) -> str:
+    return f"""
+    WITH a AS ({attempts}),
     p AS (SELECT model, id, kpass, arg_min(CASE WHEN provider_error IS NULL THEN status
             ELSE 'failed' END, row_no) AS status, min(row_no) AS row_no
           FROM a WHERE kpass < {K} GROUP BY model, id, kpass),
@@ -103,23 +107,81 @@ PROBLEM_PASSES = f"""
           FROM p)"""
 
 
+PROBLEM_PASSES = _problem_passes(V.CALLS.sql)
+PROBLEM_LISTS = f""" SELECT model, id, kpass, status, row_no, {K} AS k,
+        'euler' AS subset FROM e WHERE kpass = chosen AND status <> 'failed'
+    UNION ALL SELECT model, id, kpass, status, row_no, 1 AS k, 'euler' AS subset FROM p
+        WHERE kpass = 0 AND status <> 'failed'"""
+
+
 def _evaluated(s, d):
     executions = V.TASK_RUNS.frame(s, d)
     attempts = graded_attempts(executions, V.REEXTRACTIONS.frame(s, d))
     return _shown(two_part_results(attempts, K), "subset", "k")
 
 
+def _graded_sql(runs: View, integer_guard: bool) -> str:
+    """The runs with their status, and their output and error as the limit leaves them."""
+    in_time = in_time_sql(runs.sql)
+    return f"""SELECT t.* EXCLUDE (stdout), g.status, g.output FROM ({in_time}) t
+        JOIN ({runs_sql(integer_guard, in_time)}) g ON t.row_no = g.row_no"""
+
+
+def _exported(s, d):
+    attempts = graded_attempts(V.TASK_RUNS.frame(s, d), V.REEXTRACTIONS.frame(s, d))
+    results = two_part_results(attempts, K).where(F.col("k") == K)
+    rows = with_texts(results, attempts, parts_as_rows(V.CHALLENGES.frame(s, d)))
+    return _shown(rows, "output", "expected_output", "error", "code")
+
+
+def _exported_sql() -> str:
+    graded = _graded_sql(V.TASK_RUNS, False)
+    return gated_sql(K, graded) + f""", x AS ({graded}), c AS (
+        SELECT year, day, 1 AS part, part1_solution AS solution FROM ({V.CHALLENGES.sql})
+        UNION ALL SELECT year, day, 2, part2_solution FROM ({V.CHALLENGES.sql}))
+        SELECT g.model, g.year, g.day, g.part, g.status,
+            CAST(coalesce(g.kpass, -1) AS INTEGER) AS kpass,
+            CAST(coalesce(g.row_no, -1) AS BIGINT) AS row_no, coalesce(x.output, '') AS output,
+            c.solution AS expected_output, coalesce(x.stderr, '') AS error,
+            coalesce(x.code, '') AS code
+        FROM g LEFT JOIN x ON g.row_no = x.row_no LEFT JOIN c
+            ON g.year = c.year AND g.day = c.day AND g.part = c.part"""
+
+
+def _problem_lists(s, d):
+    attempts = graded_problems(V.PROBLEM_RUNS.frame(s, d), V.REEXTRACTIONS.frame(s, d))
+    return attempts, problem_results(attempts, K)
+
+
+def _exported_problems(s, d):
+    attempts, results = _problem_lists(s, d)
+    return with_problem_texts(results, attempts, V.PROBLEMS.frame(s, d))
+
+
+def _exported_problems_sql() -> str:
+    graded = _graded_sql(V.PROBLEM_RUNS, True)
+    return _problem_passes(graded) + f""", r AS ({PROBLEM_LISTS}), x AS ({graded})
+        SELECT r.model, r.id, r.status, coalesce(x.output, '') AS output,
+            c.solution AS expected_output, coalesce(x.stderr, '') AS error,
+            coalesce(x.code, '') AS code, c.difficulty, r.kpass, r.k, r.row_no
+        FROM r LEFT JOIN x ON r.row_no = x.row_no LEFT JOIN ({V.PROBLEMS.sql}) c ON r.id = c.id"""
+
+
 def _evaluated_sql() -> str:
-    runs = in_time_sql(V.TASK_RUNS.sql)
-    graded = f"""SELECT t.row_no, t.model, t.year, t.day, t.part, t.kpass, g.status
-        FROM ({V.TASK_RUNS.sql}) t JOIN ({runs_sql(False, runs)}) g ON t.row_no = g.row_no"""
-    lists = gated_sql(K, graded) + _first_passes_sql(GATE_K)
+    lists = gated_sql(K, _graded_sql(V.TASK_RUNS, False)) + _first_passes_sql(GATE_K)
     return lists + f""" SELECT {_SHOWN}, 'aoc' AS subset, {K} AS k FROM g
         UNION ALL SELECT {_SHOWN}, 'aoc' AS subset, 1 AS k FROM f"""
 
 
 QUERIES = [
     Query("evaluate_run", _evaluated, _evaluated_sql()),
+    Query("export_rows_t", _exported, _exported_sql()),
+    Query(
+        "evaluate_problem_runs",
+        lambda s, d: _problem_lists(s, d)[1],
+        _problem_passes(_graded_sql(V.PROBLEM_RUNS, True)) + PROBLEM_LISTS,
+    ),
+    Query("export_rows_m", _exported_problems, _exported_problems_sql()),
     Query(
         "best_of_k_m",
         lambda s, d: best_of_k(V.CALLS.frame(s, d), K, PROBLEM_KEYS, failed_calls=True),
@@ -129,10 +191,7 @@ QUERIES = [
     Query(
         "evaluate_run_m",
         lambda s, d: problem_results(V.CALLS.frame(s, d), K),
-        PROBLEM_PASSES + f""" SELECT model, id, kpass, status, row_no, {K} AS k,
-            'euler' AS subset FROM e WHERE kpass = chosen AND status <> 'failed'
-        UNION ALL SELECT model, id, kpass, status, row_no, 1 AS k, 'euler' AS subset FROM p
-            WHERE kpass = 0 AND status <> 'failed'""",
+        PROBLEM_PASSES + PROBLEM_LISTS,
     ),
     Query(
         "first_pass_m",

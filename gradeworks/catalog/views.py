@@ -130,6 +130,7 @@ TASK_RUNS = View(
     {
         **{n: ATTEMPTS.columns[n] for n in ("model", "year", "day", "part", "kpass")},
         **RUNS.columns,
+        "code": "concat('print(', cast(event_id AS string), ')')",
     },
 )
 
@@ -160,6 +161,16 @@ CALLS = View(
     },
 )
 
+# Runs of math problems; some model calls failed before there was anything to run.
+PROBLEM_RUNS = View(
+    "events",
+    {
+        **{n: CALLS.columns[n] for n in ("model", "id", "kpass", "provider_error")},
+        **RUNS.columns,
+        "code": "concat('print(', cast(event_id AS string), ')')",
+    },
+)
+
 # Responses with python fences, plain fences, no fence and an open fence.
 GENERATIONS = View(
     "documents",

@@ -41,6 +41,28 @@ def problem_results(attempts: DataFrame, k: int) -> DataFrame:
     return both_flat_lists(attempts, k, PROBLEM_KEYS).withColumn("subset", F.lit(MATH))
 
 
+def with_problem_texts(results: DataFrame, attempts: DataFrame, problems: DataFrame):
+    """Math result rows as they are exported: texts of the attempt, answer and difficulty.
+
+    ``problems`` has id, solution and difficulty. Empty texts stand for absent ones.
+    """
+    known = problems.select("id", F.col("solution").alias("expected_output"), "difficulty")
+    rows = attach_texts(results, attempts, ["output", "stderr", "code"]).join(known, "id", "left")
+    return rows.select(
+        "model",
+        "id",
+        "status",
+        F.coalesce("output", F.lit("")).alias("output"),
+        "expected_output",
+        F.coalesce("stderr", F.lit("")).alias("error"),
+        F.coalesce("code", F.lit("")).alias("code"),
+        "difficulty",
+        "kpass",
+        "k",
+        "row_no",
+    )
+
+
 def with_texts(results: DataFrame, attempts: DataFrame, challenges_by_part: DataFrame):
     """Result rows as they are exported: texts of the attempt, expected answer of the task.
 
