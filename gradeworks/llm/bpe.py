@@ -45,7 +45,8 @@ class PairIndex:
         for letter, byte in byte_letters().items():
             self.first_ids[byte] = vocabulary.ids[letter]
 
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in a row, and the number of ids of each."""
         first, merges = self.first_ids, self.merges
         row: list[int] = []
         starts = [0]
@@ -81,19 +82,24 @@ class PairIndex:
                         positions[new].append(place)
         ids = np.array(row, np.int64)
         kept = ids >= 0
-        sums = np.concatenate([[0], np.cumsum(kept)])[starts]
-        return np.split(ids[kept].astype(np.uint32), sums[1:-1]) if words else []
+        return ids[kept], np.diff(np.concatenate([[0], np.cumsum(kept)])[starts])
 
 
 def _pieces(path: str) -> tuple[PieceTable, regex.Pattern]:
     """Ids by pre-token, and the pattern that cuts texts; special strings are cut first."""
     vocabulary = load_vocabulary(path)
     index = PairIndex(vocabulary)
-    special = {content: np.array([i], np.uint32) for content, i in vocabulary.added.items()}
-
-    def encode(pieces: list[str]) -> list[np.ndarray]:
-        merged = iter(index.encode([p.encode() for p in pieces if p not in special]))
-        return [special[p] if p in special else next(merged) for p in pieces]
+    special = vocabulary.added
+
+    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.array([p not in special for p in pieces])
+        ids, sizes = index.encode([p.encode() for p in pieces if p not in special])
+        counts = np.ones(len(pieces), np.int64)
+        counts[plain] = sizes
+        row = np.empty(counts.sum(), np.int64)
+        owner = np.repeat(plain, counts)
+        row[owner], row[~owner] = ids, [special[p] for p in pieces if p in special]
+        return row, counts
 
     return PieceTable(encode), regex.compile(_PRE_TOKEN)
 

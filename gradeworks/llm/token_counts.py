@@ -2,36 +2,36 @@
 
 Before any text is read, every vocabulary string that can end a word is merged from its
 bytes; those that come out as one token are proven whole. A pre-token found among them
-counts one without a merge; only the rest goes through the merges. The counts are those of
-the tokenizers library without begin, end or other tokens it would add; strings of special
-tokens inside a text count one, as by the library's default.
+counts one without a merge; only the rest goes through the library's merges, many distinct
+pre-tokens at a time. The counts are those of the library without begin, end or other tokens
+it would add; strings of special tokens inside a text count one, as by its default.
 
 Null texts are empty and have no tokens. Repeated rows are counted each.
 """
 
 from __future__ import annotations
 
-import unicodedata
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeworks.llm.common import Memo, flat, read_table, slices
-from gradeworks.llm.vocabulary import Vocabulary, byte_letters, load_vocabulary
+from gradeworks.llm.common import MEMO_ENTRIES, Memo, flat, read_table, slices
+from gradeworks.llm.vocabulary import (
+    WORD_END,
+    LibraryWords,
+    Vocabulary,
+    WordCutter,
+    byte_letters,
+    load_vocabulary,
+)
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 TOKEN_LIMIT = 2048
-WORD_END = "</w>"
-
-# Fixed by the vocabulary's file: how a text is cut into pre-tokens.
-_PRE_TOKEN = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
-)
 
 
 def merge_count(word: bytes, vocabulary: Vocabulary) -> int:
@@ -62,36 +62,43 @@ def _letters() -> dict[int, str]:
     return {b: c for c, b in byte_letters().items()}
 
 
-def whole_tokens(path: str) -> frozenset[bytes]:
-    """Pre-tokens, as bytes, that are proven to encode alone as one token."""
+def whole_tokens(path: str) -> frozenset[str]:
+    """Pre-tokens that are proven to encode alone as one token."""
     vocabulary, letters = load_vocabulary(path), byte_letters()
     ends = [t.removesuffix(WORD_END) for t in vocabulary.ids if t.endswith(WORD_END)]
     words = [bytes(letters[c] for c in word) for word in ends if word]
-    return frozenset(word for word in words if merge_count(word, vocabulary) == 1)
-
-
-def _chunk_counter(path: str, whole: frozenset[bytes]) -> Memo:
-    """Counts the tokens of a stretch of text without ASCII white space."""
-    vocabulary = load_vocabulary(path)
-    special = regex.compile("|".join(regex.escape(x) for x in sorted(vocabulary.added, key=len, reverse=True)))
-    merged = Memo(lambda word: merge_count(word, vocabulary))
-
-    def count(chunk: bytes) -> int:
-        if chunk in whole and chunk.isalpha() and chunk.islower():
-            return 1
-        merged.clear_if_full()
-        text, total = chunk.decode(), 0
-        parts = special.split(text) if vocabulary.added else [text]
-        total += len(parts) - 1
-        for part in parts:
-            # The library lower-cases letter by letter, so a final sigma is like any other.
-            plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for word in _PRE_TOKEN.findall(plain):
-                own = word.encode()
-                total += 1 if own in whole else merged[own]
-        return total
-
-    return Memo(count)
+    proven = [word for word in words if merge_count(word, vocabulary) == 1]
+    return frozenset(word.decode("utf-8", "ignore") for word in proven) - {""}
+
+
+class ChunkCounts:
+    """Tokens of stretches without ASCII white space, which this vocabulary encodes one by one."""
+
+    def __init__(self, path: str, whole: frozenset[str]) -> None:
+        vocabulary = load_vocabulary(path)
+        self.whole = whole | vocabulary.added.keys()
+        self.cut, self.merge = WordCutter(vocabulary), LibraryWords(path).encode
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = Memo(lambda _: len(self.numbers))
+        self.counts = np.zeros(0, np.int64)
+        self.merged: dict[str, int] = {}
+
+    def look_up(self, chunks: list[bytes]) -> np.ndarray:
+        """Number of tokens of each chunk."""
+        if len(self.numbers) > MEMO_ENTRIES:
+            self.forget()
+        known = len(self.numbers)
+        at = np.fromiter(map(self.numbers.__getitem__, chunks), np.int64, len(chunks))
+        new = list(itertools.islice(self.numbers, known, None))
+        words, starts = flat([self.cut(chunk.decode()) for chunk in new])
+        rest = sorted({w for w in words if w not in self.whole and w not in self.merged})
+        self.merged.update(zip(rest, self.merge(rest)[1].tolist(), strict=True))
+        each = [1 if w in self.whole else self.merged[w] for w in words]
+        sums = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])[starts]
+        self.counts = np.concatenate([self.counts, np.diff(sums)])
+        return self.counts[at]
 
 
 def count_tokens(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
@@ -99,12 +106,10 @@ def count_tokens(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     proven = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _chunk_counter(path, proven.value)
+        counter = ChunkCounts(path, proven.value)
         for batch, texts in slices(batches):
-            counter.clear_if_full()
             chunks, ends = flat([text.split() for text in texts])
-            each = np.fromiter(map(counter.__getitem__, chunks), np.int64, len(chunks))
-            totals = np.concatenate([[0], np.cumsum(each)])
+            totals = np.concatenate([[0], np.cumsum(counter.look_up(chunks))])
             sizes = pa.array([len(text) for text in texts], pa.int64())
             tokens = pa.array(totals[ends[1:]] - totals[ends[:-1]])
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, tokens], ["doc_id", "n_bytes", "n_tokens"])

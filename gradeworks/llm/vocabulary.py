@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import functools
 import json
+import os
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 
 from gradeworks.llm.common import Memo
 
@@ -56,13 +59,89 @@ def load_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(ids, merges, {t["content"]: t["id"] for t in stored["added_tokens"]})
 
 
+# Fixed by the file of the vocabulary with word ends: how a text is cut into pre-tokens.
+_WORD_PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+
+
+class WordCutter:
+    """Cuts text as the vocabulary with word ends asks for."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        longest_first = sorted(vocabulary.added, key=len, reverse=True)
+        self.special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")")
+        self.added = vocabulary.added
+        self.pre_token = regex.compile(_WORD_PRE_TOKEN)
+
+    def __call__(self, text: str) -> list[str]:
+        """Normalised pre-tokens; strings of special tokens stand for themselves."""
+        if text.isascii() and "|" not in text:
+            low = text.lower()
+            if low.isalpha():
+                return [low]
+            if low[:-1].isalpha() and low[-1] in ".,:;!?":
+                return [low[:-1], low[-1]]
+            return self.pre_token.findall(low)
+        parts = self.special.split(text) if self.added else [text]
+        # The library lower-cases letter by letter, so a final sigma is like any other.
+        plain = [unicodedata.normalize("NFC", p).replace("Σ", "σ").lower() for p in parts]
+        return [
+            word
+            for part, low in zip(parts, plain, strict=True)
+            for word in ([part] if part in self.added else self.pre_token.findall(low))
+        ]
+
+
+WORD_END = "</w>"
+# Pre-tokens given to the library at once.
+_WORDS = 1000
+
+
+class LibraryWords:
+    """The tokenizers library's ids of pre-tokens, many at a time.
+
+    The pre-tokens go in as one text. The last token of a pre-token, and no other, is one that
+    ends a word, which tells the pre-tokens apart again.
+    """
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        vocabulary = load_vocabulary(path)
+        self.last = np.zeros(1 + max([*vocabulary.ids.values(), *vocabulary.added.values()]), bool)
+        self.last[[i for token, i in vocabulary.ids.items() if token.endswith(WORD_END)]] = True
+        self.last[list(vocabulary.added.values())] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in a row, and the number of ids of each."""
+        parts = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for start in range(0, len(words), _WORDS):
+            own = words[start : start + _WORDS]
+            ids = self._ids(" ".join(own))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(own):
+                parts.append((ids, np.diff(ends, prepend=0)))
+            else:  # a letter the library cuts in another way
+                each = [self._ids(word) for word in own]
+                parts.append((np.concatenate(each), np.array([len(x) for x in each])))
+        ids, counts = zip(*parts, strict=True)
+        return np.concatenate(ids), np.concatenate(counts)
+
+
 class PieceTable:
     """Ids of pieces of text, each worked out once while the table holds it.
 
-    ``encode`` gets all pieces a slice has that are new, and returns an id array for each.
+    ``encode`` gets all pieces a slice has that are new, and returns their ids in a row and
+    the number of ids of each.
     """
 
-    def __init__(self, encode: Callable[[list], list[np.ndarray]]) -> None:
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]]) -> None:
         self.encode = encode
         self._empty()
 
@@ -76,19 +155,22 @@ class PieceTable:
         self.new.append(piece)
         return len(self.index)
 
-    def look_up(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all pieces in a row, and the number of ids of each piece."""
+    def look_up(self, pieces: list, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and the number of ids of each piece.
+
+        ``order`` tells which of the pieces stands at each place, if not one after the other.
+        """
         before = len(self.index)
         self.index.clear_if_full()
         if len(self.index) < before:
             self._empty()
         at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
         if self.new:
-            made = self.encode(self.new)
-            ends = self.starts[-1] + np.cumsum([len(x) for x in made])
-            self.starts = np.concatenate([self.starts, ends])
-            self.ids = np.concatenate([self.ids, *made])
+            made, sizes = self.encode(self.new)
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, made.astype(np.uint32)])
             self.new = []
+        at = at if order is None else at[order]
         counts = self.starts[at + 1] - self.starts[at]
         shift = np.repeat(self.starts[at] - (np.cumsum(counts) - counts), counts)
-        return self.ids[shift + np.arange(len(shift))].astype(np.uint32), counts
+        return self.ids[shift + np.arange(len(shift))], counts
