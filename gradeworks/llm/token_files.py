@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import functools
 import json
-import os
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
@@ -33,8 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradeworks.llm.common import flat, read_table, slices
-from gradeworks.llm.vocabulary import PieceTable
+from gradeworks.llm.common import distinct_words, flat, read_table, slices
+from gradeworks.llm.vocabulary import LibraryWords, PieceTable, WordCutter, load_vocabulary
 from gradeworks.session import new_table_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -154,16 +153,13 @@ class PlaneReader:
 @functools.cache
 def _library_pieces(path: str) -> PieceTable:
     """Ids of stretches without ASCII white space, which this vocabulary encodes one by one."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    cut, words = WordCutter(load_vocabulary(path)), PieceTable(LibraryWords(path).encode)
 
-    library = Tokenizer.from_file(path)
-    library.no_truncation()
-    library.no_padding()
-
-    def encode(chunks: list[bytes]) -> list[np.ndarray]:
-        found = library.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        return [np.array(x.ids, np.uint32) for x in found]
+    def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        plain = bytes.isalpha  # ASCII letters alone are one pre-token
+        pieces, starts = flat([[c.lower().decode()] if plain(c) else cut(c.decode()) for c in chunks])
+        ids, counts = words.look_up(pieces)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(counts)])[starts])
 
     return PieceTable(encode)
 
@@ -201,10 +197,10 @@ def write_tokens(docs: DataFrame, folder: str, path: str = TOKENIZER, kind: str
         table = _library_pieces(path)
 
         def parts():
-            for batch, texts in slices(batches):
-                chunks, ends = flat([text.split() for text in texts])
-                ids, counts = table.look_up(chunks)
-                sums = np.concatenate([[0], np.cumsum(counts)])[ends[1:]]
+            for batch, _ in slices(batches):
+                chunks, order, starts = distinct_words(batch.column(1))
+                ids, counts = table.look_up(chunks, order)
+                sums = np.concatenate([[0], np.cumsum(counts)])[starts[1:]]
                 yield batch.column(0).to_pylist(), *_with_ends(ids, sums)
 
         made = _write_file(folder, parts(), kind)
