@@ -1,6 +1,6 @@
 """Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit distance.
 
-Texts are sequences of words: lower-cased, cut at white space, without punctuation at their
+Texts are sequences of words: lower-cased, cut at ASCII white space, without punctuation at their
 ends. An item of n words is found in a document when a stretch of it has an edit distance, in
 words, of at most ``share`` times n to the item.
 
@@ -10,9 +10,9 @@ stays, which turns few edits into few differing places. Each of several walks is
 few places for each of several tables; windows and items that agree in a table are candidates.
 Candidates are verified by an exact edit distance between the item and the stretch around.
 
-Windows that cannot be within the distance are not embedded: k edits spoil at most 2k of the
-item's n - 1 word pairs, so a window needs n - 1 - 2k pairs that occur in items at all. This
-loses nothing.
+Windows that cannot be within the distance are not embedded: k edits spoil at most 3k of the
+item's n - 2 word triples, so a window needs n - 2 - 3k triples that occur in items at all, and
+likewise n - 1 - 2k pairs and n - k words. This loses nothing.
 
 Null or wordless texts and items match nothing. The index over the items is sent to the tasks
 in blocks of ITEMS_PER_BLOCK items; documents move nowhere.
@@ -31,16 +31,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeworks.llm.common import Memo, mixed, read_table, rolling_hash, slices
+from gradeworks.llm.common import distinct_words, mixed, read_table, rolling_hash, slices
 
 MAX_EDIT_SHARE = 0.2
-WALKS = 3
-TABLES = 8
+WALKS = 4
+TABLES = 12
 SAMPLED = 4
 ITEMS_PER_BLOCK = 20_000
 
 _SEED = 20_017
 _MARK_BITS = 22
+_WIDTHS = (3, 2, 1)
 _PAIR_FACTOR = 0x9E3779B97F4A7C15
 _EMBED_ROWS = 200_000
 _PUNCTUATION = string.punctuation.encode()
@@ -52,8 +53,12 @@ def _symbol(word: bytes) -> int:
     return xxhash.xxh64_intdigest(bare) or 1 if bare else 0
 
 
-def _words(text: bytes) -> list[bytes]:
-    return text.decode().lower().encode().split()
+def _sequences(texts: list[bytes]) -> list[np.ndarray]:
+    """The symbols of each text's words."""
+    lowered = pa.array([text.decode().lower() for text in texts], pa.large_string())
+    words, order, starts = distinct_words(lowered)
+    row = np.array([_symbol(word) for word in words], np.uint64)[order]
+    return [own[own != 0] for own in (row[a:b] for a, b in zip(starts, starts[1:], strict=False))]
 
 
 def _semi_global(item: np.ndarray, stretch: np.ndarray, anchored: bool) -> np.ndarray:
@@ -76,9 +81,9 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str | None]], share: float = MAX_EDIT_SHARE) -> None:
         self.share = share
-        self.symbols = Memo(_symbol)
-        self.items = [(i, s) for i, text in items if len(s := self._sequence((text or "").encode()))]
-        self.marks = {width: np.zeros(1 << _MARK_BITS, bool) for width in (1, 2)}
+        found = _sequences([(text or "").encode() for _, text in items])
+        self.items = [(i, s) for (i, _), s in zip(items, found, strict=True) if len(s)]
+        self.marks = {width: np.zeros(1 << _MARK_BITS, bool) for width in _WIDTHS}
         by_length: dict[int, list[int]] = defaultdict(list)
         for number, (_, sequence) in enumerate(self.items):
             by_length[len(sequence)].append(number)
@@ -95,12 +100,6 @@ class ItemIndex:
     def _edits(self, length: int) -> int:
         return int(self.share * length + 1e-9)
 
-    def _sequence(self, text: bytes) -> np.ndarray:
-        self.symbols.clear_if_full()
-        words = _words(text)
-        found = np.fromiter(map(self.symbols.__getitem__, words), np.uint64, len(words))
-        return found[found != 0]
-
     def _grams(self, row: np.ndarray, width: int) -> np.ndarray:
         return rolling_hash(row, width, _PAIR_FACTOR) >> np.uint64(64 - _MARK_BITS)
 
@@ -108,38 +107,46 @@ class ItemIndex:
         """Keys of the windows of ``length`` words, one row for each walk and table."""
         draw = np.random.default_rng([_SEED, length])
         steps, padded = 2 * length, np.append(row, np.zeros(length + 1, np.uint64))
+        sampled: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for table in range(WALKS * TABLES):
+            for step in draw.choice(steps, min(SAMPLED, steps), replace=False).tolist():
+                sampled[step].append((table, table % WALKS))
+        turns = draw.integers(1, 1 << 63, (steps, WALKS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         keys = np.zeros((WALKS * TABLES, len(starts)), np.uint64)
+        pointer = np.zeros((WALKS, len(starts)), np.int64)
         with np.errstate(over="ignore"):
-            for walk in range(WALKS):
-                sampled = [set(draw.choice(steps, min(SAMPLED, steps), replace=False).tolist()) for _ in range(TABLES)]
-                turn = draw.integers(1, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-                pointer = np.zeros(len(starts), np.int64)
-                for step in range(1 + max(max(s) for s in sampled)):
-                    word = np.where(pointer < length, padded[starts + pointer], np.uint64(0))
-                    for table in range(TABLES):
-                        if step in sampled[table]:
-                            at = walk * TABLES + table
-                            keys[at] = (keys[at] + word + np.uint64(step)) * np.uint64(_PAIR_FACTOR)
-                    pointer += (mixed(word * turn[step]) >> np.uint64(63)).astype(np.int64)
+            for step in range(1 + max(sampled)):
+                word = np.where(pointer < length, padded[starts + pointer], np.uint64(0))
+                for table, walk in sampled[step]:
+                    keys[table] = (keys[table] + word[walk] + np.uint64(step)) * np.uint64(_PAIR_FACTOR)
+                pointer += (mixed(word * turns[step]) >> np.uint64(63)).astype(np.int64)
         return keys
 
     def _windows(self, row: np.ndarray, length: int, sums: dict[int, np.ndarray]) -> np.ndarray:
-        """Starts of the windows that share enough pairs (of one word: words) with items."""
-        width = min(2, length)
-        grams, needed = length - width + 1, length - width + 1 - width * self._edits(length)
-        total, last = sums[width], max(0, len(row) - length + 1)
-        ends = np.minimum(np.arange(last) + grams, len(total) - 1)
-        return np.flatnonzero(total[ends] - total[:last] >= max(1, needed))
+        """Starts of the windows that share enough words, pairs and triples with items."""
+        starts = None
+        for width in _WIDTHS:
+            grams = length - width + 1
+            needed = grams - width * self._edits(length)
+            if needed > 0:
+                total, count = sums[width], max(0, len(row) - length + 1)
+                if starts is None:
+                    starts = np.flatnonzero(total[grams : grams + count] - total[:count] >= needed)
+                else:
+                    starts = starts[total[starts + grams] - total[starts] >= needed]
+        return np.arange(max(0, len(row) - length + 1)) if starts is None else starts
 
     def matches(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item id, first word, word after the last, edits) of each find in the texts."""
-        sequences = [self._sequence(text) for text in texts]
+        sequences = _sequences(texts)
         pad = np.zeros(self.gap, np.uint64)
         row = np.concatenate([x for s in sequences for x in (s, pad)]) if sequences else pad
         begins = np.cumsum([0, *(len(s) + self.gap for s in sequences)])
         sums = {w: np.concatenate([[0], np.cumsum(m[self._grams(row, w)])]) for w, m in self.marks.items()}
         for length, (keys, numbers) in self.tables.items():
             starts = self._windows(row, length, sums)
+            if not len(starts):
+                continue
             found: dict[int, set[int]] = defaultdict(set)
             for part in np.array_split(starts, 1 + len(starts) // _EMBED_ROWS):
                 own = self._keys(row, part, length)
@@ -208,18 +215,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDIT_SH
 def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDIT_SHARE) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no item is found."""
     for sent in _blocks(benchmark, share):
+        docs = docs.where(~F.pandas_udf(_leaking(sent), "boolean")(F.col("text").cast("string")))
+    return docs
 
-        def leaks(texts: pd.Series, sent=sent) -> pd.Series:
-            found = np.zeros(len(texts), bool)
-            rows = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string(), from_pandas=True)})
-            at = 0
-            for part, own in slices([rows]):
-                found[[at + t for t, *_ in sent.value.matches(own)]] = True
-                at += part.num_rows
-            return pd.Series(found)
 
-        docs = docs.where(~F.pandas_udf(leaks, "boolean")(F.col("text").cast("string")))
-    return docs
+def _leaking(sent):
+    def leaking(texts: pd.Series) -> pd.Series:
+        found = np.zeros(len(texts), bool)
+        rows = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string(), from_pandas=True)})
+        at = 0
+        for part, own in slices([rows]):
+            found[[at + t for t, *_ in sent.value.matches(own)]] = True
+            at += part.num_rows
+        return pd.Series(found)
+
+    return leaking
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
