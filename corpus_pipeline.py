@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeworks.llm.bpe import round_trip
+from gradeworks.llm.common import short_batches
 from gradeworks.llm.decontamination import without_leaks
 from gradeworks.llm.language_id import accepted, fit
 from gradeworks.llm.line_dedup import dedup_lines
@@ -28,11 +29,13 @@ RADIUS = 4
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language classifier rejects go: no letters, or unlike all it has learned."""
+    short_batches(spark)
     return accepted(docs, fit(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in many documents are taken out of the texts; every document stays."""
+    short_batches(spark)
     kept = dedup_lines(docs, LINES_IN_DOCUMENTS)
     left = {"text": kept["text"], "n_chars": F.length(kept["text"]).cast("long")}
     return kept.select(*[left.get(c, kept["doc"].getField(c)).alias(c) for c in docs.columns])
@@ -40,16 +43,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that of the smallest id."""
+    short_batches(spark)
     return one_of_each(docs, SHINGLE_WORDS, RADIUS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark, exactly or with few edits, go."""
+    short_batches(spark)
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents and the texts decoded from them, as digests."""
+    short_batches(spark)
     return round_trip(docs)
 
 

@@ -111,9 +111,7 @@ def _cut(text: str, pattern: regex.Pattern, special: list[str]) -> list[str]:
     return [p for part in parts for p in ([part] if part in special else pattern.findall(part))]
 
 
-def encode(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """(doc_id, ids) of every row: ids as little-endian unsigned 32-bit integers."""
-
+def _encoder(path: str):
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, pattern = _pieces(path)
         special = sorted(load_vocabulary(path).added, key=len, reverse=True)
@@ -125,13 +123,10 @@ def encode(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
             rows = [data[a:b].tobytes() for a, b in zip(sums, sums[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["doc_id", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(encoded, "doc_id long, ids binary")
+    return encoded
 
 
-def decode(encoded: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """(doc_id, ids, text) of rows (doc_id, ids); special ids become their strings."""
-
+def _decoder(path: str):
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = load_vocabulary(path).token_bytes()
         for batch in batches:
@@ -143,12 +138,31 @@ def decode(encoded: DataFrame, path: str = TOKENIZER) -> DataFrame:
                     texts.append(found.decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(decoded, "doc_id long, ids binary, text string")
+    return decoded
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def encode(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """(doc_id, ids) of every row: ids as little-endian unsigned 32-bit integers."""
+    return _rows(docs).mapInArrow(_encoder(path), "doc_id long, ids binary")
+
+
+def decode(encoded: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """(doc_id, ids, text) of rows (doc_id, ids); special ids become their strings."""
+    schema = "doc_id long, ids binary, text string"
+    return encoded.select("doc_id", "ids").mapInArrow(_decoder(path), schema)
 
 
 def round_trip(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of ``docs``."""
-    return decode(encode(docs, path), path).select(
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of ``docs``.
+
+    Both ways run in one worker, one slice after the other.
+    """
+    both = lambda batches: _decoder(path)(_encoder(path)(batches))
+    return _rows(docs).mapInArrow(both, "doc_id long, ids binary, text string").select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

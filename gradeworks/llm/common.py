@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Texts are handled in slices of about so many bytes, so that the arrays built from them stay small.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+# Rows of a batch that goes to Python.
+TEXT_ROWS = 1000
 # A worker forgets its remembered words beyond so many; they are then worked out again.
 MEMO_ENTRIES = 450_000
 
@@ -111,5 +113,13 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Has the session send TEXT_ROWS rows at a time to Python, as rows with texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the folder; reading documents sets ``short_batches``."""
+    if name == "documents":
+        short_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -4,21 +4,23 @@ A window is ``width`` consecutive words of a document. A window whose words also
 earlier (in a document of a smaller id, or earlier in the same one) is a repeat, and every
 word that a repeat covers goes. All windows are judged on the input.
 
-1. Every window has an anchor, the smallest hash of the ``width`` / 2 word grams in it (the last
+1. A document of the same text as an earlier one is a repeat altogether.
+2. Every window has an anchor, the smallest hash of the ``width`` / 2 word grams in it (the last
    of equal ones), so equal windows have equal anchors at equal places. Consecutive windows
    with the same anchor form a segment. Anchors are counted over all documents; segments whose
    anchor occurs once hold no repeat and are left.
-2. Segments of the same words are one content, with its first place. Any later place of the
+3. Segments of the same words are one content, with its first place. Any later place of the
    content is a repeat altogether.
-3. What remains are windows shared by different contents of one anchor. The anchors are the
+4. What remains are windows shared by different contents of one anchor. The anchors are the
    shards: a shard's contents, earliest first, are streamed through a suffix automaton of the
    contents before. Where the longest match that ends at a word reaches ``width``, the window
    that ends there is a repeat. An anchor of more than SHARD_CONTENTS contents is cut further,
    each window becoming a shard of its own, where the first place decides.
 
 The automata are built where their shard's contents meet and not broadcast, since here the
-reference is the corpus itself and grows with it. What is broadcast has a fixed size: a bit
-map of anchors, which at worst lets segments through that hold no repeat.
+reference is the corpus itself and grows with it. What is broadcast are bit maps of fixed
+size. They only ever tell that something is certainly not in a set; what they let through is
+checked or does no harm, so with more data they save less work and nothing else.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Null texts have none. Null ids come first; rows of one id and
 different texts are ordered by a hash of the text, and rows of one id and text are one document.
@@ -31,15 +33,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeworks.llm.common import flat, mixed, read_table, rolling_hash, slices, word_hashes, word_memo
+from gradeworks.llm.common import distinct_words, flat, mixed, read_table, rolling_hash, slices
 from gradeworks.session import new_table_path
 
 WIDTH = 20
 SHARD_CONTENTS = 5_000
 _MAP_BITS = 26
+_MAP_PROBES = 2
 _MAP_BLOCK_BITS = 16
 _GRAM_FACTOR = 0x9E3779B97F4A7C15
 _WINDOW_FACTOR = 0xC2B2AE3D27D4EB4F
@@ -100,11 +104,10 @@ class SuffixAutomaton:
             yield size
 
 
-def _segments(texts: list[bytes], memo, width: int) -> tuple[list[bytes], np.ndarray, dict[str, np.ndarray]]:
-    """The words of the texts in a row, where each text starts, and the segments of equal anchors."""
-    memo.clear_if_full()
-    words, starts = flat([text.split() for text in texts])
-    hashes = word_hashes(memo, words)
+def _segments(texts: pa.Array, width: int) -> dict[str, np.ndarray]:
+    """The segments of equal anchors of the texts."""
+    words, order, starts = distinct_words(texts)
+    hashes = np.array([xxhash.xxh64_intdigest(word) for word in words], np.uint64)[order]
     gram = max(1, width // 2)
     anchors, span, reach = rolling_hash(hashes, gram, _GRAM_FACTOR), 1, width - gram + 1
     place = np.arange(len(anchors))
@@ -131,123 +134,152 @@ def _segments(texts: list[bytes], memo, width: int) -> tuple[list[bytes], np.nda
         "start": at[first] - starts[text[first]],
         "n": np.diff(np.append(first, len(at))),
     }
-    return words, starts, found
+    return found
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _anchor_counts(docs: DataFrame, width: int) -> DataFrame:
-    """(anchor, n, low, high): places of each anchor, and the ends of its contents' hashes."""
+def _filled(column: pa.Array) -> np.ndarray:
+    return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
-        for _, texts in slices(batches):
-            _, _, found = _segments(texts, memo, width)
-            short = (found["content"] >> np.uint64(32)).astype(np.int64)
-            columns = [_signed(found["anchor"]), np.ones(len(short), np.int64), short, short]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "n", "low", "high"])
 
-    parts = docs.select("text").mapInArrow(counted, "anchor long, n long, low long, high long")
-    return parts.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+class BitMap:
+    """A set of rows of numbers in a table of fixed size; it may hold more than was put in."""
 
+    def __init__(self, rows: DataFrame) -> None:
+        """The set of all rows, put together from blocks of the table."""
+        block = F.shiftright("slot", _MAP_BLOCK_BITS).alias("block")
 
-def _bit_map(anchors: DataFrame) -> np.ndarray:
-    """Bits set for the anchors' slots: a table of fixed size, put together from blocks."""
-    slot = F.shiftrightunsigned("anchor", 64 - _MAP_BITS)
-    slots = anchors.select(slot.alias("slot")).distinct()
-    block = F.shiftright("slot", _MAP_BLOCK_BITS).alias("block")
+        def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = np.unique(BitMap.slots([_filled(c) for c in batch.columns]))
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64))], ["slot"])
 
-    def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << _MAP_BLOCK_BITS, bool)
-        bits[rows["slot"].to_numpy() & ((1 << _MAP_BLOCK_BITS) - 1)] = True
-        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(bits).tobytes()]})
+        def packed(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
+            bits = np.zeros(1 << _MAP_BLOCK_BITS, bool)
+            bits[found["slot"].to_numpy() & ((1 << _MAP_BLOCK_BITS) - 1)] = True
+            return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(bits).tobytes()]})
 
-    whole = np.zeros((1 << (_MAP_BITS - _MAP_BLOCK_BITS), 1 << (_MAP_BLOCK_BITS - 3)), np.uint8)
-    for row in slots.groupBy(block).applyInPandas(packed, "block long, bits binary").collect():
-        whole[row.block] = np.frombuffer(row.bits, np.uint8)
-    return whole.ravel()
+        used = rows.mapInArrow(slots, "slot long").distinct().groupBy(block)
+        whole = np.zeros((1 << (_MAP_BITS - _MAP_BLOCK_BITS), 1 << (_MAP_BLOCK_BITS - 3)), np.uint8)
+        for row in used.applyInPandas(packed, "block long, bits binary").collect():
+            whole[row.block] = np.frombuffer(row.bits, np.uint8)
+        self.bits = whole.ravel()
 
+    @staticmethod
+    def slots(columns: list[np.ndarray]) -> np.ndarray:
+        """The slots of each row, one line for each probe."""
+        hashed = np.zeros(len(columns[0]), np.uint64)
+        for column in columns:
+            hashed = mixed(hashed ^ column)
+        return np.stack([mixed(hashed + np.uint64(i)) >> np.uint64(64 - _MAP_BITS) for i in range(_MAP_PROBES)])
 
-def _in_map(bits: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    slots = anchors >> np.uint64(64 - _MAP_BITS)
-    return (bits[slots >> np.uint64(3)] >> (7 - (slots & np.uint64(7))).astype(np.uint8)) & 1 == 1
+    def may_hold(self, columns: list[np.ndarray]) -> np.ndarray:
+        slots = self.slots(columns)
+        bits = (self.bits[slots >> np.uint64(3)] >> (7 - (slots & np.uint64(7))).astype(np.uint8)) & 1
+        return bits.all(axis=0)
 
 
-def _places(docs: DataFrame, width: int) -> DataFrame:
-    """(anchor, content, doc_id, text_key, start, n, words) of the segments that may hold repeats.
-
-    ``words`` stands only where an anchor has several contents.
-    """
-    spark = docs.sparkSession
-    repeated = _anchor_counts(docs, width).where("n > 1")
-    path = new_table_path(spark, "anchors")
-    repeated.select("anchor", (F.col("low") != F.col("high")).alias("several")).write.parquet(path)
-    anchors = spark.read.parquet(path)
-    sent = spark.sparkContext.broadcast((_bit_map(anchors), _bit_map(anchors.where("several"))))
+def _segment_rows(docs: DataFrame, firsts, width: int) -> DataFrame:
+    """(anchor, content, doc_id, at, n) of all segments of the documents that ``firsts`` may hold."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeats, several = sent.value
-        memo = word_memo()
-        for batch, texts in slices(batches):
-            words, starts, every = _segments(texts, memo, width)
-            passed = np.flatnonzero(_in_map(repeats, every["anchor"]))
-            own = {name: column[passed] for name, column in every.items()}
-            begin = starts[own["text"]] + own["start"]
-            carried = [
-                b" ".join(words[a : a + n + width - 1]) if many else None
-                for a, n, many in zip(begin, own["n"], _in_map(several, own["anchor"]), strict=True)
-            ]
-            at = pa.array(own["text"])
+        for batch, _ in slices(batches):
+            own = np.flatnonzero(firsts.value.may_hold([_filled(c) for c in batch.columns[:3]]))
+            kept = batch.take(pa.array(own))
+            every = _segments(kept.column(3), width)
+            at = pa.array(every["text"])
             columns = [
-                _signed(own["anchor"]),
-                _signed(own["content"]),
-                batch.column(0).take(at),
-                batch.column(1).take(at),
-                pa.array(own["start"]),
-                pa.array(own["n"]),
-                pa.array(carried, pa.binary()),
+                _signed(every["anchor"]),
+                _signed(every["content"]),
+                kept.column(0).take(at),
+                pa.array(_at(_filled(kept.column(1))[every["text"]], every["start"])),
+                pa.array(every["n"]),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["anchor", "content", "doc_id", "text_key", "start", "n", "words"])
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "content", "doc_id", "at", "n"])
+
+    schema = "anchor long, content long, doc_id long, at long, n long"
+    return docs.select("doc_id", "text_key", "text_key2", "text").mapInArrow(found, schema)
+
 
-    schema = "anchor long, content long, doc_id long, text_key long, start long, n long, words binary"
-    return docs.select("doc_id", "text_key", "text").mapInArrow(found, schema)
+def _at(text_key: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Half of the text's hash and the word, in one number that orders places of one id."""
+    return (text_key >> np.uint64(33)).astype(np.int64) << 32 | start
 
 
-def _shared_windows(contents: DataFrame, width: int) -> DataFrame:
-    """(anchor, content, offsets): windows that an earlier content of the anchor has as well."""
+def _passed(rows: DataFrame, sent, columns: list[str], wanted: bool) -> DataFrame:
+    """The rows whose columns the broadcast bit map may hold, or certainly does not hold."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = sent.value.may_hold([_filled(batch.column(c)) for c in columns])
+            yield batch.filter(pa.array(held == wanted))
+
+    return rows.mapInArrow(kept, rows.schema)
+
+
+def _words_at(docs: DataFrame, wanted, width: int) -> DataFrame:
+    """(doc_id, at, words): what follows the places that the broadcast bit map may hold."""
+    longest = 2 * width - max(1, width // 2)  # an anchor lies in all windows of its segment
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            words, starts = flat([text.split() for text in texts])
+            text = np.repeat(np.arange(len(texts)), np.diff(starts))
+            start = np.arange(len(words)) - starts[text]
+            at = _at(_filled(batch.column(1))[text], start)
+            passed = np.flatnonzero(wanted.value.may_hold([_filled(batch.column(0))[text], at.view(np.uint64)]))
+            ends = np.minimum(passed + longest, starts[text[passed] + 1])
+            carried = [b" ".join(words[a:b]) for a, b in zip(passed.tolist(), ends.tolist(), strict=True)]
+            columns = [batch.column(0).take(pa.array(text[passed])), pa.array(at[passed]), pa.array(carried, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "words"])
+
+    return docs.select("doc_id", "text_key", "text").mapInArrow(found, "doc_id long, at long, words binary")
+
+
+def _shared_windows(contents: DataFrame, large: DataFrame, width: int) -> DataFrame:
+    """(anchor, content, offsets): windows that an earlier content of the anchor has as well.
+
+    ``large`` has the anchors whose contents are compared window by window.
+    """
 
     def shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Rows come sorted by anchor and first place, so one automaton is open at a time.
-        anchor, automaton = None, SuffixAutomaton()
+        anchor, content, automaton = None, None, SuffixAutomaton()
         for frame in frames:
             rows = []
             for row in frame.itertuples(index=False):
-                sequence = row.words.split()
+                sequence = row.words.split()[: row.n + width - 1]
                 if row.anchor != anchor:
                     anchor, automaton = row.anchor, SuffixAutomaton()
+                elif row.content == content:
+                    continue  # a repeated row of one document
+                content = row.content
                 ends = [i for i, size in enumerate(automaton.matches(sequence)) if size >= width]
                 if ends:
                     rows.append((row.anchor, row.content, [i - width + 1 for i in ends]))
                 automaton.add(sequence)
             yield pd.DataFrame(rows, columns=["anchor", "content", "offsets"])
 
-    size = contents.groupBy("anchor").agg(F.count("*").alias("contents"))
-    large = size.where(F.col("contents") > SHARD_CONTENTS).select("anchor")
     schema = "anchor long, content long, offsets array<long>"
-    dealt = contents.join(large, "anchor", "left_anti").select("anchor", "content", "first", "words")
-    streamed = dealt.repartition("anchor").sortWithinPartitions("anchor", "first").drop("first")
+    any_large = not large.isEmpty()
+    dealt = contents.join(large, "anchor", "left_anti") if any_large else contents
+    dealt = dealt.select("anchor", "content", "doc_id", "at", "n", "words")
+    streamed = dealt.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at")
     small = streamed.mapInPandas(shared, schema)
+    if not any_large:
+        return small
 
     each = contents.join(large, "anchor", "left_semi")
     words = F.split(F.col("words").cast("string"), " ")
     offsets = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
-    each = each.select("anchor", "content", "first", F.posexplode(F.transform(
+    each = each.select("anchor", "content", "doc_id", "at", F.posexplode(F.transform(
         offsets, lambda o: F.slice(words, o.cast("int") + 1, F.lit(width))
     )).alias("offset", "window"))
     each = each.withColumn("hash", F.struct(F.xxhash64("window"), F.xxhash64(F.lit(1), "window")))
-    place = F.struct("first.doc_id", "first.text_key", (F.col("first.start") + F.col("offset")).alias("start"))
+    place = F.struct("doc_id", (F.col("at") + F.col("offset")).alias("at"))
     each = each.select("anchor", "content", "hash", "offset", place.alias("place"))
     earliest = each.groupBy("hash").agg(F.min("place").alias("earliest"))
     later = each.join(earliest, "hash").where(F.col("place") != F.col("earliest"))
@@ -255,55 +287,86 @@ def _shared_windows(contents: DataFrame, width: int) -> DataFrame:
     return small.unionByName(cut)
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, text_key, begin, end) of word spans that repeats cover, of docs (doc_id, text_key, text)."""
-    spark = docs.sparkSession
-    path = new_table_path(spark, "segments")
-    _places(docs, width).write.parquet(path)
-    places = spark.read.parquet(path)
-    place: Column = F.struct("doc_id", "text_key", "start")
-    contents = places.groupBy("anchor", "content").agg(
-        F.min(F.struct("doc_id", "text_key", "start", "n", "words")).alias("first"), F.count("*").alias("times")
-    )
-    firsts = contents.select("anchor", "content", F.struct("first.doc_id", "first.text_key", "first.start").alias("first"))
-    several = contents.where("first.words IS NOT NULL").select(
-        "anchor", "content", F.struct("first.doc_id", "first.text_key", "first.start").alias("first"), "first.n", "first.words"
-    )
-    judged = firsts.join(_shared_windows(several, width), ["anchor", "content"], "left")
-    met = places.drop("words").join(judged, ["anchor", "content"])
-    start = F.col("start")
-    whole = F.array(F.struct(start.alias("begin"), (start + F.col("n") + width - 1).alias("end")))
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    path = new_table_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def repeated_spans(docs: DataFrame, firsts, width: int = WIDTH) -> DataFrame:
+    """(doc_id, tie, begin, end) of word spans that repeats cover.
+
+    ``docs`` has (doc_id, text_key, text_key2, text); documents that the broadcast ``firsts``
+    certainly does not hold are left out. ``tie`` is the part of text_key that a place has.
+    """
+    send = docs.sparkSession.sparkContext.broadcast
+    segments = _written(_segment_rows(docs, firsts, width), "segments")
+    anchors = segments.groupBy("anchor").count().where("count > 1").select("anchor")
+    places = _passed(segments, send(BitMap(anchors)), ["anchor"], True)
+    place = F.struct("doc_id", "at", "n")
+    contents = places.groupBy("anchor", "content").agg(F.min(place).alias("first")).select("anchor", "content", "first.*")
+    contents = _written(contents, "contents")
+
+    shared = contents.groupBy("anchor").count().where("count > 1").select("anchor")
+    several = contents.join(shared, "anchor", "left_semi")
+    words = _words_at(docs, send(BitMap(several.select("doc_id", "at"))), width)
+    words = words.select(F.col("doc_id").alias("of"), F.col("at").alias("of_at"), "words")
+    here = (F.col("at") == F.col("of_at")) & F.col("doc_id").eqNullSafe(F.col("of"))
+    several = several.join(words, here).drop("of", "of_at")
+    large = contents.groupBy("anchor").count().where(F.col("count") > SHARD_CONTENTS).select("anchor")
+    found = _written(_shared_windows(several, large, width), "shared-windows")
+
+    start = F.col("at").bitwiseAND(F.lit((1 << 32) - 1))
+    whole = F.struct(start.alias("begin"), (start + F.col("n") + width - 1).alias("end"))
+    keys = ["anchor", "content", "doc_id", "at"]
+    first = send(BitMap(contents.select(*keys)))
+    tie = F.shiftright("at", 32).alias("tie")
+    later = _passed(places, first, keys, False).select("doc_id", tie, whole.alias("span")).select("doc_id", "tie", "span.*")
+
+    judged = contents.join(found, ["anchor", "content"], "left")
+    judged = judged.select("anchor", "content", F.col("doc_id").alias("of"), F.col("at").alias("of_at"), "offsets")
+    met = _passed(places, first, keys, True).join(judged, ["anchor", "content"])
     some = F.transform("offsets", lambda o: F.struct((start + o).alias("begin"), (start + o + width).alias("end")))
-    spans = F.when(~place.eqNullSafe(F.col("first")), whole).otherwise(some)
-    return met.select("doc_id", "text_key", F.inline(spans))
+    spans = F.when(here, some).otherwise(F.array(whole))
+    return later.unionByName(met.select("doc_id", tie, F.inline(spans)))
+
 
+def _cutter(firsts, width: int):
+    def cut(doc_id: pd.Series, key: pd.Series, key2: pd.Series, texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        columns = [c.to_numpy(np.int64).view(np.uint64) for c in (doc_id, key, key2)]
+        rows = []
+        for text, own, first in zip(texts, spans, firsts.value.may_hold(columns), strict=True):
+            words = text.encode().split()
+            gone = np.zeros(len(words) + 1, np.int64)
+            for span in own if own is not None else ():
+                gone[span["begin"]] += 1
+                gone[span["end"]] -= 1
+            if not first and len(words) >= width:
+                gone[0] = 1
+            kept = [words[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) == 0)]
+            rows.append((b" ".join(kept).decode(), len(words), len(words) - len(kept)))
+        return pd.DataFrame(rows, columns=["text", "n_words", "n_removed"])
 
-def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text, own in zip(texts, spans, strict=True):
-        words = text.encode().split()
-        edges = np.zeros(len(words) + 1, np.int64)
-        for span in own if own is not None else ():
-            edges[span["begin"]] += 1
-            edges[span["end"]] -= 1
-        stays = np.cumsum(edges[:-1]) == 0
-        kept = [words[i] for i in np.flatnonzero(stays)] if own is not None else words
-        rows.append((b" ".join(kept).decode(), len(words), len(words) - len(kept)))
-    return pd.DataFrame(rows, columns=["text", "n_words", "n_removed"])
+    return F.pandas_udf(cut, "text string, n_words long, n_removed long")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, text, n_words, n_removed) of every row: the words that stay, joined by one blank."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
-    keyed = keyed.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    spans = repeated_spans(keyed, width).groupBy("doc_id", "text_key")
+    second = F.xxhash64("text", F.lit(1)).alias("text_key2")
+    keyed = keyed.select("doc_id", F.xxhash64("text").alias("text_key"), second, "text")
+    copies = keyed.groupBy("text_key", "text_key2").agg(F.min(F.struct("doc_id")).alias("first"))
+    firsts = BitMap(copies.select("first.doc_id", "text_key", "text_key2"))
+    firsts = docs.sparkSession.sparkContext.broadcast(firsts)
+    spans = repeated_spans(keyed, firsts, width).groupBy("doc_id", "tie")
     spans = spans.agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key"), "spans")
-    same = (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of"))
-    cut = F.pandas_udf(_cut, "text string, n_words long, n_removed long")
-    met = keyed.join(spans, same, "left")
-    return met.select("doc_id", cut("text", "spans").alias("kept")).select("doc_id", "kept.*")
+    spans = spans.select(F.col("doc_id").alias("of"), F.col("tie").alias("of_tie"), "spans")
+    tie = F.shiftrightunsigned("text_key", 33)
+    met = keyed.join(spans, (tie == F.col("of_tie")) & F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    known_id = F.coalesce("doc_id", F.lit(0).cast("long"))
+    kept = _cutter(firsts, width)(known_id, "text_key", "text_key2", "text", "spans")
+    return met.select("doc_id", kept.alias("kept")).select("doc_id", "kept.*")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
