@@ -4,18 +4,23 @@ Texts are sequences of words: lower-cased, cut at ASCII white space, without pun
 ends. An item of n words is found in a document when a stretch of it has an edit distance, in
 words, of at most ``share`` times n to the item.
 
-For every item length, the windows of as many words are embedded by CGK random walks: the walk
+CGK walks drift apart as edits add up, so an item of more than PIECE_WORDS words is looked for by
+its pieces: cut into m pieces of nearly equal length, one of them holds at most an m-th of the
+edits. The pieces are so short that WALKS and TABLES find one with as many edits in about 98 of 100
+cases, whatever the item's length; any piece found makes the item a candidate.
+
+For every piece length, the windows of as many words are embedded by CGK random walks: the walk
 copies the word under its pointer and, by a random bit of the word and the step, moves on or
 stays, which turns few edits into few differing places. Each of several walks is sampled at a
-few places for each of several tables; windows and items that agree in a table are candidates.
+few places for each of several tables; windows and pieces that agree in a table are candidates.
 Candidates are verified by an exact edit distance between the item and the stretch around.
 
 Windows that cannot be within the distance are not embedded: k edits spoil at most 3k of the
-item's n - 2 word triples, so a window needs n - 2 - 3k triples that occur in items at all, and
+piece's n - 2 word triples, so a window needs n - 2 - 3k triples that occur in items at all, and
 likewise n - 1 - 2k pairs and n - k words. This loses nothing.
 
 Null or wordless texts and items match nothing. The index over the items is sent to the tasks
-in blocks of ITEMS_PER_BLOCK items; documents move nowhere.
+in blocks of about ITEMS_PER_BLOCK pieces; documents move nowhere.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ from pyspark.sql import functions as F
 from gradeworks.llm.common import distinct_words, mixed, read_table, rolling_hash, slices
 
 MAX_EDIT_SHARE = 0.2
+PIECE_WORDS = 24
 WALKS = 4
 TABLES = 12
 SAMPLED = 4
@@ -77,25 +83,30 @@ def _semi_global(item: np.ndarray, stretch: np.ndarray, anchored: bool) -> np.nd
 
 
 class ItemIndex:
-    """Tables over a block of items, by item length."""
+    """Tables over the pieces of a block of items, by piece length."""
 
     def __init__(self, items: list[tuple[int, str | None]], share: float = MAX_EDIT_SHARE) -> None:
         self.share = share
         found = _sequences([(text or "").encode() for _, text in items])
         self.items = [(i, s) for (i, _), s in zip(items, found, strict=True) if len(s)]
         self.marks = {width: np.zeros(1 << _MARK_BITS, bool) for width in _WIDTHS}
-        by_length: dict[int, list[int]] = defaultdict(list)
+        by_length: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.piece_edits: dict[int, int] = defaultdict(int)
         for number, (_, sequence) in enumerate(self.items):
-            by_length[len(sequence)].append(number)
+            pieces = -(-len(sequence) // PIECE_WORDS)
+            edges = [len(sequence) * i // pieces for i in range(pieces + 1)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                by_length[b - a].append((number, a))
+                self.piece_edits[b - a] = max(self.piece_edits[b - a], self._edits(len(sequence)) // pieces)
             for width, mark in self.marks.items():
                 mark[self._grams(sequence, width)] = True
-        self.gap = 1 + max((self._edits(n) for n in by_length), default=0)
+        self.gap = 1 + max((self._edits(len(s)) for _, s in self.items), default=0)
         self.tables = {}
-        for length, numbers in by_length.items():
-            row = np.concatenate([self.items[i][1] for i in numbers])
-            keys = self._keys(row, np.arange(len(numbers)) * length, length)
+        for length, pieces in by_length.items():
+            row = np.concatenate([self.items[i][1][a : a + length] for i, a in pieces])
+            keys = self._keys(row, np.arange(len(pieces)) * length, length)
             order = np.argsort(keys, axis=1, kind="stable")
-            self.tables[length] = np.take_along_axis(keys, order, axis=1), np.array(numbers)[order]
+            self.tables[length] = np.take_along_axis(keys, order, axis=1), order, pieces
 
     def _edits(self, length: int) -> int:
         return int(self.share * length + 1e-9)
@@ -127,7 +138,7 @@ class ItemIndex:
         starts = None
         for width in _WIDTHS:
             grams = length - width + 1
-            needed = grams - width * self._edits(length)
+            needed = grams - width * self.piece_edits[length]
             if needed > 0:
                 total, count = sums[width], max(0, len(row) - length + 1)
                 if starts is None:
@@ -143,43 +154,46 @@ class ItemIndex:
         row = np.concatenate([x for s in sequences for x in (s, pad)]) if sequences else pad
         begins = np.cumsum([0, *(len(s) + self.gap for s in sequences)])
         sums = {w: np.concatenate([[0], np.cumsum(m[self._grams(row, w)])]) for w, m in self.marks.items()}
-        for length, (keys, numbers) in self.tables.items():
+        found: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for length, (keys, order, pieces) in self.tables.items():
             starts = self._windows(row, length, sums)
             if not len(starts):
                 continue
-            found: dict[int, set[int]] = defaultdict(set)
             for part in np.array_split(starts, 1 + len(starts) // _EMBED_ROWS):
+                text = np.searchsorted(begins, part, side="right") - 1
                 own = self._keys(row, part, length)
                 for table in range(len(own)):
                     low = np.searchsorted(keys[table], own[table], side="left")
                     high = np.searchsorted(keys[table], own[table], side="right")
                     for at in np.flatnonzero(high > low):
-                        for number in numbers[table, low[at] : high[at]].tolist():
-                            found[number].add(int(part[at]))
-            for number, places in found.items():
-                yield from self._verified(number, sorted(places), length, sequences, begins)
-
-    def _verified(self, number: int, places: list[int], length: int, sequences: list, begins: np.ndarray):
+                        for piece in order[table, low[at] : high[at]].tolist():
+                            number, offset = pieces[piece]
+                            found[int(text[at]), number].add(int(part[at] - begins[text[at]]) - offset)
+        for (text, number), places in found.items():
+            yield from self._verified(number, sorted(places), text, sequences[text])
+
+    def _verified(self, number: int, places: list[int], text: int, words: np.ndarray):
+        """Finds around the places where the item may begin, give or take its edits and a piece's."""
         item_id, item = self.items[number]
-        edits = self._edits(length)
-        edges = [0, *(i for i in range(1, len(places)) if places[i] - places[i - 1] > length), len(places)]
+        length, edits = len(item), self._edits(len(item))
+        apart = length + 4 * edits
+        edges = [0, *(i for i in range(1, len(places)) if places[i] - places[i - 1] > apart), len(places)]
         for a, b in zip(edges, edges[1:], strict=False):
-            for text in sorted({int(np.searchsorted(begins, p, side="right")) - 1 for p in places[a:b]}):
-                own = sequences[text]
-                first = max(0, places[a] - int(begins[text]) - edits)
-                stretch = own[first : places[b - 1] - int(begins[text]) + length + edits]
-                ends = _semi_global(item, stretch, anchored=False)
-                best = int(ends.argmin())
-                if ends[best] <= edits and best:
-                    back = _semi_global(item[::-1], stretch[:best][::-1], anchored=True)
-                    begin = best - int(back.argmin())
-                    yield text, item_id, first + begin, first + best, int(ends[best])
+            first = max(0, places[a] - 2 * edits)
+            stretch = words[first : max(0, places[b - 1] + length + 2 * edits)]
+            ends = _semi_global(item, stretch, anchored=False)
+            best = int(ends.argmin())
+            if ends[best] <= edits and best:
+                back = _semi_global(item[::-1], stretch[:best][::-1], anchored=True)
+                begin = best - int(back.argmin())
+                yield text, item_id, first + begin, first + best, int(ends[best])
 
 
 def _blocks(benchmark: DataFrame, share: float) -> Iterator:
     """Broadcast indexes over the items, block by block."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = 1 + items.count() // ITEMS_PER_BLOCK
+    pieces = F.floor(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")) / PIECE_WORDS) + 1
+    blocks = 1 + (items.agg(F.sum(pieces)).first()[0] or 0) // ITEMS_PER_BLOCK
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         listed = sorted({(r.item_id, r.text) for r in own.collect()}, key=lambda r: (r[0] is None, r[0], r[1] or ""))

@@ -127,3 +127,18 @@ def test_edit_distance(anchored):
             assert ends.min() == distance(a.tolist(), b.tolist())
         else:
             assert ends[-1] >= distance(a.tolist(), b.tolist())
+
+
+def test_recall_at_the_full_share_by_length():
+    """Items of any length with exactly a fifth of their words edited."""
+    draw = random.Random(8)
+    for length in (24, 25, 60, 100, 200, 400):
+        items = [(i, " ".join(f"i{i}w{draw.randrange(10**6)}" for _ in range(length))) for i in range(40)]
+        texts = []
+        for _, item in items:
+            leak = edited(draw, item.split(), length // 5)
+            around = [[f"x{draw.randrange(10**6)}" for _ in range(50)] for _ in range(2)]
+            texts.append(" ".join([*around[0], *leak, *around[1]]).encode())
+        got = {(text, item) for text, item, *_ in dc.ItemIndex(items).matches(texts)}
+        assert got <= {(i, i) for i in range(40)}
+        assert len(got) >= 38, length
