@@ -23,7 +23,8 @@ size. They only ever tell that something is certainly not in a set; what they le
 checked or does no harm, so with more data they save less work and nothing else.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Null texts have none. Null ids come first; rows of one id and
-different texts are ordered by a hash of the text, and rows of one id and text are one document.
+different texts are told apart and ordered by a 64-bit hash of the text (text_key), and rows of
+one id and text are one document.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeworks.llm.common import distinct_words, flat, mixed, read_table, rolling_hash, slices
@@ -45,6 +46,7 @@ SHARD_CONTENTS = 5_000
 _MAP_BITS = 26
 _MAP_PROBES = 2
 _MAP_BLOCK_BITS = 16
+_N_BITS = 20
 _GRAM_FACTOR = 0x9E3779B97F4A7C15
 _WINDOW_FACTOR = 0xC2B2AE3D27D4EB4F
 
@@ -183,7 +185,10 @@ class BitMap:
 
 
 def _segment_rows(docs: DataFrame, firsts, width: int) -> DataFrame:
-    """(anchor, content, doc_id, at, n) of all segments of the documents that ``firsts`` may hold."""
+    """(anchor, content, doc_id, text_key, at) of all segments of the documents that ``firsts`` may hold.
+
+    ``at`` has the segment's first word and its number of windows.
+    """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _ in slices(batches):
@@ -195,20 +200,15 @@ def _segment_rows(docs: DataFrame, firsts, width: int) -> DataFrame:
                 _signed(every["anchor"]),
                 _signed(every["content"]),
                 kept.column(0).take(at),
-                pa.array(_at(_filled(kept.column(1))[every["text"]], every["start"])),
-                pa.array(every["n"]),
+                kept.column(1).take(at),
+                pa.array(every["start"] << _N_BITS | every["n"]),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["anchor", "content", "doc_id", "at", "n"])
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "content", "doc_id", "text_key", "at"])
 
-    schema = "anchor long, content long, doc_id long, at long, n long"
+    schema = "anchor long, content long, doc_id long, text_key long, at long"
     return docs.select("doc_id", "text_key", "text_key2", "text").mapInArrow(found, schema)
 
 
-def _at(text_key: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Half of the text's hash and the word, in one number that orders places of one id."""
-    return (text_key >> np.uint64(33)).astype(np.int64) << 32 | start
-
-
 def _passed(rows: DataFrame, sent, columns: list[str], wanted: bool) -> DataFrame:
     """The rows whose columns the broadcast bit map may hold, or certainly does not hold."""
 
@@ -221,7 +221,7 @@ def _passed(rows: DataFrame, sent, columns: list[str], wanted: bool) -> DataFram
 
 
 def _words_at(docs: DataFrame, wanted, width: int) -> DataFrame:
-    """(doc_id, at, words): what follows the places that the broadcast bit map may hold."""
+    """(doc_id, text_key, start, words): what follows the places that the broadcast bit map may hold."""
     longest = 2 * width - max(1, width // 2)  # an anchor lies in all windows of its segment
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,14 +229,16 @@ def _words_at(docs: DataFrame, wanted, width: int) -> DataFrame:
             words, starts = flat([text.split() for text in texts])
             text = np.repeat(np.arange(len(texts)), np.diff(starts))
             start = np.arange(len(words)) - starts[text]
-            at = _at(_filled(batch.column(1))[text], start)
-            passed = np.flatnonzero(wanted.value.may_hold([_filled(batch.column(0))[text], at.view(np.uint64)]))
+            ids, keys = (_filled(batch.column(i))[text] for i in (0, 1))
+            passed = np.flatnonzero(wanted.value.may_hold([ids, keys, start.view(np.uint64)]))
             ends = np.minimum(passed + longest, starts[text[passed] + 1])
             carried = [b" ".join(words[a:b]) for a, b in zip(passed.tolist(), ends.tolist(), strict=True)]
-            columns = [batch.column(0).take(pa.array(text[passed])), pa.array(at[passed]), pa.array(carried, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "words"])
+            at = pa.array(text[passed])
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(start[passed]), pa.array(carried, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "start", "words"])
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(found, "doc_id long, at long, words binary")
+    schema = "doc_id long, text_key long, start long, words binary"
+    return docs.select("doc_id", "text_key", "text").mapInArrow(found, schema)
 
 
 def _shared_windows(contents: DataFrame, large: DataFrame, width: int) -> DataFrame:
@@ -266,20 +268,20 @@ def _shared_windows(contents: DataFrame, large: DataFrame, width: int) -> DataFr
     schema = "anchor long, content long, offsets array<long>"
     any_large = not large.isEmpty()
     dealt = contents.join(large, "anchor", "left_anti") if any_large else contents
-    dealt = dealt.select("anchor", "content", "doc_id", "at", "n", "words")
-    streamed = dealt.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at")
+    dealt = dealt.select("anchor", "content", "doc_id", "text_key", "at", _count().alias("n"), "words")
+    streamed = dealt.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "text_key", "at")
     small = streamed.mapInPandas(shared, schema)
     if not any_large:
         return small
 
     each = contents.join(large, "anchor", "left_semi")
     words = F.split(F.col("words").cast("string"), " ")
-    offsets = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
-    each = each.select("anchor", "content", "doc_id", "at", F.posexplode(F.transform(
+    offsets = F.sequence(F.lit(0).cast("long"), _count() - 1)
+    each = each.select("anchor", "content", "doc_id", "text_key", _start().alias("start"), F.posexplode(F.transform(
         offsets, lambda o: F.slice(words, o.cast("int") + 1, F.lit(width))
     )).alias("offset", "window"))
     each = each.withColumn("hash", F.struct(F.xxhash64("window"), F.xxhash64(F.lit(1), "window")))
-    place = F.struct("doc_id", (F.col("at") + F.col("offset")).alias("at"))
+    place = F.struct("doc_id", "text_key", (F.col("start") + F.col("offset")).alias("start"))
     each = each.select("anchor", "content", "hash", "offset", place.alias("place"))
     earliest = each.groupBy("hash").agg(F.min("place").alias("earliest"))
     later = each.join(earliest, "hash").where(F.col("place") != F.col("earliest"))
@@ -287,6 +289,14 @@ def _shared_windows(contents: DataFrame, large: DataFrame, width: int) -> DataFr
     return small.unionByName(cut)
 
 
+def _start() -> Column:
+    return F.shiftright("at", _N_BITS)
+
+
+def _count() -> Column:
+    return F.col("at").bitwiseAND(F.lit((1 << _N_BITS) - 1))
+
+
 def _written(rows: DataFrame, name: str) -> DataFrame:
     path = new_table_path(rows.sparkSession, name)
     rows.write.parquet(path)
@@ -294,41 +304,42 @@ def _written(rows: DataFrame, name: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, firsts, width: int = WIDTH) -> DataFrame:
-    """(doc_id, tie, begin, end) of word spans that repeats cover.
+    """(doc_id, text_key, begin, end) of word spans that repeats cover.
 
     ``docs`` has (doc_id, text_key, text_key2, text); documents that the broadcast ``firsts``
-    certainly does not hold are left out. ``tie`` is the part of text_key that a place has.
+    certainly does not hold are left out.
     """
     send = docs.sparkSession.sparkContext.broadcast
     segments = _written(_segment_rows(docs, firsts, width), "segments")
     anchors = segments.groupBy("anchor").count().where("count > 1").select("anchor")
     places = _passed(segments, send(BitMap(anchors)), ["anchor"], True)
-    place = F.struct("doc_id", "at", "n")
+    place = F.struct("doc_id", "text_key", "at")
     contents = places.groupBy("anchor", "content").agg(F.min(place).alias("first")).select("anchor", "content", "first.*")
     contents = _written(contents, "contents")
 
     shared = contents.groupBy("anchor").count().where("count > 1").select("anchor")
     several = contents.join(shared, "anchor", "left_semi")
-    words = _words_at(docs, send(BitMap(several.select("doc_id", "at"))), width)
-    words = words.select(F.col("doc_id").alias("of"), F.col("at").alias("of_at"), "words")
-    here = (F.col("at") == F.col("of_at")) & F.col("doc_id").eqNullSafe(F.col("of"))
-    several = several.join(words, here).drop("of", "of_at")
+    words = _words_at(docs, send(BitMap(several.select("doc_id", "text_key", _start()))), width)
+    of = [F.col("doc_id").alias("of"), F.col("text_key").alias("of_key")]
+    same = (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of"))
+    words = words.select(*of, F.col("start").alias("of_start"), "words")
+    several = several.join(words, (_start() == F.col("of_start")) & same).drop("of", "of_key", "of_start")
     large = contents.groupBy("anchor").count().where(F.col("count") > SHARD_CONTENTS).select("anchor")
     found = _written(_shared_windows(several, large, width), "shared-windows")
 
-    start = F.col("at").bitwiseAND(F.lit((1 << 32) - 1))
-    whole = F.struct(start.alias("begin"), (start + F.col("n") + width - 1).alias("end"))
-    keys = ["anchor", "content", "doc_id", "at"]
+    start = _start()
+    whole = F.struct(start.alias("begin"), (start + _count() + width - 1).alias("end"))
+    keys = ["anchor", "content", "doc_id", "text_key", "at"]
     first = send(BitMap(contents.select(*keys)))
-    tie = F.shiftright("at", 32).alias("tie")
-    later = _passed(places, first, keys, False).select("doc_id", tie, whole.alias("span")).select("doc_id", "tie", "span.*")
+    later = _passed(places, first, keys, False).select("doc_id", "text_key", whole.alias("span"))
+    later = later.select("doc_id", "text_key", "span.*")
 
     judged = contents.join(found, ["anchor", "content"], "left")
-    judged = judged.select("anchor", "content", F.col("doc_id").alias("of"), F.col("at").alias("of_at"), "offsets")
+    judged = judged.select("anchor", "content", *of, F.col("at").alias("of_at"), "offsets")
     met = _passed(places, first, keys, True).join(judged, ["anchor", "content"])
     some = F.transform("offsets", lambda o: F.struct((start + o).alias("begin"), (start + o + width).alias("end")))
-    spans = F.when(here, some).otherwise(F.array(whole))
-    return later.unionByName(met.select("doc_id", tie, F.inline(spans)))
+    spans = F.when((F.col("at") == F.col("of_at")) & same, some).otherwise(F.array(whole))
+    return later.unionByName(met.select("doc_id", "text_key", F.inline(spans)))
 
 
 def _cutter(firsts, width: int):
@@ -359,11 +370,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     copies = keyed.groupBy("text_key", "text_key2").agg(F.min(F.struct("doc_id")).alias("first"))
     firsts = BitMap(copies.select("first.doc_id", "text_key", "text_key2"))
     firsts = docs.sparkSession.sparkContext.broadcast(firsts)
-    spans = repeated_spans(keyed, firsts, width).groupBy("doc_id", "tie")
+    spans = repeated_spans(keyed, firsts, width).groupBy("doc_id", "text_key")
     spans = spans.agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("of"), F.col("tie").alias("of_tie"), "spans")
-    tie = F.shiftrightunsigned("text_key", 33)
-    met = keyed.join(spans, (tie == F.col("of_tie")) & F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    spans = spans.select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key"), "spans")
+    same = (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of"))
+    met = keyed.join(spans, same, "left")
     known_id = F.coalesce("doc_id", F.lit(0).cast("long"))
     kept = _cutter(firsts, width)(known_id, "text_key", "text_key2", "text", "spans")
     return met.select("doc_id", kept.alias("kept")).select("doc_id", "kept.*")

@@ -66,3 +66,14 @@ def test_matching_statistics(known, text):
     for end, size in enumerate(automaton.matches(list(text)), 1):
         longest = max(n for n in range(end + 1) if n == 0 or any(text[end - n : end] in one for one in known))
         assert size == longest
+
+
+def test_texts_of_one_id_with_alike_hashes(spark, documents):
+    """Two texts of one id whose hashes have the first 31 bits in common keep their own spans."""
+    passage = " ".join(f"w{i}" for i in range(30))
+    long, short = "u9815 " + passage, "v9012 is short"
+    hashes = spark.createDataFrame([(long,), (short,)], "text string").selectExpr("shiftrightunsigned(xxhash64(text), 33) AS h")
+    assert hashes.distinct().count() == 1
+    rows = [(None, passage), (7, long), (7, short)]
+    folder = documents(rows)
+    assert in_order(sd.op7_substring_dedup(spark, folder).collect()) == in_order(expected(rows))
