@@ -26,6 +26,7 @@ in blocks of about ITEMS_PER_BLOCK pieces; documents move nowhere.
 from __future__ import annotations
 
 import string
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -181,12 +182,25 @@ class ItemIndex:
         for a, b in zip(edges, edges[1:], strict=False):
             first = max(0, places[a] - 2 * edits)
             stretch = words[first : max(0, places[b - 1] + length + 2 * edits)]
-            ends = _semi_global(item, stretch, anchored=False)
-            best = int(ends.argmin())
-            if ends[best] <= edits and best:
-                back = _semi_global(item[::-1], stretch[:best][::-1], anchored=True)
-                begin = best - int(back.argmin())
-                yield text, item_id, first + begin, first + best, int(ends[best])
+            for begin, end, away in self._cut(item, stretch, edits):
+                yield text, item_id, first + begin, first + end, away
+
+    @staticmethod
+    def _cut(item: np.ndarray, stretch: np.ndarray, edits: int) -> list[tuple[int, int, int]]:
+        """(begin, end, edits) of finds that do not overlap: the nearest first, then what is left beside them."""
+        ends = _semi_global(item, stretch, anchored=False)
+        least, finds = max(1, len(item) - edits), []
+        near = np.flatnonzero(ends <= edits)
+        for end in near[np.argsort(ends[near], kind="stable")].tolist():
+            at = bisect(finds, (end,))
+            low = max(finds[at - 1][1] if at else 0, end - len(item) - edits)
+            if end - low < least:
+                continue
+            back = _semi_global(item[::-1], stretch[low:end][::-1], anchored=True)
+            size = int(back.argmin())
+            if size and back[size] <= edits:
+                finds.insert(at, (end - size, end, int(back[size])))
+        return finds
 
 
 def _blocks(benchmark: DataFrame, share: float) -> Iterator:

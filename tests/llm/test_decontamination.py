@@ -142,3 +142,12 @@ def test_recall_at_the_full_share_by_length():
         got = {(text, item) for text, item, *_ in dc.ItemIndex(items).matches(texts)}
         assert got <= {(i, i) for i in range(40)}
         assert len(got) >= 38, length
+
+
+def test_item_several_times_in_a_row():
+    item = " ".join(f"w{i}" for i in range(30))
+    edited_item = item.replace("w3 ", "").replace("w20", "other")
+    text = " ".join(["before", item, item, edited_item, "between", item, "after"])
+    found = sorted(dc.ItemIndex([(1, item)]).matches([text.encode(), item.encode()]))
+    spans = [(1, 31, 0), (31, 61, 0), (61, 90, 2), (91, 121, 0)]
+    assert found == [*((0, 1, *s) for s in spans), (1, 1, 0, 30, 0)]
