@@ -43,6 +43,19 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tu
             start = stop
 
 
+def gathered(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches' rows in tables of ``rows`` rows, however short the batches are."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        while sum(b.num_rows for b in held) >= rows:
+            whole = pa.Table.from_batches(held)
+            yield whole.slice(0, rows)
+            held = whole.slice(rows).to_batches()
+    if any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
 class Memo(dict):
     """Remembers a value for each key; ``clear_if_full`` bounds it between slices."""
 
