@@ -12,6 +12,7 @@ from gradeworks.llm import (
     substring_dedup,
     token_counts,
     token_files,
+    whitening,
 )
 
 QUERIES = [
@@ -25,4 +26,5 @@ QUERIES = [
     Query("op8_nearest", nearest.op8_nearest),
     Query("op9_simhash", simhash.op9_simhash),
     Query("op10_context_mixing", context_mixing.op10_context_mixing),
+    Query("op11_whitening", whitening.op11_whitening),
 ]
