@@ -5,6 +5,7 @@ from gradeworks.llm import (
     bpe,
     context_mixing,
     decontamination,
+    exact_dedup,
     language_id,
     line_dedup,
     nearest,
@@ -27,4 +28,5 @@ QUERIES = [
     Query("op9_simhash", simhash.op9_simhash),
     Query("op10_context_mixing", context_mixing.op10_context_mixing),
     Query("op11_whitening", whitening.op11_whitening),
+    Query("op12_exact_dedup", exact_dedup.op12_exact_dedup, exact_dedup.OP12_SQL),
 ]
