@@ -9,6 +9,7 @@ from gradeworks.llm import (
     language_id,
     line_dedup,
     nearest,
+    periodic_runs,
     simhash,
     substring_dedup,
     token_counts,
@@ -29,4 +30,5 @@ QUERIES = [
     Query("op10_context_mixing", context_mixing.op10_context_mixing),
     Query("op11_whitening", whitening.op11_whitening),
     Query("op12_exact_dedup", exact_dedup.op12_exact_dedup, exact_dedup.OP12_SQL),
+    Query("op13_periodic_runs", periodic_runs.op13_periodic_runs),
 ]
