@@ -55,7 +55,7 @@ _SHOWN = (
 )
 
 
-def _shown(results, *further):
+def shown(results, *further):
     """Results with -1 for the absent pass and row number of a blocked part."""
     return results.select(
         "model",
@@ -117,7 +117,7 @@ PROBLEM_LISTS = f""" SELECT model, id, kpass, status, row_no, {K} AS k,
 def _evaluated(s, d):
     executions = V.TASK_RUNS.frame(s, d)
     attempts = graded_attempts(executions, V.REEXTRACTIONS.frame(s, d))
-    return _shown(two_part_results(attempts, K), "subset", "k")
+    return shown(two_part_results(attempts, K), "subset", "k")
 
 
 def _graded_sql(runs: View, integer_guard: bool) -> str:
@@ -131,7 +131,7 @@ def _exported(s, d):
     attempts = graded_attempts(V.TASK_RUNS.frame(s, d), V.REEXTRACTIONS.frame(s, d))
     results = two_part_results(attempts, K).where(F.col("k") == K)
     rows = with_texts(results, attempts, parts_as_rows(V.CHALLENGES.frame(s, d)))
-    return _shown(rows, "output", "expected_output", "error", "code")
+    return shown(rows, "output", "expected_output", "error", "code")
 
 
 def _exported_sql() -> str:
@@ -167,19 +167,25 @@ def _exported_problems_sql() -> str:
         FROM r LEFT JOIN x ON r.row_no = x.row_no LEFT JOIN ({V.PROBLEMS.sql}) c ON r.id = c.id"""
 
 
-def _evaluated_sql() -> str:
-    lists = gated_sql(K, _graded_sql(V.TASK_RUNS, False)) + _first_passes_sql(GATE_K)
+def lists_sql(attempts: str) -> str:
+    """Both lists of a two-part run."""
+    lists = gated_sql(K, attempts) + _first_passes_sql(GATE_K)
     return lists + f""" SELECT {_SHOWN}, 'aoc' AS subset, {K} AS k FROM g
         UNION ALL SELECT {_SHOWN}, 'aoc' AS subset, 1 AS k FROM f"""
 
 
+def problem_lists_sql(attempts: str) -> str:
+    """Both lists of a math run."""
+    return _problem_passes(attempts) + PROBLEM_LISTS
+
+
 QUERIES = [
-    Query("evaluate_run", _evaluated, _evaluated_sql()),
+    Query("evaluate_run", _evaluated, lists_sql(_graded_sql(V.TASK_RUNS, False))),
     Query("export_rows_t", _exported, _exported_sql()),
     Query(
         "evaluate_problem_runs",
         lambda s, d: _problem_lists(s, d)[1],
-        _problem_passes(_graded_sql(V.PROBLEM_RUNS, True)) + PROBLEM_LISTS,
+        problem_lists_sql(_graded_sql(V.PROBLEM_RUNS, True)),
     ),
     Query("export_rows_m", _exported_problems, _exported_problems_sql()),
     Query(
@@ -201,39 +207,39 @@ QUERIES = [
     ),
     Query(
         "first_pass",
-        lambda s, d: _shown(first_pass(_attempts(s, d))),
+        lambda s, d: shown(first_pass(_attempts(s, d))),
         passes_sql(1) + f" SELECT {_SHOWN} FROM p",
     ),
     Query(
         "first_pass_with_gaps",
-        lambda s, d: _shown(first_pass(_attempts(s, d), numbering="gaps")),
+        lambda s, d: shown(first_pass(_attempts(s, d), numbering="gaps")),
         passes_sql(1000)
         + f""", f AS (SELECT *, min(kpass) OVER (PARTITION BY {TASK}) AS low FROM p)
         SELECT {_SHOWN} FROM f WHERE kpass = low""",
     ),
     Query(
         "best_of_k",
-        lambda s, d: _shown(best_of_k(_attempts(s, d), K)),
+        lambda s, d: shown(best_of_k(_attempts(s, d), K)),
         passes_sql() + f" SELECT {_SHOWN} FROM b",
     ),
     Query(
         "best_of_all",
-        lambda s, d: _shown(best_of_k(_attempts(s, d), 1000)),
+        lambda s, d: shown(best_of_k(_attempts(s, d), 1000)),
         passes_sql(1000) + f" SELECT {_SHOWN} FROM b",
     ),
     Query(
         "best_of_40",
-        lambda s, d: _shown(best_of_k(V.OPEN_ATTEMPTS.frame(s, d), 40)),
+        lambda s, d: shown(best_of_k(V.OPEN_ATTEMPTS.frame(s, d), 40)),
         passes_sql(40, V.OPEN_ATTEMPTS.sql) + f" SELECT {_SHOWN} FROM b",
     ),
     Query(
         "part_gating_40",
-        lambda s, d: _shown(gate_parts(V.OPEN_ATTEMPTS.frame(s, d), 40)),
+        lambda s, d: shown(gate_parts(V.OPEN_ATTEMPTS.frame(s, d), 40)),
         gated_sql(40, V.OPEN_ATTEMPTS.sql) + f" SELECT {_SHOWN} FROM g",
     ),
     Query(
         "first_pass_gated_40",
-        lambda s, d: _shown(first_pass_gated(V.OPEN_ATTEMPTS.frame(s, d), 40)),
+        lambda s, d: shown(first_pass_gated(V.OPEN_ATTEMPTS.frame(s, d), 40)),
         passes_sql(40, V.OPEN_ATTEMPTS.sql) + _first_passes_sql(GATE_K) + f" SELECT {_SHOWN} FROM f",
     ),
     Query(
@@ -256,17 +262,17 @@ QUERIES = [
     ),
     Query(
         "part_gating",
-        lambda s, d: _shown(gate_parts(_attempts(s, d), K)),
+        lambda s, d: shown(gate_parts(_attempts(s, d), K)),
         gated_sql() + f" SELECT {_SHOWN} FROM g",
     ),
     Query(
         "first_pass_gated",
-        lambda s, d: _shown(first_pass_gated(_attempts(s, d), K)),
+        lambda s, d: shown(first_pass_gated(_attempts(s, d), K)),
         passes_sql() + _first_passes_sql(GATE_K) + f" SELECT {_SHOWN} FROM f",
     ),
     Query(
         "first_pass_gated_by_first",
-        lambda s, d: _shown(first_pass_gated(_attempts(s, d), K, gate="1")),
+        lambda s, d: shown(first_pass_gated(_attempts(s, d), K, gate="1")),
         passes_sql() + _first_passes_sql(GATE_1) + f" SELECT {_SHOWN} FROM f",
     ),
     Query(

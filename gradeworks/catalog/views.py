@@ -147,6 +147,12 @@ REEXTRACTIONS = View(
     "events", {"row_no": "event_id", "text": "cast(user_id + 1 AS string)"}, "value >= 10"
 )
 
+# The same runs and answers with the time they come; an answer has a time of its own.
+TIMED_RUNS = View("events", {**RUNS.columns, "ended_at": "cast(ts AS timestamp)"})
+TIMED_ANSWERS = View(
+    "events", {"row_no": "event_id", "text": "cast(user_id + 1 AS string)", "asked_at": "cast(ts AS timestamp)"}, "value >= 10"
+)
+
 # Model calls; the ones a provider refused carry an error.
 CALLS = View(
     "events",

@@ -99,6 +99,11 @@ def accuracy_from_codes(codes: DataFrame, by: list[str]) -> DataFrame:
         *[F.count_if(F.col("part") == p).alias(f"total_part{p}") for p in (1, 2)],
         *[F.count_if(solved & (F.col("part") == p)).alias(f"solved_part{p}") for p in (1, 2)],
     )
+    return with_accuracy(counted)
+
+
+def with_accuracy(counted: DataFrame) -> DataFrame:
+    """Adds the shares to counts of two-part tasks, overall and by part."""
     return counted.withColumns(
         {
             "accuracy": percent(F.col("solved"), F.col("total")),

@@ -80,6 +80,17 @@ RESULT_MATH = T.StructType(
     ]
 )
 
+def _result_list(keys: dict[str, T.DataType]) -> T.StructType:
+    """The lists of a run as they are kept: keys, chosen pass, status, and which list it is."""
+    chosen = {"kpass": T.IntegerType(), "status": T.StringType(), "row_no": T.LongType()}
+    lists = {"k": T.IntegerType(), "subset": T.StringType()}
+    columns = {"model": T.StringType()} | keys | chosen | lists
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+RESULT_LIST_TWO_PART = _result_list({name: T.IntegerType() for name in ("year", "day", "part")})
+RESULT_LIST_MATH = _result_list({"id": T.IntegerType()})
+
 DOC_KEYS = ["year", "day"]
 PART_KEYS = ["year", "day", "part"]
 TASK_KEYS = ["model", "year", "day", "part"]

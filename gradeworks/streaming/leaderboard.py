@@ -1,41 +1,117 @@
-"""Running leaderboard over a stream of graded attempts."""
+"""Running leaderboard over a stream of graded attempts, kept up by differences.
 
+The state has one entry for each day of a model: the first row of every pass below k of both
+parts. A batch touches the days its rows belong to and emits, for those whose verdict changed,
+what changed in the model's counts. The report is the version before plus the differences of the
+batch, so that what a batch reads follows its new rows and the number of models.
+"""
+
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gradeworks.operators.passes import pass_table
-from gradeworks.plans.evaluation import accuracy_from_passes
+from gradeworks.fixed_values import LAST_DAY
+from gradeworks.functions.status import OK_CODE, status_code
+from gradeworks.operators.passes import SPINE_KEYS
+from gradeworks.operators.reports import with_accuracy
+from gradeworks.sources.versions import current_version, publish, read_version
+from gradeworks.streaming.state import state_on_disk
 
+COUNTS = ["total", "solved", "total_part1", "total_part2", "solved_part1", "solved_part2"]
 
-def start_leaderboard(
-    attempts: DataFrame, k: int, output: str, checkpoint: str
-) -> StreamingQuery:
-    """Keeps the best-of-k accuracy per model up to date as attempts arrive.
+_STATE = "part array<int>, kpass array<int>, row_no array<long>, code array<int>"
+_CHANGES = "model string, " + ", ".join(f"{name} long" for name in COUNTS)
+
+# (part, pass) -> (row number, status code) of the pass's first row
+Passes = dict[tuple[int, int], tuple[int, int]]
+
+
+def day_counts(day: int | None, passes: Passes) -> list[int]:
+    """What a day adds to its model's counts: part 2 is gated, and left out on the last day."""
+    solved = {p for p in (1, 2) if any(part == p and code == OK_CODE for (part, _), (_, code) in passes.items())}
+    made = {part for part, _ in passes}
+    if 1 not in made:
+        return [0] * len(COUNTS)
+    # Without a day it is not known whether there is a second part to attempt.
+    second = day != LAST_DAY and (1 not in solved or (2 in made and not pd.isna(day)))
+    solved1, solved2 = int(1 in solved), int(second and solved == {1, 2})
+    return [1 + second, solved1 + solved2, 1, int(second), solved1, solved2]
+
+
+def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The change of one day's counts by its new attempts."""
+    passes: Passes = {}
+    if state.exists:
+        parts, numbers, rows, codes = state.get
+        passes = {
+            (p, k): (r, c) for p, k, r, c in zip(parts, numbers, rows, codes, strict=True)
+        }
+    before = day_counts(key[2], passes)
+    for batch in batches:
+        # Of a batch's rows for one pass only the first can count.
+        firsts = batch.sort_values("row_no").drop_duplicates(["part", "kpass"])
+        for row in firsts[["part", "kpass", "row_no", "code"]].itertuples(index=False):
+            at, found = (int(row.part), int(row.kpass)), (int(row.row_no), int(row.code))
+            passes[at] = min(passes.get(at, found), found)
+    state.update((
+        [p for p, _ in passes],
+        [k for _, k in passes],
+        [r for r, _ in passes.values()],
+        [c for _, c in passes.values()],
+    ))
+    change = [a - b for a, b in zip(day_counts(key[2], passes), before, strict=True)]
+    if any(change):
+        yield pd.DataFrame([[key[0], *change]], columns=["model", *COUNTS])
 
-    The state is the streaming aggregate itself: one row of integers per task and pass, so a
-    late earlier pass changes the verdict as it would in batch, and a repeated attempt
-    changes nothing. Each trigger writes a new version, ``version=<batch>``, below
-    ``output``, so a reader of the version before is not disturbed; a batch that runs again
-    after a failure writes the same version again.
-    """
 
-    def publish(passes: DataFrame, batch_id: int) -> None:
-        version = f"{output}/version={batch_id:010d}"
-        accuracy_from_passes(passes, k).write.mode("overwrite").parquet(version)
-
-    return (
-        pass_table(attempts.where(F.col("kpass") < k))
-        .writeStream.outputMode("complete")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(publish)
-        .start()
+def count_changes(attempts: DataFrame, k: int) -> DataFrame:
+    """Streamed attempts as changes of their models' counts, best of k with part gating.
+
+    A repeated attempt changes nothing, and an earlier pass that comes late changes what it would
+    have changed in batch. A day or model that is null has a state of its own, as in a grouping.
+    Attempts of other parts than 1 and 2, or without a pass number, are in no count.
+    """
+    code = F.coalesce(status_code(F.col("status")), F.lit(0)).alias("code")
+    counted = attempts.where((F.col("kpass") < k) & F.col("part").isin(1, 2))
+    coded = counted.select(*SPINE_KEYS, "part", "kpass", "row_no", code)
+    return coded.groupBy(*SPINE_KEYS).applyInPandasWithState(
+        _changes, _CHANGES, _STATE, "update", GroupStateTimeout.NoTimeout
     )
 
 
+def add_changes(spark: SparkSession, changes: DataFrame, output: str, batch_id: int) -> None:
+    """Writes the version of a batch: the one before and the changes.
+
+    A version is complete once it is published, and later ones do not touch it. A batch that runs
+    again after a failure starts from the same version before, so its changes count once.
+    """
+    sums = [F.sum(name).cast("long").alias(name) for name in COUNTS]
+    new = changes.groupBy("model").agg(*sums)
+    # Two partial sums by model in one plan; the version before has a row for each model.
+    if batch_id > 0:
+        new = read_version(spark, output, batch_id - 1).unionByName(new).groupBy("model").agg(*sums)
+    publish(new, output, batch_id)
+
+
+def start_leaderboard(attempts: DataFrame, k: int, output: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the best-of-k accuracy per model up to date as attempts arrive."""
+    spark = attempts.sparkSession
+    with state_on_disk(spark):
+        return (
+            count_changes(attempts, k)
+            .writeStream.outputMode("update")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .foreachBatch(lambda changes, batch_id: add_changes(spark, changes, output, batch_id))
+            .start()
+        )
+
+
 def read_leaderboard(spark: SparkSession, output: str) -> DataFrame:
-    """The newest version of the report that was written to its end."""
-    versions = spark.read.parquet(output)
-    newest = versions.agg(F.max("version").alias("newest"))
-    return versions.join(F.broadcast(newest), F.col("version") == F.col("newest")).drop("version", "newest")
+    """The newest published report: counts and shares per model."""
+    counts = read_version(spark, output, current_version(spark, output))
+    return with_accuracy(counts.where("total > 0"))
