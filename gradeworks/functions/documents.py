@@ -1,7 +1,8 @@
-"""Cleaning of raw puzzle documents, as expressions over their lines.
+"""Cleaning of raw puzzle documents, by searching for places in their text.
 
-A document is taken apart once; later steps only pick among its lines. A line keeps its
-newline, so joining the lines gives the text back.
+A text is never taken apart into lines: sections are cut at the places of their marker words, and
+lines that hold a word are left out by cutting around its places, where there are any. A line ends with its newline;
+the last one may lack it.
 """
 
 from collections.abc import Callable
@@ -35,69 +36,58 @@ def in_steps(value: Column, *steps: Callable[[Column], Column]) -> Column:
     return F.element_at(carried, 1)
 
 
-def _first_index(lines: Column, test: Callable[[Column], Column]) -> Column:
-    """1-based place of the first line that passes the test, 0 if none does."""
-    return F.array_position(F.transform(lines, test), True)
+def _behind(text: Column, start: Column, more: int = 0) -> Column:
+    """The text without what it starts with, and some bytes more; places in bytes need no count of letters."""
+    return F.substr(text.cast("binary"), F.octet_length(start) + 1 + more).cast("string")
 
 
-def _lines_from(lines: Column, index: Column) -> Column:
-    return F.slice(lines, index, F.size(lines))
+def _in_front(text: Column, end: Column) -> Column:
+    """The text without what it ends with."""
+    size = F.octet_length(text) - F.octet_length(end)
+    return F.substr(text.cast("binary"), F.lit(1), size).cast("string")
 
 
-def _lines_before(lines: Column, index: Column) -> Column:
-    """The lines in front of a 1-based place; all of them for place 0."""
-    return F.when(index > 0, F.slice(lines, 1, index - 1)).otherwise(lines)
+def _without_lines(text: Column, word: str) -> Column:
+    """The lines without those that hold the word: what lies between its places, in whole lines."""
 
+    def whole_lines(pieces: Column) -> Column:
+        last = F.size(pieces) - 1
 
-def _without_word(lines: Column, word: str) -> Column:
-    return F.filter(lines, lambda line: ~line.contains(word))
+        def inner(piece: Column, i: Column) -> Column:
+            opened = F.when(i > 0, _behind(piece, F.substring_index(piece, NEWLINE, 1), 1)).otherwise(piece)
+            closed = _in_front(opened, F.substring_index(opened, NEWLINE, -1))
+            return F.when(i < last, closed).otherwise(opened)
 
+        return F.array_join(F.transform(pieces, inner), "")
 
-def _without_first_blank(lines: Column) -> Column:
-    blank = F.get(lines, 0) == NEWLINE
-    return F.when(blank, _lines_from(lines, F.lit(2))).otherwise(lines)
+    removed = in_steps(F.split(text, literal_pattern(word)), whole_lines)
+    return F.when(text.contains(word), removed).otherwise(text)
 
 
-def _without_last_blank(lines: Column) -> Column:
-    last = F.size(lines) - 1
-    return F.when(F.get(lines, last) == NEWLINE, F.slice(lines, 1, last)).otherwise(lines)
+def _lines_before(text: Column, word: str) -> Column:
+    """The lines in front of the first one that holds the word, all lines if none does."""
+    before = F.substring_index(text, word, 1)
+    begun = F.substring_index(before, NEWLINE, -1)
+    return F.when(text.contains(word), _in_front(before, begun)).otherwise(text)
 
 
-def join_lines(lines: Column) -> Column:
-    """The text of the lines."""
-    return F.array_join(lines, "")
+def _without_outer_blanks(text: Column) -> Column:
+    """The lines without a blank first line and a blank last line."""
+    newline = F.lit(NEWLINE)
+    text = F.when(text.startswith(NEWLINE), _behind(text, newline)).otherwise(text)
+    blank_end = (text == NEWLINE) | text.endswith(NEWLINE + NEWLINE)
+    return F.when(blank_end, _in_front(text, newline)).otherwise(text)
 
 
 def with_plain_line_ends(text: Column) -> Column:
     """The text with ``\\r\\n`` and a lone ``\\r`` as newlines, as text files are read."""
     newline = F.lit(NEWLINE)
-    return F.replace(F.replace(text, F.lit("\r\n"), newline), F.lit("\r"), newline)
-
-
-def _plain_lines(lines: Column) -> Column:
-    """Lines taken apart anew where a carriage return ends or parts them."""
-    returns = F.exists(lines, lambda line: line.contains("\r"))
-    return F.when(returns, lines_of(with_plain_line_ends(join_lines(lines)))).otherwise(lines)
-
-
-def lines_of(text: Column, close_last: bool = False) -> Column:
-    """Lines of a text, each with its newline; the last one may lack it unless closed."""
-
-    def close(piece: Column) -> Column:
-        return F.concat(piece, F.lit(NEWLINE))
-
-    def lines(pieces: Column) -> Column:
-        ended = F.slice(pieces, 1, F.size(pieces) - 1)
-        last = F.filter(F.slice(pieces, -1, 1), lambda piece: piece != "")
-        return F.concat(
-            F.transform(ended, close), F.transform(last, close) if close_last else last
-        )
+    plain = F.replace(F.replace(text, F.lit("\r\n"), newline), F.lit("\r"), newline)
+    return F.when(text.contains("\r"), plain).otherwise(text)
 
-    return in_steps(F.split(text, NEWLINE), lines)
 
-
-def clean_lines(
-    lines: Column,
+def clean_section(
+    text: Column,
     header: str,
     keep_header: bool,
     link_word: str = LINK_WORD,
@@ -108,72 +98,70 @@ def clean_lines(
     A kept header line is spared from both tests. One blank line at each end is dropped.
     Without a header, or with nothing left, the text is ``''``.
     """
+    begin = NEWLINE + header
+
+    def from_header(plain: Column) -> Column:
+        opened = F.concat(F.lit(NEWLINE), plain)
+        before = F.substring_index(opened, begin, 1)
+        section = _behind(opened, before, 1)
+        return F.when(opened.contains(begin), section).otherwise(F.lit(""))
 
-    def find_header(found: Column) -> Column:
-        start = _first_index(found, lambda line: line.startswith(header))
-        return F.struct(found.alias("lines"), start.alias("start"))
+    def parted(section: Column) -> Column:
+        line = F.substring_index(section, NEWLINE, 1)
+        rest = _behind(section, line)
+        return F.struct(line.alias("head"), rest.alias("rest"))
 
-    def take_section(found: Column) -> Column:
-        after = _lines_from(found["lines"], found["start"] + 1)
-        head = F.slice(found["lines"], F.greatest(found["start"], F.lit(1)), 1)
-        nothing = F.slice(found["lines"], 1, 0)
-        exists = found["start"] > 0
+    def body(found: Column) -> Column:
+        # The newline that ends the header line belongs to it.
         return F.struct(
-            F.when(exists & F.lit(keep_header), head).otherwise(nothing).alias("head"),
-            F.when(exists, _without_word(after, link_word)).otherwise(nothing).alias("body"),
+            F.concat(found["head"], F.left(found["rest"], F.lit(1))).alias("head"),
+            _without_lines(_behind(found["rest"], F.lit(NEWLINE)), link_word).alias("body"),
         )
 
-    def find_stop(section: Column) -> Column:
-        stop = _first_index(section["body"], lambda line: line.contains(stop_phrase))
-        return F.struct(section["head"].alias("head"), section["body"].alias("body"),
-                        stop.alias("stop"))
+    def cut(found: Column) -> Column:
+        kept = _lines_before(found["body"], stop_phrase)
+        return F.concat(found["head"], kept) if keep_header else kept
 
-    def cut(section: Column) -> Column:
-        return F.concat(section["head"], _lines_before(section["body"], section["stop"]))
-
-    steps = [_plain_lines, find_header, take_section, find_stop, cut]
-    return join_lines(in_steps(lines, *steps, _without_first_blank, _without_last_blank))
+    steps = [with_plain_line_ends, from_header, parted, body, cut]
+    return in_steps(text, *steps, _without_outer_blanks)
 
 
 def clean_part1(text: Column, header: str = PART1_HEADER, **words: str) -> Column:
     """Part 1 of a raw text: it starts with its header line."""
-    return clean_lines(lines_of(text), header, True, **words)
+    return clean_section(text, header, True, **words)
 
 
 def clean_part2(text: Column, header: str = PART2_HEADER, **words: str) -> Column:
     """Part 2 of a raw text: it starts after the rule line."""
-    return clean_lines(lines_of(text), header, False, **words)
+    return clean_section(text, header, False, **words)
 
 
-def part_lines(text: Column, marker: str = PART2_MARKER) -> Column:
-    """Lines in front of and behind the marker line, as a struct (part1, part2).
+def part_texts(text: Column, marker: str = PART2_MARKER) -> Column:
+    """Lines in front of and behind the marker line, as a struct (part1, part2) of texts.
 
-    Further marker lines are left out. A part without lines is empty.
+    Further marker lines are left out, and a last line gets its newline. A part without lines is
+    empty.
     """
 
-    def find_marker(lines: Column) -> Column:
-        place = _first_index(lines, lambda line: line.contains(marker))
-        return F.struct(lines.alias("lines"), place.alias("place"))
-
-    def share_out(found: Column) -> Column:
-        behind = _without_word(_lines_from(found["lines"], found["place"] + 1), marker)
-        nothing = F.slice(found["lines"], 1, 0)
-        return F.struct(
-            _lines_before(found["lines"], found["place"]).alias("part1"),
-            F.when(found["place"] > 0, behind).otherwise(nothing).alias("part2"),
-        )
+    def closed(raw: Column) -> Column:
+        ended = (raw == "") | raw.endswith(NEWLINE)
+        return F.when(ended, raw).otherwise(F.concat(raw, F.lit(NEWLINE)))
 
-    return in_steps(lines_of(text, close_last=True), find_marker, share_out)
+    def parted(whole: Column) -> Column:
+        return F.struct(whole.alias("whole"), _lines_before(whole, marker).alias("part1"))
 
+    def shared(found: Column) -> Column:
+        rest = _behind(found["whole"], found["part1"])
+        return F.struct(found["part1"].alias("part1"), _without_lines(rest, marker).alias("part2"))
 
-def answers_in(lines: Column, phrase: str = ANSWER_PHRASE) -> Column:
-    """Answers named in the lines: lines with the phrase, less phrase, ticks and dots."""
-    named = join_lines(F.filter(lines, lambda line: line.contains(phrase)))
-    pattern = r"(?:\A|(?<=\n))([^\n]*?)" + literal_pattern(phrase)
-    without_phrase = F.regexp_replace(named, pattern, "$1")
-    return rstrip_newlines(F.translate(without_phrase, "`.", ""))
+    return in_steps(text, closed, parted, shared)
 
 
 def extract_answer(text: Column, phrase: str = ANSWER_PHRASE) -> Column:
-    """Answers named in a text, one per line."""
-    return answers_in(lines_of(text), phrase)
+    """Answers named in a text, one per line: lines with the phrase, less phrase, ticks and dots."""
+    # Only a newline ends a line.
+    line = rf"(?md)^[^\n]*{literal_pattern(phrase)}[^\n]*\n?"
+    lines = F.array_join(F.regexp_extract_all(text, F.lit(line), F.lit(0)), "")
+    named = F.when(text.contains(phrase), lines).otherwise(F.left(text, F.lit(0)))
+    pattern = r"(?:\A|(?<=\n))([^\n]*?)" + literal_pattern(phrase)
+    return rstrip_newlines(F.translate(F.regexp_replace(named, pattern, "$1"), "`.", ""))

@@ -5,12 +5,11 @@ from pyspark.sql import functions as F
 
 from gradeworks.fixed_values import PART1_HEADER, PART2_HEADER, PART2_MARKER
 from gradeworks.functions.documents import (
-    answers_in,
-    clean_lines,
     clean_part1,
     clean_part2,
-    join_lines,
-    part_lines,
+    clean_section,
+    extract_answer,
+    part_texts,
 )
 from gradeworks.functions.text import rstrip_newlines
 
@@ -37,9 +36,9 @@ def empty_descriptions(documents: DataFrame) -> DataFrame:
 def split_documents(documents: DataFrame, marker: str = PART2_MARKER) -> DataFrame:
     """One row per raw part of a document: adds part, replaces text."""
     others = [c for c in documents.columns if c != "text"]
-    split = documents.withColumn("parts", part_lines(F.col("text"), marker))
+    split = documents.withColumn("parts", part_texts(F.col("text"), marker))
     parts = [
-        F.struct(F.lit(n).alias("part"), join_lines(F.col(f"parts.part{n}")).alias("text"))
+        F.struct(F.lit(n).alias("part"), F.col(f"parts.part{n}").alias("text"))
         for n in (1, 2)
     ]
     return split.select(*others, F.inline(F.array(*parts))).where("text <> ''")
@@ -52,15 +51,15 @@ def build_challenges(raw: DataFrame, marker: str = PART2_MARKER) -> DataFrame:
     """
 
     def record(name: str, header: str, keep_header: bool) -> Column:
-        lines = F.col(f"parts.{name}")
+        text = F.col(f"parts.{name}")
         part = F.struct(
-            clean_lines(lines, header, keep_header).alias("description"),
-            answers_in(lines).alias("answer"),
+            clean_section(text, header, keep_header).alias("description"),
+            extract_answer(text).alias("answer"),
             F.lit(None).cast("string").alias("converted_description"),
         )
-        return F.when(F.size(lines) > 0, part).alias(name)
+        return F.when(text != "", part).alias(name)
 
-    return raw.withColumn("parts", part_lines(F.col("text"), marker)).select(
+    return raw.withColumn("parts", part_texts(F.col("text"), marker)).select(
         "year",
         "day",
         record("part1", PART1_HEADER, True),
