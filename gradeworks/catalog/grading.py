@@ -113,13 +113,20 @@ QUERIES = [
     Query(
         "second_look_join",
         lambda s, d: G.second_look(
-            G.with_printed(_runs(s, d)).where(G.open_cases(False)), _texts(s, d), KEY
+            G.with_printed(_runs(s, d)).where("is_open"), _texts(s, d), KEY
         ).select("row_no", "final_output"),
         f"""WITH r AS ({V.RUNS.sql}), t AS ({V.REEXTRACTIONS.sql})
         SELECT r.row_no, {STRIP.format("coalesce(t.text, stdout)")} AS final_output
         FROM r LEFT JOIN t ON r.row_no = t.row_no
         WHERE stderr = '' AND {_OUT} <> solution""",
     ),
+    Query(
+        "second_look_faults",
+        lambda s, d: G.second_look_faults(
+            _texts(s, d).union(_texts(s, d).where("row_no % 3 = 0")), KEY
+        ),
+        f"""SELECT row_no, CAST(2 AS BIGINT) AS rows FROM ({V.REEXTRACTIONS.sql}) WHERE row_no % 3 = 0""",
+    ),
     Query(
         "last_integer",
         lambda s, d: V.ANSWERS.frame(s, d).select(

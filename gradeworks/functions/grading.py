@@ -67,18 +67,11 @@ def needs_second_look(
 
 
 def grade_run(
-    stdout: Column,
-    printed: Column,
-    stderr: Column,
-    solution: Column,
-    second_text: Column,
-    integer_guard: bool,
+    stdout: Column, printed: Column, stderr: Column, solution: Column, is_open: Column, second_text: Column
 ) -> Grade:
-    """Grade one run; ``second_text`` is the re-extracted answer or null."""
+    """Grade one run; ``is_open`` is ``needs_second_look``, ``second_text`` the re-extracted answer or null."""
     second = F.coalesce(python_strip(second_text), printed)
-    second_ok = needs_second_look(printed, stderr, solution, integer_guard) & (
-        second.eqNullSafe(solution)
-    )
+    second_ok = is_open & second.eqNullSafe(solution)
     status = (
         F.when(~clean_run(stderr), classify_error(stderr))
         .when(printed.eqNullSafe(solution) | second_ok, NO_ERROR)
@@ -104,11 +97,11 @@ def answer_needs_second_look(picked: Column, solution: Column) -> Column:
 
 
 def grade_answer(
-    answer: Column, picked: Column, solution: Column, second_text: Column
+    answer: Column, picked: Column, solution: Column, is_open: Column, second_text: Column
 ) -> Grade:
     """Grade an answer given as text, of which ``picked`` is compared; no program ran."""
     second = F.coalesce(python_strip(second_text), picked)
-    second_ok = answer_needs_second_look(picked, solution) & second.eqNullSafe(solution)
+    second_ok = is_open & second.eqNullSafe(solution)
     solved = picked.eqNullSafe(solution) | second_ok
     status = F.when(solved, NO_ERROR).otherwise(WRONG_OUTPUT)
     return Grade(status, F.when(second_ok, second).otherwise(answer))

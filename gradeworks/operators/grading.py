@@ -1,7 +1,7 @@
 """Grading of runs and answers against the expected solution.
 
 Inputs: ``executions`` (keys, stdout, stderr, solution, …) and ``reextractions`` (keys,
-text). Both are unique on the keys.
+text). Both are unique on the keys; ``second_look_faults`` names the keys that are not.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +23,7 @@ from gradeworks.functions.grading import (
 )
 from gradeworks.functions.text import extract_code, python_strip
 from gradeworks.operators.hotkeys import join_group_values
+from gradeworks.operators.tasks import key_violations
 
 
 def with_effective_code(generations: DataFrame, parses) -> DataFrame:
@@ -69,39 +70,41 @@ def ignore_warnings(executions: DataFrame) -> DataFrame:
     )
 
 
-def _with_second_text(rows: DataFrame, needed: Column, reextractions: DataFrame, keys):
-    """Adds ``second_text``; only rows with an open verdict take part in the join.
+def _with_second_text(rows: DataFrame, reextractions: DataFrame, keys) -> DataFrame:
+    """Adds ``second_text`` to rows whose verdict is open (``is_open``).
 
-    The settled rows, most of a run, keep their long texts out of the shuffle.
+    The rows are read once. The condition on the verdict is part of the join, so that what was worked
+    out for it in front of the join is not worked out again behind it.
     """
-    texts = reextractions.select(*keys, F.col("text").alias("second_text"))
-    settled = rows.where(~needed).withColumn("second_text", F.lit(None).cast("string"))
-    return settled.unionByName(rows.where(needed).join(texts, keys, "left"))
+    texts = reextractions.select(*[F.col(k).alias(f"{k}_text") for k in keys], F.col("text").alias("second_text"))
+    same = [F.col(k) == F.col(f"{k}_text") for k in keys]
+    joined = rows.join(texts, [*same, F.col("is_open")], "left")
+    return joined.drop(*[f"{k}_text" for k in keys])
 
 
-def with_printed(executions: DataFrame) -> DataFrame:
-    """Adds ``printed``, the stripped output, which every later test reads."""
-    return executions.withColumn("printed", printed_text(F.col("stdout")))
+def second_look_faults(reextractions: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with more than one re-extracted answer, and how many: their rows would be graded that often."""
+    return key_violations(reextractions, keys)
 
 
-def with_grade(runs: DataFrame, integer_guard: bool) -> DataFrame:
-    """Adds status and output to runs that carry ``printed`` and ``second_text``."""
-    names = ["stdout", "printed", "stderr", "solution", "second_text"]
-    grade = grade_run(*[F.col(n) for n in names], integer_guard)
-    graded = runs.withColumns({"status": grade.status, "output": grade.output})
-    return graded.drop("printed", "second_text")
+def with_printed(executions: DataFrame, integer_guard: bool = False) -> DataFrame:
+    """Adds ``printed``, the stripped output, and ``is_open``: whether the verdict waits for a second look."""
+    printed = executions.withColumn("printed", printed_text(F.col("stdout")))
+    needed = needs_second_look(F.col("printed"), F.col("stderr"), F.col("solution"), integer_guard)
+    return printed.withColumn("is_open", needed)
 
 
-def open_cases(integer_guard: bool) -> Column:
-    """Runs with ``printed`` whose verdict waits for the re-extracted answer."""
-    names = ["printed", "stderr", "solution"]
-    return needs_second_look(*[F.col(n) for n in names], integer_guard)
+def with_grade(runs: DataFrame) -> DataFrame:
+    """Adds status and output to runs that carry ``printed``, ``is_open`` and ``second_text``."""
+    names = ["stdout", "printed", "stderr", "solution", "is_open", "second_text"]
+    grade = grade_run(*[F.col(n) for n in names])
+    graded = runs.withColumns({"status": grade.status, "output": grade.output})
+    return graded.drop("printed", "is_open", "second_text")
 
 
 def _grade_runs(executions, reextractions, keys, integer_guard) -> DataFrame:
-    runs = with_printed(executions)
-    looked = _with_second_text(runs, open_cases(integer_guard), reextractions, keys)
-    return with_grade(looked, integer_guard)
+    runs = with_printed(executions, integer_guard)
+    return with_grade(_with_second_text(runs, reextractions, keys))
 
 
 def grade_two_part(executions: DataFrame, reextractions: DataFrame, keys: list[str]) -> DataFrame:
@@ -123,11 +126,11 @@ def grade_direct(
     """Grades of answers given as text (column ``answer``), without a program run."""
     answer, picked, solution = F.col("answer"), F.col("picked"), F.col("solution")
     staged = answers.withColumn("picked", direct_answer(answer, solution, zero_is_integer))
-    needed = answer_needs_second_look(picked, solution)
-    looked = _with_second_text(staged, needed, reextractions, keys)
-    grade = grade_answer(answer, picked, solution, F.col("second_text"))
+    flagged = staged.withColumn("is_open", answer_needs_second_look(picked, solution))
+    looked = _with_second_text(flagged, reextractions, keys)
+    grade = grade_answer(answer, picked, solution, F.col("is_open"), F.col("second_text"))
     return looked.withColumns({"status": grade.status, "output": grade.output}).drop(
-        "second_text", "picked"
+        "second_text", "is_open", "picked"
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gradeworks.operators.grading import mark_timeouts, open_cases, with_grade, with_printed
+from gradeworks.operators.grading import mark_timeouts, with_grade, with_printed
 from gradeworks.streaming.state import state_on_disk
 
 
@@ -19,7 +19,7 @@ def graded(runs: DataFrame, integer_guard: bool = False) -> DataFrame:
 
     Runs over the time limit count as timeouts, as in the batch plan.
     """
-    return with_grade(with_printed(mark_timeouts(runs)), integer_guard)
+    return with_grade(with_printed(mark_timeouts(runs), integer_guard))
 
 
 def start_grading(
@@ -63,17 +63,17 @@ def graded_with_late_answers(
     waiting run leaves the state like any other row, so that the state holds no more than what
     came within the patience.
     """
-    looked = with_printed(mark_timeouts(runs.withWatermark("ended_at", patience.disorder)))
-    needed = open_cases(integer_guard)
-    settled = looked.where(~needed).withColumn("second_text", F.lit(None).cast("string"))
+    in_order = runs.withWatermark("ended_at", patience.disorder)
+    looked = with_printed(mark_timeouts(in_order), integer_guard)
+    settled = looked.where(~F.col("is_open")).withColumn("second_text", F.lit(None).cast("string"))
     known = answers.select(
         F.col("row_no").alias("answer_row"), F.col("text").alias("second_text"), "answered_at"
     )
     first = known.withWatermark("answered_at", patience.answer).dropDuplicatesWithinWatermark(["answer_row"])
     latest = F.col("ended_at") + F.expr(f"INTERVAL {patience.answer}")
     in_time = (F.col("answered_at") >= F.col("ended_at")) & (F.col("answered_at") <= latest)
-    waiting = looked.where(needed).join(first, (F.col("row_no") == F.col("answer_row")) & in_time, "left_outer")
-    return with_grade(settled.unionByName(waiting.drop("answer_row", "answered_at")), integer_guard)
+    waiting = looked.where("is_open").join(first, (F.col("row_no") == F.col("answer_row")) & in_time, "left_outer")
+    return with_grade(settled.unionByName(waiting.drop("answer_row", "answered_at")))
 
 
 def start_joined_grading(
