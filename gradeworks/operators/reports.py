@@ -24,7 +24,6 @@ from gradeworks.fixed_values import (
 from gradeworks.functions.numbers import percent, round_one_decimal, shade_bucket, share
 from gradeworks.functions.status import OK_CODE, status_code
 from gradeworks.operators.dedup import dedup_codes
-from gradeworks.operators.hotkeys import join_group_values
 from gradeworks.operators.tasks import drop_final_part2
 from gradeworks.schemas import PART_KEYS
 from gradeworks.sources.results import is_result_file, parse_result_name
@@ -41,7 +40,6 @@ SCORE_CELLS = [
     (MATH, PLAIN_VARIANT),
     (MATH, VARIANT_NAMES[MATH]),
 ]
-SCORE_BANDS = 1000
 
 
 def is_code(status: str) -> Column:
@@ -224,34 +222,28 @@ def overall_score(cube: DataFrame, k: int = 3) -> DataFrame:
 
 
 def ranked(rows: DataFrame, score: str) -> DataFrame:
-    """Adds ``rank``, 1 for the highest score of 0 to 100; ties share a rank.
+    """Adds ``rank``, 1 for the highest score; ties share a rank, rows without a score have none.
 
-    Scores are first reduced to distinct values and placed in SCORE_BANDS bands. Only the
-    band totals, whose number is fixed, are summed in one place; within a band the distinct
-    scores are ordered in parallel. How many distinct scores there are depends on the number
-    of tasks in the benchmark, not of rows. Rows of a frequent score are spread for the join
-    back. Rows without a score have a null rank.
+    Scores are first reduced to distinct values. Their least, their greatest and their number cut
+    them into as many ranges as a range holds scores on average. The ranges are ordered in parallel;
+    only their totals, the root of the number of scores, are summed in one place.
     """
-    scores = rows.where(F.col(score).isNotNull()).groupBy(score).agg(
-        F.count("*").alias("group_rows")
-    )
-    band = F.greatest(F.lit(0), F.least(F.lit(SCORE_BANDS), F.floor(F.col(score) * 10)))
-    banded = scores.withColumn("band", band)
+    scores = rows.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("score_rows"))
+    value = F.col(score).cast("double")
+    bounds = [F.min(value).alias("low"), F.max(value).alias("high"), F.sqrt(F.count("*")).alias("ranges")]
+    found = scores.agg(F.struct(*bounds).alias("bounds")).scalar()
+    bounded = scores.withColumn("bounds", found)
+    span = F.col("bounds.high") - F.col("bounds.low")
+    place = F.when(span > 0, F.floor((F.col("bounds.high") - value) / span * F.col("bounds.ranges")))
+    placed = bounded.select(score, "score_rows", F.coalesce(place, F.lit(0)).alias("range"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    above = before(Window.orderBy(F.desc("band")))
-    totals = banded.groupBy("band").agg(F.sum("group_rows").alias("band_rows"))
-    offsets = totals.select("band", F.sum("band_rows").over(above).alias("offset"))
-    higher = before(Window.partitionBy("band").orderBy(F.desc(score)))
-    within = banded.withColumn("higher", F.sum("group_rows").over(higher))
-    ranks = within.join(F.broadcast(offsets), "band").select(
-        score,
-        "group_rows",
-        (1 + F.coalesce("offset", F.lit(0)) + F.coalesce("higher", F.lit(0))).alias("rank"),
-    )
-    with_score = rows.where(F.col(score).isNotNull())
-    placed = join_group_values(with_score, ranks, [score], F.xxhash64(*rows.columns))
-    unplaced = rows.where(F.col(score).isNull()).withColumn("rank", F.lit(None).cast("long"))
-    return placed.select(*rows.columns, "rank").unionByName(unplaced)
+    totals = placed.groupBy("range").agg(F.sum("score_rows").alias("range_rows"))
+    higher = F.sum("range_rows").over(before(Window.orderBy("range")))
+    offsets = totals.select("range", F.coalesce(higher, F.lit(0)).alias("offset"))
+    own = F.sum("score_rows").over(before(Window.partitionBy("range").orderBy(F.desc(score))))
+    within = placed.withColumn("own", F.coalesce(own, F.lit(0)))
+    ranks = within.join(offsets, "range").select(score, (1 + F.col("offset") + F.col("own")).alias("rank"))
+    return rows.join(ranks, score, "left").select(*rows.columns, "rank")
 
 
 def error_shares(results: DataFrame, by: list[str]) -> DataFrame:
