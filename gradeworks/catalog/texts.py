@@ -233,14 +233,16 @@ QUERIES = [
         "conversation_prompt",
         lambda s, d: P.conversation_text(V.MESSAGES.frame(s, d)),
         f"""SELECT conv_id, CAST(count(*) AS INTEGER) AS turns,
-            string_agg(concat(role, ': ', text), chr(10) ORDER BY turn, role, text) AS prompt
+            string_agg(concat(role, ': ', text), chr(10) ORDER BY
+                turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS prompt
         FROM ({V.MESSAGES.sql}) GROUP BY conv_id""",
     ),
     Query(
         "conversation_prompt_long",
         lambda s, d: P.conversation_text(V.JOINED_MESSAGES.frame(s, d)),
         f"""SELECT conv_id, CAST(count(*) AS INTEGER) AS turns,
-            string_agg(concat(role, ': ', text), chr(10) ORDER BY turn, role, text) AS prompt
+            string_agg(concat(role, ': ', text), chr(10) ORDER BY
+                turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS prompt
         FROM ({V.JOINED_MESSAGES.sql}) GROUP BY conv_id""",
     ),
 ]

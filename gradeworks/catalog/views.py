@@ -338,7 +338,7 @@ TEXT_ATTEMPTS = View(
         "kpass": "cast(floor(doc_id / 20) % 3 AS int)",
         "status": "CASE lang WHEN 'en' THEN 'wrong_output' ELSE 'no_error' END",
         "description": "concat('Task ', cast(doc_id AS string))",
-        "response": "text",
+        "response": "CASE WHEN doc_id % 9 > 0 THEN text END",
     },
 )
 
@@ -377,8 +377,15 @@ FINDINGS = View(
     },
 )
 
+# Some messages lack their text, some their role.
 MESSAGES = View(
-    "conversations", {"conv_id": "conv_id", "turn": "turn", "role": "role", "text": "text"}
+    "conversations",
+    {
+        "conv_id": "conv_id",
+        "turn": "turn",
+        "role": "CASE WHEN (conv_id + turn) % 11 > 0 THEN role END",
+        "text": "CASE WHEN (conv_id + turn) % 7 > 0 THEN text END",
+    },
 )
 
 # Conversations run into one another, some past a hundred turns, with repeated turns.

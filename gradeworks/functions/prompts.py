@@ -30,8 +30,11 @@ def message(role: str | Column, text: str | Column) -> Column:
     return F.struct(as_column(role).alias("role"), as_column(text).alias("text"))
 
 
+def told(role: Column, text: Column) -> Column:
+    """A message as ``role: text``; an absent part is empty, so that the message itself stays."""
+    return F.concat(F.coalesce(role, F.lit("")), F.lit(": "), F.coalesce(text, F.lit("")))
+
+
 def render_messages(messages: Column) -> Column:
     """A message list as text, one ``role: text`` block per message."""
-    return F.array_join(
-        F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n"
-    )
+    return F.array_join(F.transform(messages, lambda m: told(m["role"], m["text"])), "\n")

@@ -22,7 +22,7 @@ from gradeworks.functions.grading import (
     printed_text,
 )
 from gradeworks.functions.text import extract_code, python_strip
-from gradeworks.operators.hotkeys import join_group_values
+from gradeworks.operators.hotkeys import join_sparse_values
 from gradeworks.operators.tasks import key_violations
 
 
@@ -153,14 +153,15 @@ def drop_after_provider_failure(
 ) -> DataFrame:
     """Math subset: a failed call ends the passes of its problem.
 
-    Only passes in front of the first failed one remain. The first failure is a partial
-    aggregate; rows of hot problems are spread for the join back.
+    Only passes in front of the first failed one remain. The problems with a failure are sent to
+    the rows while they are few; the rows of all others pass as they are.
     """
     first_failure = generations.groupBy(*keys).agg(
         F.min(F.when(F.col("provider_error").isNotNull(), F.col("kpass"))).alias("failed_at"),
         F.count("*").alias("group_rows"),
     )
-    joined = join_group_values(generations, first_failure, keys, row_id)
+    failed = F.col("failed_at").isNotNull()
+    joined = join_sparse_values(generations, first_failure, keys, row_id, failed)
     kept = F.col("failed_at").isNull() | (F.col("kpass") < F.col("failed_at"))
     return joined.where(kept).drop("failed_at")
 

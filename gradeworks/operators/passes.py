@@ -17,7 +17,7 @@ from gradeworks.functions.status import (
     status_code,
     status_name,
 )
-from gradeworks.operators.hotkeys import join_group_values
+from gradeworks.operators.hotkeys import join_sparse_values, sent_if_sparse
 from gradeworks.schemas import TASK_KEYS
 
 SPINE_KEYS = ["model", "year", "day"]
@@ -114,7 +114,8 @@ def early_stop(attempts: DataFrame, keys: list[str] = TASK_KEYS) -> DataFrame:
     stops = attempts.groupBy(*keys).agg(
         F.min(solved).alias("stop_pass"), F.count("*").alias("group_rows")
     )
-    joined = join_group_values(attempts, stops, keys, F.col("row_no"))
+    solved_tasks = F.col("stop_pass").isNotNull()
+    joined = join_sparse_values(attempts, stops, keys, F.col("row_no"), solved_tasks)
     return joined.where(F.col("stop_pass").isNull() | (F.col("kpass") <= F.col("stop_pass")))
 
 
@@ -231,5 +232,13 @@ def combine_results(*tables: DataFrame) -> DataFrame:
 
 
 def attach_texts(results: DataFrame, attempts: DataFrame, columns: list[str]) -> DataFrame:
-    """Results with long columns of the chosen attempt, matched by the unique row number."""
-    return results.join(attempts.select("row_no", *columns), "row_no", "left")
+    """Results with long columns of the chosen attempt, matched by the unique row number.
+
+    The chosen numbers go to the attempts where their size allows it, so that texts which are not
+    chosen stay where they are. Results without an attempt have nulls.
+    """
+    texts = attempts.select("row_no", *columns)
+    chosen = sent_if_sparse(results.where(F.col("row_no").isNotNull()))
+    nothing = [F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in columns]
+    blocked = results.where(F.col("row_no").isNull()).select(*results.columns, *nothing)
+    return texts.join(chosen, "row_no").select(*results.columns, *columns).unionByName(blocked)

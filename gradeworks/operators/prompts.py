@@ -14,7 +14,8 @@ from gradeworks.fixed_values import (
     SAMPLE_INPUT_CHARS,
     SYSTEM_MESSAGE,
 )
-from gradeworks.functions.prompts import message, render_template
+from gradeworks.functions.prompts import message, render_template, told
+from gradeworks.operators.hotkeys import sent_if_sparse
 
 
 def math_prompt(title: Column, description: Column) -> Column:
@@ -76,11 +77,12 @@ def part2_prompts(part1_results: DataFrame, generations: DataFrame) -> DataFrame
     Part 2 is attempted where part 1 was solved, on every day but the last.
     ``part1_results`` has day and status and names that pass by ``row_no`` (``best_of_k``);
     ``generations`` has row_no, description and response. The match is on a unique number,
-    and a history is two columns of one row, so nothing is gathered per task.
+    and a history is two columns of one row, so nothing is gathered per task; the due numbers go to
+    the responses where their size allows it, and no response is shuffled.
     """
     due = part1_results.where((F.col("status") == NO_ERROR) & (F.col("day") != LAST_DAY))
     executed = generations.select("row_no", "description", "response")
-    joined = due.join(executed, "row_no")
+    joined = executed.join(sent_if_sparse(due), "row_no").select(*due.columns, "description", "response")
     history = pass_history(F.col("description"), F.col("response"))
     return joined.withColumn("messages", chat_part2(history)).drop("description", "response")
 
@@ -93,7 +95,7 @@ def conversation_text(messages: DataFrame, key: str = "conv_id") -> DataFrame:
     """
     turn = F.struct("turn", "role", "text")
     grouped = messages.groupBy(key).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    lines = F.transform("turns", lambda m: F.concat(m["role"], F.lit(": "), m["text"]))
+    lines = F.transform("turns", lambda m: told(m["role"], m["text"]))
     return grouped.select(
         key, F.size("turns").alias("turns"), F.array_join(lines, "\n").alias("prompt")
     )

@@ -13,7 +13,8 @@ from gradeworks.fixed_values import (
     NO_ERROR,
     PART1_FAILED,
 )
-from gradeworks.schemas import DOC_KEYS
+from gradeworks.operators.dedup import dedup_rows
+from gradeworks.schemas import DOC_KEYS, PART_KEYS
 
 
 @dataclass(frozen=True)
@@ -202,13 +203,16 @@ def assemble_challenges(
 ) -> DataFrame:
     """Nested challenge records from rows (year, day, part, description, answer).
 
-    Of several copies of a part the last one by ``order`` counts; they are combined before
-    the shuffle. ``inputs`` adds (year, day, input).
+    Of several copies of a part the last one by ``order``, a unique number, counts; the others are
+    left out before any text is shuffled. ``inputs`` adds (year, day, input).
     """
+    kept = dedup_rows(parts.where(F.col("part").isin(1, 2)), PART_KEYS, "last", order)
 
-    def part(n: int) -> Column:
-        record = F.struct("description", "answer")
-        return F.max_by(record, F.when(F.col("part") == n, F.col(order))).alias(f"part{n}")
+    def part(n: int) -> DataFrame:
+        record = F.struct("description", "answer").alias(f"part{n}")
+        return kept.where(F.col("part") == n).select(*[F.col(k).alias(f"{k}_{n}") for k in DOC_KEYS], record)
 
-    nested = parts.groupBy(*DOC_KEYS).agg(part(1), part(2))
+    same = [F.col(f"{k}_1").eqNullSafe(F.col(f"{k}_2")) for k in DOC_KEYS]
+    keys = [F.coalesce(f"{k}_1", f"{k}_2").alias(k) for k in DOC_KEYS]
+    nested = part(1).join(part(2), same, "full").select(*keys, "part1", "part2")
     return nested if inputs is None else nested.join(inputs, DOC_KEYS, "left")
