@@ -1,12 +1,15 @@
 """Token counts by the whole-token shortcut, for a vocabulary with word ends.
 
 Before any text is read, every vocabulary string that can end a word is merged from its
-bytes; those that come out as one token are proven whole. A pre-token found among them
+bytes; those that come out as one token, and that cutting leaves in one piece, are proven whole. A pre-token found among them
 counts one without a merge; only the rest goes through the library's merges, many distinct
 pre-tokens at a time. The counts are those of the library without begin, end or other tokens
 it would add; strings of special tokens inside a text count one, as by its default.
 
-Null texts are empty and have no tokens. Repeated rows are counted each.
+Stretches with letters outside the Latin blocks go to the library whole.
+
+Null and empty texts have no tokens; texts of any length are counted whole. Repeated rows are
+counted each, rows of a null id too. An empty table has no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,10 +26,11 @@ from pyspark.sql import functions as F
 from gradeworks.llm.common import MEMO_ENTRIES, Memo, flat, read_table, slices
 from gradeworks.llm.vocabulary import (
     WORD_END,
-    LibraryWords,
+    LibraryChunks,
     Vocabulary,
     WordCutter,
     byte_letters,
+    is_plain,
     load_vocabulary,
 )
 
@@ -67,8 +71,17 @@ def whole_tokens(path: str) -> frozenset[str]:
     vocabulary, letters = load_vocabulary(path), byte_letters()
     ends = [t.removesuffix(WORD_END) for t in vocabulary.ids if t.endswith(WORD_END)]
     words = [bytes(letters[c] for c in word) for word in ends if word]
-    proven = [word for word in words if merge_count(word, vocabulary) == 1]
-    return frozenset(word.decode("utf-8", "ignore") for word in proven) - {""}
+    proven = [_strict(word) for word in words if merge_count(word, vocabulary) == 1]
+    cut = WordCutter(vocabulary)
+    return frozenset(word for word in proven if word and is_plain(word) and cut(word) == [word])
+
+
+def _strict(word: bytes) -> str | None:
+    """The string of the bytes; none where they begin or end inside a letter."""
+    try:
+        return word.decode()
+    except UnicodeDecodeError:
+        return None
 
 
 class ChunkCounts:
@@ -77,7 +90,8 @@ class ChunkCounts:
     def __init__(self, path: str, whole: frozenset[str]) -> None:
         vocabulary = load_vocabulary(path)
         self.whole = whole | vocabulary.added.keys()
-        self.cut, self.merge = WordCutter(vocabulary), LibraryWords(path).encode
+        self.library = LibraryChunks(path)
+        self.cut, self.merge = self.library.cut, self.library.words.encode
         self.forget()
 
     def forget(self) -> None:
@@ -92,12 +106,17 @@ class ChunkCounts:
         known = len(self.numbers)
         at = np.fromiter(map(self.numbers.__getitem__, chunks), np.int64, len(chunks))
         new = list(itertools.islice(self.numbers, known, None))
-        words, starts = flat([self.cut(chunk.decode()) for chunk in new])
+        texts = [chunk.decode() for chunk in new]
+        plain = [is_plain(text) for text in texts]
+        words, starts = flat([self.cut(t) if own else [] for t, own in zip(texts, plain, strict=True)])
         rest = sorted({w for w in words if w not in self.whole and w not in self.merged})
         self.merged.update(zip(rest, self.merge(rest)[1].tolist(), strict=True))
         each = [1 if w in self.whole else self.merged[w] for w in words]
-        sums = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])[starts]
-        self.counts = np.concatenate([self.counts, np.diff(sums)])
+        sums = np.diff(np.concatenate([[0], np.cumsum(each, dtype=np.int64)])[starts])
+        odd = [i for i, own in enumerate(plain) if not own]
+        if odd:
+            sums[odd] = [len(ids) for ids in self.library.whole([texts[i] for i in odd])]
+        self.counts = np.concatenate([self.counts, sums])
         return self.counts[at]
 
 

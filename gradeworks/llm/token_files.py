@@ -11,8 +11,10 @@ Documents are dealt out in ranges of their ids and every task writes one file un
 its own attempt, then renames it; a task that runs again writes the same file again. A table
 of the files in the same folder tells how many ids come before each.
 
-Null texts are empty and consist of the end id alone. Documents with a null id come first;
-repeated ids are ordered by text.
+Null and empty texts consist of the end id alone; texts of any length are written whole. Documents
+with a null id come first; repeated ids are ordered by text, and repeated rows, whose ids are the
+same, may lie in several files. An empty table gives no files and no rows. Other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradeworks.llm.common import distinct_words, flat, read_table, slices
-from gradeworks.llm.vocabulary import LibraryWords, PieceTable, WordCutter, load_vocabulary
+from gradeworks.llm.common import distinct_words, read_table, slices
+from gradeworks.llm.vocabulary import LibraryChunks, PieceTable
 from gradeworks.session import new_table_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -153,15 +155,7 @@ class PlaneReader:
 @functools.cache
 def _library_pieces(path: str) -> PieceTable:
     """Ids of stretches without ASCII white space, which this vocabulary encodes one by one."""
-    cut, words = WordCutter(load_vocabulary(path)), PieceTable(LibraryWords(path).encode)
-
-    def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        plain = bytes.isalpha  # ASCII letters alone are one pre-token
-        pieces, starts = flat([[c.lower().decode()] if plain(c) else cut(c.decode()) for c in chunks])
-        ids, counts = words.look_up(pieces)
-        return ids, np.diff(np.concatenate([[0], np.cumsum(counts)])[starts])
-
-    return PieceTable(encode)
+    return PieceTable(LibraryChunks(path).encode)
 
 
 def _with_ends(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,8 +203,11 @@ def write_tokens(docs: DataFrame, folder: str, path: str = TOKENIZER, kind: str
             yield pa.RecordBatch.from_arrays(columns, ["part", "name", "n_docs", "n_ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tie = F.xxhash64("text")
-    ordered = rows.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie, "text")
+    # Repeated rows are told apart by their place, so that no range has to take all of them.
+    tie, place = F.xxhash64("text"), F.monotonically_increasing_id()
+    placed = rows.withColumn("place", place)
+    ordered = placed.repartitionByRange(F.col("doc_id"), tie, F.col("place"))
+    ordered = ordered.sortWithinPartitions("doc_id", tie, "text", "place").drop("place")
     files = ordered.mapInArrow(written, "part long, name string, n_docs long, n_ids long")
     files.write.parquet(f"{folder}/files")
 

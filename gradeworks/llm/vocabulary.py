@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import regex
 
-from gradeworks.llm.common import Memo
+from gradeworks.llm.common import Memo, flat
 
 
 @functools.cache
@@ -134,6 +134,58 @@ class LibraryWords:
         return np.concatenate(ids), np.concatenate(counts)
 
 
+def is_plain(text: str) -> bool:
+    """Whether all letters are such that cutting and lower-casing agree with the library's, and stay as they are.
+
+    That holds in the Latin blocks, where nothing composes. Elsewhere normal forms and letter tables of
+    Python and the library may differ, and a normalised piece may change when it is normalised again.
+    """
+    return text.isascii() or (max(text) < LATIN_END and DOTTED_I not in text)
+
+
+# The first code point behind the Latin blocks, and the one letter in them that lower-cases to two.
+LATIN_END, DOTTED_I = "\u0250", "\u0130"
+
+
+class LibraryChunks:
+    """The library's ids of stretches without ASCII white space, which it encodes one by one.
+
+    Plain stretches are cut here and their distinct pre-tokens are encoded in bulk; any other goes to
+    the library whole.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.words = LibraryWords(path)
+        self.table = PieceTable(self.words.encode)
+        self.cut = WordCutter(load_vocabulary(path))
+
+    def whole(self, chunks: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.words.library.encode_batch(chunks, add_special_tokens=False)]
+
+    def encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks in a row, and the number of ids of each."""
+        pieces: list[list[str]] = []
+        odd: list[int] = []
+        for chunk in chunks:
+            if chunk.isalpha():  # ASCII letters alone are one pre-token
+                pieces.append([chunk.lower().decode()])
+                continue
+            text = chunk.decode()
+            if not is_plain(text):
+                odd.append(len(pieces))
+            pieces.append(self.cut(text) if is_plain(text) else [])
+        flat_pieces, starts = flat(pieces)
+        ids, counts = self.table.look_up(flat_pieces)
+        counts = np.diff(np.concatenate([[0], np.cumsum(counts)])[starts])
+        if odd:
+            made = self.whole([chunks[i].decode() for i in odd])
+            rows = np.split(ids, np.cumsum(counts)[:-1])
+            for i, own in zip(odd, made, strict=True):
+                rows[i] = np.array(own, ids.dtype)
+            ids, counts = np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
+        return ids, counts
+
+
 class PieceTable:
     """Ids of pieces of text, each worked out once while the table holds it.
 

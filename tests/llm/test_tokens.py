@@ -129,3 +129,53 @@ def test_pair_index_against_library(texts):
     for text in texts:
         ids, _ = table.look_up(bpe._cut(text, pattern, ["<|endoftext|>"]))
         assert ids.tolist() == ids_of(made, text)
+
+
+def random_texts(count):
+    """Random strings over all of Unicode and over its trickier parts."""
+    draw = np.random.default_rng(11)
+    ranges = [(0, 0x80), (0, 0x250), (0x250, 0x3100), (0x300, 0x370), (0x1100, 0xD7FF), (0xE000, 0x110000)]
+    known = ["\u0130\u0327", "\u0c5c", "\u0cdc", "\u088f", "\u208f", "りたい", "ΣΑΣ", "ﬁ", "\u1e9b\u0323", "<|endoftext|>", "'s"]
+    for _ in range(count):
+        letters = []
+        for _ in range(draw.integers(1, 12)):
+            low, high = ranges[draw.integers(len(ranges))]
+            code = int(draw.integers(low, high))
+            letters.append(" " if 0xD800 <= code < 0xE000 else chr(code))
+            if draw.random() < 0.1:
+                letters.append(known[draw.integers(len(known))])
+        yield "".join(letters)
+
+
+def test_random_strings_are_encoded_as_the_library_does():
+    made = library(token_files.TOKENIZER)
+    whole = token_counts.whole_tokens(token_counts.TOKENIZER)
+    counter = token_counts.ChunkCounts(token_counts.TOKENIZER, whole)
+    table = token_files._library_pieces(token_files.TOKENIZER)
+    for text in random_texts(10_000):
+        wanted, chunks = ids_of(made, text), text.encode().split()
+        assert table.look_up(chunks)[0].tolist() == wanted, ascii(text)
+        assert counter.look_up(chunks).sum() == len(wanted), ascii(text)
+
+
+def test_every_proven_string_is_one_token_of_the_library():
+    made = library(token_counts.TOKENIZER)
+    whole = sorted(token_counts.whole_tokens(token_counts.TOKENIZER))
+    assert len(whole) > 30_000
+    found = made.encode_batch(whole, add_special_tokens=False)
+    assert [w for w, e in zip(whole, found, strict=True) if len(e.ids) != 1] == []
+
+
+def test_repeated_rows_are_split_over_files(spark, documents, tmp_path):
+    rows = [(5, "the same row")] * 3000 + [(i, f"own {i}") for i in range(1000)]
+    folder = f"file://{tmp_path}/tokens"
+    docs = spark.read.parquet(documents(rows) + "/documents.parquet").repartition(4)
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(merge)
+    spark.conf.set(merge, "false")
+    try:
+        token_files.write_tokens(docs, folder)
+    finally:
+        spark.conf.set(merge, before)
+    sizes = [r.n_docs for r in spark.read.parquet(f"{folder}/files").collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 2000
