@@ -8,8 +8,12 @@ score. A text further from its centroid than anything of that language that was
 by a margin, is rejected. Texts that are null or without a letter are ``und``, with score 0,
 and rejected.
 
-The classifier is fitted on at most SAMPLE_PER_LANGUAGE labelled documents a language, drawn
-by a hash of the id; prediction reads nothing but the text.
+The classifier is fitted on at most SAMPLE_PER_LANGUAGE different labelled texts a language, drawn
+by a hash of the text; prediction reads nothing but the text. Which texts are drawn depends on
+neither order nor repeats, and of equally near centroids the first counts, so that every run gives
+the same. Each row is predicted, repeated rows and those of a null id too; texts of any length are
+taken whole. An empty table has no rows; without a text to learn from every row is ``und``. Columns
+with other names are not read.
 """
 
 from __future__ import annotations
@@ -96,17 +100,29 @@ class Classifier:
         return found
 
 
-def _sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """At most SAMPLE_PER_LANGUAGE (lang, text) a language, with letters, all of their text."""
+def _sample(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages and n-gram counts of at most SAMPLE_PER_LANGUAGE different texts with letters a language.
+
+    Texts are reduced to one of each before any is drawn, by a hash of the text, so that neither ids
+    nor repeats nor empty rows have a say. Only the counts of the drawn texts leave the tasks.
+    """
     labelled = docs.where((id_bucket(F.col("doc_id"), FOLDS) != 0) & F.col("lang").isNotNull())
-    draw = F.xxhash64(F.col("doc_id"), F.lit("sample"))
-    # Each task keeps no more than the bound of a language before any row moves.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
-    drawn = labelled.select("lang", "doc_id", draw.alias("draw")).withColumn("rank", rank)
-    drawn = drawn.where(F.col("rank") <= SAMPLE_PER_LANGUAGE).select("lang", "doc_id").distinct()
-    texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(drawn), ["doc_id", "lang"])
-    readable = texts.where(F.col("text").rlike(r"\p{L}")).select("lang", "text", "doc_id")
-    return sorted((r.lang, r.text) for r in readable.dropDuplicates(["doc_id", "lang"]).collect())
+    text = F.col("text").cast("string")
+    draws = [F.xxhash64(F.lit(i), text).alias(f"draw{i}") for i in (0, 1)]
+    keyed = labelled.where(text.rlike(r"\p{L}")).select("lang", text.alias("text"), *draws)
+    keys = ["lang", "draw0", "draw1"]
+    # Spark keeps no more than the bound of a language in each task before any row moves.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw0", "draw1"))
+    drawn = keyed.select(*keys).distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PER_LANGUAGE)
+    texts = keyed.join(F.broadcast(drawn.select(*keys)), keys, "left_semi").dropDuplicates(keys)
+    counted = texts.select(*keys, F.pandas_udf(_counted, "binary")("text").alias("counts")).collect()
+    rows = sorted(counted, key=lambda r: (r.lang, r.draw0, r.draw1))
+    counts = [np.frombuffer(r.counts, np.float32) for r in rows]
+    return [r.lang for r in rows], np.stack(counts) if counts else np.zeros((0, DIMENSIONS), np.float32)
+
+
+def _counted(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda text: _counts(text).astype(np.float32).tobytes())
 
 
 def _clusters(rows: np.ndarray) -> np.ndarray:
@@ -124,14 +140,13 @@ def _clusters(rows: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame) -> Classifier:
     """Learns from the labelled documents outside the held-out fold."""
-    sample = _sample(docs)
-    languages = sorted({lang for lang, _ in sample})
+    labels, counts = _sample(docs)
+    languages = sorted(set(labels))
     if not languages:
         none = np.zeros((0, DIMENSIONS), np.float32)
         return Classifier([], np.ones(DIMENSIONS, np.float32), none, np.zeros(0, int), np.zeros(0))
-    counts = np.stack([_counts(text) for _, text in sample]).astype(np.float32)
-    weights = (np.log((1 + len(sample)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    rows, own = _scaled(np.log1p(counts) * weights), np.array([languages.index(lang) for lang, _ in sample])
+    weights = (np.log((1 + len(labels)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
+    rows, own = _scaled(np.log1p(counts) * weights), np.array([languages.index(lang) for lang in labels])
     centres = [_clusters(rows[own == i]) for i in range(len(languages))]
     floors = [float((rows[own == i] @ c.T).max(axis=1).min()) * MARGIN for i, c in enumerate(centres)]
     owners = np.repeat(np.arange(len(languages)), [len(c) for c in centres])

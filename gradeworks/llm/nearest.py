@@ -2,8 +2,10 @@
 
 Unit vectors are turned by fast pseudo-rotations (random signs and a Hadamard transform,
 three times over) and assigned to the nearest signed axis, once for each of TABLES tables. A
-query looks into the PROBES nearest axes of every table; whatever it meets is scored by its
-exact cosine, in double precision, on the original vectors.
+query looks into the nearest axes of every table, PROBE_SHARE of them and so the more the higher
+the dimension; whatever it meets is scored by its exact cosine, in double precision, on the
+original vectors. A query that meets fewer rows than asked for, as in a small table or among few
+vectors of its dimension, is asked again of every row.
 
 The queries are a stated set and go to the tasks in blocks of QUERY_BLOCK, each block against
 the whole index; every task keeps the nearest rows of its own part, and those meet at the end.
@@ -12,11 +14,14 @@ many rows as asked for, and one for the query's own, can be among the nearest: t
 holds those. Repeated rows of one id and vector count once.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor
-do rows without an id. Vectors of another dimension than the query's are no candidates.
+do rows without an id. Vectors of another dimension than the query's are no candidates. With
+fewer candidates than asked for, all of them are returned; an empty table has no rows. Other
+columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +30,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeworks.llm.common import read_table
+from gradeworks.session import new_table_path
 
 NEAREST = 5
 QUERY_STEP = 50
 TABLES = 24
-PROBES = 6
+PROBE_SHARE = 3 / 64
 QUERY_BLOCK = 4096
 
 _TURNS = 3
@@ -71,7 +77,8 @@ class AxisTables:
     def probes(self, unit: np.ndarray, table: int) -> np.ndarray:
         """Whether each query looks into each bucket."""
         axes = self._axes(unit, table)
-        taken = np.argpartition(-axes, min(PROBES, axes.shape[1]) - 1, axis=1)[:, :PROBES]
+        probes = max(2, math.ceil(axes.shape[1] * PROBE_SHARE))
+        taken = np.argpartition(-axes, min(probes, axes.shape[1]) - 1, axis=1)[:, :probes]
         looks = np.zeros(axes.shape, bool)
         np.put_along_axis(looks, taken, True, axis=1)
         return looks
@@ -83,22 +90,22 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 class QueryBlock:
-    """Queries of any dimensions, with the buckets they look into."""
+    """Queries of any dimensions, with the buckets they look into; those asked of every row need none."""
 
-    def __init__(self, ids: list[int], vectors: list[list[float]]) -> None:
-        self.by_dimension = {}
+    def __init__(self, ids: list[int], vectors: list[list[float]], every_row: bool) -> None:
+        self.by_dimension, self.every_row = {}, every_row
         for dimension in {len(v) for v in vectors}:
             own = [i for i, v in enumerate(vectors) if len(v) == dimension]
             unit, tables = _unit(np.array([vectors[i] for i in own], float)), AxisTables(dimension)
-            looks = [tables.probes(unit, t) for t in range(TABLES)]
+            looks = [] if every_row else [tables.probes(unit, t) for t in range(TABLES)]
             self.by_dimension[dimension] = (np.array([ids[i] for i in own]), unit, tables, looks)
 
     def search(self, dimension: int, ids: np.ndarray, rows: np.ndarray, nearest: int) -> tuple:
         """(query, id, cosine) of each query's nearest among the rows met in a table."""
         queries, own, tables, looks = self.by_dimension[dimension]
         unit = _unit(rows)
-        met = np.zeros((len(queries), len(rows)), bool)
-        for table in range(TABLES):
+        met = np.full((len(queries), len(rows)), self.every_row)
+        for table in range(len(looks)):
             met |= looks[table][:, tables.buckets(unit, table)]
         met &= queries[:, None] != ids
         at, row = np.nonzero(met)
@@ -135,7 +142,25 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, nearest: int = NEARE
     index = usable(rows).withColumn("copy", F.dense_rank().over(copies)).where(F.col("copy") <= nearest + 1)
     index = index.select("vec_id", "v").dropDuplicates(["vec_id", "v"])
     asked = usable(queries).dropDuplicates(["vec_id", "v"])
-    blocks = 1 + asked.count() // QUERY_BLOCK
+    path = new_table_path(spark, "neighbours")
+    _ranked(_searched(index, asked, nearest, every_row=False), nearest).write.parquet(path)
+    found = spark.read.parquet(path)
+    full = found.where(F.col("rank") == nearest).select(F.col("query_id").alias("vec_id"))
+    short = asked.join(full, "vec_id", "left_anti")
+    again = _ranked(_searched(index, short, nearest, every_row=True), nearest)
+    answered = found.join(full.withColumnRenamed("vec_id", "query_id").distinct(), "query_id", "left_semi")
+    return answered.select(*again.columns).unionByName(again)
+
+
+def _ranked(found: DataFrame, nearest: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _searched(index: DataFrame, asked: DataFrame, nearest: int, every_row: bool) -> DataFrame:
+    """(query_id, vec_id, score) of what each part of the index has nearest to each query, block by block."""
+    spark = index.sparkSession
     schema = "query_id long, vec_id long, score double"
 
     def searcher(sent):
@@ -155,15 +180,16 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, nearest: int = NEARE
 
         return search
 
+    blocks = -(-asked.count() // QUERY_BLOCK)
+    if not blocks:
+        return spark.createDataFrame([], schema)
     found = None
     for block in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).orderBy("vec_id").collect()
-        sent = spark.sparkContext.broadcast(QueryBlock([r.vec_id for r in own], [list(r.v) for r in own]))
+        sent = spark.sparkContext.broadcast(QueryBlock([r.vec_id for r in own], [list(r.v) for r in own], every_row))
         part = index.mapInArrow(searcher(sent), schema)
         found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return found
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

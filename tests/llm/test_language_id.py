@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 from gradeworks.llm import language_id as li
@@ -70,3 +72,63 @@ def test_counts_do_not_depend_on_the_step(monkeypatch, step):
     assert (li._counts(text) == whole).all()
     letters = len(li._plain(text))
     assert whole.sum() == 3 * letters - 3
+
+
+LABELLED = "doc_id long, text string, lang string"
+
+
+def test_the_sample_is_full_whatever_the_rows(spark):
+    """A hot id, repeats and empty texts leave as many different texts as there are, up to the bound."""
+    learned = [i for i in range(6000) if fold(i, 5)]
+    own = [(i, f"text number {i} of many", "en") for i in learned[:600]]
+    hot = [(learned[0], f"another text {i}", "de") for i in range(600)] + [(learned[1], "one text", "fr")] * 500
+    empty = [(i, None if i % 2 else " 12 ", "en") for i in learned[600:4600]]
+    labels, counts = li._sample(spark.createDataFrame(own + hot + empty, LABELLED))
+    assert {lang: labels.count(lang) for lang in set(labels)} == {"en": 400, "de": 400, "fr": 1}
+    assert counts.shape == (801, li.DIMENSIONS)
+
+
+def test_the_same_classifier_in_any_order(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    first = li.fit(docs)
+    for turn in range(10):
+        other = li.fit(docs.orderBy(li.F.rand(turn)).repartition(1 + turn))
+        assert other.languages == first.languages
+        assert (other.centroids == first.centroids).all() and (other.floors == first.floors).all()
+
+
+def plain_vector(text, weights):
+    """TF-IDF of 1- to 3-grams of bytes, gram by gram."""
+    letters = (" " + li._OTHER.sub(" ", text).strip().lower() + " ").encode()
+    counts = [0] * li.DIMENSIONS
+    for width in (1, 2, 3):
+        for i in range(len(letters) - width + 1):
+            gram = int.from_bytes(letters[i : i + width], "big")
+            counts[((gram * 0x9E3779B1 + width * 0x1F3D5B79) % (1 << 32) >> 15) % li.DIMENSIONS] += 1
+    vector = [math.log1p(c) * w for c, w in zip(counts, weights, strict=True)]
+    length = math.sqrt(sum(x * x for x in vector))
+    return [x / length for x in vector]
+
+
+def test_predictions_restated(spark):
+    """Weights from the drawn texts, vectors, and the nearest centroid by cosine, in plain Python."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    classifier = li.fit(docs)
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    learned = {(t, lang) for i, t, lang in rows if fold(i, 5) and lang and has_letters(t)}
+    seen = [0] * li.DIMENSIONS
+    for text, _ in learned:
+        for bucket in set(li._counts(text).nonzero()[0].tolist()):
+            seen[bucket] += 1
+    weights = [math.log((1 + len(learned)) / (1 + n)) + 1 for n in seen]
+    assert classifier.weights.tolist() == pytest.approx(weights, rel=1e-5)
+    found = {r.doc_id: r for r in li.op5_language_id(spark, SMALL).collect()}
+    for i, text, _ in sorted(rows, key=lambda r: len(r[1] or ""))[20:60]:
+        if not has_letters(text):
+            continue
+        vector = plain_vector(text, weights)
+        cosines = [sum(a * b for a, b in zip(vector, c, strict=True)) for c in classifier.centroids.tolist()]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert found[i].lang_pred == classifier.languages[classifier.owners[best]]
+        assert found[i].score == pytest.approx(cosines[best], abs=1e-5)
+        assert found[i].rejected == (found[i].score < classifier.floors[classifier.owners[best]])

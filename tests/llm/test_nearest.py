@@ -85,3 +85,35 @@ def test_query_blocks(spark, monkeypatch):
 
 def test_empty_table(spark, empty_folder):
     assert nearest.op8_nearest(spark, empty_folder).collect() == []
+
+
+@pytest.mark.parametrize("dimension", [3, 64, 384, 768])
+def test_few_rows_are_all_found(spark, tmp_path, dimension):
+    """Six vectors: every query has its five candidates, however far they lie."""
+    draw = np.random.default_rng(dimension)
+    rows = [(50 * i, draw.normal(size=dimension).tolist(), 0) for i in range(5)] + [(7, draw.normal(size=dimension).tolist(), 0)]
+    rows += [(1000, [1.0, 2.0], 0), (1001, [-1.0, -2.0], 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    stored = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()]
+    found = nearest.op8_nearest(spark, str(tmp_path)).collect()
+    assert len(found) == 5 * 5 + 1
+    check(found, brute(stored), 1)
+
+
+@pytest.mark.parametrize("dimension", [64, 384, 768])
+def test_recall_of_random_vectors(spark, tmp_path, dimension):
+    draw = np.random.default_rng(dimension)
+    values = draw.normal(size=(3000, dimension)).astype(np.float32)
+    rows = [(i, v, 0) for i, v in enumerate(values.tolist())]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {}
+    for r in nearest.op8_nearest(spark, str(tmp_path)).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = values.astype(float) / np.linalg.norm(values.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 3000, 50):
+        cosines = unit @ unit[q]
+        cosines[q] = -2
+        assert len(found[q]) == 5
+        hits += len(found[q] & set(np.argsort(-cosines)[:5].tolist()))
+    assert hits >= 0.9 * 5 * 60
