@@ -188,6 +188,37 @@ QUERIES = [
         _cube,
         CUBE + " SELECT model, subset, variant, k, total, solved, accuracy FROM cube",
     ),
+    Query(
+        "accuracy_rollup",
+        lambda s, d: R.accuracy_rollup(_cube(s, d)),
+        CUBE + """, t AS (SELECT model, subset, variant, k, sum(total)::BIGINT AS total,
+            sum(solved)::BIGINT AS solved, GROUPING(model, subset, variant, k)::BIGINT AS level FROM cube
+            GROUP BY GROUPING SETS ((model, subset, variant, k), (model, k), (subset, variant, k), (k)))
+        SELECT *, 100.0::DOUBLE * solved / total AS accuracy FROM t""",
+    ),
+    Query(
+        "error_rollup",
+        lambda s, d: R.error_rollup(report_files(R.error_counts(V.RESULT_FILES.frame(s, d), ["path"]), "path")),
+        f"""WITH f AS ({V.RESULT_FILES.sql}),
+            l AS (SELECT *, row_number() OVER (PARTITION BY path, year, day, part, id
+                ORDER BY row_no) AS rn FROM f),
+            m(subset) AS (VALUES ('aoc'), ('aoc_converted'), ('euler'), ('euler_stories')),
+            e AS (SELECT split_part(path, '/', -2) AS model, subset, status FROM l
+                JOIN m ON split_part(path, '/', -1) = concat(
+                    CASE WHEN contains(split_part(path, '/', -2), 'gpt') THEN 'gpt3.5'
+                    ELSE replace(split_part(path, '/', -2), '-', '_') END, '-', subset, '-pass@3.csv')
+                WHERE rn = 1),
+            t AS (SELECT model, subset, GROUPING(model, subset)::BIGINT AS level,
+                count(*) FILTER (status NOT IN ('no_error', 'part1_failed')) AS total_errors,
+                count(*) FILTER (status = 'syntax_error') AS s,
+                count(*) FILTER (status = 'runtime_error') AS r,
+                count(*) FILTER (status = 'timeout_error') AS t,
+                count(*) FILTER (status = 'wrong_output') AS w
+                FROM e GROUP BY GROUPING SETS ((model, subset), (model), (subset), ()))
+        SELECT model, subset, level, total_errors, s::DOUBLE / total_errors AS syntax_errors,
+            r::DOUBLE / total_errors AS runtime_errors, t::DOUBLE / total_errors AS timeout_errors,
+            w::DOUBLE / total_errors AS wrong_outputs FROM t""",
+    ),
     Query(
         "leaderboard_pivot",
         lambda s, d: R.leaderboard(_cube(s, d)),

@@ -184,6 +184,32 @@ def accuracy_cube(results: DataFrame, path_column: str = "path") -> DataFrame:
     return counted.withColumn("accuracy", percent(F.col("solved"), F.col("total")))
 
 
+CUBE_KEYS = ["model", "subset", "variant", "k"]
+# Each cell, a model over all subsets, a subset over all models, and everything of one k.
+CUBE_TOTALS = [CUBE_KEYS, ["model", "k"], ["subset", "variant", "k"], ["k"]]
+
+
+def with_totals(counted: DataFrame, keys: list[str], sets: list[list[str]], sums: list[str]) -> DataFrame:
+    """Sums over each of the key sets, in one aggregate; a key that is summed over is null.
+
+    ``level`` tells the sets apart, also where a key is null by itself: its bits are the keys, the first
+    one highest, and a bit is 1 for a key that is summed over.
+    """
+    grouped = counted.groupingSets([[F.col(k) for k in one] for one in sets], *keys)
+    return grouped.agg(
+        *[F.sum(name).alias(name) for name in sums], F.grouping_id().cast("long").alias("level")
+    )
+
+
+def accuracy_rollup(cube: DataFrame) -> DataFrame:
+    """The accuracy cube with totals per model, per subset and overall, at each k.
+
+    Tasks are summed, so a total weighs a subset by its tasks; ``overall_score`` is the mean of subsets.
+    """
+    summed = with_totals(cube, CUBE_KEYS, CUBE_TOTALS, ["total", "solved"])
+    return summed.withColumn("accuracy", percent(F.col("solved"), F.col("total")))
+
+
 def cell_name(subset: str, variant: str, k: int) -> str:
     """Column name of a leaderboard cell."""
     return f"{subset}_{variant}_k{k}"
@@ -246,24 +272,38 @@ def ranked(rows: DataFrame, score: str) -> DataFrame:
     return rows.join(ranks, score, "left").select(*rows.columns, "rank")
 
 
-def error_shares(results: DataFrame, by: list[str]) -> DataFrame:
-    """Failed tasks and the share of each error class, after keeping the first copy.
+def error_counts(results: DataFrame, by: list[str]) -> DataFrame:
+    """Failed tasks and those of each error class (``n_…``), after keeping the first copy.
 
-    Rows may be of either kind, or of both with nulls in the other kind's keys. A list
-    without failures has null shares.
+    Rows may be of either kind, or of both with nulls in the other kind's keys.
     """
     task = [c for c in [*PART_KEYS, "id"] if c in results.columns]
     kept = dedup_codes(results, [*by, *task], "first")
     # A null code is a failure too: only solved and blocked rows are taken out.
     out = F.coalesce(is_code(NO_ERROR) | is_code(PART1_FAILED), F.lit(False))
-    counted = kept.groupBy(*by).agg(
+    return kept.groupBy(*by).agg(
         F.count_if(~out).alias("total_errors"),
         *[F.count_if(is_code(s)).alias(f"n_{name}") for name, s in ERROR_SHARES.items()],
     )
+
+
+def error_shares(results: DataFrame, by: list[str]) -> DataFrame:
+    """Failed tasks and the share of each error class; a list without failures has null shares."""
+    return _shares_of(error_counts(results, by), by)
+
+
+def _shares_of(counted: DataFrame, by: list[str]) -> DataFrame:
     shares = [share(F.col(f"n_{n}"), F.col("total_errors")).alias(n) for n in ERROR_SHARES]
     return counted.select(*by, "total_errors", *shares)
 
 
+def error_rollup(counted: DataFrame) -> DataFrame:
+    """Error shares per model and subset with totals per model, per subset and overall, from ``error_counts``."""
+    keys, sums = ["model", "subset"], ["total_errors", *[f"n_{name}" for name in ERROR_SHARES]]
+    summed = with_totals(counted, keys, [keys, ["model"], ["subset"], []], sums)
+    return _shares_of(summed, [*keys, "level"])
+
+
 def error_percentages(shares: DataFrame, by: list[str]) -> DataFrame:
     """Shares in percent with one decimal, in the order of the printed report."""
     columns = [round_one_decimal(F.col(n) * 100).alias(n) for n in ERROR_SHARES]
