@@ -88,8 +88,14 @@ def _part2_prompts(s, d):
     )
 
 
-_SYSTEM, _PART2 = _quote(X.SYSTEM_MESSAGE), _quote(X.PART2_INSTRUCTION)
+SYSTEM_SQL, PART2_SQL = _quote(X.SYSTEM_MESSAGE), _quote(X.PART2_INSTRUCTION)
 _MATH = [_quote(t) for t in X.MATH_INSTRUCTION.replace("{description}", "").split("{title}")]
+
+
+def math_prompt_sql(title: str, description: str) -> str:
+    return f"concat({_MATH[0]}, {title}, {_MATH[1]}, {description})"
+
+
 _CONVERSION = X.CONVERSION
 for _name in ("converted_challenges", "story_part1", "story_part2", "sample_input"):
     _CONVERSION = _CONVERSION.replace("{" + _name + "}", "\0")
@@ -191,7 +197,7 @@ QUERIES = [
         lambda s, d: V.PROBLEMS.frame(s, d).select(
             "id", P.math_prompt(F.col("title"), F.col("problem")).alias("prompt")
         ),
-        f"""SELECT id, concat({_MATH[0]}, title, {_MATH[1]}, problem) AS prompt
+        f"""SELECT id, {math_prompt_sql('title', 'problem')} AS prompt
         FROM ({V.PROBLEMS.sql})""",
     ),
     Query(
@@ -199,7 +205,7 @@ QUERIES = [
         lambda s, d: V.CHALLENGES.frame(s, d).select(
             "year", "day", _messages_text(P.chat_part1(F.col("part1")))
         ),
-        f"""SELECT year, day, concat('system: ', {_SYSTEM}, chr(10), 'human: ', part1) AS prompt
+        f"""SELECT year, day, concat('system: ', {SYSTEM_SQL}, chr(10), 'human: ', part1) AS prompt
         FROM ({V.CHALLENGES.sql})""",
     ),
     Query(
@@ -211,9 +217,9 @@ QUERIES = [
         o AS (SELECT *, row_number() OVER (PARTITION BY model, year, day, part ORDER BY CASE
             WHEN status = 'no_error' THEN kpass ELSE 1000 - kpass END) AS rn FROM p
             WHERE copy = 1)
-        SELECT row_no, model, year, day, concat('system: ', {_SYSTEM}, chr(10),
+        SELECT row_no, model, year, day, concat('system: ', {SYSTEM_SQL}, chr(10),
             'human: ', description, chr(10), 'ai: ', response, chr(10),
-            'human: ', {_PART2}) AS prompt FROM o
+            'human: ', {PART2_SQL}) AS prompt FROM o
         WHERE rn = 1 AND status = 'no_error' AND day <> 25""",
     ),
     Query(

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeworks.fixed_values import MATH, TWO_PART
-from gradeworks.operators.tasks import flatten_parts
+from gradeworks.operators.tasks import TaskSpan, flatten_parts
 from gradeworks.schemas import CHALLENGE, DOC_KEYS, FLAT_CHALLENGE, FLAT_PROBLEM, PROBLEM
 from gradeworks.sources.results import EXPORT_OPTIONS
+from gradeworks.sources.trees import packed
 
 CORRUPT = "_corrupt_record"
 
@@ -38,9 +39,12 @@ def read_nested_challenges(
     root: str,
     strict: bool = False,
     one_file_per_day: bool = True,
+    span: TaskSpan | None = None,
 ) -> DataFrame:
     """Nested challenge records; a record that does not parse has its text in CORRUPT.
 
+    With a ``span``, files of other years and days are left out by their paths before they are read.
+
     ``one_file_per_day`` reads the tree ``<year>/day_<day>.json`` and takes the keys from
     the path. Otherwise the folder holds JSON lines with the keys inside, which split
     across tasks. ``strict`` stops at the first bad record. The listing is recursive
@@ -60,7 +64,9 @@ def read_nested_challenges(
     if one_file_per_day:
         reader = reader.option("pathGlobFilter", "day_*.json")
     texts = reader.text(root, wholetext=one_file_per_day)
-    if not one_file_per_day:
+    if one_file_per_day:
+        texts = packed(_within(texts, challenge_keys(F.col("_metadata.file_path")), span), root)
+    else:
         texts = texts.where("trim(value) <> ''")
     records = texts.select(
         "value",
@@ -83,11 +89,22 @@ def read_nested_challenges(
     )
 
 
+def _within(files: DataFrame, keys: dict[str, Column], span: TaskSpan | None) -> DataFrame:
+    """The files whose path lies in the span."""
+    if span is None:
+        return files
+    return files.where(keys["year"].between(*span.years) & keys["day"].between(*span.days))
+
+
 def read_challenges(
-    spark: SparkSession, root: str, strict: bool = False, one_file_per_day: bool = True
+    spark: SparkSession,
+    root: str,
+    strict: bool = False,
+    one_file_per_day: bool = True,
+    span: TaskSpan | None = None,
 ) -> DataFrame:
     """The flat challenge table; records that do not parse are left to ``quarantined``."""
-    records = read_nested_challenges(spark, root, strict, one_file_per_day)
+    records = read_nested_challenges(spark, root, strict, one_file_per_day, span)
     return flatten_parts(records.where(F.col(CORRUPT).isNull()))
 
 
@@ -98,7 +115,7 @@ def quarantined(records: DataFrame) -> DataFrame:
 
 def read_problems(spark: SparkSession, root: str, one_array_per_file: bool = True) -> DataFrame:
     """Math problems from files that each hold a JSON array, or from JSON lines."""
-    return (
+    rows = (
         spark.read.schema(PROBLEM)
         .option("multiLine", one_array_per_file)
         .option("recursiveFileLookup", True)
@@ -106,6 +123,7 @@ def read_problems(spark: SparkSession, root: str, one_array_per_file: bool = Tru
         .json(root)
         .withColumnRenamed("story", "story_problem")
     )
+    return packed(rows, root) if one_array_per_file else rows
 
 
 def read_subset(spark: SparkSession, name: str, root: str, lite_root: str | None = None):
@@ -122,15 +140,16 @@ def read_subset(spark: SparkSession, name: str, root: str, lite_root: str | None
         return read_challenges(spark, lite_root)
 
 
-def read_documents(spark: SparkSession, root: str) -> DataFrame:
-    """Raw part files as one row each: path keys and the whole text."""
+def read_documents(spark: SparkSession, root: str, span: TaskSpan | None = None) -> DataFrame:
+    """Raw part files as one row each: path keys and the whole text; those in the span."""
     files = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.md")
         .text(root, wholetext=True)
         .withColumnRenamed("value", "text")
     )
-    return files.withColumns(document_keys(F.col("_metadata.file_path")))
+    keys = document_keys(F.col("_metadata.file_path"))
+    return packed(_within(files, keys, span).withColumns(keys), root)
 
 
 def read_export(spark: SparkSession, path: str, kind: str) -> DataFrame:

@@ -13,6 +13,7 @@ from gradeworks.fixed_values import (
     VARIANT_NAMES,
 )
 from gradeworks.schemas import RESULT_MATH, RESULT_TWO_PART
+from gradeworks.sources.trees import packed
 
 # Fields hold newlines, quotes and blanks that must come back unchanged.
 CSV_OPTIONS = {
@@ -51,7 +52,7 @@ def read_results(spark: SparkSession, path: str, kind: str) -> DataFrame:
         .schema(schemas[kind])
         .csv(path)
     )
-    rows = rows.withColumn("path", F.col("_metadata.file_path"))
+    rows = packed(rows.withColumn("path", F.col("_metadata.file_path")), path)
     return rows.withColumn("kpass", F.col("kpass").cast("int")) if kind == TWO_PART else rows
 
 

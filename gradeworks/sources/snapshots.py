@@ -60,17 +60,25 @@ def save_snapshot(
 
 
 def read_snapshot(
-    spark: SparkSession, root: str, schema: T.StructType, version: int | None = None
+    spark: SparkSession,
+    root: str,
+    schema: T.StructType,
+    version: int | None = None,
+    segments: list[str] | None = None,
 ) -> DataFrame:
     """The rows of the last published version, or of the one named; none before the first save.
 
-    The list has a row for each segment; folders that are not on it are not read.
+    The list has a row for each segment; folders that are not on it, or not among ``segments``, are
+    not read.
     """
     if version is None:
         version = current_version(spark, root)
     if version is None:
         return spark.createDataFrame([], schema)
-    places = [f"{row[_SAVE]}/{row[_SEGMENT]}" for row in read_version(spark, root, version).collect()]
+    listed = read_version(spark, root, version)
+    if segments is not None:
+        listed = listed.where(F.col(_SEGMENT).isin(["none" if s == "None" else s for s in segments]))
+    places = [f"{row[_SAVE]}/{row[_SEGMENT]}" for row in listed.collect()]
     whole = T.StructType([*schema.fields, *[T.StructField(c, T.StringType()) for c in (_SAVE, _SEGMENT)]])
     rows = spark.read.schema(whole).parquet(f"{root}/data")
     here = F.concat_ws("/", _SAVE, _SEGMENT).isin(places)
