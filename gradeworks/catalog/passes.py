@@ -6,7 +6,7 @@ from gradeworks.catalog import views as V
 from gradeworks.catalog.base import Query, View
 from gradeworks.catalog.grading import in_time_sql, runs_sql
 from gradeworks.operators.dedup import dedup_rows
-from gradeworks.operators.passes import best_of_k, early_stop, first_pass, first_pass_gated
+from gradeworks.operators.passes import attach_texts, best_of_k, early_stop, first_pass, first_pass_gated
 from gradeworks.operators.passes import part_gating as gate_parts
 from gradeworks.operators.tasks import ordered_tasks, parts_as_rows
 from gradeworks.plans.evaluation import (
@@ -19,6 +19,8 @@ from gradeworks.plans.evaluation import (
     with_texts,
 )
 from gradeworks.schemas import PART_KEYS, PROBLEM_KEYS
+from gradeworks.session import new_table_path
+from gradeworks.sources.writers import write_attempts, write_results
 
 K = 3
 TASK = "model, year, day, part"
@@ -148,6 +150,31 @@ def _exported_sql() -> str:
             ON g.year = c.year AND g.day = c.day AND g.part = c.part"""
 
 
+BUCKETS = 8
+
+
+def _stored_gated(s, d):
+    """Gated results with texts over a stored table of graded runs."""
+    path = new_table_path(s, "attempts")
+    attempts = graded_attempts(V.TASK_RUNS.frame(s, d), V.REEXTRACTIONS.frame(s, d))
+    stored = write_attempts(attempts, path.rsplit("/", 1)[1].replace("-", "_"), path, BUCKETS)
+    return shown(attach_texts(gate_parts(stored, K), stored, ["output", "stderr", "code"]), "output", "stderr", "code")
+
+
+def _stored_gated_sql() -> str:
+    graded = _graded_sql(V.TASK_RUNS, False)
+    return gated_sql(K, graded) + f""", x AS (SELECT row_no AS text_row, output, stderr, code FROM ({graded}))
+        SELECT {_SHOWN}, output, stderr, code FROM g LEFT JOIN x ON g.row_no = x.text_row"""
+
+
+def _written_results(s, d):
+    """Result rows with their texts, written as a table by subset and k and read again."""
+    path = new_table_path(s, "result-rows")
+    rows = _exported(s, d).withColumns({"subset": F.lit("aoc"), "k": F.lit(K)})
+    write_results(rows, path)
+    return s.read.parquet(path).select(*rows.columns)
+
+
 def _problem_lists(s, d):
     attempts = graded_problems(V.PROBLEM_RUNS.frame(s, d), V.REEXTRACTIONS.frame(s, d))
     return attempts, problem_results(attempts, K)
@@ -180,6 +207,12 @@ def problem_lists_sql(attempts: str) -> str:
 
 
 QUERIES = [
+    Query("stored_gated", _stored_gated, _stored_gated_sql()),
+    Query(
+        "write_results_texts",
+        _written_results,
+        f"SELECT *, 'aoc' AS subset, {K} AS k FROM ({_exported_sql()})",
+    ),
     Query("evaluate_run", _evaluated, lists_sql(_graded_sql(V.TASK_RUNS, False))),
     Query("export_rows_t", _exported, _exported_sql()),
     Query(

@@ -5,12 +5,28 @@ from pyspark.sql import functions as F
 
 from gradeworks.sources.results import CSV_OPTIONS, EXPORT_OPTIONS
 
+DAY_KEYS = ["model", "year", "day"]
+
 
 def write_results(results: DataFrame, path: str) -> None:
     """Result rows as parquet, partitioned by subset and k, for all later reports."""
     results.write.mode("overwrite").partitionBy("subset", "k").parquet(path)
 
 
+def write_attempts(
+    attempts: DataFrame, table: str, path: str, buckets: int, keys: list[str] = DAY_KEYS
+) -> DataFrame:
+    """Attempts, texts included, as a table in buckets by model and day; returns the table.
+
+    All passes of both parts of a day lie in one bucket, so that selection and gating over the table need
+    no shuffle. The rows are dealt to the buckets first: a bucket is one file.
+    """
+    dealt = attempts.repartition(buckets, *keys)
+    writer = dealt.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    writer.option("path", path).saveAsTable(table)
+    return attempts.sparkSession.table(table)
+
+
 def task_order() -> F.Column:
     """A row number that sorts like the run order: by year, day and part.
 

@@ -37,3 +37,41 @@ def test_range_filters_reach_the_scan(spark, tmp_path):
     plan = found.select("part")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan
     assert "GreaterThanOrEqual(day,2)" in plan or "EqualTo(day,2)" in plan
+
+
+def final_plan(result):
+    """The plan as it ran, after adaptive execution."""
+    result.collect()
+    return result._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_a_stored_table_is_gated_without_a_shuffle(spark):
+    """Buckets by day serve all of selection and gating; only the chosen numbers are sent around."""
+    plan = final_plan(QUERIES["stored_gated"].run(spark, SMALL))
+    assert "Bucketed: true" in plan
+    assert "Exchange hashpartitioning" not in plan and "SortAggregate" not in plan
+
+
+@pytest.mark.parametrize("name", ["dedup_first", "dedup_last", "dedup_first_composite", "assemble_nested"])
+def test_copies_are_chosen_by_numbers(spark, name):
+    """No whole row is in an aggregation buffer, which would sort; those not kept are not shuffled."""
+    assert "SortAggregate" not in final_plan(QUERIES[name].run(spark, SMALL))
+
+
+@pytest.mark.parametrize("name", ["dedup_last", "early_stop", "provider_failures", "chat_prompt_p2"])
+def test_rows_meet_sparse_values_where_they_are(spark, name):
+    plan = final_plan(QUERIES[name].run(spark, SMALL))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_the_answer_is_searched_once(spark):
+    result = QUERIES["grade_direct"].run(spark, SMALL)
+    optimized = result._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count(r"(?<!\p{Nd})(\p{Nd}+)") == 1
+    assert optimized.count("Relation [") == 2  # the answers, and their re-extracted texts
+
+
+@pytest.mark.parametrize("name", ["grade_t", "grade_m"])
+def test_runs_are_read_once(spark, name):
+    optimized = QUERIES[name].run(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("Relation [") == 2
