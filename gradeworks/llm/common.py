@@ -126,6 +126,32 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+# Rows of a piece of a shard, and so many sizes of shards that are sent to every task.
+PIECE_ROWS = 1 << 17
+SENT_SHARDS = 100_000
+
+
+def dealt(rows: DataFrame, tables: DataFrame, spread: str) -> tuple[DataFrame, DataFrame]:
+    """Rows and the tables of their shards (both with ``shard``) with the piece of the shard they meet in.
+
+    The rows of a shard are counted first and dealt by a hash of ``spread`` to as many pieces of
+    PIECE_ROWS as they ask for; the shard's table is repeated for each. A hot shard is so spread over
+    many tasks.
+    """
+    sizes = rows.groupBy("shard").agg(F.ceil(F.count("*") / PIECE_ROWS).cast("int").alias("pieces"))
+    large = sizes.where(F.col("pieces") > 1)
+    count = large.limit(SENT_SHARDS + 1).count()
+    names = rows.columns, tables.columns
+    pieces, piece = F.lit(1), F.lit(0)
+    if count:
+        sent = F.broadcast(large) if count <= SENT_SHARDS else large
+        rows, tables = rows.join(sent, "shard", "left"), tables.join(sent, "shard", "left")
+        pieces = F.coalesce("pieces", F.lit(1))
+        piece = F.pmod(F.xxhash64(spread), pieces).cast("int")
+    every = F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece")
+    return rows.select(*names[0], piece.alias("piece")), tables.select(*names[1], every)
+
+
 def short_batches(spark: SparkSession) -> None:
     """Has the session send TEXT_ROWS rows at a time to Python, as rows with texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))

@@ -28,13 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeworks.llm.common import id_bucket, mixed, read_table
+from gradeworks.llm.common import dealt, id_bucket, mixed, read_table
 from gradeworks.session import new_table_path
 
 SHARD_DIGESTS = 1 << 15
-PIECE_ROWS = 1 << 17
-# Pieces of so many shards are broadcast; beyond, they are joined like any table.
-SENT_SHARDS = 100_000
 # Bits of a level for each digest that reaches it, and levels at most.
 _SPACE = 2
 _LEVELS = 200
@@ -141,19 +138,8 @@ def _read(row: dict) -> tuple[PerfectHash, np.ndarray]:
 
 def look_up(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     """Rows (digest, doc_id, row) with their slot's winner and count, null where the digest is no member."""
-    dealt = rows.select("digest", "doc_id", "row", _shard(shards))
-    sizes = dealt.groupBy("shard").agg(F.ceil(F.count("*") / PIECE_ROWS).cast("int").alias("pieces"))
-    large = sizes.where(F.col("pieces") > 1)
-    count = large.limit(SENT_SHARDS + 1).count()
-    pieces, piece = F.lit(1), F.lit(0)
-    if count:
-        sent = F.broadcast(large) if count <= SENT_SHARDS else large
-        dealt, index = dealt.join(sent, "shard", "left"), index.join(sent, "shard", "left")
-        pieces = F.coalesce("pieces", F.lit(1))
-        piece = F.pmod(F.xxhash64("row"), pieces).cast("int")
-    dealt = dealt.withColumn("piece", piece).select("shard", "piece", "digest", "doc_id", "row")
-    every = F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece")
-    tables = index.select(*[c for c in index.columns if c != "pieces"], every)
+    sharded = rows.select("digest", "doc_id", "row", _shard(shards))
+    met, tables = dealt(sharded, index, "row")
     schema = "digest binary, doc_id long, row long, keep_id long, keep_row long, n long"
 
     def matched(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -170,7 +156,7 @@ def look_up(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
         return pa.table(columns, names=["digest", "doc_id", "row", *names])
 
     keys = ("shard", "piece")
-    return dealt.groupBy(*keys).cogroup(tables.groupBy(*keys)).applyInArrow(matched, schema)
+    return met.groupBy(*keys).cogroup(tables.groupBy(*keys)).applyInArrow(matched, schema)
 
 
 def extended(history: DataFrame, index: DataFrame, shards: int, batch: DataFrame) -> DataFrame:

@@ -10,8 +10,10 @@ the finds are then joined with the exact table, so a false positive of a filter
 a line.
 
 A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends and with A-Z lower-cased.
-Null and empty texts are one empty line. Empty keys are never dropped. Every row counts as a
-document, repeated rows and rows with a null id as well.
+Null and empty texts are one empty line; texts of any length are taken whole. Empty keys are never
+dropped. Every row counts as a document, repeated rows and rows with a null id as well, and has its
+row in the result, ties included. An empty table has no rows. Other columns are carried along in
+``doc``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeworks.llm.common import SPACES, mixed, read_table, slices
+from gradeworks.llm.common import SPACES, dealt, mixed, read_table, slices
 from gradeworks.session import new_table_path
 
 KEYS_PER_SHARD = 250_000
-# Filters of up to so many bytes in all are sent to every task; beyond that all lines are
-# joined with the exact table without a look at a filter.
+# Filters of up to so many bytes in all are sent to every task; beyond that the lines are dealt
+# to the shards of their keys and meet the filters there.
 FILTER_BYTES = 64 << 20
 
 _SLOTS = 4
@@ -222,8 +224,25 @@ def _finds(docs: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
                 keys, hi, lo = keys[passed], hi[passed], lo[passed]
             yield pa.RecordBatch.from_arrays([pa.array(keys), _signed(hi), _signed(lo)], ["text_key", "hi", "lo"])
 
+    schema = "text_key long, hi long, lo long"
     keyed = docs.select(F.xxhash64("text").alias("text_key"), "text")
-    return keyed.mapInArrow(found, "text_key long, hi long, lo long")
+    lines = keyed.mapInArrow(found, schema)
+    return lines if sent is not None else _met_in_shards(lines, filters, shards)
+
+
+def _met_in_shards(lines: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """The lines that their shard's filter lets through, where they meet it instead of its being sent."""
+
+    def passed(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = left.select(["text_key", "hi", "lo"])
+        if not len(right) or not len(own):
+            return own.slice(0, 0)
+        table = CuckooFilter(table=right["slots"][0].as_py())
+        return own.filter(pa.array(table.contains(own["lo"].to_numpy().view(np.uint64))))
+
+    met, tables = dealt(lines.withColumn("shard", F.pmod("hi", F.lit(shards)).cast("int")), filters, "text_key")
+    keys = ("shard", "piece")
+    return met.groupBy(*keys).cogroup(tables.groupBy(*keys)).applyInArrow(passed, "text_key long, hi long, lo long")
 
 
 def _without(texts: pd.Series, dropped: pd.Series) -> pd.DataFrame:

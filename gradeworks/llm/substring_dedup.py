@@ -18,13 +18,15 @@ word that a repeat covers goes. All windows are judged on the input.
    each window becoming a shard of its own, where the first place decides.
 
 The automata are built where their shard's contents meet and not broadcast, since here the
-reference is the corpus itself and grows with it. What is broadcast are bit maps of fixed
-size. They only ever tell that something is certainly not in a set; what they let through is
-checked or does no harm, so with more data they save less work and nothing else.
-
-Words are ``[^\\x20\\x09-\\x0D]+``. Null texts have none. Null ids come first; rows of one id and
-different texts are told apart and ordered by a 64-bit hash of the text (text_key), and rows of
-one id and text are one document.
+reference is the corpus itself and grows with it. What is broadcast are bit maps, sized by the
+rows counted and bounded. They only ever tell that something is certainly not in a set; what they
+let through is checked or does no harm. Words are carried by a map only while that is nearly empty,
+otherwise documents meet their places in a join.
+
+Words are ``[^\\x20\\x09-\\x0D]+``. Null and empty texts have none; texts of any length are taken
+whole. Null ids come first; rows of one id and different texts are told apart and ordered by a 64-bit
+hash of the text (text_key), and rows of one id and text are one document, though each has its row in
+the result. An empty table has no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,7 +45,11 @@ from gradeworks.session import new_table_path
 
 WIDTH = 20
 SHARD_CONTENTS = 5_000
-_MAP_BITS = 26
+# A bit map has MAP_SHARE to twice as many bits for each row it may be made for, and no more than two
+# to the MOST_MAP_BITS, so that it can be sent. A fuller map lets more through, which costs work but no
+# correct result; where what it lets through would be words, they are joined instead.
+LEAST_MAP_BITS, MOST_MAP_BITS = 16, 27
+MAP_SHARE = 32
 _MAP_PROBES = 2
 _MAP_BLOCK_BITS = 16
 _N_BITS = 20
@@ -148,15 +154,16 @@ def _filled(column: pa.Array) -> np.ndarray:
 
 
 class BitMap:
-    """A set of rows of numbers in a table of fixed size; it may hold more than was put in."""
+    """A set of rows of numbers in a table of bits; it may hold more than was put in."""
 
-    def __init__(self, rows: DataFrame) -> None:
-        """The set of all rows, put together from blocks of the table."""
+    def __init__(self, rows: DataFrame, most: int) -> None:
+        """The set of all rows, at most ``most``, put together from blocks of the table."""
+        bits_of = self.size = min(MOST_MAP_BITS, max(LEAST_MAP_BITS, (MAP_SHARE * most).bit_length()))
         block = F.shiftright("slot", _MAP_BLOCK_BITS).alias("block")
 
         def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = np.unique(BitMap.slots([_filled(c) for c in batch.columns]))
+                found = np.unique(BitMap.slots([_filled(c) for c in batch.columns], bits_of))
                 yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64))], ["slot"])
 
         def packed(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
@@ -165,21 +172,21 @@ class BitMap:
             return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(bits).tobytes()]})
 
         used = rows.mapInArrow(slots, "slot long").distinct().groupBy(block)
-        whole = np.zeros((1 << (_MAP_BITS - _MAP_BLOCK_BITS), 1 << (_MAP_BLOCK_BITS - 3)), np.uint8)
+        whole = np.zeros((1 << (bits_of - _MAP_BLOCK_BITS), 1 << (_MAP_BLOCK_BITS - 3)), np.uint8)
         for row in used.applyInPandas(packed, "block long, bits binary").collect():
             whole[row.block] = np.frombuffer(row.bits, np.uint8)
         self.bits = whole.ravel()
 
     @staticmethod
-    def slots(columns: list[np.ndarray]) -> np.ndarray:
-        """The slots of each row, one line for each probe."""
+    def slots(columns: list[np.ndarray], bits: int) -> np.ndarray:
+        """The slots of each row in a table of 2 to the ``bits``, one line for each probe."""
         hashed = np.zeros(len(columns[0]), np.uint64)
         for column in columns:
             hashed = mixed(hashed ^ column)
-        return np.stack([mixed(hashed + np.uint64(i)) >> np.uint64(64 - _MAP_BITS) for i in range(_MAP_PROBES)])
+        return np.stack([mixed(hashed + np.uint64(i)) >> np.uint64(64 - bits) for i in range(_MAP_PROBES)])
 
     def may_hold(self, columns: list[np.ndarray]) -> np.ndarray:
-        slots = self.slots(columns)
+        slots = self.slots(columns, self.size)
         bits = (self.bits[slots >> np.uint64(3)] >> (7 - (slots & np.uint64(7))).astype(np.uint8)) & 1
         return bits.all(axis=0)
 
@@ -220,25 +227,54 @@ def _passed(rows: DataFrame, sent, columns: list[str], wanted: bool) -> DataFram
     return rows.mapInArrow(kept, rows.schema)
 
 
-def _words_at(docs: DataFrame, wanted, width: int) -> DataFrame:
-    """(doc_id, text_key, start, words): what follows the places that the broadcast bit map may hold."""
+def _words_at(docs: DataFrame, places: DataFrame, most: int, width: int) -> DataFrame:
+    """(doc_id, text_key, start, words): what follows the places (doc_id, text_key, start) of the documents.
+
+    As long as a bit map of the places, at most ``most``, is nearly empty, it picks them out of the
+    documents where these are, with a few others. Beyond that the documents meet their places in a join.
+    """
+    texts = docs.select("doc_id", "text_key", "text")
+    if MAP_SHARE * most < 1 << MOST_MAP_BITS:
+        sent = docs.sparkSession.sparkContext.broadcast(BitMap(places, most))
+        return _carried(texts, width, lambda batch, starts: _mapped(batch, starts, sent.value))
+    own = places.groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
+    own = own.select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key"), "starts")
+    same = (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of"))
+    met = texts.join(own, same).select("doc_id", "text_key", "text", "starts")
+    return _carried(met, width, lambda batch, starts: _listed(batch))
+
+
+def _mapped(batch: pa.RecordBatch, starts: np.ndarray, wanted: BitMap) -> tuple[np.ndarray, np.ndarray]:
+    """Text and first word of the places the map may hold."""
+    text = np.repeat(np.arange(batch.num_rows), np.diff(starts))
+    start = np.arange(starts[-1]) - starts[text]
+    ids, keys = (_filled(batch.column(i))[text] for i in (0, 1))
+    passed = np.flatnonzero(wanted.may_hold([ids, keys, start.view(np.uint64)]))
+    return text[passed], start[passed]
+
+
+def _listed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Text and first word of the places that stand in the rows."""
+    lists = batch.column(3)
+    return np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+
+
+def _carried(rows: DataFrame, width: int, chosen) -> DataFrame:
+    """The words behind the chosen places of the rows' texts."""
     longest = 2 * width - max(1, width // 2)  # an anchor lies in all windows of its segment
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             words, starts = flat([text.split() for text in texts])
-            text = np.repeat(np.arange(len(texts)), np.diff(starts))
-            start = np.arange(len(words)) - starts[text]
-            ids, keys = (_filled(batch.column(i))[text] for i in (0, 1))
-            passed = np.flatnonzero(wanted.value.may_hold([ids, keys, start.view(np.uint64)]))
-            ends = np.minimum(passed + longest, starts[text[passed] + 1])
-            carried = [b" ".join(words[a:b]) for a, b in zip(passed.tolist(), ends.tolist(), strict=True)]
-            at = pa.array(text[passed])
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(start[passed]), pa.array(carried, pa.binary())]
+            text, start = chosen(batch, starts)
+            begins = starts[text] + start
+            ends = np.minimum(begins + longest, starts[text + 1])
+            carried = [b" ".join(words[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+            at = pa.array(text)
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(start), pa.array(carried, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "start", "words"])
 
-    schema = "doc_id long, text_key long, start long, words binary"
-    return docs.select("doc_id", "text_key", "text").mapInArrow(found, schema)
+    return rows.mapInArrow(found, "doc_id long, text_key long, start long, words binary")
 
 
 def _shared_windows(contents: DataFrame, large: DataFrame, width: int) -> DataFrame:
@@ -312,14 +348,15 @@ def repeated_spans(docs: DataFrame, firsts, width: int = WIDTH) -> DataFrame:
     send = docs.sparkSession.sparkContext.broadcast
     segments = _written(_segment_rows(docs, firsts, width), "segments")
     anchors = segments.groupBy("anchor").count().where("count > 1").select("anchor")
-    places = _passed(segments, send(BitMap(anchors)), ["anchor"], True)
+    places = _passed(segments, send(BitMap(anchors, segments.count())), ["anchor"], True)
     place = F.struct("doc_id", "text_key", "at")
     contents = places.groupBy("anchor", "content").agg(F.min(place).alias("first")).select("anchor", "content", "first.*")
     contents = _written(contents, "contents")
 
     shared = contents.groupBy("anchor").count().where("count > 1").select("anchor")
     several = contents.join(shared, "anchor", "left_semi")
-    words = _words_at(docs, send(BitMap(several.select("doc_id", "text_key", _start()))), width)
+    most = contents.count()
+    words = _words_at(docs, several.select("doc_id", "text_key", _start().alias("start")), most, width)
     of = [F.col("doc_id").alias("of"), F.col("text_key").alias("of_key")]
     same = (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of"))
     words = words.select(*of, F.col("start").alias("of_start"), "words")
@@ -330,7 +367,7 @@ def repeated_spans(docs: DataFrame, firsts, width: int = WIDTH) -> DataFrame:
     start = _start()
     whole = F.struct(start.alias("begin"), (start + _count() + width - 1).alias("end"))
     keys = ["anchor", "content", "doc_id", "text_key", "at"]
-    first = send(BitMap(contents.select(*keys)))
+    first = send(BitMap(contents.select(*keys), most))
     later = _passed(places, first, keys, False).select("doc_id", "text_key", whole.alias("span"))
     later = later.select("doc_id", "text_key", "span.*")
 
@@ -368,7 +405,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     second = F.xxhash64("text", F.lit(1)).alias("text_key2")
     keyed = keyed.select("doc_id", F.xxhash64("text").alias("text_key"), second, "text")
     copies = keyed.groupBy("text_key", "text_key2").agg(F.min(F.struct("doc_id")).alias("first"))
-    firsts = BitMap(copies.select("first.doc_id", "text_key", "text_key2"))
+    firsts = BitMap(copies.select("first.doc_id", "text_key", "text_key2"), keyed.count())
     firsts = docs.sparkSession.sparkContext.broadcast(firsts)
     spans = repeated_spans(keyed, firsts, width).groupBy("doc_id", "text_key")
     spans = spans.agg(F.collect_set(F.struct("begin", "end")).alias("spans"))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
+from gradeworks.llm import common
 from gradeworks.llm import exact_dedup as D
 from llm.support import in_order, read_rows
 
@@ -48,7 +49,7 @@ def test_empty_table(spark, empty_folder):
 
 
 def test_hot_text_goes_to_many_pieces(spark, documents, monkeypatch):
-    monkeypatch.setattr(D, "PIECE_ROWS", 50)
+    monkeypatch.setattr(common, "PIECE_ROWS", 50)
     monkeypatch.setattr(D, "SHARD_DIGESTS", 64)
     rows = [(i, "the  same text" if i % 3 else f"own {i // 2}") for i in range(900)]
     rows += [(5, "the same\ttext")] * 4 + [(None, "the same text"), (None, "only null"), (None, "only  null")]
@@ -56,8 +57,8 @@ def test_hot_text_goes_to_many_pieces(spark, documents, monkeypatch):
 
 
 def test_pieces_beyond_the_broadcast_bound(spark, documents, monkeypatch):
-    monkeypatch.setattr(D, "PIECE_ROWS", 20)
-    monkeypatch.setattr(D, "SENT_SHARDS", 0)
+    monkeypatch.setattr(common, "PIECE_ROWS", 20)
+    monkeypatch.setattr(common, "SENT_SHARDS", 0)
     rows = [(i, f"text {i % 7}") for i in range(200)]
     assert in_order(run(spark, documents(rows))) == in_order(plain(rows))
 

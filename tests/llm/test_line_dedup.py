@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from gradeworks.llm import common
 from gradeworks.llm import line_dedup as ld
 from llm.support import in_order, read_rows
 
@@ -55,12 +56,26 @@ def test_deletion_undoes_insertion(spark):
     assert {r.text for r in ld.drop_lines(first, before, back, 3, 2).collect()} == {"b", "", "c"}
 
 
-def test_no_filter_beyond_the_bound(spark, edge_folder, monkeypatch):
+@pytest.mark.parametrize("piece", [1 << 17, 20])
+def test_filters_serve_beyond_the_broadcast_bound(spark, edge_folder, monkeypatch, piece):
+    """Lines meet their shard's filter in the tasks; a hot shard in several pieces."""
     monkeypatch.setattr(ld, "FILTER_BYTES", -1)
+    monkeypatch.setattr(common, "PIECE_ROWS", piece)
     found = ld.op1_line_dedup(spark, edge_folder).collect()
     assert in_order(found) == in_order(expected(read_rows(edge_folder)))
 
 
+def test_filters_beyond_the_bound_leave_lines_out(spark, edge_folder, monkeypatch):
+    """Hardly any line but the finds gets past the filters on its way to the exact table."""
+    monkeypatch.setattr(ld, "FILTER_BYTES", -1)
+    docs = spark.read.parquet(f"{edge_folder}/documents.parquet").select("text").na.fill("")
+    counts = ld.count_lines(docs)
+    shards = ld.shard_count(counts, 10)
+    left = ld._finds(docs, ld.build_filters(counts, 10, shards), shards)
+    frequent = counts.where("n_docs >= 10").select("hi", "lo")
+    assert 0 < left.count() <= left.join(frequent, ["hi", "lo"], "left_semi").count() + 2
+
+
 def test_filter_insert_delete():
     draw = np.random.default_rng(1)
     keys = draw.integers(0, 1 << 63, 2000, dtype=np.uint64)

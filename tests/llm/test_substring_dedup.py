@@ -77,3 +77,43 @@ def test_texts_of_one_id_with_alike_hashes(spark, documents):
     rows = [(None, passage), (7, long), (7, short)]
     folder = documents(rows)
     assert in_order(sd.op7_substring_dedup(spark, folder).collect()) == in_order(expected(rows))
+
+
+def passages_in_company(seed, documents):
+    draw = random.Random(seed)
+    passages = [" ".join(f"p{n}w{i}" for i in range(30)) for n in range(6)]
+    for i in range(documents):
+        own = [" ".join(f"own{draw.randrange(400)}" for _ in range(draw.randrange(40))) for _ in range(4)]
+        yield i, " ".join(own[:2] + [draw.choice(passages)] + own[2:] + [draw.choice(passages)])
+
+
+def test_places_are_joined_where_no_map_would_be_empty_enough(spark, documents, monkeypatch):
+    rows = [*passages_in_company(5, 60), (None, "a b " * 30), (3, None), (3, "")]
+    rows += rows[:2]
+    folder = documents(rows)
+    monkeypatch.setattr(sd, "MAP_SHARE", 1 << 30)
+    assert in_order(sd.op7_substring_dedup(spark, folder).collect()) == in_order(expected(rows))
+
+
+@pytest.mark.parametrize("share", [32, 1 << 30])
+def test_carried_words_stay_below_the_text(spark, monkeypatch, share):
+    """Words are carried for the places asked for: all of them, and hardly another."""
+    monkeypatch.setattr(sd, "MAP_SHARE", share)
+    rows = list(passages_in_company(6, 200))
+    docs = spark.createDataFrame([(i, i * 7, 0, t) for i, t in rows], "doc_id long, text_key long, text_key2 long, text string")
+    places = spark.createDataFrame([(i, i * 7, s) for i, _ in rows for s in (0, 5)], "doc_id long, text_key long, start long")
+    found = sd._words_at(docs, places, places.count(), 20).collect()
+    texts = dict(rows)
+    met = {(r.doc_id, r.start) for r in found}
+    assert met >= {(i, s) for i, t in rows for s in (0, 5) if s < len(t.split())}
+    assert all(r.words.decode().split() == texts[r.doc_id].split()[r.start : r.start + 30] for r in found)
+    extra = len(met) - 2 * len(rows)
+    assert extra <= (0 if share > 32 else 0.01 * sum(len(t.split()) for t in texts.values()))
+
+
+def test_a_full_map_costs_no_correct_result(spark, documents, monkeypatch):
+    """Maps of the least size for a corpus that fills much of them."""
+    monkeypatch.setattr(sd, "LEAST_MAP_BITS", 16)
+    monkeypatch.setattr(sd, "MOST_MAP_BITS", 16)
+    rows = list(passages_in_company(7, 300))
+    assert in_order(sd.op7_substring_dedup(spark, documents(rows)).collect()) == in_order(expected(rows))
