@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from gradeworks.catalog import views as V
 from gradeworks.catalog.base import Query
 from gradeworks.functions import grading as GF
-from gradeworks.functions.syntax import syntax_check
 from gradeworks.functions.text import extract_code, is_integer_text, last_integer, python_strip
 from gradeworks.operators import grading as G
 
@@ -71,7 +70,7 @@ QUERIES = [
     ),
     Query(
         "effective_code",
-        lambda s, d: G.with_effective_code(V.SNIPPETS.frame(s, d), syntax_check()).select(
+        lambda s, d: G.with_effective_code(V.SNIPPETS.frame(s, d)).select(
             "row_no", "code"
         ),
         f"""SELECT row_no, CASE form WHEN 2 THEN literal ELSE response END AS code
@@ -79,7 +78,7 @@ QUERIES = [
     ),
     Query(
         "syntax_triage",
-        lambda s, d: G.syntax_rates(V.SNIPPETS.frame(s, d), syntax_check(), ["model"]),
+        lambda s, d: G.syntax_rates(V.SNIPPETS.frame(s, d), ["model"]),
         f"""SELECT model, count(*) AS responses, count(*) FILTER (form = 0) AS valid
         FROM ({V.SNIPPETS.sql}) GROUP BY model""",
     ),
@@ -198,6 +197,12 @@ QUERIES = [
         """SELECT event_id AS row_no, CASE WHEN event_type = 'view' THEN '(none)'
             ELSE event_type END AS status FROM events WHERE event_type <> 'signup'""",
     ),
+    Query(
+        "ignore_warnings",
+        lambda s, d: G.ignore_warnings(V.EXITED_RUNS.frame(s, d)).select("row_no", "stderr"),
+        f"""SELECT row_no, CASE WHEN exit_code = 0 THEN '' ELSE stderr END AS stderr
+        FROM ({V.EXITED_RUNS.sql})""",
+    ),
     Query(
         "timeout_marker",
         lambda s, d: G.mark_timeouts(_runs(s, d)).select("row_no", "stdout", "stderr"),

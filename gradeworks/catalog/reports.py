@@ -270,6 +270,12 @@ QUERIES = [
             CASE WHEN contains(model, 'gpt') THEN 'gpt3.5' ELSE replace(model, '-', '_') END,
             '-', subset, '-pass@3.csv') GROUP BY model, subset, label""",
     ),
+    Query(
+        "unlabelled_subsets",
+        lambda s, d: R.without_subset_label(V.RESULT_FILES.frame(s, d).select("row_no", F.col("status").alias("subset")).union(
+            _report_rows(s, d).select("row_no", "subset"))),
+        f"SELECT row_no, status AS subset FROM ({V.RESULT_FILES.sql})",
+    ),
     Query(
         "error_report",
         lambda s, d: error_report(V.RESULT_FILES.frame(s, d)),

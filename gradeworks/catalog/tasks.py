@@ -180,6 +180,13 @@ QUERIES = [
         UNION ALL SELECT year, day, 2, CASE WHEN day < 13 THEN part2 ELSE part2_converted END
             FROM c""",
     ),
+    Query(
+        "backfill_faults",
+        lambda s, d: T.key_violations(
+            V.FRESH.frame(s, d).union(V.FRESH.frame(s, d).where("day % 5 = 0")), ["year", "day"]
+        ),
+        f"SELECT year, day, CAST(2 AS BIGINT) AS rows FROM ({V.FRESH.sql}) WHERE day % 5 = 0",
+    ),
     Query(
         "backfill_join",
         lambda s, d: T.backfill_descriptions(_challenges(s, d), V.FRESH.frame(s, d)),

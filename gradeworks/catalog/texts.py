@@ -11,7 +11,7 @@ from gradeworks.functions.text import rstrip_newlines
 from gradeworks.operators import corpus as C
 from gradeworks.operators import prompts as P
 from gradeworks.operators.passes import best_of_k
-from gradeworks.plans.corpus import flat_corpus
+from gradeworks.plans.corpus import flat_corpus, refreshed_corpus
 from gradeworks.sources.corpus import document_keys
 
 _UNIFIED = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
@@ -174,6 +174,20 @@ QUERIES = [
         f"""SELECT year, day, rtrim(input, chr(10)) AS input FROM ({V.CHALLENGES.sql})
         WHERE input IS NOT NULL""",
     ),
+    Query(
+        "refreshed_corpus",
+        lambda s, d: refreshed_corpus(V.CHALLENGES.frame(s, d), _year_day(s, d)),
+        SPLIT + f""",
+        c1 AS ({clean_sql("SELECT * FROM parts WHERE part = 1", "doc_id", X.PART1_HEADER, True)}),
+        c2 AS ({clean_sql("SELECT * FROM parts WHERE part = 2", "doc_id", X.PART2_HEADER, False)}),
+        d AS (SELECT doc_id, {V.CHALLENGES.columns["year"]} AS year,
+            {V.CHALLENGES.columns["day"]} AS day FROM documents),
+        n AS (SELECT d.year, d.day, nullif(c1.description, '') AS new1, nullif(c2.description, '') AS new2
+            FROM d LEFT JOIN c1 ON d.doc_id = c1.doc_id LEFT JOIN c2 ON d.doc_id = c2.doc_id)
+        SELECT k.year, k.day, coalesce(new1, part1) AS part1, part1_converted, part1_solution,
+            coalesce(new2, part2) AS part2, part2_converted, part2_solution, input
+        FROM ({V.CHALLENGES.sql}) k LEFT JOIN n ON k.year = n.year AND k.day = n.day""",
+    ),
     Query(
         "build_corpus",
         lambda s, d: flat_corpus(_year_day(s, d)).select(

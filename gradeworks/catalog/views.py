@@ -124,6 +124,9 @@ RUNS = View(
     },
 )
 
+# The same with the exit code of the run, where there is one.
+EXITED_RUNS = View("events", {**RUNS.columns, "exit_code": "CASE WHEN event_id % 3 < 2 THEN cast(event_id % 3 AS int) END"})
+
 # Program runs under the keys of the attempts.
 TASK_RUNS = View(
     "events",
@@ -201,6 +204,7 @@ SNIPPETS = View(
         "row_no": "doc_id",
         "model": "source",
         "form": "cast(doc_id % 3 AS int)",
+        "valid": "doc_id % 3 = 0",
         "literal": _LITERAL,
         "response": f"CASE doc_id % 3 WHEN 0 THEN {_LITERAL} "
         "WHEN 1 THEN concat('def f(:', chr(10), text) "

@@ -158,10 +158,21 @@ def part_texts(text: Column, marker: str = PART2_MARKER) -> Column:
 
 
 def extract_answer(text: Column, phrase: str = ANSWER_PHRASE) -> Column:
-    """Answers named in a text, one per line: lines with the phrase, less phrase, ticks and dots."""
-    # Only a newline ends a line.
-    line = rf"(?md)^[^\n]*{literal_pattern(phrase)}[^\n]*\n?"
-    lines = F.array_join(F.regexp_extract_all(text, F.lit(line), F.lit(0)), "")
-    named = F.when(text.contains(phrase), lines).otherwise(F.left(text, F.lit(0)))
-    pattern = r"(?:\A|(?<=\n))([^\n]*?)" + literal_pattern(phrase)
-    return rstrip_newlines(F.translate(F.regexp_replace(named, pattern, "$1"), "`.", ""))
+    """Answers named in a text, one per line: lines with the phrase, less its first place, ticks and dots."""
+
+    def named(pieces: Column) -> Column:
+        """The lines around the phrase's places; a further place in one line stays in it."""
+
+        def around(piece: Column, i: Column) -> Column:
+            before = F.get(pieces, i)
+            begun = F.substring_index(before, NEWLINE, -1)
+            begin = F.when((i == 0) | before.contains(NEWLINE), begun).otherwise(F.lit(phrase))
+            rest = F.substring_index(piece, NEWLINE, 1)
+            return F.concat(begin, rest, F.when(piece.contains(NEWLINE), F.lit(NEWLINE)).otherwise(F.lit("")))
+
+        behind = F.slice(pieces, F.lit(2), F.size(pieces) - 1)
+        return F.array_join(F.transform(behind, around), "")
+
+    found = in_steps(F.split(text, literal_pattern(phrase)), named)
+    lines = F.when(text.contains(phrase), found).otherwise(F.left(text, F.lit(0)))
+    return rstrip_newlines(F.translate(lines, "`.", ""))

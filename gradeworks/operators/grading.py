@@ -26,24 +26,23 @@ from gradeworks.operators.hotkeys import join_sparse_values
 from gradeworks.operators.tasks import key_violations
 
 
-def with_effective_code(generations: DataFrame, parses) -> DataFrame:
+def with_effective_code(generations: DataFrame) -> DataFrame:
     """Adds ``code``: the response if it parses, else its fenced code, else the response.
 
-    ``parses`` is the syntax check, a function from a column to a boolean column.
+    ``valid`` says whether a response parses; the parser is not part of this package. Null counts as no.
     """
     snippet = extract_code(F.col("response"))
     return generations.withColumn(
         "code",
-        F.when(parses(F.col("response")), F.col("response"))
+        F.when(F.col("valid"), F.col("response"))
         .when(snippet != "", snippet)
         .otherwise(F.col("response")),
     )
 
 
-def syntax_rates(generations: DataFrame, parses, by: list[str]) -> DataFrame:
-    """Responses per group that parse as Python; only the response goes to Python."""
-    flagged = generations.select(*by, parses(F.col("response")).alias("valid"))
-    return flagged.groupBy(*by).agg(
+def syntax_rates(generations: DataFrame, by: list[str]) -> DataFrame:
+    """Responses per group, and those of them that parse (``valid``); no response is read."""
+    return generations.groupBy(*by).agg(
         F.count("*").alias("responses"), F.count_if("valid").alias("valid")
     )
 

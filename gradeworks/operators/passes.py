@@ -223,14 +223,6 @@ def both_flat_lists(
     return _as_rows(tasks, keys, *made).drop("part")
 
 
-def combine_results(*tables: DataFrame) -> DataFrame:
-    """Result rows of several lists in one table; a column one list lacks is null."""
-    combined = tables[0]
-    for table in tables[1:]:
-        combined = combined.unionByName(table, allowMissingColumns=True)
-    return combined
-
-
 def attach_texts(results: DataFrame, attempts: DataFrame, columns: list[str]) -> DataFrame:
     """Results with long columns of the chosen attempt, matched by the unique row number.
 

@@ -27,14 +27,6 @@ def write_attempts(
     return attempts.sparkSession.table(table)
 
 
-def task_order() -> F.Column:
-    """A row number that sorts like the run order: by year, day and part.
-
-    It comes from the keys alone, so no global numbering pass is needed.
-    """
-    return (F.col("year") * 1000 + F.col("day") * 10 + F.col("part")).cast("long")
-
-
 def export_results(results: DataFrame, path: str) -> None:
     """Result rows as CSV with the row order as first column."""
     options = {k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}

@@ -180,8 +180,6 @@ def test_export_and_result_round_trips(spark, frame, tmp_path):
     W.export_results(rows, str(tmp_path / "csv"))
     row = S.read_results(spark, str(tmp_path / "csv"), "aoc").first()
     assert (row.row_no, row.output, row.code, row.error) == (1, " a\t", CODE, None)
-    order = rows.select(W.task_order()).first()[0]
-    assert order == 2015011
 
 
 def test_snapshot_replaces_only_its_years(spark, frame, tmp_path):

@@ -104,12 +104,12 @@ def test_direct_answer_takes_the_last_digits(spark):
 
 
 def test_effective_code(frame):
-    rows = frame([(1, "x=1"), (2, "Sure: ```python\ny=2```"), (3, "a b"), (4, "")],
-                 "row_no int, response string")
-    from gradeworks.functions.syntax import syntax_check
-
-    found = {r.row_no: r.code for r in G.with_effective_code(rows, syntax_check()).collect()}
-    assert found == {1: "x=1", 2: "\ny=2", 3: "a b", 4: ""}
+    rows = frame([(1, "x=1", True), (2, "Sure: ```python\ny=2```", False), (3, "a b", False), (4, "", True),
+                  (5, "```z```", None)], "row_no int, response string, valid boolean")
+    found = {r.row_no: r.code for r in G.with_effective_code(rows).collect()}
+    assert found == {1: "x=1", 2: "\ny=2", 3: "a b", 4: "", 5: "z"}
+    rates = G.syntax_rates(rows.withColumn("model", F.lit("m")), ["model"]).first()
+    assert (rates.responses, rates.valid) == (5, 2)
 
 
 def test_timeouts(frame):

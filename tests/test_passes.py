@@ -239,11 +239,6 @@ def test_a_run_has_both_lists_with_their_k(frame):
     assert as_set(two_part_results(rows, 1)) == as_set(P.part_gating(rows, 1))
 
 
-def test_combined_lists_fill_missing_columns(frame):
-    both = P.combine_results(frame([(1, 0)], "part int, kpass int"), frame([(2,)], "part int"))
-    assert sorted((r.part, r.kpass) for r in both.collect() if r.part == 2) == [(2, None)]
-
-
 @pytest.mark.parametrize("piece, sent", [(1_000_000, 10), (100, 10), (7, 3)])
 def test_hot_groups_are_split_and_whole(frame, spark, monkeypatch, piece, sent):
     monkeypatch.setattr(hotkeys, "PIECE_ROWS", piece)

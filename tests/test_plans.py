@@ -6,7 +6,6 @@ from conftest import SMALL
 from gradeworks.catalog.registry import all_queries
 
 QUERIES = all_queries()
-NEED_PYTHON = {"syntax_triage", "effective_code"}
 NEED_WINDOW = {"overall_score"}
 
 
@@ -15,7 +14,7 @@ def test_plan(spark, name):
     result = QUERIES[name].run(spark, SMALL)
     plan = result._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
-    assert name in NEED_PYTHON or "EvalPython" not in plan
+    assert "EvalPython" not in plan
     assert name in NEED_WINDOW or "Window [" not in plan
 
 

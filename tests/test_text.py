@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeworks.functions.numbers import round_one_decimal, shade_bucket, two_decimals
-from gradeworks.functions.syntax import syntax_check
 from gradeworks.functions.text import (
     extract_code,
     is_integer_text,
@@ -94,14 +93,6 @@ def test_rstrip_newlines_and_line_count(evaluate):
     assert evaluate(line_count, texts) == lines
 
 
-def test_syntax_check(evaluate):
-    texts = ["x = 1", "hello", "", "ProviderError: timeout", "def f(:", "a b", None,
-             "(" * 300 + ")" * 300, "x = '\x00'", "print 1"]
-    assert evaluate(syntax_check(), texts) == [
-        True, True, True, True, False, False, False, False, False, False,
-    ]
-
-
 def test_rounding(spark):
     pd = pytest.importorskip("pandas")
     values = [0.05, 0.25, 0.35, 12.25, 33.35, 66.65, 0.0, 100.0, 2.675, 0.125]
