@@ -6,8 +6,9 @@ words, of at most ``share`` times n to the item.
 
 CGK walks drift apart as edits add up, so an item of more than PIECE_WORDS words is looked for by
 its pieces: cut into m pieces of nearly equal length, one of them holds at most an m-th of the
-edits. The pieces are so short that WALKS and TABLES find one with as many edits in about 98 of 100
-cases, whatever the item's length; any piece found makes the item a candidate.
+edits. Any piece found makes the item a candidate. How many tables a piece needs follows from RECALL:
+pieces of its length are drawn, edited as often as the share allows and embedded, and as many tables
+are taken as find that part of them (``tables_for``). A share that MOST_TABLES cannot serve is refused.
 
 For every piece length, the windows of as many words are embedded by CGK random walks: the walk
 copies the word under its pointer and, by a random bit of the word and the step, moves on or
@@ -19,12 +20,15 @@ Windows that cannot be within the distance are not embedded: k edits spoil at mo
 piece's n - 2 word triples, so a window needs n - 2 - 3k triples that occur in items at all, and
 likewise n - 1 - 2k pairs and n - k words. This loses nothing.
 
-Null or wordless texts and items match nothing. The index over the items is sent to the tasks
-in blocks of about ITEMS_PER_BLOCK pieces; documents move nowhere.
+Null, empty or wordless texts and items match nothing, and stay where leaks are filtered out. Texts of
+any length are searched whole. Repeated rows and ties are each held against each item, repeated items
+too; rows of a null id have their finds under it. Empty tables give no finds. The index over the items
+is sent to the tasks in blocks of about ITEMS_PER_BLOCK pieces; documents move nowhere.
 """
 
 from __future__ import annotations
 
+import functools
 import string
 from bisect import bisect
 from collections import defaultdict
@@ -41,8 +45,9 @@ from gradeworks.llm.common import distinct_words, mixed, read_table, rolling_has
 
 MAX_EDIT_SHARE = 0.2
 PIECE_WORDS = 24
+RECALL = 0.98
 WALKS = 4
-TABLES = 12
+LEAST_TABLES, MOST_TABLES = 12, 256
 SAMPLED = 4
 ITEMS_PER_BLOCK = 20_000
 
@@ -51,6 +56,7 @@ _MARK_BITS = 22
 _WIDTHS = (3, 2, 1)
 _PAIR_FACTOR = 0x9E3779B97F4A7C15
 _EMBED_ROWS = 200_000
+_TRIALS = 1000
 _PUNCTUATION = string.punctuation.encode()
 
 
@@ -83,6 +89,51 @@ def _semi_global(item: np.ndarray, stretch: np.ndarray, anchored: bool) -> np.nd
     return row
 
 
+def _keys(row: np.ndarray, starts: np.ndarray, length: int, tables: int) -> np.ndarray:
+    """Keys of the windows of ``length`` words, one row for each table; a table samples one walk."""
+    draw = np.random.default_rng([_SEED, length])
+    steps, padded = 2 * length, np.append(row, np.zeros(length + 1, np.uint64))
+    turns = draw.integers(1, 1 << 63, (steps, WALKS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    sampled: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for table in range(tables):
+        for step in draw.choice(steps, min(SAMPLED, steps), replace=False).tolist():
+            sampled[step].append((table, table % WALKS))
+    keys = np.zeros((tables, len(starts)), np.uint64)
+    pointer = np.zeros((WALKS, len(starts)), np.int64)
+    with np.errstate(over="ignore"):
+        for step in range(1 + max(sampled)):
+            word = np.where(pointer < length, padded[starts + pointer], np.uint64(0))
+            for table, walk in sampled[step]:
+                keys[table] = (keys[table] + word[walk] + np.uint64(step)) * np.uint64(_PAIR_FACTOR)
+            pointer += (mixed(word * turns[step]) >> np.uint64(63)).astype(np.int64)
+    return keys
+
+
+@functools.cache
+def tables_for(length: int, edits: int, recall: float = RECALL) -> int:
+    """Tables that find a piece of ``length`` words with ``edits`` edits in the stated part of trials."""
+    draw = np.random.default_rng([_SEED, length, edits])
+    pieces = draw.integers(1, 1 << 63, (_TRIALS, length), dtype=np.uint64)
+    # As in a text: other words around, and windows that begin up to the edits before or behind.
+    size = length + 3 * edits
+    around = draw.integers(1, 1 << 63, (_TRIALS, size + edits), dtype=np.uint64)
+    rows = []
+    for piece, other in zip(pieces.tolist(), around.tolist(), strict=True):
+        for _ in range(edits):
+            place, kind = int(draw.integers(len(piece))), int(draw.integers(3))
+            piece[place : place + (kind < 2)] = [other.pop()] if kind else []
+        rows.append([*other[:edits], *piece, *other[edits:]][:size])
+    before = _keys(pieces.ravel(), np.arange(_TRIALS) * length, length, MOST_TABLES)
+    starts = (np.arange(_TRIALS)[:, None] * size + np.arange(2 * edits + 1)).ravel()
+    after = _keys(np.array(rows, np.uint64).ravel(), starts, length, MOST_TABLES)
+    met = (after.reshape(MOST_TABLES, _TRIALS, -1) == before[:, :, None]).any(axis=2)
+    found = np.maximum.accumulate(met, axis=0).mean(axis=1)
+    if found[-1] < recall:
+        raise ValueError(f"{MOST_TABLES} tables find {found[-1]:.2f} of pieces of {length} words with {edits} edits")
+    needed = int(np.argmax(found >= recall)) + 1
+    return max(LEAST_TABLES, -(-needed // WALKS) * WALKS)
+
+
 class ItemIndex:
     """Tables over the pieces of a block of items, by piece length."""
 
@@ -105,7 +156,8 @@ class ItemIndex:
         self.tables = {}
         for length, pieces in by_length.items():
             row = np.concatenate([self.items[i][1][a : a + length] for i, a in pieces])
-            keys = self._keys(row, np.arange(len(pieces)) * length, length)
+            tables = tables_for(length, self.piece_edits[length])
+            keys = _keys(row, np.arange(len(pieces)) * length, length, tables)
             order = np.argsort(keys, axis=1, kind="stable")
             self.tables[length] = np.take_along_axis(keys, order, axis=1), order, pieces
 
@@ -115,25 +167,6 @@ class ItemIndex:
     def _grams(self, row: np.ndarray, width: int) -> np.ndarray:
         return rolling_hash(row, width, _PAIR_FACTOR) >> np.uint64(64 - _MARK_BITS)
 
-    def _keys(self, row: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-        """Keys of the windows of ``length`` words, one row for each walk and table."""
-        draw = np.random.default_rng([_SEED, length])
-        steps, padded = 2 * length, np.append(row, np.zeros(length + 1, np.uint64))
-        sampled: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for table in range(WALKS * TABLES):
-            for step in draw.choice(steps, min(SAMPLED, steps), replace=False).tolist():
-                sampled[step].append((table, table % WALKS))
-        turns = draw.integers(1, 1 << 63, (steps, WALKS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        keys = np.zeros((WALKS * TABLES, len(starts)), np.uint64)
-        pointer = np.zeros((WALKS, len(starts)), np.int64)
-        with np.errstate(over="ignore"):
-            for step in range(1 + max(sampled)):
-                word = np.where(pointer < length, padded[starts + pointer], np.uint64(0))
-                for table, walk in sampled[step]:
-                    keys[table] = (keys[table] + word[walk] + np.uint64(step)) * np.uint64(_PAIR_FACTOR)
-                pointer += (mixed(word * turns[step]) >> np.uint64(63)).astype(np.int64)
-        return keys
-
     def _windows(self, row: np.ndarray, length: int, sums: dict[int, np.ndarray]) -> np.ndarray:
         """Starts of the windows that share enough words, pairs and triples with items."""
         starts = None
@@ -162,7 +195,7 @@ class ItemIndex:
                 continue
             for part in np.array_split(starts, 1 + len(starts) // _EMBED_ROWS):
                 text = np.searchsorted(begins, part, side="right") - 1
-                own = self._keys(row, part, length)
+                own = _keys(row, part, length, len(keys))
                 for table in range(len(own)):
                     low = np.searchsorted(keys[table], own[table], side="left")
                     high = np.searchsorted(keys[table], own[table], side="right")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from gradeworks.llm import decontamination as dc
+from llm.conftest import sentence
 from llm.support import in_order, read_rows
 
 SMALL = "/root/testdata/sf0.001"
@@ -151,3 +152,23 @@ def test_item_several_times_in_a_row():
     found = sorted(dc.ItemIndex([(1, item)]).matches([text.encode(), item.encode()]))
     spans = [(1, 31, 0), (31, 61, 0), (61, 90, 2), (91, 121, 0)]
     assert found == [*((0, 1, *s) for s in spans), (1, 1, 0, 30, 0)]
+
+
+def test_tables_follow_from_the_recall():
+    """More edits need more tables, and a share that no number of them serves is refused."""
+    assert dc.tables_for(24, 0) == dc.LEAST_TABLES <= dc.tables_for(24, 4) < dc.tables_for(24, 7)
+    assert dc.tables_for(20, 4, recall=0.9) < dc.tables_for(20, 4, recall=0.995)
+    with pytest.raises(ValueError):
+        dc.ItemIndex([(1, sentence(1, 24))], share=0.6)
+
+
+def test_recall_at_a_larger_share():
+    """A caller's share of 0.28, for which the tables are counted anew."""
+    draw = random.Random(9)
+    items = [(i, " ".join(f"i{i}w{draw.randrange(10**6)}" for _ in range(24))) for i in range(60)]
+    texts = []
+    for _, item in items:
+        around = [[f"x{draw.randrange(10**6)}" for _ in range(30)] for _ in range(2)]
+        texts.append(" ".join([*around[0], *edited(draw, item.split(), 6), *around[1]]).encode())
+    got = {(text, item) for text, item, *_ in dc.ItemIndex(items, share=0.28).matches(texts)}
+    assert len(got & {(i, i) for i in range(60)}) >= 57
