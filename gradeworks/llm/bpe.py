@@ -7,8 +7,10 @@ lists of the pairs it touches. Pre-tokens are remembered, so a word that occurs
 a look-up.
 
 Ids are those of the tokenizers library for a byte-level vocabulary without begin, end or
-other added tokens; strings of special tokens inside a text become their ids. Null texts are
-empty and have no ids.
+other added tokens; strings of special tokens inside a text become their ids. Null and empty texts
+have no ids and decode to an empty text; texts of any length are encoded whole. Every row has its
+result, repeated rows, ties and rows of a null id too; an empty table has none. Other columns are
+not read.
 """
 
 from __future__ import annotations

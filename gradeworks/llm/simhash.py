@@ -4,21 +4,24 @@ A document's fingerprint is the bitwise majority of the XXH64 values of its word
 Documents of one fingerprint form a class; classes link when their fingerprints differ in at
 most ``radius`` bits, and linked classes form components.
 
-Links are found in BK-trees, one for each shard. The fingerprint is cut into radius + 1
-blocks of bits. Two fingerprints within the radius agree on one block at least, so a
-fingerprint goes to the shard of each of its blocks' values, and no link is lost. The shards
-are many and even, whatever the number of documents; one that is still large is cut into
-pieces of at most PIECE members, and each pair of pieces is a unit of work with a tree over
-one and the members of the other streamed past. A unit emits a spanning set of its links,
+Links are found in BK-trees, one for each shard. The fingerprint is cut into radius + 1 or more
+blocks of bits, the more the more fingerprints there are. Two fingerprints within the radius differ
+in as many blocks at most, so they agree on all blocks of one choice of the others: a fingerprint
+goes to a shard for each choice, by the blocks' values, and no link is lost. A shard that is still
+large is cut into pieces of at most PIECE members, and each pair of pieces is a unit of work with a
+tree over one and the members of the other streamed past. A unit emits a spanning set of its links,
 never all pairs of a group.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased. Fewer words than a shingle: the
-whole sequence; no words, or a null text: fingerprint zero, linked like any other. Null ids
-are left out when the smallest id of a component is taken.
+whole sequence; no words, or an empty or null text: fingerprint zero, linked like any other. Texts
+of any length are taken whole. Null ids are left out when the smallest id of a component is taken.
+Repeated rows and ties each have their row in the result; an empty table has none. Other columns
+are not read, and are carried along whole where one document of each group is kept.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradeworks.llm.common import read_table, slices
+from gradeworks.llm.common import SENT_SHARDS, read_table, slices
 from gradeworks.llm.components import component_of
 from gradeworks.session import new_table_path
 
@@ -104,19 +107,30 @@ def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:
     return rows.mapInArrow(made, "doc_id long, text_key long, fp long")
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """First bit and number of bits of each of radius + 1 blocks of the 64."""
-    edges = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
+def _blocks(count: int) -> list[tuple[int, int]]:
+    """First bit and number of bits of each of so many blocks of the 64."""
+    edges = [round(64 * i / count) for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _shards(fp: Column, radius: int) -> Column:
-    """The shard of each block's value, as one number with the block's."""
-    values = [
-        F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << bits) - 1)) * F.lit(radius + 1) + F.lit(i)
-        for i, (first, bits) in enumerate(_blocks(radius))
-    ]
-    return F.explode(F.array(*values))
+def block_count(fingerprints_at_most: int, radius: int) -> int:
+    """Blocks for which a shard of evenly spread fingerprints stays within a piece."""
+    count = radius + 1
+    while fingerprints_at_most > PIECE << (64 * (count - radius) // count) and count < 2 * radius + 2:
+        count += 1
+    return count
+
+
+def _shards(fp: Column, radius: int, count: int) -> Column:
+    """A shard for each choice of ``count`` - radius blocks, by the values of the blocks.
+
+    Two fingerprints within the radius differ in as many blocks at most, so they agree on all
+    blocks of one choice.
+    """
+    blocks = [F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << bits) - 1)) for first, bits in _blocks(count)]
+    choices = itertools.combinations(range(count), count - radius)
+    keys = [F.xxhash64(F.lit(i), *[blocks[b] for b in chosen]) for i, chosen in enumerate(choices)]
+    return F.explode(F.array(*keys))
 
 
 def _link_units(frame: pd.DataFrame, radius: int) -> Iterator[tuple[int, int]]:
@@ -145,12 +159,19 @@ def _link_units(frame: pd.DataFrame, radius: int) -> Iterator[tuple[int, int]]:
                 yield number, other
 
 
-def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) that connect whatever is within ``radius`` bits, of distinct ``fp``."""
-    members = prints.select("fp", _shards(F.col("fp"), radius).alias("shard"))
-    # At most (radius + 1) * 2^(64 / (radius + 1)) shards exist, 41,000 for a radius of 4.
+def fingerprint_links(prints: DataFrame, radius: int = RADIUS, at_most: int | None = None) -> DataFrame:
+    """Links (a, b) that connect whatever is within ``radius`` bits, of distinct ``fp``.
+
+    ``at_most`` bounds the number of fingerprints; they are counted if it is not given.
+    """
+    blocks = block_count(prints.count() if at_most is None else at_most, radius)
+    members = prints.select("fp", _shards(F.col("fp"), radius, blocks).alias("shard"))
     pieces = members.groupBy("shard").agg(F.ceil(F.count("*") / PIECE).alias("pieces")).where("pieces > 1")
-    cut = members.join(F.broadcast(pieces), "shard", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    # With radius + 1 blocks there are (radius + 1) * 2^(64 / (radius + 1)) shards at most, 41,000 for a
+    # radius of 4. With more blocks only uneven shards have pieces; they are counted.
+    if blocks == radius + 1 or pieces.limit(SENT_SHARDS + 1).count() <= SENT_SHARDS:
+        pieces = F.broadcast(pieces)
+    cut = members.join(pieces, "shard", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("pieces")))
     units = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
     units = units.select(
@@ -202,7 +223,7 @@ def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS, radius: in
     prints = spark.read.parquet(path)
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("smallest")
     classes = prints.groupBy("fp").agg(smallest)
-    roots = component_of(fingerprint_links(prints.select("fp").distinct(), radius))
+    roots = component_of(fingerprint_links(prints.select("fp").distinct(), radius, prints.count()))
     rooted = classes.join(roots, classes.fp == roots.node, "left")
     rooted = rooted.select("fp", "smallest", F.coalesce("root", "fp").alias("root"))
     found = rooted.groupBy("root").agg(F.min("smallest").alias("smallest"))

@@ -104,3 +104,31 @@ def test_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1000), (900, 901)], "a long, b long")
     roots = {r.node: r.root for r in component_of(links).collect()}
     assert len({roots[i] for i in range(301)}) == 1 and roots[900] == roots[901] != roots[0]
+
+
+@pytest.mark.parametrize("at_most", [10, 10**9, 10**11, 10**14])
+def test_more_blocks_find_the_same_components(spark, at_most):
+    """What decides the number of blocks does not decide what is found."""
+    draw = random.Random(12)
+    numbers = set()
+    for _ in range(40):
+        number = draw.getrandbits(64)
+        for _ in range(draw.randrange(1, 8)):
+            numbers.add(number)
+            for _ in range(draw.randrange(1, 6)):
+                number ^= 1 << draw.randrange(64)
+    numbers = sorted(numbers)
+    frame = spark.createDataFrame([(n - (1 << 64) if n >> 63 else n,) for n in numbers], "fp long")
+    found = {r.node % (1 << 64): r.root for r in component_of(simhash.fingerprint_links(frame, 4, at_most)).collect()}
+    of = groups(numbers)
+    together = {}
+    for number, group in zip(numbers, of, strict=True):
+        together.setdefault(group, set()).add(number)
+    for members in together.values():
+        if len(members) > 1:
+            assert len({found[m] for m in members}) == 1
+    assert len(set(found.values())) == sum(len(m) > 1 for m in together.values())
+
+
+def test_blocks_follow_the_fingerprints():
+    assert [simhash.block_count(n, 4) for n in (0, 10**6, 3 * 10**7, 10**9, 10**10)] == [5, 5, 5, 6, 6]
