@@ -3,6 +3,10 @@
 Documents whose language is not made out go; lines that many documents share are taken out;
 one document of each group of near duplicates stays; documents that hold a benchmark item go;
 what is left is encoded. Every stage but the last returns the columns of its documents.
+
+Every stage takes empty tables, extra columns of any name, null ids and columns, and texts of any
+length, which it reads whole. What it does with null and empty texts, repeated rows and ties is said
+with each stage.
 """
 
 from __future__ import annotations
@@ -34,7 +38,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in many documents are taken out of the texts; every document stays."""
+    """Lines found in many documents are taken out of the texts; every document stays.
+
+    A null text becomes an empty one. Repeated rows count as a document each, and all of them stay.
+    """
     short_batches(spark)
     kept = dedup_lines(docs, LINES_IN_DOCUMENTS)
     left = {"text": kept["text"], "n_chars": F.length(kept["text"]).cast("long")}
@@ -42,19 +49,29 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest id."""
+    """One document of each group of near duplicates stays, that of the smallest id.
+
+    Texts without words are alike, so one of them stays. Of repeated rows one stays, and of rows of one
+    id with different texts that of the smaller hash; null ids come last.
+    """
     short_batches(spark)
     return one_of_each(docs, SHINGLE_WORDS, RADIUS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark, exactly or with few edits, go."""
+    """Documents that hold an item of the benchmark, exactly or with few edits, go.
+
+    Texts and items without words match nothing. Each row is judged by its text alone.
+    """
     short_batches(spark)
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the documents and the texts decoded from them, as digests."""
+    """Token ids of the documents and the texts decoded from them, as digests.
+
+    An empty text has no ids. Each row has its result, repeated rows too.
+    """
     short_batches(spark)
     return round_trip(docs)
 
