@@ -245,7 +245,7 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
 def _with_planted_runs(docs: DataFrame) -> DataFrame:
     """One document in ten repeats its words from some place on with some period, by its id's checksum.
 
-    From word a on, word i becomes word a + (i - a) % p.
+    From word a on, word i becomes word a + (i - a) % p. A null id has no checksum and is left as it is.
     """
     words, n, a, p = F.col("words"), F.size("words"), F.col("a"), F.col("p")
     checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
