@@ -290,3 +290,26 @@ def test_selection_is_hash_aggregation_without_python(frame):
     assert "HashAggregate" in plan and "SortAggregate" not in plan
     assert "Window" not in plan and "Python" not in plan
     assert plan.count("Exchange") == 2
+
+
+@pytest.mark.parametrize("sparse_rows", [1_000_000, 3])
+def test_values_of_many_groups_are_joined(frame, monkeypatch, sparse_rows):
+    """Beyond the bound of sparse values the same rows come out of a join of all groups."""
+    rows = random_attempts(17)
+    table = frame(rows, SCHEMA)
+    wanted = [as_set(P.early_stop(table)), as_set(dedup_rows(table, ["model", "year", "day", "part"], "last"))]
+    monkeypatch.setattr(hotkeys, "SPARSE_BYTES", -1)
+    monkeypatch.setattr(hotkeys, "SPARSE_ROWS", sparse_rows)
+    monkeypatch.setattr(hotkeys, "PIECE_ROWS", 3)
+    found = [as_set(P.early_stop(table)), as_set(dedup_rows(table, ["model", "year", "day", "part"], "last"))]
+    assert found == wanted
+
+
+def test_texts_of_many_results_are_attached(frame, monkeypatch):
+    attempts = frame([(i, f"text {i}") for i in range(20)], "row_no long, output string")
+    results = frame([("a", 3), ("b", None), ("c", 7)], "task string, row_no long")
+    wanted = {("a", 3, "text 3"), ("b", None, None), ("c", 7, "text 7")}
+    assert {tuple(r) for r in P.attach_texts(results, attempts, ["output"]).collect()} == wanted
+    monkeypatch.setattr(hotkeys, "SPARSE_BYTES", -1)
+    monkeypatch.setattr(hotkeys, "SPARSE_ROWS", 1)
+    assert {tuple(r) for r in P.attach_texts(results, attempts, ["output"]).collect()} == wanted
