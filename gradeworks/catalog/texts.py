@@ -11,6 +11,7 @@ from gradeworks.functions.text import rstrip_newlines
 from gradeworks.operators import corpus as C
 from gradeworks.operators import prompts as P
 from gradeworks.operators.passes import best_of_k
+from gradeworks.operators.tasks import choose_description
 from gradeworks.plans.corpus import flat_corpus, refreshed_corpus
 from gradeworks.sources.corpus import document_keys
 
@@ -214,6 +215,28 @@ QUERIES = [
         f"""SELECT id, {math_prompt_sql('title', 'problem')} AS prompt
         FROM ({V.PROBLEMS.sql})""",
     ),
+    Query(
+        "render_prompt_story",
+        lambda s, d: V.PROBLEMS.frame(s, d).select(
+            "id",
+            P.math_prompt(
+                F.col("title"), choose_description(F.col("id") % 2 == 0, F.col("story"), F.col("problem"))
+            ).alias("prompt"),
+        ),
+        f"""SELECT id, {math_prompt_sql('title', "CASE WHEN id % 2 = 0 THEN story ELSE problem END")} AS prompt
+        FROM ({V.PROBLEMS.sql})""",
+    ),
+    Query(
+        "chat_prompt_described",
+        lambda s, d: V.CHALLENGES.frame(s, d).select(
+            "year",
+            "day",
+            _messages_text(P.chat_part2(P.pass_history(F.col("part1"), F.col("input")), F.col("part2"))),
+        ),
+        f"""SELECT year, day, concat('system: ', {SYSTEM_SQL}, chr(10), 'human: ', part1, chr(10),
+            'ai: ', input, chr(10), 'human: ', {PART2_SQL}, chr(10), chr(10), part2) AS prompt
+        FROM ({V.CHALLENGES.sql})""",
+    ),
     Query(
         "chat_prompt_p1",
         lambda s, d: V.CHALLENGES.frame(s, d).select(
