@@ -158,6 +158,10 @@ def find_runs(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     symbols = np.insert(codes.astype(np.int64), starts[1:], marks)
     firsts = starts[:-1] + np.arange(len(sizes))
     place, period = _grid_pairs(symbols, int(sizes.max(initial=0)))
+    # The words of a pair in two texts have a mark between them, so that they are in no run.
+    text = np.repeat(np.arange(len(sizes)), sizes + 1)
+    inside = text[place] == text[place + period]
+    place, period = place[inside], period[inside]
     forward, backward = _closed(symbols), _closed(symbols[::-1])
     mirror = len(symbols) - 1
     right = _common(forward, place, place + period, MODULUS)
@@ -167,10 +171,9 @@ def find_runs(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     kept = unsettled | (right + left - 1 >= due)
     place, period, right, left, due, unsettled = (x[kept] for x in (place, period, right, left, due, unsettled))
     if unsettled.any():
-        text = np.searchsorted(firsts, place[unsettled], side="right") - 1
-        own, which = np.unique(text, return_inverse=True)
+        own, which = np.unique(text[place[unsettled]], return_inverse=True)
         parts = [symbols[firsts[i] : firsts[i] + sizes[i] + 1] for i in own.tolist()]
-        moved = np.cumsum([0, *map(len, parts)])[:-1][which] - firsts[text]
+        moved = np.cumsum([0, *map(len, parts)])[:-1][which] - firsts[own][which]
         part = np.concatenate(parts)
         a, b = place[unsettled] + moved, (place + period)[unsettled] + moved
         right[unsettled] = CommonExtensions(part)(a, b)

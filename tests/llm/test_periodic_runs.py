@@ -84,6 +84,15 @@ def test_structured_texts():
     check([[0] * 700, [0, 1] * 350, ([0] * 5 + [1]) * 90, fibonacci[-1], list(range(300)) * 4, [1] * 5, [1] * 6, [], [1, 2] * 4])
 
 
+@pytest.mark.parametrize("size", [150, 300])
+@pytest.mark.parametrize("lead", [7, 21, 35])
+def test_equal_texts_beside_a_long_one(size, lead):
+    """Words that come again in the next text are in no run, however long the longest text is."""
+    long, short = list(range(1000, 1000 + 5 * size)), list(range(size))
+    check([list(range(5000, 5000 + lead)), long, short, short])
+    check([list(range(5000, 5000 + lead)), long, short, short + [7, 8] * 5, long])
+
+
 @pytest.mark.parametrize("letters", [1, 2, 40])
 def test_common_extensions(letters):
     draw = np.random.default_rng(letters)
