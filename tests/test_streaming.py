@@ -167,3 +167,20 @@ def test_a_batch_reads_its_new_rows_only(spark, frame, tmp_path):
     assert progress["stateOperators"][0]["numRowsUpdated"] <= 7
     expected = best_of_k_accuracy(frame(rows, SCHEMA), 3)
     assert sorted(read_leaderboard(spark, out).select(*expected.columns).collect()) == sorted(expected.collect())
+
+
+def test_leaderboard_state_follows_the_years_of_models(spark, frame, tmp_path):
+    """The days of a year share an entry and a call; null days, years and models count as in a grouping."""
+    arrivals, out, state = [str(tmp_path / n) for n in ("in", "out", "state")]
+    rng = random.Random(31)
+    rows = random_attempts(31)
+    model, year, day = (SCHEMA.split(", ").index(c) for c in ("model string", "year int", "day int"))
+    rows = [tuple(None if i in (model, year, day) and rng.random() < 0.1 else x for i, x in enumerate(r)) for r in rows]
+    frame(rows, SCHEMA).coalesce(1).write.parquet(arrivals)
+    query = start_leaderboard(spark.readStream.schema(SCHEMA).parquet(arrivals), 3, out, state)
+    query.awaitTermination()
+    held = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert 0 < held <= len({(r[model], r[year]) for r in rows})
+    expected = best_of_k_accuracy(frame(rows, SCHEMA), 3)
+    found = read_leaderboard(spark, out).select(*expected.columns)
+    assert sorted(found.collect(), key=str) == sorted(expected.collect(), key=str)
