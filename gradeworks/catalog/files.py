@@ -153,7 +153,7 @@ def _stream_leaderboard_files(s, d):
     shuffled = attempts.repartition(6, F.xxhash64("row_no"))
     shuffled.write.parquet(f"{root}/attempts")
     again = attempts.where(F.pmod(F.xxhash64("row_no"), F.lit(6)) == 0)
-    again.coalesce(1).write.mode("append").parquet(f"{root}/attempts")
+    again.repartition(1).write.mode("append").parquet(f"{root}/attempts")
     arriving = s.readStream.schema(attempts.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/attempts")
     start_leaderboard(arriving, K, f"{root}/report", f"{root}/checkpoint").awaitTermination()
     return read_leaderboard(s, f"{root}/report")
