@@ -9,7 +9,7 @@ from gradeworks.fixed_values import MATH, TWO_PART
 from gradeworks.operators.tasks import TaskSpan, flatten_parts
 from gradeworks.schemas import CHALLENGE, DOC_KEYS, FLAT_CHALLENGE, FLAT_PROBLEM, PROBLEM
 from gradeworks.sources.results import EXPORT_OPTIONS
-from gradeworks.sources.trees import packed
+from gradeworks.sources.trees import packed, year_folders
 
 CORRUPT = "_corrupt_record"
 
@@ -43,7 +43,8 @@ def read_nested_challenges(
 ) -> DataFrame:
     """Nested challenge records; a record that does not parse has its text in CORRUPT.
 
-    With a ``span``, files of other years and days are left out by their paths before they are read.
+    With a ``span``, folders of other years are not listed, and files of other days are left out by
+    their paths before they are read.
 
     ``one_file_per_day`` reads the tree ``<year>/day_<day>.json`` and takes the keys from
     the path. Otherwise the folder holds JSON lines with the keys inside, which split
@@ -63,9 +64,10 @@ def read_nested_challenges(
     reader = spark.read.option("recursiveFileLookup", True)
     if one_file_per_day:
         reader = reader.option("pathGlobFilter", "day_*.json")
-    texts = reader.text(root, wholetext=one_file_per_day)
+    roots = year_folders(spark, root, span.years) if span and one_file_per_day else [root]
+    texts = reader.text(roots, wholetext=one_file_per_day)
     if one_file_per_day:
-        texts = packed(_within(texts, challenge_keys(F.col("_metadata.file_path")), span), root)
+        texts = packed(_within(texts, challenge_keys(F.col("_metadata.file_path")), span), *roots)
     else:
         texts = texts.where("trim(value) <> ''")
     records = texts.select(
@@ -142,14 +144,15 @@ def read_subset(spark: SparkSession, name: str, root: str, lite_root: str | None
 
 def read_documents(spark: SparkSession, root: str, span: TaskSpan | None = None) -> DataFrame:
     """Raw part files as one row each: path keys and the whole text; those in the span."""
+    roots = year_folders(spark, root, span.years) if span else [root]
     files = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.md")
-        .text(root, wholetext=True)
+        .text(roots, wholetext=True)
         .withColumnRenamed("value", "text")
     )
     keys = document_keys(F.col("_metadata.file_path"))
-    return packed(_within(files, keys, span).withColumns(keys), root)
+    return packed(_within(files, keys, span).withColumns(keys), *roots)
 
 
 def read_export(spark: SparkSession, path: str, kind: str) -> DataFrame:

@@ -42,3 +42,36 @@ def test_files_outside_the_span_are_not_read(spark, frame, tmp_path):
     rows = C.read_nested_challenges(spark, str(tmp_path), span=TaskSpan((2016, 2017), (1, 5)))
     assert files_read(rows) == 10
     assert {(r.year, r.day) for r in rows.collect()} == {(y, d) for y in (2016, 2017) for d in range(1, 6)}
+
+
+def test_folders_of_other_years_are_not_listed(spark, frame, tmp_path):
+    challenge_tree(frame, str(tmp_path), years=6)
+    for odd in ("more/2016", "02017", "_hidden/2016"):
+        (tmp_path / odd).mkdir(parents=True)
+        (tmp_path / odd / "day_30.json").write_text('{"input": "odd"}')
+    (tmp_path / "20160").mkdir()
+    rows = C.read_nested_challenges(spark, str(tmp_path), span=TaskSpan((2016, 2017), (1, 30)))
+    listed = {p.rsplit("/", 1)[0].removeprefix(f"file://{tmp_path}/") for p in rows.inputFiles()}
+    assert listed == {"2016", "2017", "more/2016", "02017"}
+    assert sorted((r.year, r.day) for r in rows.collect() if r.day == 30) == [(2016, 30), (2017, 30)]
+    assert rows.count() == 52
+    assert C.read_nested_challenges(spark, str(tmp_path), span=TaskSpan((1999, 2001), (1, 30))).count() == 0
+
+
+def test_a_task_reads_a_bounded_part_of_a_tree(spark, frame, tmp_path, monkeypatch):
+    challenge_tree(frame, str(tmp_path))
+    size = T.tree_bytes(spark, str(tmp_path))
+    monkeypatch.setattr(T, "MOST_TASK_BYTES", size // 9)
+    rows = C.read_challenges(spark, str(tmp_path))
+    assert rows.count() == 100
+    # As many tasks as Spark's own splits allow.
+    assert rows.rdd.getNumPartitions() == min(10, spark.read.text(f"{tmp_path}/*", wholetext=True).rdd.getNumPartitions())
+
+
+def test_long_lines_go_to_python_some_at_a_time(spark, frame, tmp_path, monkeypatch):
+    sizes, before = [], spark.conf.get(T._BATCH_ROWS)
+    run = type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda *a: sizes.append(spark.conf.get(T._BATCH_ROWS)) or run(*a))
+    rows = [(f"{i}.txt", 0, "x" * 100) for i in range(20)]
+    assert T.write_tree(frame(rows, "path string, place int, line string"), str(tmp_path)) == 20
+    assert sizes == [str(T.LINE_ROWS)] and spark.conf.get(T._BATCH_ROWS) == before
