@@ -3,7 +3,8 @@
 The distinct pre-tokens that a slice of a partition adds are laid in one row. An index maps
 every mergeable pair to all its positions in the row; the active ranks are applied in
 ascending order, each at all its positions from left to right, and every merge updates the
-lists of the pairs it touches. Pre-tokens are remembered, so a word that occurs again costs
+lists of the pairs it touches. A pair at many positions is merged by a few array operations,
+a rarer one position by position. Pre-tokens are remembered, so a word that occurs again costs
 a look-up.
 
 Ids are those of the tokenizers library for a byte-level vocabulary without begin, end or
@@ -16,7 +17,6 @@ not read.
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,53 +38,112 @@ _PRE_TOKEN = (
 )
 
 
+# A pair at so many positions or more is merged at all of them at once.
+MANY = 32
+
+
 class PairIndex:
     """Merges many pre-tokens at once."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.merges = vocabulary.merges
-        self.first_ids = [0] * 256
+        self.first_ids = np.zeros(256, np.int64)
         for letter, byte in byte_letters().items():
             self.first_ids[byte] = vocabulary.ids[letter]
+        self.rules = {rank: (*pair, made) for pair, (rank, made) in self.merges.items()}
+        # Pairs as numbers; one with the end of a word (-1) is never among them.
+        self.width = 2 + max(vocabulary.ids.values())
+        pairs = np.array([(*pair, rank) for pair, (rank, _) in self.merges.items()], np.int64).reshape(-1, 3)
+        keys = pairs[:, 0] * self.width + pairs[:, 1]
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.ranks = pairs[order, 2]
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words in a row, and the number of ids of each."""
-        first, merges = self.first_ids, self.merges
-        row: list[int] = []
-        starts = [0]
-        for word in words:
-            row.extend([first[b] for b in word])
-            row.append(-1)  # no pair crosses the end of a word
-            starts.append(len(row))
-        after = list(range(1, len(row) + 1))
-        before = list(range(-1, len(row) - 1))
-        positions: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for at, pair in enumerate(zip(row, row[1:], strict=False)):
-            positions[pair].append(at)
-        active = [(*merges[pair], pair) for pair in positions if pair in merges]
-        positions = {pair: positions[pair] for _, _, pair in active}
-        heapq.heapify(active)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes + 1)
+        row = np.full(1 + len(words) + sizes.sum(), -1, np.int64)  # no pair crosses the end of a word
+        letters = np.ones(len(row), bool)
+        letters[0] = letters[ends] = False
+        row[letters] = self.first_ids[np.frombuffer(b"".join(words), np.uint8)]
+        self._merge(row)
+        kept = row >= 0
+        return row[kept], np.diff(np.cumsum(kept)[ends], prepend=0)
+
+    def _merge(self, row: np.ndarray) -> None:
+        """Applies all merges; -1 stands around every word, -2 for an id that is merged into its left one."""
+        after = np.arange(1, len(row) + 1)
+        before = np.arange(-1, len(row) - 1)
+        positions: dict[int, list[int]] = {}
+        active: list[int] = []
+
+        def note(rank: int, places: list[int]) -> None:
+            if rank in positions:
+                positions[rank] += places
+            else:
+                positions[rank] = places
+                heapq.heappush(active, rank)
+
+        def note_all(places: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+            for rank, found in self._by_rank(places, left, right):
+                note(rank, found)
+
+        # The same arrays, quicker where one number is read or written.
+        ids, nexts, lasts = memoryview(row), memoryview(after), memoryview(before)
+        note_all(np.arange(len(row) - 1), row[:-1], row[1:])
         while active:
-            _, made, pair = heapq.heappop(active)
-            left, right = pair
-            for at in sorted(positions.pop(pair)):
-                other = after[at]
-                if row[at] != left or other >= len(row) or row[other] != right:
+            rank = heapq.heappop(active)
+            left, right, made = self.rules[rank]
+            found = sorted(positions.pop(rank))
+            if len(found) >= MANY:
+                note_all(*_merge_all(np.array(found), left, right, made, row, after, before))
+                continue
+            for at in found:
+                other = nexts[at]
+                if ids[at] != left or ids[other] != right:
                     continue
-                row[at], row[other] = made, -2
-                follow, ahead = after[other], before[at]
-                after[at] = follow
-                if follow < len(row):
-                    before[follow] = at
-                for place, new in ((ahead, (row[ahead], made)), (at, (made, row[follow]))):
-                    if place >= 0 and (merge := merges.get(new)):
-                        if new not in positions:
-                            positions[new] = []
-                            heapq.heappush(active, (*merge, new))
-                        positions[new].append(place)
-        ids = np.array(row, np.int64)
-        kept = ids >= 0
-        return ids[kept], np.diff(np.concatenate([[0], np.cumsum(kept)])[starts])
+                ids[at], ids[other] = made, -2
+                follow, ahead = nexts[other], lasts[at]
+                nexts[at], lasts[follow] = follow, at
+                if merge := self.merges.get((ids[ahead], made)):
+                    note(merge[0], [ahead])
+                if merge := self.merges.get((made, ids[follow])):
+                    note(merge[0], [at])
+
+    def _by_rank(self, places: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """Ranks of the pairs that have one, each with the places of its pair."""
+        keys = left * self.width + right
+        found = self.keys.searchsorted(keys)
+        which = (self.keys[found] == keys).nonzero()[0]
+        ranks = self.ranks[found[which]]
+        order = ranks.argsort()
+        ranks, places = ranks[order], places[which[order]].tolist()
+        starts = [*np.flatnonzero(np.diff(ranks, prepend=-1)).tolist(), len(places)]
+        for rank, start, stop in zip(ranks[starts[:-1]].tolist(), starts, starts[1:], strict=False):
+            yield rank, places[start:stop]
+
+
+def _merge_all(
+    at: np.ndarray, left: int, right: int, made: int, row: np.ndarray, after: np.ndarray, before: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merges a pair at all places that still have it; the places, left and right ids of the pairs that makes."""
+    other = after[at]
+    stays = (row[at] == left) & (row[other] == right)
+    at, other = at[stays], other[stays]
+    if left == right and len(at):  # of pairs that overlap, every second from the left
+        number = np.arange(len(at))
+        heads = np.where(np.append(True, at[1:] != other[:-1]), number, 0)
+        taken = (number - np.maximum.accumulate(heads)) % 2 == 0
+        at, other = at[taken], other[taken]
+    row[at], row[other] = made, -2
+    follow = after[other]
+    after[at], before[follow] = follow, at
+    ahead = before[at]
+    # Two ids made here side by side are one pair, that of the left one.
+    ahead = ahead[np.append(True, ahead[1:] != at[:-1])] if len(at) else ahead
+    places = np.concatenate([ahead, at])
+    return places, row[places], row[after[places]]
 
 
 def _pieces(path: str) -> tuple[PieceTable, regex.Pattern]:

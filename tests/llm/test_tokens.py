@@ -2,10 +2,13 @@
 
 import hashlib
 import io
+import itertools
+import sys
 import zlib
 
 import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -131,6 +134,43 @@ def test_pair_index_against_library(texts):
         assert ids.tolist() == ids_of(made, text)
 
 
+@pytest.mark.parametrize("many", [1, 3, 1 << 40])
+@settings(max_examples=40, deadline=None)
+@given(texts=st.lists(st.text(alphabet="aaabehnt .!é", max_size=40), max_size=30))
+def test_pairs_are_merged_at_once_or_one_by_one(many, texts):
+    made, index = library(bpe.TOKENIZER), bpe.PairIndex(load_vocabulary(bpe.TOKENIZER))
+    words = [w for text in texts for w in regex.findall(bpe._PRE_TOKEN, text)]
+    before = bpe.MANY
+    bpe.MANY = many
+    try:
+        ids, sizes = index.encode([w.encode() for w in words])
+    finally:
+        bpe.MANY = before
+    wanted = [ids_of(made, w) for w in words]
+    assert ids.tolist() == [i for own in wanted for i in own]
+    assert sizes.tolist() == [len(own) for own in wanted]
+
+
+def test_frequent_pairs_cost_less_than_a_call_a_merge():
+    parts = ["ba", "con", "der", "ing", "lo", "mar", "ster", "ti", "und", "ver"]
+    words = [" " + "".join(p) for p in itertools.product(parts, repeat=4)]
+    index = bpe.PairIndex(load_vocabulary(bpe.TOKENIZER))
+    calls = 0
+
+    def count(_, event, __):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    profile = sys.getprofile()
+    sys.setprofile(count)
+    try:
+        ids, _ = index.encode([w.encode() for w in words])
+    finally:
+        sys.setprofile(profile)
+    merges = sum(map(len, words)) - len(ids)
+    assert merges > 50_000 and calls < merges / 2
+
+
 def random_texts(count):
     """Random strings over all of Unicode and over its trickier parts."""
     draw = np.random.default_rng(11)
