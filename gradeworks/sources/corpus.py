@@ -9,10 +9,12 @@ from gradeworks.fixed_values import MATH, TWO_PART
 from gradeworks.operators.tasks import TaskSpan, flatten_parts
 from gradeworks.schemas import CHALLENGE, DOC_KEYS, FLAT_CHALLENGE, FLAT_PROBLEM, PROBLEM
 from gradeworks.sources.results import EXPORT_OPTIONS
-from gradeworks.sources.trees import packed, year_folders
+from gradeworks.sources.trees import folder_uri, listed, packed, read_listed, year_folders
 
 CORRUPT = "_corrupt_record"
 
+DAY_FILES = "day_*.json"
+
 # Fixed patterns of corpus paths: <year>/day_<day>.json and <year>/day_<day>_part<part>.md
 CHALLENGE_PATH = r"([0-9]+)/day_([0-9]+)\.json$"
 DOCUMENT_PATH = r"([0-9]+)/[^/_]*_([0-9]+)_(?:part)?([0-9]+)(?:\.md)?$"
@@ -49,7 +51,8 @@ def read_nested_challenges(
     ``one_file_per_day`` reads the tree ``<year>/day_<day>.json`` and takes the keys from
     the path. Otherwise the folder holds JSON lines with the keys inside, which split
     across tasks. ``strict`` stops at the first bad record. The listing is recursive
-    rather than a glob, which would start one listing task per file.
+    rather than a glob, which would start one listing task per file. A whole tree with many
+    years is listed and read by tasks, so that no listing of all files comes to the driver.
     """
     # Some writers put year and day in quotes; as text both spellings are read.
     fields = [
@@ -61,20 +64,19 @@ def read_nested_challenges(
         "mode": "FAILFAST" if strict else "PERMISSIVE",
         "columnNameOfCorruptRecord": CORRUPT,
     }
-    reader = spark.read.option("recursiveFileLookup", True)
-    if one_file_per_day:
-        reader = reader.option("pathGlobFilter", "day_*.json")
-    roots = year_folders(spark, root, span.years) if span and one_file_per_day else [root]
-    texts = reader.text(roots, wholetext=one_file_per_day)
-    if one_file_per_day:
-        texts = packed(_within(texts, challenge_keys(F.col("_metadata.file_path")), span), *roots)
-    else:
-        texts = texts.where("trim(value) <> ''")
-    records = texts.select(
-        "value",
-        F.col("_metadata.file_path").alias("path"),
-        F.from_json("value", schema, options).alias("record"),
-    )
+    texts = _large_tree(spark, root) if one_file_per_day and span is None else None
+    if texts is None:
+        reader = spark.read.option("recursiveFileLookup", True)
+        if one_file_per_day:
+            reader = reader.option("pathGlobFilter", DAY_FILES)
+        roots = year_folders(spark, root, span.years) if span and one_file_per_day else [root]
+        texts = reader.text(roots, wholetext=one_file_per_day)
+        if one_file_per_day:
+            texts = packed(_within(texts, challenge_keys(F.col("_metadata.file_path")), span), *roots)
+        else:
+            texts = texts.where("trim(value) <> ''")
+        texts = texts.select("value", F.col("_metadata.file_path").alias("path"))
+    records = texts.select("value", "path", F.from_json("value", schema, options).alias("record"))
     keys = {name: F.col(f"record.{name}").try_cast("int") for name in DOC_KEYS}
     if one_file_per_day:
         keys = challenge_keys(F.col("path"))
@@ -91,6 +93,13 @@ def read_nested_challenges(
     )
 
 
+def _large_tree(spark: SparkSession, root: str) -> DataFrame | None:
+    """Whole texts and paths of a tree that tasks list; None where Spark's reader serves."""
+    uri = folder_uri(spark, root)
+    files = listed(spark, uri, DAY_FILES) if uri else None
+    return None if files is None else read_listed(files, uri)
+
+
 def _within(files: DataFrame, keys: dict[str, Column], span: TaskSpan | None) -> DataFrame:
     """The files whose path lies in the span."""
     if span is None:

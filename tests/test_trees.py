@@ -75,3 +75,31 @@ def test_long_lines_go_to_python_some_at_a_time(spark, frame, tmp_path, monkeypa
     rows = [(f"{i}.txt", 0, "x" * 100) for i in range(20)]
     assert T.write_tree(frame(rows, "path string, place int, line string"), str(tmp_path)) == 20
     assert sizes == [str(T.LINE_ROWS)] and spark.conf.get(T._BATCH_ROWS) == before
+
+
+def test_a_tree_of_many_years_is_listed_and_read_by_tasks(spark, frame, tmp_path, monkeypatch):
+    """The same rows as by Spark's reader, with no listing of the files in the driver."""
+    root = tmp_path / "tree"
+    challenge_tree(frame, f"file://{root}")
+    odd = {"more/2016/day_30.json": b"{}", "day_7.json": b'{"input": "top"}', "2017/day_x.json": b'{"input": "x"}', "2018/day_31.json": b"",
+           "2018/notes.json": b"{}", "2018/day_32.json": b'{"input": "\xff\xc3"}', "_old/2015/day_1.json": b"{}", "2016/.day_1.json": b"{}",
+           "2016/_day_2.json": b"{}", "_y=1/2019/day_2.json": b"{}", "2017/day_9.json._COPYING_": b"{}", "2015/day_33.json": b"\xef\xbb\xbf{}"}
+    for name, text in odd.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(text)
+    (root / "empty").mkdir()
+    wanted = C.read_nested_challenges(spark, str(root))
+    assert len(wanted.inputFiles()) > 100
+    monkeypatch.setattr(T, "READ_BYTES", 200)
+    monkeypatch.setattr(T, "LISTED_ROWS", 7)
+    before = spark.conf.get(T._MOST_LISTED)
+    spark.conf.set(T._MOST_LISTED, "3")
+    try:
+        found = C.read_nested_challenges(spark, str(root))
+        monkeypatch.setattr(T, "MOST_TASK_BYTES", T.tree_bytes(spark, str(root)) // 9)
+        assert 9 <= C.read_challenges(spark, str(root)).rdd.getNumPartitions() <= 10
+        assert C.read_challenges(spark, f"{root}/201?").inputFiles()
+    finally:
+        spark.conf.set(T._MOST_LISTED, before)
+    assert found.inputFiles() == []
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, wanted.collect()))
