@@ -271,6 +271,40 @@ def test_large_keys_are_dealt_to_several_groups(spark, documents, monkeypatch):
     assert len(found) == 300 and all(math.isfinite(r.score) for r in found)
 
 
+def test_scores_do_not_follow_the_size_of_groups(spark, monkeypatch):
+    """A group that counts its own words only takes them for likelier than they are, the more so the smaller it is."""
+    means = []
+    for words in (1 << 20, 1 << 11):
+        monkeypatch.setattr(cm, "GROUP_WORDS", words)
+        bits = [r.bits_per_byte for r in cm.op10_context_mixing(spark, SMALL).collect() if r.n_tokens > 50]
+        means.append(sum(bits) / len(bits))
+    assert means[0] == pytest.approx(means[1], abs=0.1)
+
+
+def test_counts_after_short_prefixes(spark, documents, monkeypatch):
+    monkeypatch.setattr(cm, "GROUP_WORDS", 5)
+    rows = [(i, f"https://a.org/{i % 7} the then to {'x' * i} Ⅷ{i}") for i in range(1, 40)]
+    docs = spark.read.parquet(documents(rows) + "/documents.parquet")
+    words = cm.grouped_words(cm.count_tokens(docs, ~cm.held_out(F.col("doc_id")), 6).where("word IS NOT NULL"))
+    dealt = words.withColumn("group", F.pmod(F.xxhash64("key", "piece"), F.lit(9))).collect()
+    found = {(r.group, r.prefix): {a.byte: a.n for a in r.after} for r in cm.stem_counts(spark.createDataFrame(dealt)).collect()}
+    every, wanted = defaultdict(Counter), set()
+    for r in dealt:
+        for place, byte, _, prefix in plain_places(bytes(r.word)):
+            prefix -= (prefix >> 63) << 64
+            every[prefix][byte] += r.n
+            if place < r.depth:
+                wanted.add((r.group, prefix))
+    assert max(r.depth for r in dealt) == 64 and len({g for g, _ in wanted}) > 5
+    assert found == {(g, p): {b: n for b, n in every[p].items() if n} for g, p in wanted if any(every[p].values())}
+    # From a word's depth on no other group has the prefix.
+    homes = defaultdict(set)
+    for r in dealt:
+        for place, _, _, prefix in plain_places(bytes(r.word)):
+            homes[prefix].add((r.group, place >= r.depth))
+    assert all(len(x) == 1 for x in homes.values() if any(own for _, own in x))
+
+
 class Handed:
     """Stands for a table and keeps the function that its rows are to be mapped by."""
 
